@@ -83,3 +83,12 @@ def drop_scratch(df: DataFrame) -> None:
 def text_or_empty(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns there are; a null text counts as empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+#: Most rows of a side that is broadcast; each such side has a few short columns.
+BROADCAST_ROWS = 4096
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint where *df* has at most *limit* rows (counted), else *df* as it is: Spark then joins by shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

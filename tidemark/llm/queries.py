@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import op2_bpe, op4_license
+from tidemark.llm import op2_bpe, op3_quality, op4_license, op5_mixing
 from tidemark.llm.common import table
 
 #: The tokenizer file of op2, by name in the public_tokenizers package.
@@ -23,14 +23,25 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = op3_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_license.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_quality_rules": op3_quality_rules,
         "op4_license_scan": op4_license_scan,
+        "op5_source_mix": op5_source_mix,
     }
 
 
