@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import op2_bpe, op3_quality, op4_license, op5_mixing
+from tidemark.llm import op2_bpe, op3_quality, op4_license, op5_mixing, op8_simhash
 from tidemark.llm.common import table
 
 #: The tokenizer file of op2, by name in the public_tokenizers package.
@@ -36,12 +36,17 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_simhash.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scan": op4_license_scan,
         "op5_source_mix": op5_source_mix,
+        "op8_simhash_dedup": op8_simhash_dedup,
     }
 
 
