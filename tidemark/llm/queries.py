@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import op2_bpe, op3_quality, op4_license, op5_mixing, op8_simhash
+from tidemark.llm import op1_pii, op2_bpe, op3_quality, op4_license, op5_mixing, op8_simhash
 from tidemark.llm.common import table
 
 #: The tokenizer file of op2, by name in the public_tokenizers package.
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,6 +46,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_spans": op1_pii_spans,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scan": op4_license_scan,
