@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import op1_pii, op2_bpe, op3_quality, op4_license, op5_mixing, op8_simhash
+from tidemark.llm import op1_pii, op2_bpe, op3_quality, op4_license, op5_mixing, op7_importance, op8_simhash
 from tidemark.llm.common import table
 
 #: The tokenizer file of op2, by name in the public_tokenizers package.
@@ -40,6 +40,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_simhash.dedup(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scan": op4_license_scan,
         "op5_source_mix": op5_source_mix,
+        "op7_importance_resampling": op7_importance_resampling,
         "op8_simhash_dedup": op8_simhash_dedup,
     }
 
