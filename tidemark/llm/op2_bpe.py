@@ -289,9 +289,8 @@ def load(path: str) -> Bpe:
 SLICE = 65_536
 
 
-def digest(bpe: Bpe, text: str) -> tuple[int, str, str]:
+def digest(bpe: Bpe, ids: list[int]) -> tuple[int, str, str]:
     """Number of tokens, hash of the ids, hash of the decoded text."""
-    ids = bpe.encode(text)
     sha_ids, sha_text, decoder = hashlib.sha256(), hashlib.sha256(), Decoder(bpe)
     for at in range(0, len(ids), SLICE):
         part = ids[at : at + SLICE]
@@ -326,8 +325,22 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)
-        rows = [digest(bpe, t) for t in batch.column(1).to_pylist()]
+        rows = [digest(bpe, bpe.encode(t)) for t in batch.column(1).to_pylist()]
         n, a, b = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(text_or_empty(docs), run, SCHEMA)
+
+
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and the digests of round_trip(): the last stage of a corpus."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bpe, rows = load(path), []
+        for text in batch.column(1).to_pylist():
+            ids = bpe.encode(text)
+            rows.append((ids, *digest(bpe, ids)))
+        kinds = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_arrow(text_or_empty(docs), run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")

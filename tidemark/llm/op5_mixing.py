@@ -28,10 +28,13 @@ NEWTON, BINS, REFINE = 40, 512, 4
 SEED = "mix"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def size() -> Column:
     bare = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACES))
-    size = F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(r"[\x20\x09-\x0D]+")) + 1)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("size"))
+    return F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(r"[\x20\x09-\x0D]+")) + 1).cast("long")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size().alias("size"))
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -125,25 +128,51 @@ def thresholds(copies: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
     return state.select("source", F.col("low").alias("cut"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source, source_size, target, rate, copies, taken: one row per document."""
-    sized = written(sizes(docs), "op5-sizes")
+def unit() -> Column:
+    """A number in (0, 1) from the hash of doc_id."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))), 1, 13), 16, 10)
+    return (digits.cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def rate() -> Column:
+    return F.when(F.col("size") > 0, F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.log(F.lit(float(CAP)))))).otherwise(0.0)
+
+
+def key(copy: int) -> Column:
+    return (F.lit(copy) - unit()) / F.col("rate")
+
+
+def plan(sized: DataFrame) -> tuple[DataFrame, bool]:
+    """source, source_size, target, mean, lam, cut for each source of (doc_id, source, size), and whether they are few."""
     compact = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "op5-compact")
-    by_source = compact.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), (F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)), F.lit(1))).alias("mean"))
-    by_source = written(by_source, "op5-sources")
+    words, filled = F.sum(F.col("size") * F.col("n")), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0))
+    by_source = written(compact.groupBy("source").agg(words.alias("source_size"), (words / F.greatest(filled, F.lit(1))).alias("mean")), "op5-sources")
     few = by_source.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     goals = written(keyed(targets(by_source.drop("mean")), by_source.select("source", "mean"), few), "op5-goals")
-    lam = tilts(compact, goals, few)
-    unit = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    rate = F.when(F.col("size") > 0, F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.log(F.lit(float(CAP)))))).otherwise(0.0)
-    rated = keyed(sized, lam, few).select("doc_id", "source", "size", unit.alias("u"), rate.alias("rate"))
-    rated = written(rated, "op5-rates")
-
-    def key(c: int | Column) -> Column:
-        return (F.lit(c) - F.col("u")) / F.col("rate")
-
-    each = rated.where("rate > 0").select("source", "size", F.explode(F.array(*(key(c) for c in range(1, CAP + 1)))).alias("key"))
-    done = keyed(keyed(rated, goals.drop("mean", "limit"), few), thresholds(each, goals, few), few)
-    copies = sum((F.when((F.col("rate") > 0) & (key(c) <= F.col("cut")), 1).otherwise(0) for c in range(1, CAP + 1)), F.lit(0))
-    done = done.withColumn("copies", copies.cast("long"))
+    lam = written(tilts(compact, goals, few), "op5-tilts")
+    each = keyed(sized.where("size > 0"), lam, few).withColumn("rate", rate()).where("rate > 0")
+    each = each.select("source", "size", F.explode(F.array(*(key(c) for c in range(1, CAP + 1)))).alias("key"))
+    cuts = thresholds(each, goals, few)
+    return written(keyed(keyed(goals.drop("limit", "mean"), lam, few), cuts, few), "op5-plan"), few
+
+
+def copies() -> Column:
+    return sum((F.when((F.col("rate") > 0) & (key(c) <= F.col("cut")), 1).otherwise(0) for c in range(1, CAP + 1)), F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source, source_size, target, rate, copies, taken: one row per document."""
+    sized = written(sizes(docs), "op5-sizes")
+    by_source, few = plan(sized)
+    done = keyed(sized, by_source, few).withColumn("rate", rate()).withColumn("copies", copies())
     return done.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents with their columns, each row as often as the mix takes it. No text is shuffled: a row's copies
+    follow from its size, its hash and its source's plan."""
+    names = docs.columns
+    by_source, few = plan(written(sizes(docs), "op5-sizes"))
+    whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size().alias("size"))
+    taken = keyed(whole, by_source, few).withColumn("rate", rate()).withColumn("copies", copies()).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(*(F.col("row")[n].alias(n) for n in names))

@@ -9,7 +9,8 @@ chunks, so no task holds more than one tree and one chunk of it. Tasks emit a sp
 they find, never the pairs of a group, and components.py joins them.
 
 Edge cases: fewer words than a shingle give one shingle of the whole sequence; no words (or a null text)
-give fingerprint 0, which links like any other. Repeated rows share their component. Extra columns are
+give fingerprint 0, which links like any other. Repeated rows share their component. Rows without doc_id link
+too, but never name a component (a group of them alone has component null) and are not kept. Extra columns are
 not read. Texts are read whole. An empty table gives no rows.
 """
 
@@ -169,4 +170,10 @@ def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFram
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     named = of.join(least, "root").select("fp", "component_id")
     out = prints.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with its columns; of repeated rows one stays."""
+    kept = dedup(docs, words, radius).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
