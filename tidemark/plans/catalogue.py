@@ -1,15 +1,507 @@
-"""All registered queries of the engine with their oracles."""
+"""All registered queries of the engine; oracles.py has their SQL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import score as fs
+from tidemark.functions import text as ft
+from tidemark.functions import time as tm
+from tidemark.operators import bootstrap, events, matching, replies, restore, scorers, series, stance, summary
+from tidemark.plans import adapters as ad
+from tidemark.plans.oracles import SQL
+from tidemark.session import shared_dir
+from tidemark.sources import dims, files
+from tidemark.streaming import ingest
+
+#: Places that computed doubles are rounded to, as the order of a sum differs between engines.
+PLACES = 9
+LEXICON = {"the": 0.5, "and": -0.25, "que": 0.75, "der": -0.5, "thing": 1.0, "of": -0.75}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, PLACES).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def days(df: DataFrame, *names: str, form: str = "yyyy-MM-dd") -> DataFrame:
+    """Timestamps as text, the same in every engine."""
+    return df.withColumns({n: F.date_format(n, form) for n in names})
+
+
+def _q(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[fn.__name__] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+    return fn
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+scored = ad.scored
+
+
+# -- summaries
+
+
+@_q
+def summary_by_tier(spark, d):
+    return summary.mean_by(scored(spark, d), "tier")
+
+
+@_q
+def summary_by_account(spark, d):
+    return summary.mean_by(scored(spark, d), "user")
+
+
+@_q
+def weekly_trend(spark, d):
+    return summary.weekly(scored(spark, d))
+
+
+@_q
+def weekly_trend_by_year(spark, d):
+    return summary.weekly(scored(spark, d), with_year=True)
+
+
+@_q
+def summary_table(spark, d):
+    """The console table: signed mean, bar and shortened name."""
+    out = summary.mean_by(scored(spark, d), "user")
+    return out.select("user", ft.ellipsis(F.concat(F.lit("account number "), "user", F.lit(" of the collected posts")), 36).alias("name"), ft.bar(F.round("mean", 6), 20).alias("bar"), "n")
+
+
+# -- series
+
+
+@_q
+def daily_timeline(spark, d):
+    return days(series.timeline(scored(spark, d)), "period")
+
+
+@_q
+def daily_by_user(spark, d):
+    return days(series.timeline(scored(spark, d), by_user=True), "period")
+
+
+@_q
+def daily_volume(spark, d):
+    return days(series.resample(scored(spark, d)).select("period", "n"), "period")
+
+
+@_q
+def tier_rolling5(spark, d):
+    return days(series.tier_comparison(scored(spark, d)), "period")
+
+
+@_q
+def hourly_public(spark, d):
+    return days(series.public_search(ad.search(spark, d)), "period", form="yyyy-MM-dd HH:mm")
+
+
+@_q
+def account_week_heatmap(spark, d):
+    out = series.account_heatmap(scored(spark, d))
+    return days(out.withColumn("month_day", tm.month_day(F.col("week"))), "week")
+
+
+@_q
+def account_week_pivot(spark, d):
+    weeks = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
+    out = series.account_week_pivot(scored(spark, d), weeks=weeks)
+    return out.select("user", *(F.col(f"`{w}`").alias(f"w{w[5:7]}{w[8:]}") for w in weeks))
+
+
+# -- events
+
+
+@_q
+def event_window_48h(spark, d):
+    return events.compare_events(scored(spark, d), dims.events(spark, ad.EVENTS))
+
+
+@_q
+def event_window_filtered(spark, d):
+    return events.compare_events(scored(spark, d), dims.events(spark, ad.EVENTS), 24, where="tier = 'click'")
+
+
+@_q
+def event_markers(spark, d):
+    return days(dims.event_markers(dims.events(spark, ad.EVENTS), "2024-01-01", "2024-12-31", ad.COLOURS), "date")
+
+
+# -- sources
+
+
+def _overlapping(spark, d):
+    s = scored(spark, d).select("id", "event_id", "user", "score")
+    return files.union_sources(s.where("event_id % 3 <> 0"), s.where("event_id % 2 = 0").withColumn("score", F.col("score") + 10))
+
+
+@_q
+def dedupe_first_wins(spark, d):
+    """Two overlapping sources; the first one's row stays."""
+    return files.first_wins(_overlapping(spark, d), "id", ("branch", "event_id")).select("id", "user", "score")
+
+
+@_q
+def dedupe_texts(spark, d):
+    """The first document of each text."""
+    docs = ad.table(spark, d, "documents").select("doc_id", "text", F.col("doc_id").alias("first"), "source")
+    return files.first_wins(docs, "text", ("doc_id",)).select(F.col("first").alias("doc_id"), "source")
+
+
+@_q
+def cap_newest_per_user(spark, d):
+    o = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user"), F.col("o_orderdate").alias("created_at"))
+    return files.newest_per_user(o, 3).select("id", "user")
+
+
+@_q
+def high_water_mark(spark, d):
+    return days(files.high_water_mark(scored(spark, d)), "latest", form="yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+@_q
+def fetch_windows(spark, d):
+    """Where each user's next incremental read begins."""
+    now = F.lit("2024-02-02 12:00:00").cast("timestamp")
+    out = files.high_water_mark(scored(spark, d)).select("user", tm.next_fetch_start(F.col("latest"), now).alias("start"), tm.fetch_end(now).alias("stop"))
+    return days(out, "start", "stop", form="yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+@_q
+def posts_in_window(spark, d):
+    return files.in_window(scored(spark, d), "2024-01-10", "2024-01-12").select("id", "user")
+
+
+@_q
+def source_counts(spark, d):
+    dim = spark.createDataFrame([(s,) for s in ad.SOURCES], "tier string")
+    return summary.source_counts(dim, scored(spark, d), "tier")
+
+
+@_q
+def status_missing(spark, d):
+    dim = spark.createDataFrame([(s.upper(),) for s in ad.SOURCES], "tier string")
+    return summary.missing_sources(dim, scored(spark, d), "tier")
+
+
+@_q
+def coverage(spark, d):
+    """Per conversation: turns of the assistant against all reported ones, in per cent."""
+    c = ad.table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("collected"), F.count("*").alias("reported"))
+    pct = summary.coverage(F.col("collected"), F.col("reported"))
+    return c.select("conv_id", "collected", "reported", pct.alias("pct"), (pct < 50).alias("truncated"))
+
+
+@_q
+def budget(spark, d):
+    a = scored(spark, d).select("user").distinct()
+    t = scored(spark, d).select("tier").distinct()
+    return summary.budget(a, t, 500, 150, 0.005)
+
+
+@_q
+def account_tiers(spark, d):
+    """Each user's most used tier, admin where there is none: a dimension joined back to accounts."""
+    dim = dims.accounts(spark, {"admin": ["1", "2"], "media": ["3"]})
+    users = scored(spark, d).select("user").distinct()
+    out = users.join(dims.small(dim.select(F.col("handle").alias("user"), "tier")), "user", "left")
+    return out.select("user", F.coalesce("tier", F.lit("admin")).alias("tier"))
+
+
+@_q
+def direct_replies(spark, d):
+    return files.direct_replies(ad.replies(spark, d)).select("id", "user")
+
+
+@_q
+def reply_parents(spark, d):
+    """Every reply with the post it answers."""
+    r = ad.replies(spark, d)
+    parent = r.select(F.col("id").alias("in_reply_to_id"), F.col("user").alias("parent_user"))
+    return r.join(parent, "in_reply_to_id").select("id", "user", "parent_user")
+
+
+# -- posts, labels, loyalty
+
+
+@_q
+def post_summary(spark, d):
+    return replies.post_summary(scored(spark, d))
+
+
+@_q
+def post_label_shares(spark, d):
+    return replies.post_summary(scored(spark, d).withColumn("label", F.upper("label")), slug="click")
+
+
+@_q
+def post_summary_ci(spark, d):
+    return replies.post_summary_ci(scored(spark, d))
+
+
+@_q
+def mean_ci_poisson(spark, d):
+    return bootstrap.poisson_mean_ci(scored(spark, d), ("tier",))
+
+
+@_q
+def mean_ci_exact(spark, d):
+    return bootstrap.exact_mean_ci(scored(spark, d), ("tier",))
+
+
+def _event_sides(spark, d):
+    return events.event_rows(scored(spark, d).select("id", "created_at", "score"), dims.events(spark, ad.EVENTS))
+
+
+@_q
+def diff_ci_poisson(spark, d):
+    return bootstrap.poisson_diff_ci(_event_sides(spark, d), ("event_label",), "is_post")
+
+
+@_q
+def diff_ci_exact(spark, d):
+    return bootstrap.exact_diff_ci(_event_sides(spark, d), ("event_label",), "is_post")
+
+
+def _loyal(spark, d):
+    p = ad.posts(spark, d).where("created_at is not null")
+    account = F.struct(F.col("text").alias("bio"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created_at"))
+    p = p.withColumns({"account": account, "tracked_slug": F.col("lang"), "score": (F.col("doc_id") % 21 - 10) / 10.0})
+    return replies.with_loyalty(p, list(ad.KEYWORDS), F.lit(ad.AS_OF).cast("timestamp"))
+
+
+@_q
+def loyalty_scores(spark, d):
+    return _loyal(spark, d).select("doc_id", "loyalty_score", "loyalty_tier")
+
+
+@_q
+def loyalty_segments(spark, d):
+    return replies.loyalty_segments(_loyal(spark, d))
+
+
+@_q
+def flippers(spark, d):
+    return replies.flippers(scored(spark, d), "click", "view", edge=0.02)
+
+
+@_q
+def flipper_rows(spark, d):
+    return replies.flipper_rows(scored(spark, d), "click", "view", edge=0.02).select("id", "user", "score")
+
+
+@_q
+def stratified_sample(spark, d):
+    return replies.stratified_sample(scored(spark, d)).select("id", "tracked_slug", "bucket", "score")
+
+
+@_q
+def sample_union_dedup(spark, d):
+    s = scored(spark, d)
+    first, then = s.where("event_id % 5 = 0"), s.where("event_id % 7 = 0")
+    both = files.union_sources(replies.stratified_sample(first), replies.stratified_sample(then, seed=7))
+    return files.first_wins(both, "id", ("branch",)).select("id", "tracked_slug", "bucket")
+
+
+# -- stance
+
+
+@_q
+def stance_distribution(spark, d):
+    return stance.distribution(ad.stances(spark, d)).withColumn("bar", ft.bar(F.round("share", 6), 40))
+
+
+@_q
+def stance_crosstab(spark, d):
+    return stance.by_post(ad.stances(spark, d))
+
+
+@_q
+def stance_crosstab_wide(spark, d):
+    out = summary.crosstab(stance.valid(ad.stances(spark, d)), "tracked_slug", "stance", list(stance.CATEGORIES))
+    return out
+
+
+@_q
+def stance_vs_score(spark, d):
+    return stance.against_score(ad.stances(spark, d))
+
+
+@_q
+def label_crosstab(spark, d):
+    """Quality labels by language, as stance stand-ins."""
+    docs = ad.table(spark, d, "documents").select("doc_id", "lang").join(ad.table(spark, d, "labels"), "doc_id")
+    return summary.crosstab_long(docs.withColumn("quality", F.col("quality").cast("string")), "lang", "quality")
+
+
+# -- matching, text
+
+
+@_q
+def nearest_tracked_match(spark, d):
+    return matching.resolve(dims.tracked(spark, ad.TRACKED), ad.posts(spark, d), ("doc_id",))
+
+
+@_q
+def keyword_match(spark, d):
+    return matching.keyword_match(ad.posts(spark, d), "THOUND").select("id", "user")
+
+
+@_q
+def strip_html(spark, d):
+    return ad.table(spark, d, "pages").select("page_id", F.md5(ft.strip_html(F.col("html"))).alias("text_md5"))
+
+
+@_q
+def url_only(spark, d):
+    p = ad.table(spark, d, "pages")
+    t = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("  "), "url")).when(F.col("page_id") % 3 == 1, F.concat("url", F.lit(" read"))).otherwise(F.col("url"))
+    return p.select("page_id", ft.url_only(t).alias("url_only"))
+
+
+@_q
+def empty_text(spark, d):
+    docs = ad.table(spark, d, "documents")
+    t = F.when(F.col("doc_id") % 4 == 0, F.lit(" \t\n ")).when(F.col("doc_id") % 4 == 1, F.lit(None)).otherwise(F.col("text"))
+    return docs.select("doc_id", ft.empty_text(t).alias("empty_text"))
+
+
+@_q
+def label_thresholds(spark, d):
+    s = scored(spark, d)
+    return s.select("id", fs.label(F.col("score")).alias("label"), fs.strict_label(F.col("score")).alias("strict_label"))
+
+
+@_q
+def lexicon_score(spark, d):
+    docs = ad.table(spark, d, "documents").select("doc_id", "text")
+    return scorers.LexiconScorer(LEXICON, "lexicon").score(docs).select("doc_id", "score_lexicon", "label_lexicon")
+
+
+@_q
+def weighted_label(spark, d):
+    """Expected score and likeliest label of three probabilities."""
+    e = ad.table(spark, d, "events")
+    parts = [(F.col("event_id") % 7 + 1), (F.col("user_id") % 5 + 1), (F.col("event_id") % 3 + 1)]
+    total = parts[0] + parts[1] + parts[2]
+    probs = F.array(*(F.struct(F.lit(n).alias("label"), (p / total).alias("score")) for n, p in zip(("Negative", "Neutral", "Positive"), parts, strict=True)))
+    return e.select("event_id", fs.expected_score(probs).alias("score"), fs.likeliest_label(probs).alias("label"))
+
+
+@_q
+def report_format(spark, d):
+    """File names, signed numbers and lists as the reports show them."""
+    s = scored(spark, d)
+    return s.select("id", ft.safe_file_name(F.concat(F.lit("search:"), "tier", F.lit(" a/b"))).alias("file"), ft.remove_prefix(F.concat(F.lit("replies_"), "tier"), "replies_").alias("slug"), F.array_join(ft.csv_list(F.concat(F.lit(" x , "), "tier", F.lit(" ,"))), "|").alias("list"), ft.signed(F.col("score"), 4).alias("signed"))
+
+
+# -- restore, scorers, JSON
+
+
+def _current(spark, d):
+    s = scored(spark, d)
+    keep = F.col("event_id") % 4 == 0
+    return s.select("id", "event_id", F.when(keep, F.col("score")).alias("score_vader"), F.when(keep, F.col("label")).alias("label_vader"))
+
+
+def _prior(spark, d):
+    s = scored(spark, d).where("event_id % 3 <> 0")
+    return s.select("id", (F.col("score") / 2).alias("score_vader"), fs.label(F.col("score") / 2).alias("label_vader"))
+
+
+@_q
+def restore_scores(spark, d):
+    return restore.restore(_current(spark, d), _prior(spark, d), ("vader",)).select("id", "score_vader", "label_vader")
+
+
+@_q
+def restore_checkpoint(spark, d):
+    """A checkpoint overwrites what it has."""
+    return restore.restore(_current(spark, d), _prior(spark, d), ("vader",), overwrite=True).select("id", "score_vader", "label_vader")
+
+
+@_q
+def checkpoint_coverage(spark, d):
+    return restore.coverage_of(_current(spark, d), _prior(spark, d))
+
+
+@_q
+def pending_scores(spark, d):
+    p = ad.posts(spark, d).select("doc_id", "id", "text")
+    p = p.withColumn("score", F.when(F.col("doc_id") % 3 == 0, 0.5)).withColumn("text", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")))
+    return summary.pending(p).select("id")
+
+
+@_q
+def pick_score_column(spark, d):
+    """The column chosen per tier: the model scores only clicks, nothing is remote."""
+    s = scored(spark, d).select("tier", F.col("score").alias("score_vader"), F.when(F.col("tier") == "click", F.col("score")).alias("score_transformer"), F.lit(None).cast("double").alias("score_llm"))
+    return summary.picked_per_group(s, "tier", ("score_llm", "score_transformer", "score_vader"))
+
+
+def _model_replies(spark, d):
+    e = ad.table(spark, d, "events")
+    body = F.format_string('{"score": %.2f, "label": "%s"}', (F.col("event_id") % 200 - 100) / 100.0, F.lit("positive"))
+    bare = F.format_string('{"score": %.2f}', (F.col("event_id") % 200 - 100) / 100.0)
+    case = F.col("event_id") % 5
+    reply = F.when(case == 0, body).when(case == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(case == 2, bare).when(case == 3, F.lit('{"score": "0.5", "label": "positive"}')).otherwise(F.lit("no JSON at all"))
+    return e.select("event_id", reply.alias("reply"))
+
+
+@_q
+def parse_llm_json(spark, d):
+    r = _model_replies(spark, d).withColumn("r", ft.sentiment_reply(F.col("reply")))
+    return r.select("event_id", "r.score", "r.label", "r.ok")
+
+
+@_q
+def parse_stance_json(spark, d):
+    e = ad.table(spark, d, "events")
+    good = F.format_string('{"stance": "neutral_other", "confidence": %.1f, "reason": "r%d"}', (F.col("event_id") % 10) / 10.0, F.col("event_id"))
+    case = F.col("event_id") % 3
+    reply = F.when(case == 0, good).when(case == 1, F.concat(F.lit("```\n"), good, F.lit("\n```"))).otherwise(F.lit("{broken"))
+    r = e.select("event_id", ft.stance_reply(reply).alias("r"))
+    return r.select("event_id", "r.stance", "r.confidence", "r.reason", "r.ok")
+
+
+@_q
+def metrics_json(spark, d):
+    e = ad.table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.select("event_id", k.alias("k"), F.element_at(F.from_json("props", "map<string,bigint>"), "k").alias("mapped"), F.to_json(F.struct(F.col("event_id").alias("id"), k.alias("k"))).alias("line"))
+
+
+# -- streaming
+
+
+@_q
+def stream_daily_means(spark, d):
+    """events through a file stream into additive daily sums, read back."""
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = ad.table(spark, d, "events").schema
+    stream = ingest.read_posts(spark, f"{d}/events.parquet*", schema, "parquet")
+    stream = stream.select(F.col("event_type").alias("tier"), F.col("ts").cast("timestamp").alias("created_at"), F.col("value").alias("score"))
+    ingest.drain_partials(stream, f"{place}/out", f"{place}/state", by=("tier",))
+    return days(ingest.totals(spark, f"{place}/out", ("tier",)), "period")
+
+
+@_q
+def stream_dedupe(spark, d):
+    """Overlapping posts through the watermark's deduplication."""
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = ad.table(spark, d, "events").schema
+    stream = ingest.read_posts(spark, f"{d}/events.parquet*", schema, "parquet")
+    both = stream.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))
+    ingest.drain(ingest.deduplicated(both, lateness="60 days").select("id"), f"{place}/out", f"{place}/state")
+    return spark.read.parquet(f"{place}/out")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in QUERIES}
