@@ -188,13 +188,14 @@ class Bpe:
             if limit is None or len(window) < limit:
                 yield from self.merged(window)
                 return
-            stable, used = limit - self.lookahead, 0
+            stable, used = len(window) - self.lookahead, 0
             for t in self.merged(window[:]):
                 if used + self.length[t] > stable:
                     break
                 used += self.length[t]
                 yield t
             del window[:used]
+            limit += CHUNK * (not used)  # the first token is longer than what is stable
 
     def symbols(self, piece: str) -> list[int]:
         """Byte symbols of a pre-token, the last with the end-of-word suffix."""

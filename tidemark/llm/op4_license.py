@@ -145,6 +145,11 @@ BODIES: tuple[tuple[str, str, str], ...] = (
 )
 
 
+def spaced(pattern: str) -> str:
+    """The pattern with its spaces as any white space."""
+    return pattern.replace("[- ]", r"[-\s]").replace(" ?", r"\s*").replace(" ", r"\s+")
+
+
 def rules() -> list[Rule]:
     """All rules in order. The families' names give one rule for each way a text cites a license."""
     out = []
@@ -152,7 +157,7 @@ def rules() -> list[Rule]:
         for spdx in ids:
             out.append(Rule(label, 100, ("spdx-license-identifier", spdx), rf"spdx-license-identifier\s*:\s*\(?(?:[\w.+-]+ (?:or|and) )*{re.escape(spdx)}(?![\w+-]|\.\w)", 1.0))
         for name, key in names:
-            name = name.replace(" ", r"\s+")
+            name = spaced(name)
             out.append(Rule(label, 80, ("licen", key), rf"(?<!\w)(?:licen[cs]ed|released|distributed|published|available|covered)\s+(?:under|by)\s+(?:the\s+|an?\s+)?(?:terms\s+of\s+the\s+)?{name}\s+(?:public\s+)?licen[cs]e(?:,?\s+(?:version|v\.?)\s*\d+(?:\.\d+)?)?(?!\w)", 0.95))
             out.append(Rule(label, 60, ("licen", key), rf"(?<!\w){name}\s+(?:public\s+)?licen[cs]e(?:,?\s+(?:version|v\.?)\s*\d+(?:\.\d+)?)?(?!\w)", 0.8))
             out.append(Rule(label, 50, ("licen", key), rf"(?<!\w)licen[cs]e\s*[:=]\s*[\"']?{name}(?!\w)", 0.75))
@@ -160,7 +165,7 @@ def rules() -> list[Rule]:
             out.append(Rule(label, 70, (re.sub(r"[\\(\[].*", "", address).rstrip("."),), rf"(?<!\w){address}", 0.9))
     for label, key, body in BODIES:
         weak = label in ("copyright", "unknown-license", "proprietary")
-        out.append(Rule(label, 20 if weak else 90, (key,), (r"(?<!\w)" if body[0].isalpha() else "") + body.replace(" ", r"\s+"), 0.3 if weak else 0.9))
+        out.append(Rule(label, 20 if weak else 90, (key,), (r"(?<!\w)" if body[0].isalpha() else "") + spaced(body), 0.3 if weak else 0.9))
     return out
 
 
