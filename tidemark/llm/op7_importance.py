@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling with hashed n-gram models.
 
 Byte n-grams of orders 1 to ORDERS, and pairs of echoes (whether a word equals the one before it), are hashed
-to BUCKETS buckets. Two bag-of-n-grams models are counted
-over all rows: target (documents labelled good) and raw (all documents). A document's log weight is the sum
+to BUCKETS buckets. Two bag-of-n-grams models are counted: target (up to TARGET_DOCS documents labelled good)
+and raw (all documents). A document's log weight is the sum
 of log target/raw over its n-grams. Gumbel noise from a hash of doc_id is added, and the k largest keys are
 a sample of k documents without replacement in proportion to their weights (Gumbel top-k).
 
@@ -19,17 +19,21 @@ them (ties at the cut are kept). Texts are counted whole. An empty table gives n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import map_arrow, small_batches, written
 
 ORDERS, BUCKETS = 3, 1 << 16
+#: Labelled good documents that the target model is fitted on: the bound of what is broadcast.
+TARGET_DOCS = 20_000
 FLOOR = 0.002
 BINS, REFINE = 1024, 6
 SLAB = 1 << 20
@@ -88,21 +92,35 @@ def ratios(counted: DataFrame) -> np.ndarray | None:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, target: labelled good or not; the labels' ids meet the documents' by a shuffle of both."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+def good_labels(labels: DataFrame) -> DataFrame:
+    """doc_id of every document labelled good: its least quality is 1."""
+    rows = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    return rows.where("quality = 1").select("doc_id")
+
+
+def with_labels(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
+    """text, target: whether a document is among those that the target model is fitted on.
+
+    These are the *most* labelled good documents whose ids hash lowest, so their ids are a broadcast of a fixed
+    size and no text is shuffled. The raw model counts all documents.
+    """
+    fit = good_labels(labels).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most).select("doc_id", F.lit(True).alias("target"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.join(good.where("quality = 1").select("doc_id", F.lit(True).alias("target")), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    return d.join(F.broadcast(fit), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def log_weight(raw: bytes, table: np.ndarray) -> float:
+    return sum(float(table[h].sum()) for h in buckets(raw))
 
 
 def scores(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, log_weight, n_grams, row (which tells repeated rows apart) of every document."""
+    """doc_id, log_weight, n_grams of every document."""
     held = docs.sparkSession.sparkContext.broadcast(table.astype(np.float64))  # BUCKETS numbers
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w, total = held.value, []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
-            total.append((sum(float(w[h].sum()) for h in buckets(text or b"")), sum(max(0, len(text or b"") - n) for n in range(ORDERS))))
+            total.append((log_weight(text or b"", w), sum(max(0, len(text or b"") - n) for n in range(ORDERS))))
         a, n = zip(*total, strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "log_weight", "n_grams"])
 
@@ -112,6 +130,8 @@ def scores(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def kth_largest(keys: DataFrame, k: int) -> float:
     """A lower bound, exact to the keys' spread over BINS ** REFINE, of the k-th largest of the column *key*."""
     low, high = keys.agg(F.min("key"), F.max("key")).first()
+    if low is None or k <= 0:
+        return -math.inf if low is None else math.inf
     above = 0  # rows above *high*
     for _ in range(REFINE):
         width = (high - low) / BINS
@@ -127,24 +147,41 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return low
 
 
-def classify(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """doc_id, log_weight, n_grams, key, kept of every document."""
+def gumbel() -> Column:
+    """Noise of a document, from the hash of its doc_id."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("gumbel"), F.col("doc_id").cast("string"))), 1, 13), 16, 10)
+    return -F.log(-F.log((digits.cast("double") + 0.5) / F.lit(float(1 << 52))))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> tuple[np.ndarray, float, DataFrame]:
+    """The models' log ratios, the k-th largest key (-inf: all are kept), and the scored documents."""
     table = ratios(counts(with_labels(docs, labels)))
-    scored = written(scores(docs, table if table is not None else np.zeros(BUCKETS)), "op7-scores")
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("gumbel"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    keyed = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
-    rows = keyed.count()
-    if table is None or not rows:
-        return keyed.withColumn("kept", F.lit(True))
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1")
-    edge = keyed.join(good, "doc_id", "left_semi").agg(F.percentile_approx("log_weight", F.lit(floor), F.lit(100_000))).first()[0]
+    known = table is not None
+    table = table if known else np.zeros(BUCKETS)
+    keyed = written(scores(docs, table), "op7-scores").withColumn("key", F.col("log_weight") + gumbel())
+    edge = keyed.join(good_labels(labels), "doc_id", "left_semi").agg(F.percentile_approx("log_weight", F.lit(floor), F.lit(100_000))).first()[0] if known else None
     if edge is None:
-        return keyed.withColumn("kept", F.lit(True))
-    k = keyed.where(F.col("log_weight") >= edge).count()
-    return keyed.withColumn("kept", F.col("key") >= kth_largest(keyed, k))
+        return table, -math.inf, keyed
+    return table, kth_largest(keyed, keyed.where(F.col("log_weight") >= edge).count()), keyed
+
+
+def classify(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """doc_id, log_weight, n_grams, key, kept of every document."""
+    _, cut, keyed = fitted(docs, labels, floor)
+    return keyed.withColumn("kept", F.col("key") >= cut)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """The documents that are kept, with their columns as they are."""
-    kept = classify(docs, labels, floor).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
+    """The documents that are kept, with their columns as they are. A row's key follows from its text, its id and the
+    models, so it is made again where the text is and nothing is joined."""
+    table, cut, _ = fitted(docs, labels, floor)
+    held = docs.sparkSession.sparkContext.broadcast(table)
+    names, weight = docs.columns, "__log_weight"
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(names.index("text")).cast(pa.binary()).to_pylist()
+        return batch.append_column(weight, pa.array([log_weight(t or b"", held.value) for t in texts], pa.float64()))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(weight, T.DoubleType())])
+    scored = map_arrow(docs, run, schema)
+    return scored.where(F.col(weight) + gumbel() >= cut).select(*(F.col(f"`{c}`") for c in names))
