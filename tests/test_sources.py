@@ -53,7 +53,7 @@ def test_replies_have_their_slug(spark, tmp_path):
 def test_reply_record(spark):
     raw = spark.createDataFrame([("1", "<p>hi</p>", "2024-01-01T00:00:00Z", "p", 2, None, 1, ("7", "joe"))], "id string, content string, created_at string, in_reply_to_id string, reblogs_count long, favourites_count long, replies_count long, account struct<id:string,username:string>")
     raw = raw.withColumn("account", F.col("account").cast(f"struct<id:string,username:string>"))
-    row = files.reply_record(raw.withColumn("account", F.struct(F.col("account.id").alias("id"), F.col("account.username").alias("username"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in REPLY["account"].dataType.fields[2:]))), "p").first()
+    row = files.reply_record(raw.withColumn("account", F.struct(F.col("account.id").alias("id"), F.col("account.username").alias("username"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in REPLY["account"].dataType.fields[2:]))), "p", "second").first()
     assert row.user == "joe" and row.metrics == {"reblogs": 2, "favourites": 0, "replies": 1} and row.source == "reply"
 
 

@@ -65,14 +65,14 @@ def direct_replies(replies: DataFrame) -> DataFrame:
     return replies.where(F.col("in_reply_to_id") == F.col("parent_id"))
 
 
-def reply_record(status: DataFrame, parent_id: str) -> DataFrame:
+def reply_record(status: DataFrame, parent_id: str, platform: str) -> DataFrame:
     """Raw statuses with a nested account as reply rows: flattened, renamed, with null-safe counts."""
     metric = lambda k: F.coalesce(F.col(f"{k}_count").cast("long"), F.lit(0))
     return conform(
         status.select(
             "id", F.col("account.username").alias("user"), F.col("content").alias("text"), "created_at",
             F.create_map(*(x for k in ("reblogs", "favourites", "replies") for x in (F.lit(k), metric(k)))).alias("metrics"),
-            F.lit(parent_id).alias("parent_id"), "in_reply_to_id", F.lit("truthsocial").alias("platform"), F.lit("reply").alias("source"), "account",
+            F.lit(parent_id).alias("parent_id"), "in_reply_to_id", F.lit(platform).alias("platform"), F.lit("reply").alias("source"), "account",
         ),
         REPLY,
     )
