@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from tests.llm.helpers import clashing, docs
+from tidemark.llm import op5_mixing as op
+
+
+def targets(sizes):
+    """By the rule itself: share, cap, share the excess again among the open ones."""
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    goal, open_, rest = dict.fromkeys(sizes, 0.0), set(order), float(sum(sizes.values()))
+    while open_ and rest > 1e-9:
+        total = sum(weight[s] for s in open_)
+        for s in open_:
+            goal[s] += rest * weight[s] / total
+        rest = 0.0
+        for s in list(open_):
+            if goal[s] >= 3 * sizes[s]:
+                rest += goal[s] - 3 * sizes[s]
+                goal[s] = 3.0 * sizes[s]
+                open_.discard(s)
+    return goal
+
+
+def corpus(rng, sources):
+    texts, of = [], []
+    for s, n in sources.items():
+        for _ in range(n):
+            texts.append(rng.choice(["w ", "word\t", "é\n"]) * rng.choice([0, 1, 3, 10, 80, 400]))
+            of.append(s)
+    return texts, of
+
+
+@pytest.mark.parametrize("sources", [{"a": 60, "b": 20, "c": 20, None: 30}, {"x": 200, "y": 1, "z": 2}])
+def test_mix(spark, sources):
+    texts, of = corpus(random.Random(3), sources)
+    df = clashing(docs(spark, texts, sources=of))
+    rows = op.mix(df).collect()
+    assert len(rows) == len(texts)
+    size = {s: 0 for s in of}
+    for r in rows:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])) and r.taken == r.copies * r.size and 0 <= r.copies <= 3
+        size[r.source] += r.size
+    want = targets(size)
+    for s in size:
+        own = [r for r in rows if r.source == s]
+        assert {r.source_size for r in own} == {size[s]}
+        assert own[0].target == pytest.approx(want[s], rel=1e-9, abs=1e-6)
+        taken, largest = sum(r.taken for r in own), max(r.size for r in own)
+        assert want[s] - largest - 1e-3 * want[s] - 1e-6 <= taken <= want[s] * (1 + 1e-9) + 1e-6
+        assert sum(r.rate * r.size for r in own) == pytest.approx(want[s], rel=1e-4, abs=1e-6)
+    out = op.mixed(df)  # plans anew: the copies of both runs agree
+    assert out.columns == df.columns
+    got = {}
+    for r in out.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {r.doc_id: r.copies for r in rows if r.copies}
+
+
+def test_rates_are_an_exponential_tilt(spark):
+    import math
+
+    texts, of = corpus(random.Random(8), {"a": 80, "b": 40})
+    rows = [r for r in op.mix(docs(spark, texts, sources=of)).collect() if r.size and r.rate < 3 - 1e-9]
+    for s in ("a", "b"):
+        lam = [math.log(r.rate) / r.size for r in rows if r.source == s]
+        assert max(lam) - min(lam) < 1e-9
+
+
+def test_empty_null_and_repeated(spark):
+    assert op.mix(docs(spark, [])).count() == 0
+    rows = op.mix(docs(spark, [None, "", " "], sources=[None, "a", "a"])).collect()
+    assert [r.taken for r in rows] == [0, 0, 0] and {r.target for r in rows} == {0.0}
+    same = op.mix(docs(spark, ["a b"] * 6, ids=[1] * 6)).collect()
+    assert len({r.copies for r in same}) == 1
