@@ -176,4 +176,5 @@ def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFram
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with its columns; of repeated rows one stays."""
     kept = dedup(docs, words, radius).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    # Kept ids grow with the corpus, so both sides are shuffled, whatever their size.
+    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
