@@ -128,12 +128,16 @@ class Unit:
         b, e = self.block, self.edges
         budget = [radius(self.dim, k, self.cosine) ** 2 for k in range(len(e) - 1)]
         part = self.z[:, e[b] : e[b + 1]]
-        square = (part * part).sum(1)
-        right = part[self.right].T.copy()
+        square = (part * part).sum(1, keepdims=True)
+        one = np.ones_like(square)
+        # |x|^2 + |y|^2 - 2 x.y as one product: (-2 x, |x|^2, 1) by (y, 1, |y|^2).
+        rows = np.hstack([-2 * part, square, one])
+        right = np.hstack([part, one, square])[self.right].T.copy()
+        held = np.empty((SLAB, len(self.right)), np.float32)
         for at in range(0, len(self.left), SLAB):
             own = self.left[at : at + SLAB]
-            d = square[own][:, None] + square[self.right][None, :] - 2 * (part[own] @ right)
-            x, y = np.nonzero(d <= budget[b] + SLACK)
+            d = np.matmul(rows[own], right, out=held[: len(own)])
+            x, y = np.divmod(np.flatnonzero(d <= np.float32(budget[b] + SLACK)), len(self.right))
             x, y = own[x], self.right[y]
             if self.same:
                 x, y = x[x < y], y[x < y]
