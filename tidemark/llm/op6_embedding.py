@@ -6,7 +6,8 @@ some block's is within its share of it (in proportion to its dimensions), so a r
 finds all links. A block's join runs over a grid of its first few dimensions with cells of twice the radius:
 a vector goes to its own cell and to those below it that its ball reaches, and a pair is compared where both
 meet, the component-wise least cell. Pairs within the block's budget are verified by their exact cosine, and
-only in the first block that admits them, so each link is found once.
+only in the first block that admits them, so each link is found once. Within a cell, a tree of median splits
+groups one side in leaves, and a leaf is compared only with vectors within the radius of its bounding box.
 
 Equal vectors are collapsed to one before. Cells above CHUNK vectors are split into chunks, and each pair of
 chunks is a unit of work of its own, so that no task holds more. Units return, per vector, how many links they
@@ -36,7 +37,8 @@ from tidemark.llm.components import Forest, components
 COSINE, WIDTH, CHUNK, SEED = 0.95, 8, 8192, 7
 #: Vectors in an average cell that the grid aims at.
 CELL = 16_384
-SLAB = 512
+#: Most vectors in a leaf of a unit's tree.
+LEAF = 128
 #: Slack of single precision in block distances.
 SLACK = 2e-6
 
@@ -107,6 +109,20 @@ def placed(nodes: DataFrame, depth: int, cosine: float) -> DataFrame:
     return map_arrow(nodes.select("rep", "vec"), run, "rep long, cell string")
 
 
+def leaves(part: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """*rows* in groups of at most LEAF, split again and again at the median of the dimension that varies most."""
+    out, todo = [], [rows]
+    while todo:
+        own = todo.pop()
+        if len(own) <= LEAF:
+            out.append(own)
+            continue
+        at = part[own]
+        order = np.argpartition(at[:, int(np.argmax(at.var(0)))], len(own) // 2)
+        todo += [own[order[len(own) // 2 :]], own[order[: len(own) // 2]]]
+    return out
+
+
 class Unit:
     """The links of one pair of chunks of one cell."""
 
@@ -131,16 +147,26 @@ class Unit:
         square = (part * part).sum(1, keepdims=True)
         one = np.ones_like(square)
         # |x|^2 + |y|^2 - 2 x.y as one product: (-2 x, |x|^2, 1) by (y, 1, |y|^2).
-        rows = np.hstack([-2 * part, square, one])
-        right = np.hstack([part, one, square])[self.right].T.copy()
-        held = np.empty((SLAB, len(self.right)), np.float32)
-        for at in range(0, len(self.left), SLAB):
-            own = self.left[at : at + SLAB]
-            d = np.matmul(rows[own], right, out=held[: len(own)])
-            x, y = np.divmod(np.flatnonzero(d <= np.float32(budget[b] + SLACK)), len(self.right))
-            x, y = own[x], self.right[y]
+        rows, cols = np.hstack([-2 * part, square, one]), np.hstack([part, one, square])
+        groups = leaves(part, self.left)
+        right = np.concatenate(groups) if self.same else self.right
+        axes = part[right].T.copy()
+        done = 0
+        for own in groups:
+            # What lies further from the leaf's box than the radius can't link with any of its vectors.
+            low, high = part[own].min(0)[:, None], part[own].max(0)[:, None]
+            off = axes[:, done:] - np.clip(axes[:, done:], low, high)
+            near = right[done + np.flatnonzero(np.einsum("ij,ij->j", off, off) <= np.float32(budget[b] + SLACK))]
+            d = rows[own] @ cols[near].T
+            x, y = np.divmod(np.flatnonzero(d <= np.float32(budget[b] + SLACK)), max(1, len(near)))
             if self.same:
-                x, y = x[x < y], y[x < y]
+                # Of the same chunk only this leaf and those after it are left; within the leaf each pair counts once.
+                place = np.full(len(part), len(part))
+                place[own] = np.arange(len(own))
+                fresh = x < place[near[y]]
+                x, y = x[fresh], y[fresh]
+                done += len(own)
+            x, y = own[x], near[y]
             here = (np.minimum(self.home[x], self.home[y]) == self.cell).all(1)
             x, y = x[here], y[here]
             for s in range(0, len(x), 1 << 15):
