@@ -111,7 +111,7 @@ def placed(nodes: DataFrame, depth: int, cosine: float) -> DataFrame:
 
 def leaves(part: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     """*rows* in groups of at most LEAF, split again and again at the median of the dimension that varies most."""
-    out, todo = [], [rows]
+    out, todo = [], [rows] if len(rows) else []
     while todo:
         own = todo.pop()
         if len(own) <= LEAF:
@@ -126,16 +126,14 @@ def leaves(part: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 class Unit:
     """The links of one pair of chunks of one cell."""
 
-    def __init__(self, cell: str, i: int, j: int, rows: list[tuple[int, int, bytes, int]], cosine: float):
+    def __init__(self, cell: str, i: int, j: int, rep: np.ndarray, copies: np.ndarray, raw: np.ndarray, chunk: np.ndarray, cosine: float):
         dim, self.block, *at = map(int, cell.split(":"))
         self.cell, self.same, self.cosine = np.array(at), i == j, cosine
         self.dim, self.edges = dim, block_edges(dim)
-        rows.sort()
-        self.rep = np.array([r[0] for r in rows])
-        self.raw = np.array([np.frombuffer(r[2]) for r in rows])
+        order = np.argsort(rep)
+        self.rep, self.copies, self.raw, chunk = rep[order], copies[order], raw[order], chunk[order]
         self.norm = np.linalg.norm(self.raw, axis=1)
         self.z = rotated(self.raw)
-        chunk = np.array([r[3] for r in rows])
         self.left, self.right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         self.home = cells(self.z[:, self.edges[self.block] :], radius(dim, self.block, cosine), len(at))
 
@@ -180,6 +178,19 @@ class Unit:
                 yield i[close], j[close]
 
 
+def runs(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(cell, i, j), rep, copies, raw, chunk of each run of a batch's rows that belong to one unit."""
+    if not batch.num_rows:
+        return
+    code = batch.column(0).dictionary_encode()
+    i, j, chunk, rep, copies = (batch.column(k).to_numpy() for k in range(1, 6))
+    tag = np.stack([code.indices.to_numpy(), i, j])
+    starts = np.flatnonzero(np.r_[True, (tag[:, 1:] != tag[:, :-1]).any(0)])
+    for s, t in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
+        raw = np.frombuffer(b"".join(batch.column(6).slice(s, t - s).to_pylist())).reshape(t - s, -1)
+        yield (code[int(s)].as_py(), int(i[s]), int(j[s])), rep[s:t], copies[s:t], raw, chunk[s:t]
+
+
 def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """a, b, n: where b is null, vector a has n more links (copies of a partner count); else a link of a forest."""
     spark = nodes.sparkSession
@@ -198,26 +209,28 @@ def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, links = Forest(), {}
+        held: list[tuple[np.ndarray, ...]] = []
+        key = None
 
         def close() -> None:
-            copies = np.array([r[1] for r in sorted(held)])
-            u = Unit(*key, held, cosine)
+            u = Unit(*key, *map(np.concatenate, zip(*held, strict=True)), cosine)
+            total = np.zeros(len(u.rep), np.int64)
             for i, j in u.pairs():
-                n = np.bincount(i, copies[j], len(copies)) + np.bincount(j, copies[i], len(copies))
-                for at in np.flatnonzero(n):
-                    links[int(u.rep[at])] = links.get(int(u.rep[at]), 0) + int(n[at])
+                np.add.at(total, i, u.copies[j])
+                np.add.at(total, j, u.copies[i])
                 for a, b in zip(u.rep[i].tolist(), u.rep[j].tolist(), strict=True):
                     forest.link(a, b)
+            for at in np.flatnonzero(total):
+                links[int(u.rep[at])] = links.get(int(u.rep[at]), 0) + int(total[at])
 
-        held, key = [], None
         for batch in batches:
-            for cell, i, j, chunk, rep, copies, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (cell, i, j) != key:
-                    if len(held) > 1:
+            for here, *columns in runs(batch):
+                if here != key:
+                    if held:
                         close()
-                    held, key = [], (cell, i, j)
-                held.append((rep, copies, vec, chunk))
-        if len(held) > 1:
+                    held, key = [], here
+                held.append(tuple(columns))
+        if held:
             close()
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(list(links), pa.int64()), pa.nulls(len(links), pa.int64()), pa.array(list(links.values()), pa.int64())], names=["a", "b", "n"])
