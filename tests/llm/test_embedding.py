@@ -44,6 +44,20 @@ def test_same_as_all_pairs(spark, monkeypatch, dim, chunk, cell):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_single_precision_components(spark, monkeypatch):
+    monkeypatch.setattr(op, "LEAF", 7)
+    rows = [(i, np.float32(v).astype(float).tolist()) for i, v in some(np.random.default_rng(3), 120, 24, 9)]
+    got = op.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
+
+
+def test_leaves_partition_the_rows():
+    part = np.random.default_rng(5).normal(size=(1000, 8)).astype(np.float32)
+    groups = op.leaves(part, np.arange(1000))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(1000)) and max(map(len, groups)) <= op.LEAF
+    assert op.leaves(part, np.arange(0)) == []
+
+
 def test_edge_cases(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v), (2, v), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [float("inf"), 1.0, 1.0]), (None, v), (9, [1.0, 2.0]), (10, [-1.0, -2.0, -3.0]), (11, [2.0, 4.0, 6.0])]

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import map_arrow, small_batches, written
 from tidemark.llm.components import Forest, components
@@ -56,7 +57,7 @@ def block_edges(dim: int) -> tuple[int, ...]:
 
 
 def rotated(raw: np.ndarray) -> np.ndarray:
-    """Rotated unit vectors in single precision, which is what all block decisions are made on."""
+    """Rotated unit vectors in single precision, which is what all block decisions are made on; *raw* has doubles."""
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
     return (unit @ rotation(raw.shape[1])).astype(np.float32)
 
@@ -71,7 +72,12 @@ def cells(z: np.ndarray, r: float, depth: int) -> np.ndarray:
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
-    """vec_id, vec (the components as doubles; null if it links with nothing), key (digest of vec)."""
+    """vec_id, vec (the components; null if it links with nothing), key (digest of vec).
+
+    Components are single or double precision as in the table, so that singles are not shuffled at twice their size.
+    """
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind = np.float32 if single else np.float64
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         vec: list[bytes | None] = []
@@ -79,11 +85,17 @@ def prepared(vectors: DataFrame) -> DataFrame:
             ok = i is not None and v and not any(x is None for x in v)
             a = np.asarray(v, np.float64) if ok else None
             ok = ok and bool(np.isfinite(a).all()) and 0 < float(np.linalg.norm(a)) < math.inf
-            vec.append((a + 0.0).tobytes() if ok else None)  # -0.0 and 0.0 are one
+            vec.append((a + 0.0).astype(kind).tobytes() if ok else None)  # -0.0 and 0.0 are one
         key = [v and hashlib.blake2b(v, digest_size=16).digest() for v in vec]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(vec, pa.binary()), pa.array(key, pa.binary())], names=["vec_id", "vec", "key"])
 
-    return map_arrow(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")), run, "vec_id long, vec binary, key binary")
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return map_arrow(every, run, "vec_id long, vec binary, key binary").withColumn("wide", F.lit(not single))
+
+
+def components_of(vec: list[bytes], wide: bool) -> np.ndarray:
+    """The vectors of one length, a row each, as doubles."""
+    return np.frombuffer(b"".join(vec), np.float64 if wide else np.float32).reshape(len(vec), -1).astype(np.float64)
 
 
 def placed(nodes: DataFrame, depth: int, cosine: float) -> DataFrame:
@@ -92,10 +104,12 @@ def placed(nodes: DataFrame, depth: int, cosine: float) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         reps, names = [], []
         vecs = batch.column(1).to_pylist()
-        ids = np.array(batch.column(0).to_pylist())
-        for dim in {len(v) // 8 for v in vecs}:
-            at = [i for i, v in enumerate(vecs) if len(v) // 8 == dim]
-            z, e = rotated(np.array([np.frombuffer(vecs[i]) for i in at])), block_edges(dim)
+        ids = batch.column(0).to_numpy()
+        wide = batch.column(2)[0].as_py()
+        for size in {len(v) for v in vecs}:
+            at = [i for i, v in enumerate(vecs) if len(v) == size]
+            z = rotated(components_of([vecs[i] for i in at], wide))
+            dim, e = z.shape[1], block_edges(z.shape[1])
             for b in range(len(e) - 1):
                 r, d = radius(dim, b, cosine), min(depth, e[b + 1] - e[b])
                 part = z[:, e[b] : e[b + 1]]
@@ -106,7 +120,7 @@ def placed(nodes: DataFrame, depth: int, cosine: float) -> DataFrame:
                         names.append(f"{dim}:{b}:{':'.join(map(str, c))}")
         return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(names, pa.string())], names=["rep", "cell"])
 
-    return map_arrow(nodes.select("rep", "vec"), run, "rep long, cell string")
+    return map_arrow(nodes.select("rep", "vec", "wide"), run, "rep long, cell string")
 
 
 def leaves(part: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
@@ -183,11 +197,12 @@ def runs(batch: pa.RecordBatch) -> Iterator[tuple]:
     if not batch.num_rows:
         return
     code = batch.column(0).dictionary_encode()
+    wide = batch.column(7)[0].as_py()
     i, j, chunk, rep, copies = (batch.column(k).to_numpy() for k in range(1, 6))
     tag = np.stack([code.indices.to_numpy(), i, j])
     starts = np.flatnonzero(np.r_[True, (tag[:, 1:] != tag[:, :-1]).any(0)])
     for s, t in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
-        raw = np.frombuffer(b"".join(batch.column(6).slice(s, t - s).to_pylist())).reshape(t - s, -1)
+        raw = components_of(batch.column(6).slice(s, t - s).to_pylist(), wide)
         yield (code[int(s)].as_py(), int(i[s]), int(j[s])), rep[s:t], copies[s:t], raw, chunk[s:t]
 
 
@@ -202,9 +217,9 @@ def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     unit = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
     units = chunked.select("rep", "cell", "chunk", F.explode(unit).alias("u")).select("rep", "cell", "chunk", "u.i", "u.j")
-    work = units.join(nodes.select("rep", "copies", "vec"), "rep")
+    work = units.join(nodes.select("rep", "copies", "vec", "wide"), "rep")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = work.repartition(max(parts, 2), "cell", "i", "j").sortWithinPartitions("cell", "i", "j").select("cell", "i", "j", "chunk", "rep", "copies", "vec")
+    dealt = work.repartition(max(parts, 2), "cell", "i", "j").sortWithinPartitions("cell", "i", "j").select("cell", "i", "j", "chunk", "rep", "copies", "vec", "wide")
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +262,8 @@ def dedup(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # One node for each distinct vector; its number holds once the table is written.
     copies = able.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id())
     copies = written(copies, "op6-copies")
-    firsts = able.dropDuplicates(["vec_id", "key"]).select(F.col("vec_id").alias("first"), "key", "vec")
-    nodes = written(copies.join(firsts, ["first", "key"]).select("rep", "copies", "vec"), "op6-nodes")
+    firsts = able.dropDuplicates(["vec_id", "key"]).select(F.col("vec_id").alias("first"), "key", "vec", "wide")
+    nodes = written(copies.join(firsts, ["first", "key"]).select("rep", "copies", "vec", "wide"), "op6-nodes")
     found = written(linked(nodes, cosine), "op6-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
