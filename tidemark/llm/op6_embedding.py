@@ -147,15 +147,25 @@ class Unit:
         order = np.argsort(rep)
         self.rep, self.copies, self.raw, chunk = rep[order], copies[order], raw[order], chunk[order]
         self.norm = np.linalg.norm(self.raw, axis=1)
-        self.z = rotated(self.raw)
+        # This block alone, to find candidates; what is decided on is rotated whole, once, when it is asked for.
+        self.part = (self.raw / self.norm[:, None]).astype(np.float32) @ rotation(dim)[:, self.edges[self.block] : self.edges[self.block + 1]].astype(np.float32)
+        self.z, self.known = np.empty((len(self.rep), dim), np.float32), np.zeros(len(self.rep), bool)
         self.left, self.right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        self.home = cells(self.z[:, self.edges[self.block] :], radius(dim, self.block, cosine), len(at))
+        self.home = np.empty((len(self.rep), len(at)), np.int64)
+
+    def settle(self, rows: np.ndarray) -> None:
+        """Rotate those of *rows* that aren't yet and find their cells."""
+        new = np.unique(rows[~self.known[rows]])
+        if len(new):
+            self.z[new] = rotated(self.raw[new])
+            self.home[new] = cells(self.z[new, self.edges[self.block] :], radius(self.dim, self.block, self.cosine), self.home.shape[1])
+            self.known[new] = True
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Row numbers of the pairs that are linked and belong here."""
         b, e = self.block, self.edges
         budget = [radius(self.dim, k, self.cosine) ** 2 for k in range(len(e) - 1)]
-        part = self.z[:, e[b] : e[b + 1]]
+        part = self.part
         square = (part * part).sum(1, keepdims=True)
         one = np.ones_like(square)
         # |x|^2 + |y|^2 - 2 x.y as one product: (-2 x, |x|^2, 1) by (y, 1, |y|^2).
@@ -179,6 +189,8 @@ class Unit:
                 x, y = x[fresh], y[fresh]
                 done += len(own)
             x, y = own[x], near[y]
+            self.settle(x)
+            self.settle(y)
             here = (np.minimum(self.home[x], self.home[y]) == self.cell).all(1)
             x, y = x[here], y[here]
             for s in range(0, len(x), 1 << 15):
