@@ -61,3 +61,59 @@ def test_suppression_is_fast():
     rng = random.Random(0)
     spans = [(s, s + rng.randrange(1, 30), rng.randrange(3)) for s in range(60_000)]
     assert op.suppress(spans, [1, 2, 3])
+
+
+def sample(tree, rng, space):
+    """A random text that a parsed regex matches, with *space* for white space."""
+    from re import _constants as c
+
+    out = ""
+    for kind, arg in tree:
+        if kind is c.LITERAL:
+            out += chr(arg)
+        elif kind is c.IN:
+            way, what = rng.choice(arg)
+            out += {c.CATEGORY_SPACE: space, c.CATEGORY_WORD: "w", c.CATEGORY_DIGIT: "2", c.CATEGORY_NOT_SPACE: "x"}.get(what, "\n") if way is c.CATEGORY else chr(what) if way is c.LITERAL else chr(what[0])
+        elif kind is c.SUBPATTERN:
+            out += sample(arg[3], rng, space)
+        elif kind is c.BRANCH:
+            out += sample(rng.choice(arg[1]), rng, space)
+        elif kind is c.MAX_REPEAT:
+            out += "".join(sample(arg[2], rng, space) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif kind not in (c.ASSERT, c.ASSERT_NOT):
+            raise AssertionError(kind)
+    return out
+
+
+def test_prefilter_loses_no_spelling_of_any_rule():
+    from re import _parser
+
+    rng, rules, s = random.Random(1), op.rules(), op.scanner()
+    for i, r in enumerate(rules):
+        missed = 0
+        for n in range(12):
+            text = sample(_parser.parse(r.pattern), rng, "\n" if n % 2 else "  \t")
+            own = [(m.start(), m.end()) for m in re.finditer(r.pattern, text)]
+            missed += not own
+            if own:
+                assert all(k in text for k in r.keywords)
+            if n < 4:
+                every = [(m.start(), m.end(), j) for j, x in enumerate(rules) for m in re.finditer(x.pattern, text)]
+                assert s.detections(text) == op.suppress(every, [x.priority for x in rules]), (i, text)
+        assert missed < 12, r.pattern
+
+
+def test_wrapped_and_alternative_spellings():
+    for text, label in [
+        ("permission is hereby\ngranted, free of charge, to any person obtaining a copy", "mit"),
+        ("the gnu lesser general\npublic license", "lgpl"),
+        ("under a creative\ncommons attribution license", "cc-by"),
+        ("redistribution and\nuse in source and binary forms, with or without modification", "bsd"),
+        ("neither the name of the holder nor the names of its\ncontributors may be used to endorse or promote", "bsd-3-clause"),
+        ("end-user license agreement", "proprietary"),
+        ("unauthorised copying", "proprietary"),
+        ("licenced under the terms", "unknown-license"),
+        ("see the license file for", "unknown-license"),
+        ("under the terms of the licence", "unknown-license"),
+    ]:
+        assert label in op.scan_one(text.encode())[5].split(","), text

@@ -1,8 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-A few hundred regexes, each with a priority and the keywords without which it can't match. One
-Aho-Corasick pass over the lower-cased text finds the keywords present; only rules whose keywords
-are all present run. Overlapping detections are resolved by priority: a detection whose interval
+A few hundred regexes, each with a priority and the keywords without which it can't match, which are
+read off the parsed regex (literal runs that every match holds). One Aho-Corasick pass over the
+lower-cased text finds the keywords present; only rules whose keywords are all present run. Overlapping detections are resolved by priority: a detection whose interval
 lies inside that of a better one (higher priority, then longer, then earlier, then rule order) goes.
 
 Edge cases: a null or empty text has no words and no labels, score 0. Repeated rows give repeated
@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import re
 from functools import lru_cache
+from re import _parser
 from typing import NamedTuple
 
 import ahocorasick
@@ -34,6 +35,10 @@ BASE_LABELS = tuple(BASE.values())
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections string"
 
 
+#: Most keywords of a rule.
+KEYWORDS = 4
+
+
 class Rule(NamedTuple):
     label: str
     priority: int
@@ -42,112 +47,136 @@ class Rule(NamedTuple):
     confidence: float
 
 
-#: label: (SPDX ids, names as regexes with the keyword that each needs, addresses as regexes). Text is lower case.
-FAMILIES: dict[str, tuple[tuple[str, ...], tuple[tuple[str, str], ...], tuple[str, ...]]] = {
-    "mit": (("mit",), ((r"mit", "mit"), (r"expat", "expat"), (r"x11", "x11")), (r"opensource\.org/licenses?/mit",)),
-    "mit-0": (("mit-0",), ((r"mit no attribution", "no attribution"),), (r"github\.com/aws/mit-0",)),
-    "apache": (("apache-2.0", "apache-1.1", "apache-1.0"), ((r"apache(?: software)?", "apache"), (r"asl ?2(?:\.0)?", "asl")), (r"apache\.org/licenses/license-2\.0",)),
-    "gpl": (("gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "gpl-1.0"), ((r"gnu general public", "general public"), (r"general public", "general public"), (r"(?:gnu )?gpl ?(?:v|version )?[123]?(?:\.0)?\+?", "gpl")), (r"gnu\.org/licenses/gpl", r"gnu\.org/copyleft/gpl")),
-    "lgpl": (("lgpl-2.0", "lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later"), ((r"gnu (?:lesser|library) general public", "general public"), (r"(?:gnu )?lgpl ?(?:v|version )?[23]?(?:\.[01])?\+?", "lgpl")), (r"gnu\.org/licenses/lgpl", r"gnu\.org/copyleft/lesser")),
-    "agpl": (("agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"), ((r"gnu affero general public", "affero"), (r"affero general public", "affero"), (r"(?:gnu )?agpl ?(?:v|version )?3?(?:\.0)?\+?", "agpl")), (r"gnu\.org/licenses/agpl",)),
-    "gfdl": (("gfdl-1.1", "gfdl-1.2", "gfdl-1.3"), ((r"gnu free documentation", "free documentation"), (r"gfdl", "gfdl")), (r"gnu\.org/licenses/fdl", r"gnu\.org/copyleft/fdl")),
-    "bsd-2-clause": (("bsd-2-clause", "bsd-2-clause-patent", "bsd-2-clause-views"), ((r"bsd 2[- ]clause", "bsd"), (r"2[- ]clause bsd", "bsd"), (r"two[- ]clause bsd", "bsd"), (r"simplified bsd", "bsd"), (r"freebsd", "freebsd")), (r"opensource\.org/licenses?/bsd-2-clause",)),
-    "bsd-3-clause": (("bsd-3-clause", "bsd-3-clause-clear", "bsd-3-clause-lbnl"), ((r"bsd 3[- ]clause", "bsd"), (r"3[- ]clause bsd", "bsd"), (r"three[- ]clause bsd", "bsd"), (r"new bsd", "bsd"), (r"modified bsd", "bsd"), (r"revised bsd", "bsd")), (r"opensource\.org/licenses?/bsd-3-clause",)),
-    "bsd-4-clause": (("bsd-4-clause",), ((r"bsd 4[- ]clause", "bsd"), (r"4[- ]clause bsd", "bsd"), (r"original bsd", "bsd")), ()),
-    "bsd": (("0bsd", "bsd-1-clause"), ((r"bsd(?:[- ]style)?", "bsd"), (r"berkeley software distribution", "berkeley")), (r"opensource\.org/licenses?/bsd-license",)),
-    "isc": (("isc",), ((r"isc", "isc"), (r"internet systems consortium", "internet systems")), (r"opensource\.org/licenses?/isc",)),
-    "mpl": (("mpl-1.0", "mpl-1.1", "mpl-2.0", "mpl-2.0-no-copyleft-exception"), ((r"mozilla public", "mozilla"), (r"mpl ?(?:v|version )?[12](?:\.[01])?", "mpl")), (r"mozilla\.org/(?:en-us/)?mpl", r"mozilla\.org/media/mpl")),
-    "epl": (("epl-1.0", "epl-2.0"), ((r"eclipse public", "eclipse"), (r"epl ?(?:v|version )?[12](?:\.0)?", "epl")), (r"eclipse\.org/(?:legal/epl|org/documents/epl)",)),
-    "edl": ((), ((r"eclipse distribution", "eclipse"),), (r"eclipse\.org/org/documents/edl",)),
-    "cddl": (("cddl-1.0", "cddl-1.1"), ((r"common development and distribution", "common development"), (r"cddl ?(?:v|version )?1?(?:\.[01])?", "cddl")), (r"opensource\.org/licenses?/cddl",)),
-    "cpl": (("cpl-1.0",), ((r"common public", "common public"),), (r"opensource\.org/licenses?/cpl",)),
-    "ipl": (("ipl-1.0",), ((r"ibm public", "ibm public"),), (r"opensource\.org/licenses?/ipl",)),
-    "artistic": (("artistic-1.0", "artistic-1.0-perl", "artistic-2.0"), ((r"artistic", "artistic"), (r"perl artistic", "artistic")), (r"opensource\.org/licenses?/artistic", r"perlfoundation\.org/artistic")),
-    "boost": (("bsl-1.0",), ((r"boost software", "boost"),), (r"boost\.org/license_1_0",)),
-    "zlib": (("zlib", "zlib-acknowledgement"), ((r"zlib(?:/libpng)?", "zlib"),), (r"opensource\.org/licenses?/zlib", r"zlib\.net/zlib_license")),
-    "libpng": (("libpng", "libpng-2.0"), ((r"libpng", "libpng"),), (r"libpng\.org/pub/png/src/libpng-license",)),
-    "unlicense": (("unlicense",), ((r"(?:the )?unlicense", "unlicense"),), (r"unlicense\.org",)),
-    "wtfpl": (("wtfpl",), ((r"wtfpl", "wtfpl"), (r"do what the f\S+ you want to public", "you want to public")), (r"wtfpl\.net",)),
-    "cc0": (("cc0-1.0",), ((r"cc0(?: 1\.0)?(?: universal)?", "cc0"), (r"creative commons zero", "creative commons")), (r"creativecommons\.org/publicdomain/zero",)),
-    "cc-by": (("cc-by-1.0", "cc-by-2.0", "cc-by-2.5", "cc-by-3.0", "cc-by-4.0"), ((r"creative commons attribution(?: [1234]\.[05])?(?: international| unported| generic)?", "creative commons"), (r"cc[- ]by(?: [1234]\.[05])?", "cc")), (r"creativecommons\.org/licenses/by/",)),
-    "cc-by-sa": (("cc-by-sa-2.0", "cc-by-sa-2.5", "cc-by-sa-3.0", "cc-by-sa-4.0"), ((r"creative commons attribution[- ]share ?alike(?: [1234]\.[05])?(?: international| unported)?", "creative commons"), (r"cc[- ]by[- ]sa(?: [1234]\.[05])?", "by")), (r"creativecommons\.org/licenses/by-sa/",)),
-    "cc-by-nc": (("cc-by-nc-2.0", "cc-by-nc-3.0", "cc-by-nc-4.0"), ((r"creative commons attribution[- ]non-?commercial(?: [1234]\.[05])?(?: international| unported)?", "creative commons"), (r"cc[- ]by[- ]nc(?: [1234]\.[05])?", "by")), (r"creativecommons\.org/licenses/by-nc/",)),
-    "cc-by-nd": (("cc-by-nd-3.0", "cc-by-nd-4.0"), ((r"creative commons attribution[- ]no ?deriv(?:ative)?s?", "creative commons"), (r"cc[- ]by[- ]nd(?: [1234]\.[05])?", "by")), (r"creativecommons\.org/licenses/by-nd/",)),
-    "cc-by-nc-sa": (("cc-by-nc-sa-3.0", "cc-by-nc-sa-4.0"), ((r"creative commons attribution[- ]non-?commercial[- ]share ?alike", "creative commons"), (r"cc[- ]by[- ]nc[- ]sa(?: [1234]\.[05])?", "by")), (r"creativecommons\.org/licenses/by-nc-sa/",)),
-    "cc-by-nc-nd": (("cc-by-nc-nd-3.0", "cc-by-nc-nd-4.0"), ((r"creative commons attribution[- ]non-?commercial[- ]no ?deriv(?:ative)?s?", "creative commons"), (r"cc[- ]by[- ]nc[- ]nd(?: [1234]\.[05])?", "by")), (r"creativecommons\.org/licenses/by-nc-nd/",)),
-    "public-domain": ((), ((r"public domain dedication", "public domain"),), (r"creativecommons\.org/publicdomain/mark",)),
-    "odbl": (("odbl-1.0",), ((r"open database", "open database"), (r"odbl", "odbl")), (r"opendatacommons\.org/licenses/odbl",)),
-    "odc-by": (("odc-by-1.0",), ((r"open data commons attribution", "open data commons"),), (r"opendatacommons\.org/licenses/by",)),
-    "pddl": (("pddl-1.0",), ((r"open data commons public domain dedication(?: and)?", "open data commons"),), (r"opendatacommons\.org/licenses/pddl",)),
-    "ofl": (("ofl-1.0", "ofl-1.1"), ((r"sil open font", "open font"), (r"open font", "open font")), (r"scripts\.sil\.org/ofl", r"openfontlicense\.org")),
-    "python": (("psf-2.0", "python-2.0"), ((r"python software foundation", "python"), (r"psf", "psf")), (r"python\.org/psf/license", r"docs\.python\.org/\S*license")),
-    "postgresql": (("postgresql",), ((r"postgresql", "postgresql"),), (r"postgresql\.org/about/licen[cs]e",)),
-    "php": (("php-3.0", "php-3.01"), ((r"php", "php"),), (r"php\.net/license",)),
-    "ruby": (("ruby",), ((r"ruby(?:'s)?", "ruby"),), (r"ruby-lang\.org/\S*license",)),
-    "openssl": (("openssl",), ((r"openssl", "openssl"), (r"ssleay", "ssleay")), (r"openssl\.org/source/license",)),
-    "eupl": (("eupl-1.1", "eupl-1.2"), ((r"european union public", "european union"), (r"eupl ?(?:v|version )?1?(?:\.[12])?", "eupl")), (r"joinup\.ec\.europa\.eu/\S*eupl",)),
-    "cecill": (("cecill-2.0", "cecill-2.1", "cecill-b", "cecill-c"), ((r"cecill(?:-[bc])?", "cecill"),), (r"cecill\.info",)),
-    "mspl": (("ms-pl",), ((r"microsoft public", "microsoft public"), (r"ms-pl", "ms-pl")), (r"opensource\.org/licenses?/ms-pl",)),
-    "msrl": (("ms-rl",), ((r"microsoft reciprocal", "microsoft reciprocal"), (r"ms-rl", "ms-rl")), (r"opensource\.org/licenses?/ms-rl",)),
-    "afl": (("afl-2.1", "afl-3.0"), ((r"academic free", "academic free"),), (r"opensource\.org/licenses?/afl",)),
-    "osl": (("osl-2.1", "osl-3.0"), ((r"open software", "open software"),), (r"opensource\.org/licenses?/osl",)),
-    "ncsa": (("ncsa",), ((r"university of illinois(?:/ncsa)? open source", "illinois"), (r"ncsa open source", "ncsa")), (r"opensource\.org/licenses?/ncsa",)),
-    "upl": (("upl-1.0",), ((r"universal permissive", "universal permissive"),), (r"opensource\.org/licenses?/upl",)),
-    "busl": (("busl-1.1",), ((r"business source", "business source"),), (r"mariadb\.com/bsl",)),
-    "sspl": (("sspl-1.0",), ((r"server side public", "server side public"),), (r"mongodb\.com/licensing/server-side-public-license",)),
-    "elastic": (("elastic-2.0",), ((r"elastic", "elastic"),), (r"elastic\.co/licensing/elastic-license",)),
-    "mulan": (("mulanpsl-1.0", "mulanpsl-2.0"), ((r"mulan permissive software", "mulan"), (r"mulan psl", "mulan")), (r"license\.coscl\.org\.cn/mulanpsl",)),
-    "openrail": ((), ((r"(?:creativeml )?open ?rail(?:-[ms+]+)?", "rail"), (r"responsible ai", "responsible ai")), (r"huggingface\.co/\S*license",)),
+#: label: (SPDX ids, names as regexes, addresses as regexes). Text is lower case.
+FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
+    "mit": (("mit",), (r"mit", r"expat", r"x11"), (r"opensource\.org/licenses?/mit",)),
+    "mit-0": (("mit-0",), (r"mit no attribution",), (r"github\.com/aws/mit-0",)),
+    "apache": (("apache-2.0", "apache-1.1", "apache-1.0"), (r"apache(?: software)?", r"asl ?2(?:\.0)?"), (r"apache\.org/licenses/license-2\.0",)),
+    "gpl": (("gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "gpl-1.0"), (r"gnu general public", r"general public", r"(?:gnu )?gpl ?(?:v|version )?[123]?(?:\.0)?\+?"), (r"gnu\.org/licenses/gpl", r"gnu\.org/copyleft/gpl")),
+    "lgpl": (("lgpl-2.0", "lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later"), (r"gnu (?:lesser|library) general public", r"(?:gnu )?lgpl ?(?:v|version )?[23]?(?:\.[01])?\+?"), (r"gnu\.org/licenses/lgpl", r"gnu\.org/copyleft/lesser")),
+    "agpl": (("agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"), (r"gnu affero general public", r"affero general public", r"(?:gnu )?agpl ?(?:v|version )?3?(?:\.0)?\+?"), (r"gnu\.org/licenses/agpl",)),
+    "gfdl": (("gfdl-1.1", "gfdl-1.2", "gfdl-1.3"), (r"gnu free documentation", r"gfdl"), (r"gnu\.org/licenses/fdl", r"gnu\.org/copyleft/fdl")),
+    "bsd-2-clause": (("bsd-2-clause", "bsd-2-clause-patent", "bsd-2-clause-views"), (r"bsd 2[- ]clause", r"2[- ]clause bsd", r"two[- ]clause bsd", r"simplified bsd", r"freebsd"), (r"opensource\.org/licenses?/bsd-2-clause",)),
+    "bsd-3-clause": (("bsd-3-clause", "bsd-3-clause-clear", "bsd-3-clause-lbnl"), (r"bsd 3[- ]clause", r"3[- ]clause bsd", r"three[- ]clause bsd", r"new bsd", r"modified bsd", r"revised bsd"), (r"opensource\.org/licenses?/bsd-3-clause",)),
+    "bsd-4-clause": (("bsd-4-clause",), (r"bsd 4[- ]clause", r"4[- ]clause bsd", r"original bsd"), ()),
+    "bsd": (("0bsd", "bsd-1-clause"), (r"bsd(?:[- ]style)?", r"berkeley software distribution"), (r"opensource\.org/licenses?/bsd-license",)),
+    "isc": (("isc",), (r"isc", r"internet systems consortium"), (r"opensource\.org/licenses?/isc",)),
+    "mpl": (("mpl-1.0", "mpl-1.1", "mpl-2.0", "mpl-2.0-no-copyleft-exception"), (r"mozilla public", r"mpl ?(?:v|version )?[12](?:\.[01])?"), (r"mozilla\.org/(?:en-us/)?mpl", r"mozilla\.org/media/mpl")),
+    "epl": (("epl-1.0", "epl-2.0"), (r"eclipse public", r"epl ?(?:v|version )?[12](?:\.0)?"), (r"eclipse\.org/(?:legal/epl|org/documents/epl)",)),
+    "edl": ((), (r"eclipse distribution",), (r"eclipse\.org/org/documents/edl",)),
+    "cddl": (("cddl-1.0", "cddl-1.1"), (r"common development and distribution", r"cddl ?(?:v|version )?1?(?:\.[01])?"), (r"opensource\.org/licenses?/cddl",)),
+    "cpl": (("cpl-1.0",), (r"common public",), (r"opensource\.org/licenses?/cpl",)),
+    "ipl": (("ipl-1.0",), (r"ibm public",), (r"opensource\.org/licenses?/ipl",)),
+    "artistic": (("artistic-1.0", "artistic-1.0-perl", "artistic-2.0"), (r"artistic", r"perl artistic"), (r"opensource\.org/licenses?/artistic", r"perlfoundation\.org/artistic")),
+    "boost": (("bsl-1.0",), (r"boost software",), (r"boost\.org/license_1_0",)),
+    "zlib": (("zlib", "zlib-acknowledgement"), (r"zlib(?:/libpng)?",), (r"opensource\.org/licenses?/zlib", r"zlib\.net/zlib_license")),
+    "libpng": (("libpng", "libpng-2.0"), (r"libpng",), (r"libpng\.org/pub/png/src/libpng-license",)),
+    "unlicense": (("unlicense",), (r"(?:the )?unlicense",), (r"unlicense\.org",)),
+    "wtfpl": (("wtfpl",), (r"wtfpl", r"do what the f\S+ you want to public"), (r"wtfpl\.net",)),
+    "cc0": (("cc0-1.0",), (r"cc0(?: 1\.0)?(?: universal)?", r"creative commons zero"), (r"creativecommons\.org/publicdomain/zero",)),
+    "cc-by": (("cc-by-1.0", "cc-by-2.0", "cc-by-2.5", "cc-by-3.0", "cc-by-4.0"), (r"creative commons attribution(?: [1234]\.[05])?(?: international| unported| generic)?", r"cc[- ]by(?: [1234]\.[05])?"), (r"creativecommons\.org/licenses/by/",)),
+    "cc-by-sa": (("cc-by-sa-2.0", "cc-by-sa-2.5", "cc-by-sa-3.0", "cc-by-sa-4.0"), (r"creative commons attribution[- ]share ?alike(?: [1234]\.[05])?(?: international| unported)?", r"cc[- ]by[- ]sa(?: [1234]\.[05])?"), (r"creativecommons\.org/licenses/by-sa/",)),
+    "cc-by-nc": (("cc-by-nc-2.0", "cc-by-nc-3.0", "cc-by-nc-4.0"), (r"creative commons attribution[- ]non-?commercial(?: [1234]\.[05])?(?: international| unported)?", r"cc[- ]by[- ]nc(?: [1234]\.[05])?"), (r"creativecommons\.org/licenses/by-nc/",)),
+    "cc-by-nd": (("cc-by-nd-3.0", "cc-by-nd-4.0"), (r"creative commons attribution[- ]no ?deriv(?:ative)?s?", r"cc[- ]by[- ]nd(?: [1234]\.[05])?"), (r"creativecommons\.org/licenses/by-nd/",)),
+    "cc-by-nc-sa": (("cc-by-nc-sa-3.0", "cc-by-nc-sa-4.0"), (r"creative commons attribution[- ]non-?commercial[- ]share ?alike", r"cc[- ]by[- ]nc[- ]sa(?: [1234]\.[05])?"), (r"creativecommons\.org/licenses/by-nc-sa/",)),
+    "cc-by-nc-nd": (("cc-by-nc-nd-3.0", "cc-by-nc-nd-4.0"), (r"creative commons attribution[- ]non-?commercial[- ]no ?deriv(?:ative)?s?", r"cc[- ]by[- ]nc[- ]nd(?: [1234]\.[05])?"), (r"creativecommons\.org/licenses/by-nc-nd/",)),
+    "public-domain": ((), (r"public domain dedication",), (r"creativecommons\.org/publicdomain/mark",)),
+    "odbl": (("odbl-1.0",), (r"open database", r"odbl"), (r"opendatacommons\.org/licenses/odbl",)),
+    "odc-by": (("odc-by-1.0",), (r"open data commons attribution",), (r"opendatacommons\.org/licenses/by",)),
+    "pddl": (("pddl-1.0",), (r"open data commons public domain dedication(?: and)?",), (r"opendatacommons\.org/licenses/pddl",)),
+    "ofl": (("ofl-1.0", "ofl-1.1"), (r"sil open font", r"open font"), (r"scripts\.sil\.org/ofl", r"openfontlicense\.org")),
+    "python": (("psf-2.0", "python-2.0"), (r"python software foundation", r"psf"), (r"python\.org/psf/license", r"docs\.python\.org/\S*license")),
+    "postgresql": (("postgresql",), (r"postgresql",), (r"postgresql\.org/about/licen[cs]e",)),
+    "php": (("php-3.0", "php-3.01"), (r"php",), (r"php\.net/license",)),
+    "ruby": (("ruby",), (r"ruby(?:'s)?",), (r"ruby-lang\.org/\S*license",)),
+    "openssl": (("openssl",), (r"openssl", r"ssleay"), (r"openssl\.org/source/license",)),
+    "eupl": (("eupl-1.1", "eupl-1.2"), (r"european union public", r"eupl ?(?:v|version )?1?(?:\.[12])?"), (r"joinup\.ec\.europa\.eu/\S*eupl",)),
+    "cecill": (("cecill-2.0", "cecill-2.1", "cecill-b", "cecill-c"), (r"cecill(?:-[bc])?",), (r"cecill\.info",)),
+    "mspl": (("ms-pl",), (r"microsoft public", r"ms-pl"), (r"opensource\.org/licenses?/ms-pl",)),
+    "msrl": (("ms-rl",), (r"microsoft reciprocal", r"ms-rl"), (r"opensource\.org/licenses?/ms-rl",)),
+    "afl": (("afl-2.1", "afl-3.0"), (r"academic free",), (r"opensource\.org/licenses?/afl",)),
+    "osl": (("osl-2.1", "osl-3.0"), (r"open software",), (r"opensource\.org/licenses?/osl",)),
+    "ncsa": (("ncsa",), (r"university of illinois(?:/ncsa)? open source", r"ncsa open source"), (r"opensource\.org/licenses?/ncsa",)),
+    "upl": (("upl-1.0",), (r"universal permissive",), (r"opensource\.org/licenses?/upl",)),
+    "busl": (("busl-1.1",), (r"business source",), (r"mariadb\.com/bsl",)),
+    "sspl": (("sspl-1.0",), (r"server side public",), (r"mongodb\.com/licensing/server-side-public-license",)),
+    "elastic": (("elastic-2.0",), (r"elastic",), (r"elastic\.co/licensing/elastic-license",)),
+    "mulan": (("mulanpsl-1.0", "mulanpsl-2.0"), (r"mulan permissive software", r"mulan psl"), (r"license\.coscl\.org\.cn/mulanpsl",)),
+    "openrail": ((), (r"(?:creativeml )?open ?rail(?:-[ms+]+)?", r"responsible ai"), (r"huggingface\.co/\S*license",)),
 }
 
-#: Phrases of the license texts themselves: label, keyword, regex.
-BODIES: tuple[tuple[str, str, str], ...] = (
-    ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("mit", "sublicense", r"use, copy, modify, merge, publish, distribute, sublicense"),
-    ("mit", "permission notice", r"the above copyright notice and this permission notice shall be included"),
-    ("isc", "permission to use", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose"),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms,? with or without modification"),
-    ("bsd-3-clause", "endorse or promote", r"neither the name of .{1,80} may be used to endorse or promote"),
-    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software"),
-    ("bsd-2-clause", "list of conditions", r"redistributions of source code must retain the above copyright notice, this list of conditions"),
-    ("apache", "in compliance with the license", r"you may not use this (?:file|work|software) except in compliance with the license"),
-    ("apache", "basis", r"distributed on an \"?as is\"? basis, without warranties or conditions of any kind"),
-    ("gpl", "free software foundation", r"redistribute it and/or modify it under the terms of the gnu general public license"),
-    ("gpl", "hope that it will be useful", r"distributed in the hope that it will be useful, but without any warranty"),
-    ("lgpl", "lesser general public", r"under the terms of the gnu lesser general public license"),
-    ("agpl", "affero", r"under the terms of the gnu affero general public license"),
-    ("gfdl", "invariant sections", r"with no invariant sections, no front-cover texts"),
-    ("mpl", "source code form", r"this source code form is subject to the terms of the mozilla public license"),
-    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such"),
-    ("zlib", "origin of this software", r"the origin of this software must not be misrepresented"),
-    ("boost", "executable object code", r"machine-executable object code generated by a source language processor"),
-    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain"),
-    ("wtfpl", "you just do what", r"you just do what the f\S+ you want to"),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
-    ("public-domain", "public domain", r"(?:is|are) (?:hereby )?in the public domain"),
-    ("ofl", "reserved font name", r"with reserved font names?"),
-    ("cc0", "waived all copyright", r"waived all copyright and related"),
-    ("cc-by", "creative commons", r"under a creative commons attribution"),
-    ("artistic", "standard version", r"distribute (?:verbatim copies of )?the standard version"),
-    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse"),
-    ("postgresql", "paragraph appear in all copies", r"the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
-    ("ncsa", "documentation and/or", r"neither the names of .{1,80} nor the names of its contributors"),
-    ("proprietary", "all rights reserved", r"all rights reserved"),
-    ("proprietary", "proprietary", r"proprietary and confidential"),
-    ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)"),
-    ("proprietary", "end user licen", r"end[- ]user licen[cs]e agreement"),
-    ("copyright", "copyright", r"copyright (?:\(c\)|©|by)? ?(?:19|20)\d\d"),
-    ("copyright", "(c)", r"\(c\) ?(?:19|20)\d\d"),
-    ("copyright", "©", r"© ?(?:19|20)\d\d"),
-    ("unknown-license", "licensed under", r"licen[cs]ed under (?:the )?terms"),
-    ("unknown-license", "terms of the license", r"under the terms of the licen[cs]e"),
-    ("unknown-license", "see license", r"see (?:the )?licen[cs]e(?:\.(?:txt|md))?(?: file)? for"),
+#: Phrases of the license texts themselves: label, regex.
+BODIES: tuple[tuple[str, str], ...] = (
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("mit", r"use, copy, modify, merge, publish, distribute, sublicense"),
+    ("mit", r"the above copyright notice and this permission notice shall be included"),
+    ("isc", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose"),
+    ("bsd", r"redistribution and use in source and binary forms,? with or without modification"),
+    ("bsd-3-clause", r"neither the name of .{1,80} may be used to endorse or promote"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software"),
+    ("bsd-2-clause", r"redistributions of source code must retain the above copyright notice, this list of conditions"),
+    ("apache", r"you may not use this (?:file|work|software) except in compliance with the license"),
+    ("apache", r"distributed on an \"?as is\"? basis, without warranties or conditions of any kind"),
+    ("gpl", r"redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("gpl", r"distributed in the hope that it will be useful, but without any warranty"),
+    ("lgpl", r"under the terms of the gnu lesser general public license"),
+    ("agpl", r"under the terms of the gnu affero general public license"),
+    ("gfdl", r"with no invariant sections, no front-cover texts"),
+    ("mpl", r"this source code form is subject to the terms of the mozilla public license"),
+    ("zlib", r"altered source versions must be plainly marked as such"),
+    ("zlib", r"the origin of this software must not be misrepresented"),
+    ("boost", r"machine-executable object code generated by a source language processor"),
+    ("unlicense", r"free and unencumbered software released into the public domain"),
+    ("wtfpl", r"you just do what the f\S+ you want to"),
+    ("public-domain", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
+    ("public-domain", r"(?:is|are) (?:hereby )?in the public domain"),
+    ("ofl", r"with reserved font names?"),
+    ("cc0", r"waived all copyright and related"),
+    ("cc-by", r"under a creative commons attribution"),
+    ("artistic", r"distribute (?:verbatim copies of )?the standard version"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse"),
+    ("postgresql", r"the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
+    ("ncsa", r"neither the names of .{1,80} nor the names of its contributors"),
+    ("proprietary", r"all rights reserved"),
+    ("proprietary", r"proprietary and confidential"),
+    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)"),
+    ("proprietary", r"end[- ]user licen[cs]e agreement"),
+    ("copyright", r"copyright (?:\(c\)|©|by)? ?(?:19|20)\d\d"),
+    ("copyright", r"\(c\) ?(?:19|20)\d\d"),
+    ("copyright", r"© ?(?:19|20)\d\d"),
+    ("unknown-license", r"licen[cs]ed under (?:the )?terms"),
+    ("unknown-license", r"under the terms of the licen[cs]e"),
+    ("unknown-license", r"see (?:the )?licen[cs]e(?:\.(?:txt|md))?(?: file)? for"),
 )
 
 
 def spaced(pattern: str) -> str:
     """The pattern with its spaces as any white space."""
-    return pattern.replace("[- ]", r"[-\s]").replace(" ?", r"\s*").replace(" ", r"\s+")
+    return pattern.replace("[- ]", r"[-\s]").replace(" ?", r"\s*").replace(" ", r"\s+").replace(".{", r"[\s\S]{")
+
+
+def literal_runs(tree) -> list[str]:
+    """Strings that every match of a parsed regex holds; what may be absent or vary ends a run and adds none."""
+    runs = [""]
+    for op, arg in tree:
+        if op is _parser.LITERAL:
+            runs[-1] += chr(arg)
+        elif op is _parser.SUBPATTERN:
+            runs += ["", *literal_runs(arg[3]), ""]
+        elif op is _parser.MAX_REPEAT and arg[0] > 0:
+            runs += ["", *literal_runs(arg[2]), ""]
+        else:
+            runs.append("")
+    return [r for r in runs if r]
+
+
+def keywords(pattern: str) -> tuple[str, ...]:
+    """The longest few of the strings that the pattern provably needs."""
+    return tuple(sorted(set(literal_runs(_parser.parse(pattern))), key=lambda r: (-len(r), r))[:KEYWORDS])
+
+
+def rule(label: str, priority: int, pattern: str, confidence: float) -> Rule:
+    return Rule(label, priority, keywords(pattern), pattern, confidence)
 
 
 def rules() -> list[Rule]:
@@ -155,17 +184,17 @@ def rules() -> list[Rule]:
     out = []
     for label, (ids, names, addresses) in FAMILIES.items():
         for spdx in ids:
-            out.append(Rule(label, 100, ("spdx-license-identifier", spdx), rf"spdx-license-identifier\s*:\s*\(?(?:[\w.+-]+ (?:or|and) )*{re.escape(spdx)}(?![\w+-]|\.\w)", 1.0))
-        for name, key in names:
+            out.append(rule(label, 100, rf"spdx-license-identifier\s*:\s*\(?(?:[\w.+-]+ (?:or|and) )*{re.escape(spdx)}(?![\w+-]|\.\w)", 1.0))
+        for name in names:
             name = spaced(name)
-            out.append(Rule(label, 80, ("licen", key), rf"(?<!\w)(?:licen[cs]ed|released|distributed|published|available|covered)\s+(?:under|by)\s+(?:the\s+|an?\s+)?(?:terms\s+of\s+the\s+)?{name}\s+(?:public\s+)?licen[cs]e(?:,?\s+(?:version|v\.?)\s*\d+(?:\.\d+)?)?(?!\w)", 0.95))
-            out.append(Rule(label, 60, ("licen", key), rf"(?<!\w){name}\s+(?:public\s+)?licen[cs]e(?:,?\s+(?:version|v\.?)\s*\d+(?:\.\d+)?)?(?!\w)", 0.8))
-            out.append(Rule(label, 50, ("licen", key), rf"(?<!\w)licen[cs]e\s*[:=]\s*[\"']?{name}(?!\w)", 0.75))
+            out.append(rule(label, 80, rf"(?<!\w)(?:licen[cs]ed|released|distributed|published|available|covered)\s+(?:under|by)\s+(?:the\s+|an?\s+)?(?:terms\s+of\s+the\s+)?{name}\s+(?:public\s+)?licen[cs]e(?:,?\s+(?:version|v\.?)\s*\d+(?:\.\d+)?)?(?!\w)", 0.95))
+            out.append(rule(label, 60, rf"(?<!\w){name}\s+(?:public\s+)?licen[cs]e(?:,?\s+(?:version|v\.?)\s*\d+(?:\.\d+)?)?(?!\w)", 0.8))
+            out.append(rule(label, 50, rf"(?<!\w)licen[cs]e\s*[:=]\s*[\"']?{name}(?!\w)", 0.75))
         for address in addresses:
-            out.append(Rule(label, 70, (re.sub(r"[\\(\[].*", "", address).rstrip("."),), rf"(?<!\w){address}", 0.9))
-    for label, key, body in BODIES:
+            out.append(rule(label, 70, rf"(?<!\w){address}", 0.9))
+    for label, body in BODIES:
         weak = label in ("copyright", "unknown-license", "proprietary")
-        out.append(Rule(label, 20 if weak else 90, (key,), (r"(?<!\w)" if body[0].isalpha() else "") + spaced(body), 0.3 if weak else 0.9))
+        out.append(rule(label, 20 if weak else 90, (r"(?<!\w)" if body[0].isalpha() else "") + spaced(body), 0.3 if weak else 0.9))
     return out
 
 
