@@ -114,3 +114,11 @@ def test_components(spark, data):
 def test_long_chain(spark):
     df = spark.range(300).selectExpr("id * 7 % 301 AS a", "(id + 1) * 7 % 301 AS b").repartition(5)
     assert {r.root for r in components(df).collect()} == {0}
+
+
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    texts = ["a b c", "a b c", "clean one without an id", "another text here", "some other words", "some other words", "a b c"]
+    ids = [None, None, None, 7, 7, 9, 3]
+    got = [(r.doc_id, r.text) for r in op.deduplicated(docs(spark, texts, ids=ids)).collect()]
+    assert sorted(got, key=str) == sorted([(3, "a b c"), (None, texts[2]), (7, texts[3]), (7, texts[4])], key=str)
+    assert [(r.doc_id, r.text) for r in op.deduplicated(docs(spark, texts[:2], ids=ids[:2])).collect()] == [(None, "a b c")]

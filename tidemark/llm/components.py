@@ -94,3 +94,15 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         edges = written(star(star(edges, True), False), "links")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
+
+def one_of_each(rows: DataFrame, parts: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each component, by the smallest doc_id (null last), then text's hash, then __row.
+
+    *rows* has the documents' columns, __row (unique) and __node; *parts* is components()' result.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col("__row").alias("row"))
+    of = rows.select(F.col("__node").alias("node"), order.alias("order")).groupBy("node").agg(F.min("order").alias("order"))
+    kept = of.join(parts, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("order").alias("order")).select(F.col("order.row").alias("__row"))
+    # Kept rows grow with the corpus, so both sides are shuffled, whatever their size.
+    return rows.join(kept.hint("merge"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in columns))

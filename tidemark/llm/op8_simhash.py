@@ -10,8 +10,8 @@ they find, never the pairs of a group, and components.py joins them.
 
 Edge cases: fewer words than a shingle give one shingle of the whole sequence; no words (or a null text)
 give fingerprint 0, which links like any other. Repeated rows share their component. Rows without doc_id link
-too, but never name a component (a group of them alone has component null) and are not kept. Extra columns are
-not read. Texts are read whole. An empty table gives no rows.
+too, but never name a component (a group of them alone has component null) and are not kept by dedup();
+deduplicated() keeps one row of every group, with or without ids. Extra columns are not read. Texts are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import map_arrow, text_or_empty, written
-from tidemark.llm.components import Forest, components
+from tidemark.llm.components import Forest, components, one_of_each
 
 WORDS, SEED, RADIUS, BITS = 3, 42, 2, 64
 #: Nodes of one tree and of one chunk of queries: bounds a task's memory and time.
@@ -174,7 +175,15 @@ def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFram
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with its columns; of repeated rows one stays."""
-    kept = dedup(docs, words, radius).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    # Kept ids grow with the corpus, so both sides are shuffled, whatever their size.
-    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, with its columns: the smallest doc_id's, or any of a group without ids."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    schema = T.StructType([*rows.schema.fields, T.StructField("__node", T.LongType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = np.array([fingerprint(t or b"", words) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "__node"])
+
+    # Rows may lack or repeat a doc_id, so they carry their fingerprint and a key of their own.
+    rows = written(map_arrow(rows, run, schema), "op8-rows")
+    nodes = written(rows.select(F.col("__node").alias("fp")).distinct(), "op8-nodes")
+    return one_of_each(rows, components(written(links(nodes, radius), "op8-links")), docs.columns)
