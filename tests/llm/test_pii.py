@@ -84,3 +84,17 @@ def test_empty(spark):
 @pytest.mark.parametrize(("spans", "want"), [("email:0:1", "<EMAIL>bcd"), ("ip:1:3,card:2:4", "a<IP>"), ("", "abcd")])
 def test_redacted(spans, want):
     assert op.redacted("abcd", spans) == want
+
+
+@pytest.mark.parametrize("text", ["jane at example dot com", "jane (at) example (dot) com", "password: correct-horse-battery", "Passphrase=correct-horse", "API-KEY = abcdefghij", "ApiKey: abcdefghij", "paſsword: abcdefghij", "ghp_" + "a" * 36, "AKIA" + "A" * 16, "-----BEGIN PRIVATE KEY-----"])
+def test_net_needs_no_digit_elsewhere(text):
+    want = list(op.net_spans(text + " 1"))
+    assert want and list(op.net_spans(text)) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["Pass", "word", "PHRASE", "passwd", "api", "-", "_", "Key", "to", "Ken", "token", "secret", "=", ": ", "abcdefgh", " at ", "a", "dot", " ", "AKIA", "1", "-12-", "1234"]), max_size=12))
+def test_net_equals_ungated_patterns(parts):
+    text = "".join(parts)
+    want = [(op.KINDS.index(k), *m.span(m.lastindex or 0)) for k, _, p in op.NET for m in p.finditer(text)]
+    assert [x for x in op.net_spans(text) if x[0] != 7] == want

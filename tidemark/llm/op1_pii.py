@@ -40,9 +40,11 @@ IP_RE = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD_RE = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE_RE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: The wider net: kind, strings of which one must be there, regex (the last group, or else all, is the span).
+#: Kinds whose patterns need a digit.
+DIGITAL = frozenset(("iban", "ssn", "phone", "card"))
+#: The wider net: kind, strings of which one must be there (for (?i) in lower case), regex (the last group, or else all, is the span).
 NET: tuple[tuple[str, tuple[str, ...], re.Pattern], ...] = (
-    ("secret", ("assw", "ecret", "oken", "pi_key", "pikey", "PI_KEY", "ASSW", "ECRET", "OKEN"), re.compile(r"(?i)(?:password|passwd|passphrase|secret|token|api[_-]?key)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_./+=-]{8,200})")),
+    ("secret", ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key"), re.compile(r"(?i)(?:password|passwd|passphrase|secret|token|api[_-]?key)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_./+=-]{8,200})")),
     ("secret", ("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("secret", ("ghp_", "gho_", "xox", "sk_live_"), re.compile(r"(?<![A-Za-z0-9])(?:gh[po]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,200}|sk_live_[A-Za-z0-9]{16,200})(?![A-Za-z0-9])")),
     ("secret", ("PRIVATE KEY-----",), re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----")),
@@ -117,13 +119,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def net_spans(text: str) -> Iterator[tuple[int, int, int]]:
     """(kind, start, end) of the wider net."""
-    if any(d in text for d in DIGITS):
-        for kind, needs, pattern in NET:
-            if any(n in text for n in needs):
-                for m in pattern.finditer(text):
-                    yield (KINDS.index(kind), *m.span(m.lastindex or 0))
-    elif "(at)" in text or "[at]" in text:
-        yield from ((0, *m.span()) for m in NET[-1][2].finditer(text))
+    digit = any(d in text for d in DIGITS)
+    low = text.lower().replace("\u017f", "s")  # what (?i) takes for s
+    for kind, needs, pattern in NET:
+        if (digit or kind not in DIGITAL) and any(n in (low if pattern.flags & re.IGNORECASE else text) for n in needs):
+            for m in pattern.finditer(text):
+                yield (KINDS.index(kind), *m.span(m.lastindex or 0))
     if any(t in text for t in TITLES):
         yield from ((7, *m.span(1)) for m in NAME_RE.finditer(text))
 
