@@ -40,20 +40,24 @@ IP_RE = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD_RE = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE_RE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+KEY_RE = re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----")
 #: Kinds whose patterns need a digit.
 DIGITAL = frozenset(("iban", "ssn", "phone", "card"))
 #: The wider net: kind, strings of which one must be there (for (?i) in lower case), regex (the last group, or else all, is the span).
 NET: tuple[tuple[str, tuple[str, ...], re.Pattern], ...] = (
-    ("secret", ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key"), re.compile(r"(?i)(?:password|passwd|passphrase|secret|token|api[_-]?key)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_./+=-]{8,200})")),
+    ("secret", ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key"), re.compile(r"(?i)(?:password|passwd|passphrase|secret|token|api[_-]?key)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?([A-Za-z0-9_./+=-]{8,})")),
     ("secret", ("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    ("secret", ("ghp_", "gho_", "xox", "sk_live_"), re.compile(r"(?<![A-Za-z0-9])(?:gh[po]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,200}|sk_live_[A-Za-z0-9]{16,200})(?![A-Za-z0-9])")),
-    ("secret", ("PRIVATE KEY-----",), re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----")),
+    ("secret", ("ghp_", "gho_", "xox", "sk_live_"), re.compile(r"(?<![A-Za-z0-9])(?:gh[po]_[A-Za-z0-9]{36,}|xox[abp]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9])")),
+    ("secret", ("PRIVATE KEY-----",), KEY_RE),
     ("iban", ("",), re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ssn", ("-",), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("phone", ("-", ".", ")"), re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])")),
     ("card", ("",), re.compile(r"(?<![0-9.-])[0-9]{4}(?:[.\x20-][0-9]{4}){3}(?![0-9.-])")),
     ("email", ("(at)", "[at]", " at "), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,24}(?![A-Za-z0-9])")),
 )
+#: A private key's marker lines, and what is taken of a key without an END line: headers, base64 lines, a last shorter line.
+KEY_END_RE = re.compile(r"-----(BEGIN|END) (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----")
+KEY_BODY_RE = re.compile(r"(?:(?:\s|\\[nr])+(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n\\]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})*(?:(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})|(?:(?:[\r\n]|\\[nr])+[A-Za-z0-9+/]+(?=[\r\n\\\"']|\Z)))?")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 NAME_RE = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?\x20((?:[A-Z][^\W\d_]{{1,20}})(?:\x20[A-Z][^\W\d_]{{1,20}}){{0,2}})(?!\w)")
 DIGITS = "0123456789"
@@ -117,6 +121,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def key_end(text: str, end: int) -> int:
+    """End of the private key whose BEGIN line ends at *end*: its END line's, or else that of its base64 block."""
+    mark = KEY_END_RE.search(text, end)
+    return mark.end() if mark and mark[1] == "END" else KEY_BODY_RE.match(text, end).end()
+
+
 def net_spans(text: str) -> Iterator[tuple[int, int, int]]:
     """(kind, start, end) of the wider net."""
     digit = any(d in text for d in DIGITS)
@@ -124,7 +134,8 @@ def net_spans(text: str) -> Iterator[tuple[int, int, int]]:
     for kind, needs, pattern in NET:
         if (digit or kind not in DIGITAL) and any(n in (low if pattern.flags & re.IGNORECASE else text) for n in needs):
             for m in pattern.finditer(text):
-                yield (KINDS.index(kind), *m.span(m.lastindex or 0))
+                start, end = m.span(m.lastindex or 0)
+                yield (KINDS.index(kind), start, key_end(text, end) if pattern is KEY_RE else end)
     if any(t in text for t in TITLES):
         yield from ((7, *m.span(1)) for m in NAME_RE.finditer(text))
 
