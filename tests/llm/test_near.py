@@ -22,6 +22,10 @@ def similar(a, b):
     return 5 * len(a & b) >= 4 * len(a | b)
 
 
+def stage(df):
+    return op8_simhash.deduplicated(df, near.WORDS, similarity=near.SIMILARITY)
+
+
 def corpus():
     rng = random.Random(3)
     texts = ["", None, " \n", "One two", "one TWO", "a b c d e", "A b c d e"]
@@ -62,8 +66,32 @@ def test_pairs_beyond_the_smallest_node_are_compared(spark, monkeypatch):
     texts = corpus()
     sets = [brute_set(t) for t in texts]
     want = roots(range(len(texts)), [(a, b) for a, b in combinations(range(len(texts)), 2) if similar(sets[a], sets[b])])
-    assert sorted(r.doc_id for r in near.deduplicated(docs(spark, texts)).collect()) == sorted(set(want.values()))
+    assert sorted(r.doc_id for r in stage(docs(spark, texts)).collect()) == sorted(set(want.values()))
 
 
 def test_empty(spark):
-    assert near.deduplicated(docs(spark, [])).count() == 0
+    assert stage(docs(spark, [])).count() == 0
+
+
+def test_a_shared_passage_pairs_nobody(spark, monkeypatch):
+    """Many documents with one passage: the prefix filter leaves no pair of them, and loses no near copy."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    texts += [t.replace("p7 ", "q ") for t in texts[:10]]
+    sets = [brute_set(t) for t in texts]
+    want = roots(range(len(texts)), [(a, b) for a, b in combinations(range(len(texts)), 2) if similar(sets[a], sets[b])])
+    seen = []
+    real = near.prefix_pairs
+    monkeypatch.setattr(near, "prefix_pairs", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert sorted(r.doc_id for r in stage(docs(spark, texts)).collect()) == sorted(set(want.values())) and len(set(want.values())) == 60
+    monkeypatch.setattr(near, "bands", lambda held: __import__("numpy").zeros(min(1, len(held)), "int64"))
+    assert sorted(r.doc_id for r in stage(docs(spark, texts)).collect()) == sorted(set(want.values()))
+    assert seen[-1].count() <= 10
+
+
+def test_ids_null_shared_and_rows_repeated(spark):
+    a, b, c = ("one text of more than five words here", "another text of more than five words", "a third text of more than five words")
+    rows = [(None, a), (None, a), (3, b), (3, c), (3, c), (None, "x y"), (7, b)]
+    got = [(r.doc_id, r.text) for r in stage(docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (3, b), (3, c), (None, "x y")], key=str)

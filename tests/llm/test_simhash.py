@@ -72,6 +72,45 @@ def test_shard_keys_cover_all_differences(nodes):
         assert any(not any(m >> b & 1 for b in bits) for m in masks)
 
 
+@pytest.mark.parametrize("mask", [0, 0xFFFF0000FFFF0000, (1 << 61) - 1])
+def test_longer_masks_cover_all_differences(mask):
+    free = [b for b in range(64) if not mask >> b & 1]
+    below = op.longer(mask)
+    assert all(m & mask == mask and m != mask for m in below)
+    for bits in combinations(free, 2):
+        assert any(not any(m >> b & 1 for b in bits) for m in below)
+
+
+def test_hot_shards_are_split_and_lose_no_link(spark, monkeypatch):
+    """All fingerprints in a few shards: no shard holds over TREE, and links equal those of all pairs."""
+    monkeypatch.setattr(op, "TREE", 16)
+    rng = random.Random(3)
+    values = list({sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3]))) for _ in range(400)})
+    df = spark.createDataFrame([(op.signed(v),) for v in values], "fp long")
+    sizes = [r["count"] for r in op.shards(df).groupBy("mask", "bits").count().collect()]
+    assert max(sizes) <= 16
+    want = roots(values, [(a, b) for a, b in combinations(values, 2) if (a ^ b).bit_count() <= 2])
+    got = {r.node: r.root for r in components(op.links(df)).collect()}
+    groups = {}
+    for v in values:
+        groups.setdefault(got.get(op.signed(v), op.signed(v)), set()).add(want[v])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+
+
+def test_hot_keys_meet_their_row_by_broadcast(spark, monkeypatch):
+    from tidemark.llm import common
+
+    big = spark.createDataFrame([(1, i) for i in range(50)] + [(None, -1)] + [(k, k) for k in range(2, 9)], "k long, v long")
+    side = spark.createDataFrame([(1, "one"), (3, "three")], "k long, s string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(side, "k", how).select("k", "v", "s").collect()))
+        monkeypatch.setattr(common, "HOT_ROWS", 10)
+        assert sorted(map(str, common.join_hot(big, side, "k", how).select("k", "v", "s").collect())) == want
+        monkeypatch.setattr(common, "HOT", 4)
+        assert sorted(map(str, common.join_hot(big, side, "k", how).select("k", "v", "s").collect())) == want
+        monkeypatch.undo()
+
+
 @pytest.mark.parametrize("tree", [512, 6])
 def test_dedup_matches_all_pairs(spark, monkeypatch, tree):
     monkeypatch.setattr(op, "TREE", tree)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,9 +14,8 @@ from pyspark.sql import types as T
 
 #: White space of the word contracts: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows and bytes of one Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 256
-BATCH_BYTES = 16 << 20
+#: Bytes of one Arrow batch: bounds a Python worker's memory when texts are long.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, because one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound Arrow batches by bytes, because one text may be very long. A tighter bound stays, and so do the session's
+    rows of a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | T.StructType) -> DataFrame:
@@ -42,13 +44,18 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one on one machine (tests).
+
+    On a cluster the setting is needed: a folder of the driver's own would take each executor's files to another disk.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = sc._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors share (master {sc.master})")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
@@ -69,14 +76,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files behind a frame made by written(), once nothing reads them any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+def drop_scratch(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by written(), once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -92,3 +101,35 @@ BROADCAST_ROWS = 4096
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint where *df* has at most *limit* rows (counted), else *df* as it is: Spark then joins by shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+#: A key with more than one in HOT of a table's rows is hot; so there are fewer than HOT of them. Tables of up to
+#: HOT_ROWS rows are joined as they are.
+HOT, HOT_ROWS = 512, 100_000
+
+
+def join_hot(big: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join *big* with *side*, which has one row for each key, on one column, whatever share of rows a key holds.
+
+    Hot keys are counted; their rows meet side's by broadcast (fewer than HOT rows) and stay where they are, all others
+    by shuffle. In a left join rows with a null key find nothing and stay where they are, too. *big* is read up to
+    three times, so it should be a table or close to one.
+    """
+    rows = big.count()
+    if rows <= HOT_ROWS:
+        return big.join(side, key, how)
+    spark = big.sparkSession
+    counted = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > rows // HOT)
+    hot = counted.select(key).collect()  # fewer than HOT
+    whole = big.where(F.col(key).isNotNull())
+    if not hot:
+        out = whole.join(side, key, how)
+    else:
+        keys = F.broadcast(spark.createDataFrame(hot, T.StructType([big.schema[key]])))
+        own = F.broadcast(side.join(keys, key, "left_semi"))
+        out = whole.join(keys, key, "left_anti").join(side, key, how).unionByName(whole.join(keys, key, "left_semi").join(own, key, how))
+    if how == "left":
+        lost = big.where(F.col(key).isNull())
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema if f.name != key]
+        out = out.unionByName(lost.select(*(F.col(f"`{c}`") for c in big.columns), *empty))
+    return out

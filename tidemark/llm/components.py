@@ -3,7 +3,8 @@
 Each round, every node points to its smallest neighbour (large star), then neighbours of a node point to
 the smallest of them (small star); the links shrink to stars whose centre is the component's smallest
 node. A union-find within each partition first thins the links to a forest. Rounds are cut off from
-their lineage by tables in the shared folder, and nothing is gathered in one task or on the driver.
+their lineage by tables in the shared folder, and nothing is gathered in one task or on the driver. The hub of
+a giant component is a hot key: its links meet its row by broadcast (join_hot), not in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import drop_scratch, join_hot, written
 
 MAX_ROUNDS = 50
 
@@ -74,7 +75,7 @@ def star(links: DataFrame, large: bool) -> DataFrame:
     if large:
         sides = sides.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = sides.join(least, "u")
+    joined = join_hot(sides, least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -92,7 +93,10 @@ def components(links: DataFrame) -> DataFrame:
         doubled = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         if not crossed and not doubled:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        edges = written(star(star(edges, True), False), "links")
+        large = written(star(edges, True), "links")
+        small = written(star(large, False), "links")
+        drop_scratch(edges, large)
+        edges = small
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 

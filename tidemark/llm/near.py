@@ -1,14 +1,13 @@
-"""Near-dedup by the exact Jaccard similarity of word shingles; MinHash bands find the candidates.
+"""Shingles, their sets' similarity, and links between similar sets.
 
-Rows with one set of shingles are one node. Nodes that share a band's key are candidates: two sets of
-similarity s share none of BANDS bands of ROWS hashes with probability (1 - s^ROWS)^BANDS, 3e-6 at 0.8. Each
-candidate pair's similarity is then computed on the whole sets. First each node of a bucket is compared with
-the bucket's smallest node; then only pairs that these links don't connect already, so that a large group
-of near copies costs no pairs of its own. components.py joins the links.
+links() takes buckets of nodes that may be similar (a node is one set of shingles) and returns links that connect
+what the similar pairs of a bucket connect, each verified on the whole sets. First each node of a bucket is compared
+with the bucket's smallest node, so a large group of near copies costs no pairs of its own. What is left are
+buckets whose nodes these links don't join. Their nodes go through a prefix filter, which loses nothing: in the
+order of how many of these nodes hold a shingle, two sets of similarity s share one among the first
+n - ceil(s n) + 1 of each. So a passage that many documents share pairs none of them by itself.
 
-Edge cases: fewer words than a shingle give one shingle of the whole sequence; no words (or a null text) give
-the empty set, and all of these are one group. Rows without doc_id are rows like any other. Extra columns are
-kept. Texts are read whole. An empty table gives no rows.
+Fewer words than a shingle give one shingle of the whole sequence; no words (or a null text) give the empty set.
 """
 
 from __future__ import annotations
@@ -18,14 +17,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import map_arrow, written
-from tidemark.llm.components import components, one_of_each
+from tidemark.llm.common import drop_scratch, join_hot, map_arrow, written
+from tidemark.llm.components import components
 
+SEED = 42
 #: The rule of stages on shingles: words of one, and the least similarity as a fraction.
 WORDS, SIMILARITY = 5, (4, 5)
-BANDS, ROWS, SEED = 32, 5, 42
+#: MinHash bands and the hashes of each: two sets of similarity s share none with probability (1 - s^ROWS)^BANDS, 3e-6 at 0.8.
+BANDS, ROWS = 32, 5
 #: Hashes that are permuted at once.
 SLAB = 4096
 
@@ -34,27 +34,28 @@ TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.u
 PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct XXH64 of the text's shingles; lower-cases A-Z."""
+def hashes(text: bytes, words: int = WORDS) -> np.ndarray:
+    """XXH64 of the text's shingles in order, repeats included; lower-cases A-Z."""
     w = text.lower().split()  # of bytes: the six ASCII white-space characters, A-Z
     if not w:
         return np.zeros(0, np.uint64)
     grams = [b" ".join(w)] if len(w) <= words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64))
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64)
 
 
-def node(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+def node(held: np.ndarray) -> int:
+    """The name of a set, from its sorted hashes."""
+    return xxhash.xxh64_intdigest(held.tobytes(), SEED)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
+def bands(held: np.ndarray) -> np.ndarray:
     """The keys of the set's bands; none for an empty set."""
-    if not len(hashes):
+    if not len(held):
         return np.zeros(0, np.int64)
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), SLAB):
-        least = np.minimum(least, (hashes[at : at + SLAB] * TIMES[:, None] + PLUS[:, None]).min(axis=1))
+    for at in range(0, len(held), SLAB):
+        least = np.minimum(least, (held[at : at + SLAB] * TIMES[:, None] + PLUS[:, None]).min(axis=1))
     digest = xxhash.xxh64_intdigest
     return np.array([digest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
@@ -63,57 +64,65 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def marked(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents with __row, __node and __bands."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    schema = T.StructType([*rows.schema.fields, T.StructField("__node", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+def sets_of(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, held: the set of each of *nodes*, made from one of its rows' texts."""
+    first = rows.groupBy("__node").agg(F.min("__row").alias("__row")).join(nodes.select(F.col("node").alias("__node")).distinct(), "__node").select("__row")
+    texts = rows.join(first, "__row", "left_semi").select("__node", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, words) for t in as_bytes(batch.column("text"))]
-        nodes = pa.array(np.array([node(s) for s in sets], np.uint64).view(np.int64))
-        keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*batch.columns, nodes, keys], names=[*batch.schema.names, "__node", "__bands"])
-
-    return map_arrow(rows, run, schema)
+        held = pa.array([np.unique(hashes(t, words)).view(np.int64) for t in as_bytes(batch.column(1))], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), held], names=["node", "held"])
 
+    return written(map_arrow(texts, run, "node long, held array<long>"), "near-sets")
 
-def verified(rows: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("__node")).unionByName(pairs.select(F.col("b").alias("__node"))).distinct()
-    first = rows.groupBy("__node").agg(F.min("__row").alias("__row")).join(needed, "__node").select("__row")
-    texts = rows.join(first, "__row", "left_semi").select("__node", "text")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = pa.array([shingles(t, words).view(np.int64) for t in as_bytes(batch.column(1))], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "held"])
 
-    sets = written(map_arrow(texts, run, "node long, held array<long>"), "near-sets")
+def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets are similar enough, written."""
+    sets = sets_of(rows, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), words)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-    part, whole = SIMILARITY
+    part, whole = similarity
     # Sizes first: sets of too different sizes need no intersection.
     both = both.where(whole * F.least(F.size("x"), F.size("y")) >= part * F.greatest(F.size("x"), F.size("y")))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(whole * shared >= part * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def links(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """a, b: links that connect what the candidates of sufficient similarity connect."""
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    member = rows.select(F.col("__node").alias("node"), F.explode("__bands").alias("key")).repartition(parts, "key").distinct()
-    least = member.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = written(member.join(least.select("key", "low"), "key"), "near-buckets")
+    out = written(both.where(whole * shared >= part * (F.size("x") + F.size("y") - shared)).select("a", "b"), "near-links")
+    drop_scratch(sets)
+    return out
+
+
+def prefix_pairs(rows: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """a, b: pairs of *nodes* (node, root) of different roots that share a shingle of their prefixes."""
+    part, whole = similarity
+    sets = sets_of(rows, nodes, words)
+    tokens = written(sets.select("node", F.size("held").alias("size"), F.explode("held").alias("token")), "near-tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    common = join_hot(tokens, often, "token").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("c"))
+    # Shingles that no other node holds are the rarest of all and take the first places.
+    length = F.col("size") - F.floor((part * F.col("size") + whole - 1) / whole) + 1 - (F.col("size") - F.size("c"))
+    heads = common.select("node", "size", F.explode(F.slice("c", 1, F.greatest(length, F.lit(0)).cast("int"))).alias("t")).select("node", "size", "t.token")
+    heads = written(heads.join(nodes, "node"), "near-heads")
+    a, b = (heads.select("token", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("size").alias(f"s{x}")) for x in "ab")
+    out = a.join(b, "token").where(f"a > b AND ra <> rb AND {whole} * least(sa, sb) >= {part} * greatest(sa, sb)").select("a", "b").distinct()
+    out = written(out, "near-pairs")
+    drop_scratch(sets, tokens, heads)
+    return out
+
+
+def links(rows: DataFrame, buckets: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """a, b: links that connect what the similar pairs of the buckets connect.
+
+    *rows*: __row, __node, text; *buckets*: node, key, without repeats.
+    """
+    least = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = written(buckets.join(least.select("key", "low"), "key"), "near-buckets")
     stars = written(shared.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "near-stars")
-    found = written(verified(rows, stars, words), "near-links")
+    found = verified(rows, stars, words, similarity)
     of = shared.join(components(found), "node", "left").select("key", "node", "low", F.coalesce("root", "node").alias("root"))
     open_keys = of.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    left = written(of.where("node <> low").join(open_keys, "key", "left_semi"), "near-open")  # the smallest node's pairs are done
-    a, b = left.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), left.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = a.join(b, "key").where("a > b AND ra <> rb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    return found.unionByName(verified(rows, written(rest, "near-pairs"), words))
-
-
-def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One document of each group of near copies, with its columns."""
-    rows = written(marked(docs, words), "near-rows")
-    parts = components(written(links(rows, words), "near-all"))
-    return one_of_each(rows, parts, docs.columns)
+    # The smallest node's pairs are done.
+    left = written(of.where("node <> low").join(open_keys, "key", "left_semi").select("key", "node", "root"), "near-open")
+    many = left.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    nodes = written(left.join(many, "key", "left_semi").select("node", "root").distinct(), "near-rest")
+    rest = prefix_pairs(rows, nodes, words, similarity).join(stars, ["a", "b"], "left_anti")
+    out = found.unionByName(verified(rows, rest, words, similarity))
+    drop_scratch(shared, stars, left, nodes)
+    return out

@@ -2,16 +2,24 @@
 
 A document's fingerprint has a bit set where over half of its shingles' hashes have it. Equal fingerprints
 are collapsed to one node first. Of n bit blocks at most RADIUS hold differing bits, so two fingerprints
-within the radius agree in some n - RADIUS of them: nodes are dealt to shards by those blocks' bits. Each shard's nodes form BK-trees
-of at most TREE nodes (children keyed by their Hamming distance to the parent); every tree goes to each of
-the shard's query chunks, which follow only edges within the radius. A hot shard is split in trees and
-chunks, so no task holds more than one tree and one chunk of it. Tasks emit a spanning forest of the links
-they find, never the pairs of a group, and components.py joins them.
+within the radius agree in some n - RADIUS of them: nodes are dealt to shards by those blocks' bits. A shard of over
+TREE nodes is split by the same argument on the bits that its nodes need not share: of RADIUS + 1 blocks of these
+one at least agrees, so its nodes go to RADIUS + 1 shards with longer keys each, and so on. Distinct nodes that share
+all but log2(TREE) bits are TREE at most, so this ends, and a node's copies don't grow with the shard. Each shard is
+one BK-tree (children keyed by their Hamming distance to the parent), and its nodes' queries follow only edges within
+the radius. Tasks emit a spanning forest of the links they find, never the pairs of a group; components.py joins them.
+
+deduplicated() has two rules. With *radius* alone, groups are linked fingerprints. With a *similarity* groups are
+linked sets of shingles: nodes of one SimHash group and nodes that share a MinHash band are candidates, and a
+link holds if the sets' Jaccard similarity reaches it (near.py). SimHash alone can't reach 0.8, which differs in about
+10 of 64 bits.
 
 Edge cases: fewer words than a shingle give one shingle of the whole sequence; no words (or a null text)
-give fingerprint 0, which links like any other. Repeated rows share their component. Rows without doc_id link
-too, but never name a component (a group of them alone has component null) and are not kept by dedup();
-deduplicated() keeps one row of every group, with or without ids. Extra columns are not read. Texts are read whole. An empty table gives no rows.
+give fingerprint 0, which links like any other (and, by similarity, one group of all empty sets). Repeated rows share
+their component. Rows without doc_id link too, but never name a component (a group of them alone has component
+null) and are not kept by dedup(). deduplicated() keeps one row of every group, with or without ids: rows that share
+an id are rows of their own, so different texts under one id both stay. Extra columns are not read by dedup() and kept by
+deduplicated(). Texts are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,16 +29,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_arrow, text_or_empty, written
+from tidemark.llm import near
+from tidemark.llm.common import broadcast_if_small, join_hot, map_arrow, text_or_empty, written
 from tidemark.llm.components import Forest, components, one_of_each
 
-WORDS, SEED, RADIUS, BITS = 3, 42, 2, 64
-#: Nodes of one tree and of one chunk of queries: bounds a task's memory and time.
+WORDS, RADIUS, BITS = 3, 2, 64
+#: Nodes of one tree: bounds a task's memory and time.
 TREE = 512
 #: Nodes for which shard keys are made long enough, where fingerprints are evenly spread.
 SHARD = 64
@@ -38,23 +46,19 @@ SHARD = 64
 SLAB = 8192
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Majority bits of the XXH64 of all shingles, repeats included; lower-cases A-Z."""
-    w = text.lower().split()  # of bytes: the six ASCII white-space characters, A-Z
-    if not w:
-        return 0
-    if len(w) <= words:
-        grams = [b" ".join(w)]
-    else:
-        grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), SLAB):
         ones += np.unpackbits(hashes[at : at + SLAB].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Majority bits of the XXH64 of all shingles, repeats included; lower-cases A-Z."""
+    return majority(near.hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
@@ -114,44 +118,73 @@ def shard_keys(nodes: int, radius: int = RADIUS, bits: int = BITS) -> list[list[
     return [list(c) for c in combinations(parts, n - radius)]
 
 
+def longer(mask: int, radius: int = RADIUS, bits: int = BITS) -> list[int]:
+    """Masks that add one of radius + 1 blocks of the bits outside *mask*."""
+    free = [b for b in range(bits) if not mask >> b & 1]
+    edges = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[s:t]) for s, t in zip(edges, edges[1:], strict=False)]
+
+
+def signed(value: int) -> int:
+    return value - (1 << BITS) if value >> (BITS - 1) else value
+
+
+def sharded(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """fp, mask, bits: each node with its bits under each mask."""
+    return nodes.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def shards(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, mask, bits: shards of at most TREE nodes, such that nodes within the radius share one."""
+    masks = [sum(((1 << w) - 1) << s for s, w in key) for key in shard_keys(nodes.count(), radius)]
+    member, done = sharded(nodes, masks), []
+    while True:
+        hot = written(member.groupBy("mask", "bits").agg(F.count("*").alias("n")).where(F.col("n") > TREE).select("mask", "bits"), "op8-hot")
+        large = [r["mask"] for r in hot.select("mask").distinct().collect()]  # masks are few, whatever the nodes
+        if not large:
+            done.append(member)
+            break
+        small = broadcast_if_small(hot)
+        done.append(member.join(small, ["mask", "bits"], "left_anti"))
+        below = F.create_map(*(x for m in large for x in (F.lit(m), F.array(*(F.lit(signed(n)) for n in longer(m & MASK, radius))))))
+        split = member.join(small, ["mask", "bits"], "left_semi").select("fp", F.explode(below[F.col("mask")]).alias("mask"))
+        # Two masks may lead to one: distinct, as only distinct nodes are bounded by the bits that are left.
+        member = written(split.distinct().withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))), "op8-split")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+#: Members of shards that one task is meant to hold.
+SHARE = 200_000
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: a set of links that connects what the links within the radius connect. *nodes* has distinct fp."""
-    spark = nodes.sparkSession
-    masks = [sum(((1 << w) - 1) << s for s, w in key) for key in shard_keys(nodes.count(), radius)]
-    keys = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)).alias("bits")) for i, m in enumerate(masks)))
-    member = nodes.select("fp", F.explode(keys).alias("key")).select("fp", "key.block", "key.bits")
-    sizes = member.groupBy("block", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    # Chunks of a shard by a hash of the fingerprint: about TREE / 2 nodes each.
-    sized = member.join(sizes, ["block", "bits"]).withColumn("chunks", F.ceil(2 * F.col("n") / TREE).cast("int"))
-    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    # A pair of chunks i <= j is one unit of work: tree of i, queries of j.
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    unit = F.transform(other, lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    work = sized.select("fp", "block", "bits", "chunk", F.explode(unit).alias("u")).select("fp", "chunk", F.xxhash64("block", "bits", "u.i", "u.j").alias("unit"), F.col("u.i").alias("i"), F.col("u.j").alias("j"), "block", "bits")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = work.repartition(parts, "unit").sortWithinPartitions("unit", "block", "bits", "i", "j", "fp")
+    member = written(shards(nodes, radius), "op8-shards")
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), member.count() // SHARE)
+    dealt = member.repartition(parts, "mask", "bits").sortWithinPartitions("mask", "bits", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, forest = [], None, Forest()
 
         def close() -> None:
-            _, _, i, j = key
-            tree = BkTree([f for f, c in held if c == i])
-            for f, c in held:
-                if c == j:
-                    for g in tree.near(f, radius):
-                        if g != f:
-                            forest.link(f, g)
+            if len(held) < 2:
+                return
+            tree = BkTree(held)
+            for f in held:
+                for g in tree.near(f, radius):
+                    if g != f:
+                        forest.link(f, g)
 
         for batch in batches:
-            for fp, chunk, block, bits, i, j in zip(*(batch.column(c).to_pylist() for c in ("fp", "chunk", "block", "bits", "i", "j")), strict=True):
-                if (block, bits, i, j) != key:
-                    if key is not None:
-                        close()
-                    held, key = [], (block, bits, i, j)
-                held.append((fp & MASK, chunk))
-        if key is not None:
-            close()
+            for fp, mask, bits in zip(*(batch.column(c).to_pylist() for c in ("fp", "mask", "bits")), strict=True):
+                if (mask, bits) != key:
+                    close()
+                    held, key = [], (mask, bits)
+                held.append(fp & MASK)
+        close()
         yield from forest.batches(signed=True)
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -167,23 +200,42 @@ def dedup(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFram
     found = written(links(nodes.select("fp"), radius), "op8-links")
     parts = components(found)
     # Component label: any node of it; its smallest doc_id is an aggregate over the component's nodes.
-    of = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    of = written(nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "op8-roots")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
-    out = prints.join(named, "fp")
+    named = join_hot(of, least, "root").select("fp", "component_id")
+    out = join_hot(prints, named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, with its columns: the smallest doc_id's, or any of a group without ids."""
+def marked(docs: DataFrame, words: int, similarity: bool) -> DataFrame:
+    """The documents with __row, __fp, __node (the fingerprint, or by similarity the set's name) and __bands (by similarity)."""
+    # Rows may lack or repeat a doc_id, so they carry a key of their own.
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    schema = T.StructType([*rows.schema.fields, T.StructField("__node", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__node", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([fingerprint(t or b"", words) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "__node"])
+        fps, nodes, keys = [], [], []
+        for text in near.as_bytes(batch.column("text")):
+            every = near.hashes(text, words)
+            fps.append(majority(every))
+            held = np.unique(every) if similarity else None
+            nodes.append(near.node(held) if similarity else fps[-1])
+            keys.append(near.bands(held) if similarity else None)
+        whole = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *whole, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "__fp", "__node", "__bands"])
+
+    return written(map_arrow(rows, run, schema), "op8-rows")
 
-    # Rows may lack or repeat a doc_id, so they carry their fingerprint and a key of their own.
-    rows = written(map_arrow(rows, run, schema), "op8-rows")
-    nodes = written(rows.select(F.col("__node").alias("fp")).distinct(), "op8-nodes")
-    return one_of_each(rows, components(written(links(nodes, radius), "op8-links")), docs.columns)
+
+def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """One document of each group, with its columns: the smallest doc_id's, or any of a group without ids."""
+    rows = marked(docs, words, similarity is not None)
+    prints = written(rows.select(F.col("__fp").alias("fp")).distinct(), "op8-nodes")
+    found = written(links(prints, radius), "op8-links")
+    if similarity is not None:
+        groups = components(found).select(F.col("node").alias("__fp"), "root")
+        of = join_hot(rows.select("__node", "__fp").distinct(), groups, "__fp", "left")
+        keys = of.select(F.col("__node").alias("node"), F.xxhash64(F.lit("simhash"), F.coalesce("root", "__fp")).alias("key"))
+        keys = keys.unionByName(rows.select(F.col("__node").alias("node"), F.explode("__bands").alias("key"))).distinct()
+        found = written(near.links(rows.select("__row", "__node", "text"), written(keys, "op8-buckets"), words, similarity), "op8-similar")
+    return one_of_each(rows, components(found), docs.columns)
