@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import near, op1_pii, op2_bpe, op5_mixing, op7_importance
+from tidemark.llm import near, op1_pii, op2_bpe, op5_mixing, op7_importance, op8_simhash
 from tidemark.llm.common import table, written
 from tidemark.llm.queries import tokenizer_path
 
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays whose shingles of five words are linked by similarities of 0.8 or more."""
-    return near.deduplicated(docs)
+    return op8_simhash.deduplicated(docs, near.WORDS, similarity=near.SIMILARITY)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
