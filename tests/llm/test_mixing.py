@@ -72,9 +72,65 @@ def test_rates_are_an_exponential_tilt(spark):
         assert max(lam) - min(lam) < 1e-9
 
 
+def check_targets(rows):
+    """Sizes, targets by the rule, and taken words within one document of them."""
+    size, largest, taken, goal = {}, {}, {}, {}
+    for r in rows:
+        size[r.source] = size.get(r.source, 0) + r.size
+        largest[r.source] = max(largest.get(r.source, 0), r.size)
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        goal[r.source] = r.target
+        assert r.taken == r.copies * r.size and 0 <= r.copies <= 3
+    want = targets(size)
+    for s in size:
+        assert goal[s] == pytest.approx(want[s], rel=1e-9, abs=1e-6)
+        assert want[s] - largest[s] - 1e-3 * want[s] - 1e-6 <= taken[s] <= want[s] * (1 + 1e-9) + 1e-6
+
+
 def test_empty_null_and_repeated(spark):
-    assert op.mix(docs(spark, [])).count() == 0
+    assert op.mix(docs(spark, [])).count() == 0 and op.mixed(docs(spark, [])).count() == 0
     rows = op.mix(docs(spark, [None, "", " "], sources=[None, "a", "a"])).collect()
     assert [r.taken for r in rows] == [0, 0, 0] and {r.target for r in rows} == {0.0}
-    same = op.mix(docs(spark, ["a b"] * 6, ids=[1] * 6)).collect()
-    assert len({r.copies for r in same}) == 1
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_ids_null_and_repeated_meet_their_targets(spark, monkeypatch, hot):
+    """Rows without ids, one id for all, and equal rows: each source comes within one document of its target."""
+    from tidemark.llm import common
+
+    if hot:
+        monkeypatch.setattr(common, "HOT_ROWS", 10)
+        monkeypatch.setattr(op, "BLOCK", 7)
+    rng = random.Random(4)
+    texts, of, ids = [], [], []
+    for s, kind in (("a", "null"), ("b", "one"), ("c", "equal"), ("d", "plain"), (None, "null")):
+        for n in range(60):
+            texts.append("w x y" if kind == "equal" else "v " * rng.randrange(1, 9) + str(n))
+            of.append(s)
+            ids.append({"null": None, "one": 5, "equal": 6, "plain": 1000 + n}[kind])
+    df = docs(spark, texts, sources=of, ids=ids)
+    rows = op.mix(df).collect()
+    assert len(rows) == len(texts)
+    check_targets(rows)
+    again = op.mix(df.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+    out = op.mixed(df).collect()
+    assert sorted((str(r.source), len(r.text.split())) for r in out) == sorted((str(r.source), r.size) for r in rows for _ in range(r.copies))
+
+
+def test_many_sources_without_broadcast(spark, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(op, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(common, "HOT_ROWS", 300)
+    rng = random.Random(6)
+    texts = ["w " * rng.randrange(0, 7) for _ in range(1500)]
+    of = ["hot" if rng.random() < 0.4 else f"source {rng.randrange(200)}" for _ in texts]
+    check_targets(op.mix(docs(spark, texts, sources=of)).collect())
+
+
+def test_columns_with_dots_and_own_names_stay(spark):
+    df = docs(spark, ["a b c", "d e"]).selectExpr("*", "'x' AS `a.b`", "1 AS `row`", "'f' AS file", "2 AS at", "3 AS u", "4 AS of")
+    out = op.mixed(df)
+    assert out.columns == df.columns
+    assert all(r["a.b"] == "x" and r["file"] == "f" and r["row"] == 1 for r in out.collect())

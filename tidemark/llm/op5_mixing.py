@@ -3,29 +3,40 @@
 Per source the document rates w minimise sum w ln w - w under sum w size = target and w <= CAP. The
 solution is an exponential tilt, w = min(CAP, exp(lambda size / mean size)); lambda solves the convex dual
 by Newton steps, each one distributed aggregation over the table of (source, size, documents), safeguarded
-by a bracket. Rates become copies through one threshold per source: copy c of a document has the key
-(c - u) / w with u a hash of its doc_id, and the copies with the smallest keys are taken while their words
+by a bracket. Its sums are of decimals, so they don't depend on the order of rows and reruns agree bit for bit.
+Rates become copies through one threshold per source: copy c of a document has the key
+(c - u) / w with u a hash of its id and text, and the copies with the smallest keys are taken while their words
 stay within the target. That is systematic rounding (a document gets floor(w + u) copies at threshold 1)
 whose threshold is moved so that the words meet the target to within one document. The threshold is found
-by refining histograms, so no source is sorted or gathered in one task.
+by refining histograms, so no source is sorted or gathered in one task. Sources are ranked by a distributed sort and
+the shares' water level is found by sums over them, so there may be as many as there are domains.
 
 Edge cases: a null text has size 0; documents of size 0 take 0 words; a null source is a source, last in
-order; sources of size 0 have target 0. An empty table gives no rows. Repeated rows share a hash and are
-taken or left together. Only doc_id, text and source are read. Reruns agree.
+order; sources of size 0 have target 0. An empty table gives no rows. Rows that lack or share an id are documents of
+their own: the text is part of the hash, and rows that are equal in id, source and text are numbered, each with a u of its
+own, so a source of equal rows meets its target too. Which of such rows is taken is open, how many are is not. mix()
+reads doc_id, text and source alone; mixed() keeps all columns, whatever their names. Reruns agree.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, SPACES, written
+from tidemark.llm.common import BROADCAST_ROWS, SPACES, broadcast_if_small, drop_scratch, join_hot, written
 
 CAP = 3
 WEIGHTS = 3
 NEWTON, BINS, REFINE = 40, 512, 4
 #: Fixed seed of the rounding.
 SEED = "mix"
+#: Rows of a file that are numbered together, where rows are equal.
+BLOCK = 65_536
+#: Sums of words that don't depend on the order of rows.
+EXACT = "decimal(38,12)"
+GOLDEN = 0.6180339887498949
 
 
 def size() -> Column:
@@ -33,54 +44,113 @@ def size() -> Column:
     return F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(r"[\x20\x09-\x0D]+")) + 1).cast("long")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size().alias("size"))
+def placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """row (all columns), file and at: a name of each row that holds whenever the rows are read again; and the columns.
+
+    Files have it. Other frames are written first.
+    """
+    names = docs.columns
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    hidden = docs._jdf.queryExecution().analyzed().metadataOutput()
+    from_file = any(hidden.apply(i).name() == "_metadata" and "row_index" in hidden.apply(i).dataType().json() for i in range(hidden.length()))
+    return (docs if from_file else written(docs, "op5-docs")).select(whole, *place), names
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """placed() rows with doc_id, source, of, size, hash."""
+    doc_id, text, source = F.col("row.doc_id").cast("long"), F.col("row.text"), F.col("row.source").cast("string")
+    flat = rows.withColumns({"doc_id": doc_id, "text": F.coalesce(text, F.lit("")), "source": source})
+    told = F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text", F.coalesce("source", F.lit("")))
+    return flat.withColumns({"of": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")), "size": size(), "hash": told}).drop("text")
+
+
+def sizes(rows: DataFrame) -> DataFrame:
+    """file, at, doc_id, source, of (the source as a key that is never null), size, hash; from placed() rows."""
+    return measured(rows).select("file", "at", "doc_id", "source", "of", "size", "hash")
+
+
+def repeats(sized: DataFrame) -> DataFrame | None:
+    """file, at, number: the equal rows after the first of each kind, numbered from 1; None if there are none.
+
+    A kind may hold a third of all rows, so it is numbered in blocks of a file, and the blocks' counts are added up.
+    """
+    twice = sized.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    twice = written(twice, "op5-twice")
+    if not twice.head(1):
+        return None
+    rows = join_hot(sized.select("file", "at", "hash"), twice, "hash").withColumn("block", F.floor(F.col("at") / BLOCK))
+    rows = written(rows, "op5-equal")
+    blocks = rows.groupBy("hash", "file", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("hash").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("hash", "file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("hash", "file", "block").orderBy("at")) - 1
+    numbered = rows.withColumn("own", own).join(blocks, ["hash", "file", "block"])
+    return written(numbered.select("file", "at", (F.col("before") + F.col("own")).alias("number")).where("number > 0"), "op5-repeats")
+
+
+def unit(rows: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """Adds u in (0, 1): the hash's fraction, moved on by the golden ratio for each equal row before."""
+    first = (F.shiftrightunsigned("hash", 12).cast("double") + 0.5) / F.lit(float(1 << 52))
+    if numbers is None:
+        return rows.withColumn("u", first)
+    moved = first + F.coalesce("number", F.lit(0)) * F.lit(GOLDEN)
+    return rows.join(broadcast_if_small(numbers), ["file", "at"], "left").withColumn("u", F.greatest(moved - F.floor(moved), F.lit(1e-16))).drop("number")
+
+
+def ranked(by_source: DataFrame) -> DataFrame:
+    """by_source with weight: 1, 2, 3, repeating in the order of sources. A distributed sort numbers the rows of each range,
+    and the ranges' counts, one row each, are added up."""
+    order = by_source.orderBy(F.col("source").asc_nulls_last())
+    order = written(order.withColumns({"part": F.spark_partition_id(), "line": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "op5-order")
+    counts = order.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return order.join(F.broadcast(before), "part").withColumn("weight", F.pmod(F.col("before") + F.col("line"), F.lit(WEIGHTS)) + 1).drop("part", "line", "before")
 
 
 def targets(by_source: DataFrame) -> DataFrame:
-    """source, source_size, target: the share by weight, filled up to CAP times a source's size like water.
+    """Adds limit and target: the share by weight, filled up to CAP times a source's size like water.
 
-    The level t satisfies sum min(CAP size, t weight) = total. In order of their limits by weight, the first source
-    that stays below its limit at the level of the rest fixes t, and levels only fall from there on. Sources are few rows (one each), so the
-    sums over all of them are windows of the dimension, not of documents.
+    The level t satisfies sum min(CAP size, t weight) = total. From the level of all sources on, those that are at their
+    limit are taken out and the level of the rest is set anew, until none is above: each step is one sum over sources,
+    of whole numbers, and the level only rises.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = by_source.withColumn("weight", F.pmod(F.row_number().over(order) - 1, F.lit(WEIGHTS)) + 1)
-    ranked = ranked.withColumn("limit", CAP * F.col("source_size").cast("double")).withColumn("ratio", F.col("limit") / F.col("weight"))
-    up = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    ranked = ranked.withColumns({
-        "total": F.sum(F.col("source_size").cast("double")).over(every),
-        "full": F.sum("limit").over(up.rowsBetween(Window.unboundedPreceding, -1)),
-        "open": F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    level = (F.col("total") - F.coalesce("full", F.lit(0.0))) / F.col("open")
-    ranked = ranked.withColumn("level", level).withColumn("t", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
-    return ranked.select("source", "source_size", "limit", F.least("limit", F.coalesce(F.col("t") * F.col("weight"), "limit")).alias("target"))
+    of = written(ranked(by_source), "op5-ranked")
+    total, weights = of.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (total or 0) / weights if weights else 0.0
+    while weights:
+        full = CAP * F.col("source_size") <= F.lit(float(level)) * F.col("weight")
+        held, open_ = of.agg(F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
+        new = (total - CAP * held) / open_ if open_ else level
+        if new <= level:
+            break
+        level = new
+    limit = CAP * F.col("source_size").cast("double")
+    return of.withColumns({"limit": limit, "target": F.least(limit, F.lit(float(level)) * F.col("weight"))}).drop("weight")
 
 
 def keyed(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
-    """Left join of documents with a table that has a row for each source, null-safe; broadcast if they are few."""
-    side = right.withColumnRenamed("source", "of")
-    return left.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    """Left join with a table that has a row for each source, by its key *of*; broadcast if they are few."""
+    return left.join(F.broadcast(right), "of", "left") if few else join_hot(left, right, "of", "left")
 
 
 def tilts(compact: DataFrame, goals: DataFrame, few: bool, steps: int = NEWTON) -> DataFrame:
-    """source, lambda, mean: Newton's iterations on every source's dual at once.
+    """of, lam, mean: Newton's iterations on every source's dual at once.
 
-    *compact*: source, size, n. A step that leaves the bracket is replaced by its middle.
+    *compact*: of, size, n. A step that leaves the bracket is replaced by its middle.
     """
     # The first guess tilts all sizes alike; a source at its limit takes CAP of everything, without steps.
     start = F.when(F.col("target") >= F.col("limit"), F.lit(float("inf"))).when(F.col("target") > 0, F.log(CAP * F.col("target") / F.col("limit"))).otherwise(0.0)
-    state = written(goals.select("source", "target", "mean", start.alias("lam"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high")), "op5-state")
+    state = written(goals.select("of", "target", "mean", start.alias("lam"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"), F.lit(False).alias("near")), "op5-state")
+    exact = lambda c: F.sum(c.cast(EXACT)).cast("double")
     for _ in range(steps):
         at = keyed(compact.where("size > 0"), state, few)
         z = F.col("size") / F.col("mean")
         w = F.exp(F.least(F.col("lam") * z, F.log(F.lit(float(CAP)))))
         inner = F.col("lam") * z < F.log(F.lit(float(CAP)))
-        sums = at.groupBy("source").agg(
-            F.sum(F.col("n") * F.col("size") * w).alias("words"),
-            F.sum(F.when(inner, F.col("n") * F.col("size") * z * w).otherwise(0.0)).alias("slope"),
+        sums = at.groupBy("of").agg(
+            exact(F.col("n") * F.col("size") * w).alias("words"),
+            exact(F.when(inner, F.col("n") * F.col("size") * z * w).otherwise(0.0)).alias("slope"),
         )
         new = keyed(state, sums, few)
         short = F.col("words") < F.col("target")
@@ -89,35 +159,35 @@ def tilts(compact: DataFrame, goals: DataFrame, few: bool, steps: int = NEWTON)
         middle = (F.col("low") + F.col("high")) / 2
         near = F.abs(F.col("words") - F.col("target")) <= 1e-6 * F.col("target")
         lam = F.when(F.col("words").isNull() | near, F.col("lam")).when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(middle)
-        state = written(new.select("source", "target", "mean", lam.alias("lam"), "low", "high", F.coalesce(near, F.lit(True)).alias("near")), "op5-state")
+        after = written(new.select("of", "target", "mean", lam.alias("lam"), "low", "high", F.coalesce(near, F.lit(True)).alias("near")), "op5-state")
+        drop_scratch(state)
+        state = after
         if not state.where("not near").head(1):
             break
-        state = state.drop("near")
-    return state.select("source", "lam", "mean")
+    return state.select("of", "lam", "mean")
 
 
 def thresholds(copies: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
-    """source, cut: the largest key up to which the copies' words stay within the target.
+    """of, cut: the largest key up to which the copies' words stay within the target.
 
-    *copies*: source, key (0 to CAP + 1 and above), size. Each pass sums words over BINS bins of the
+    *copies*: of, key (0 to CAP + 1 and above), size. Each pass sums words over BINS bins of the
     interval that still holds the cut, per source, and narrows it; partial sums meet before the shuffle.
     """
-    state = goals.select("source", "target", F.lit(0.0).alias("low"), F.lit(2.0 * CAP).alias("high"), F.lit(0.0).alias("before"))
+    state = written(goals.select("of", "target", F.lit(0.0).alias("low"), F.lit(2.0 * CAP).alias("high"), F.lit(0.0).alias("before")), "op5-cut")
     for _ in range(REFINE):
         at = keyed(copies, state, few).where((F.col("key") > F.col("low")) & (F.col("key") <= F.col("high")))
         bin_ = F.greatest(F.ceil((F.col("key") - F.col("low")) / ((F.col("high") - F.col("low")) / BINS)) - 1, F.lit(0))
-        summed = at.groupBy("source", F.least(bin_, F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("size").alias("words"))
-        summed = keyed(summed, state, few)
-        run = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-        summed = summed.withColumn("run", run)
-        over = summed.where(F.col("run") > F.col("target")).groupBy("source").agg(F.min("bin").alias("bin"))
-        under = summed.where(F.col("run") <= F.col("target")).groupBy("source").agg(F.max("run").alias("held"))
+        summed = written(at.groupBy("of", F.least(bin_, F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("size").alias("words")), "op5-bins")
+        run = F.col("before") + F.sum("words").over(Window.partitionBy("of").orderBy("bin"))
+        run_ = keyed(summed, state, few).withColumn("run", run)
+        over = run_.where(F.col("run") > F.col("target")).groupBy("of").agg(F.min("bin").alias("bin"))
+        under = run_.where(F.col("run") <= F.col("target")).groupBy("of").agg(F.max("run").alias("held"))
         width = (F.col("high") - F.col("low")) / BINS
         new = keyed(keyed(state, over, few), under, few)
         # No bin goes over: all copies are within the target, and the cut is the interval's end.
-        state = written(
+        after = written(
             new.select(
-                "source",
+                "of",
                 "target",
                 F.when(F.col("bin").isNull(), F.col("high")).otherwise(F.col("low") + F.col("bin") * width).alias("low"),
                 F.when(F.col("bin").isNull(), F.col("high")).otherwise(F.col("low") + (F.col("bin") + 1) * width).alias("high"),
@@ -125,13 +195,9 @@ def thresholds(copies: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
             ),
             "op5-cut",
         )
-    return state.select("source", F.col("low").alias("cut"))
-
-
-def unit() -> Column:
-    """A number in (0, 1) from the hash of doc_id."""
-    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))), 1, 13), 16, 10)
-    return (digits.cast("double") + 0.5) / F.lit(float(1 << 52))
+        drop_scratch(state, summed)
+        state = after
+    return state.select("of", F.col("low").alias("cut"))
 
 
 def rate() -> Column:
@@ -139,40 +205,47 @@ def rate() -> Column:
 
 
 def key(copy: int) -> Column:
-    return (F.lit(copy) - unit()) / F.col("rate")
+    return (F.lit(copy) - F.col("u")) / F.col("rate")
 
 
 def plan(sized: DataFrame) -> tuple[DataFrame, bool]:
-    """source, source_size, target, mean, lam, cut for each source of (doc_id, source, size), and whether they are few."""
-    compact = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "op5-compact")
+    """of, source_size, target, lam, mean, cut for each source of sizes() with u, and whether they are few."""
+    compact = written(sized.groupBy("of", "source", "size").agg(F.count("*").alias("n")), "op5-compact")
     words, filled = F.sum(F.col("size") * F.col("n")), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0))
-    by_source = written(compact.groupBy("source").agg(words.alias("source_size"), (words / F.greatest(filled, F.lit(1))).alias("mean")), "op5-sources")
+    by_source = written(compact.groupBy("of", "source").agg(words.alias("source_size"), (words / F.greatest(filled, F.lit(1))).alias("mean")), "op5-sources")
     few = by_source.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    goals = written(keyed(targets(by_source.drop("mean")), by_source.select("source", "mean"), few), "op5-goals")
-    lam = written(tilts(compact, goals, few), "op5-tilts")
-    each = keyed(sized.where("size > 0"), lam, few).withColumn("rate", rate()).where("rate > 0")
-    each = each.select("source", "size", F.explode(F.array(*(key(c) for c in range(1, CAP + 1)))).alias("key"))
+    goals = written(targets(by_source), "op5-goals")
+    lam = written(tilts(compact.select("of", "size", "n"), goals, few), "op5-tilts")
+    each = keyed(sized.where("size > 0").select("of", "size", "u"), lam, few).withColumn("rate", rate()).where("rate > 0")
+    each = each.select("of", "size", F.explode(F.array(*(key(c) for c in range(1, CAP + 1)))).alias("key"))
     cuts = thresholds(each, goals, few)
-    return written(keyed(keyed(goals.drop("limit", "mean"), lam, few), cuts, few), "op5-plan"), few
+    out = written(keyed(keyed(goals.drop("limit", "mean", "source"), lam, few), cuts, few), "op5-plan")
+    drop_scratch(compact, by_source, goals, lam)
+    return out, few
 
 
 def copies() -> Column:
-    return sum((F.when((F.col("rate") > 0) & (key(c) <= F.col("cut")), 1).otherwise(0) for c in range(1, CAP + 1)), F.lit(0)).cast("long")
+    taken = (F.when((F.col("rate") > 0) & (key(c) <= F.col("cut")), 1).otherwise(0) for c in range(1, CAP + 1))
+    return reduce(lambda a, b: a + b, taken).cast("long")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source, source_size, target, rate, copies, taken: one row per document."""
-    sized = written(sizes(docs), "op5-sizes")
+    rows, _ = placed(docs.select("doc_id", "text", "source"))
+    sized = written(sizes(rows), "op5-sizes")
+    sized = unit(sized, repeats(sized))
     by_source, few = plan(sized)
     done = keyed(sized, by_source, few).withColumn("rate", rate()).withColumn("copies", copies())
     return done.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents with their columns, each row as often as the mix takes it. No text is shuffled: a row's copies
-    follow from its size, its hash and its source's plan."""
-    names = docs.columns
-    by_source, few = plan(written(sizes(docs), "op5-sizes"))
-    whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size().alias("size"))
+    """The documents with their columns, each row as often as the mix takes it. No text is shuffled (unless very many rows
+    are equal): a row's copies follow from its size, its hash and its source's plan."""
+    rows, names = placed(docs)
+    sized = written(sizes(rows), "op5-sizes")
+    numbers = repeats(sized)
+    by_source, few = plan(unit(sized, numbers))
+    whole = unit(measured(rows).select("row", "file", "at", "of", "size", "hash"), numbers)
     taken = keyed(whole, by_source, few).withColumn("rate", rate()).withColumn("copies", copies()).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(*(F.col("row")[n].alias(n) for n in names))
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(*(F.col("row").getField(n).alias(n) for n in names))
