@@ -62,6 +62,56 @@ def test_cutoffs_limit_false_rejections(spark):
     assert all(r.kept != r.base_failed for r in few)
 
 
+def tail(k, n, p):
+    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def brute_cutoffs(rows, tunes):
+    """The path and its test for one stratum, by lists: rows are {rule: metric} of the good documents."""
+    head, rest = [r for r in rows if tunes[r["doc_id"]]], [r for r in rows if not tunes[r["doc_id"]]]
+    steps = sorted((sum(r[rule] > c for r in head), n, i, c) for n, rule in enumerate(op.GRID) for i, c in enumerate(op.GRID[rule]))
+    return steps, rest
+
+
+def test_kept_matches_brute_force(spark):
+    """Verdicts of three strata, one of them without language and one with few labels, against the method written with lists."""
+    rng = random.Random(9)
+    texts, langs = [], []
+    for n in range(2600):
+        lang = rng.choice(["en", "en", None, "de"]) if n % 40 else "few"
+        bad = rng.random() < (0.1 if n % 5 else 0.01)
+        w = [rng.choice(["word", "text", "more", "!!", "a$"]) + str(rng.randrange(999)) for _ in range(rng.randrange(15, 40))]
+        if bad:
+            w = [x + rng.choice(["%%%", "!!!!", "", "#"]) for x in w] + w[:12]
+        texts.append(" ".join(w))
+        langs.append(lang)
+    df = docs(spark, texts, langs=langs)
+    good = {n for n in range(2600) if n % 7}
+    labels = spark.createDataFrame([(n, int(n in good), 0) for n in range(2600)], "doc_id long, quality int, toxic int")
+    tunes = {r.doc_id: r.t for r in spark.range(2600).selectExpr("id AS doc_id", "pmod(xxhash64('holdout', id), 2) = 0 AS t").collect()}
+    risk, level = 0.05, 0.1
+    got = {r.doc_id: r for r in op.judge(df, labels, risk, level).collect()}
+    strata = {}
+    for n in sorted(good):
+        if not got[n].base_failed:
+            strata.setdefault(langs[n], []).append(got[n].asDict())
+    cuts = {}
+    for s, rows in strata.items():
+        steps, rest = brute_cutoffs(rows, tunes)
+        now, cuts[s] = dict.fromkeys(op.GRID, math.inf), dict.fromkeys(op.GRID, math.inf)
+        for _, rule, _, c in steps:
+            name = list(op.GRID)[rule]
+            now[name] = min(now[name], c)
+            k = sum(any(r[x] > now[x] for x in now) for r in rest)
+            if k >= len(rest) * risk or tail(k, len(rest), risk) > level / len(strata):
+                break
+            cuts[s] = dict(now)
+    for n, r in got.items():
+        assert r.kept == (not r.base_failed and not any(r[x] > c for x, c in cuts.get(langs[n], {}).items())), n
+    assert all(c == math.inf for c in cuts["few"].values()) and any(c < math.inf for c in cuts["en"].values())
+    assert any(not r.kept and not r.base_failed for r in got.values())
+
+
 def test_no_labels_null_stratum_and_empty(spark):
     df = docs(spark, ["word " * 3 + " ".join(map(str, range(30)))] * 3, langs=[None, "en", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -30,17 +30,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with small batches; *fn* turns one batch into one."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with small batches; *fn* turns one batch into one, its columns in the order of *schema*.
+
+    Columns go by place, so their names may hold dots or repeat.
+    """
     small_batches(df.sparkSession)
+    names = df.columns
+    schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    places = T.StructType([T.StructField(f"o{i}", f.dataType) for i, f in enumerate(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = fn(batch)
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+                out = fn(batch.rename_columns(names))
+                yield out.rename_columns([f"o{i}" for i in range(out.num_columns)])
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, places).toDF(*schema.names)
+
 
-    return df.mapInArrow(run, schema)
+def plain(docs: DataFrame, *keep: str) -> DataFrame:
+    """The documents with all columns but *keep* named by place, so that no name clashes or needs quotes."""
+    return docs.toDF(*(c if c in keep else f"c{i}" for i, c in enumerate(docs.columns)))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
-Each rule rejects a document whose metric is above a cutoff. For every stratum (language) and rule a
-grid of cutoffs is tried on the labelled holdout, from the loosest on. With n good documents of which k
-would be rejected, the exact binomial test rejects "the false-rejection rate is above RISK" when
-P(X <= k | n, RISK) <= LEVEL / tests. Within a rule the cutoffs are tested in a fixed sequence that ends
-at the first failure, so they need no correction; over strata and rules it is Bonferroni's. The tightest
-cutoff that passed is used; where none passes (few labels) the rule rejects nothing.
+Each rule rejects a document whose metric is above a cutoff; a document goes if any rule rejects it. For every stratum
+(language) the labelled good documents are split in two by a hash of their id. The first half orders all (rule, cutoff)
+pairs by how many of its documents each rejects: that is a path, on which the rules' cutoffs get tighter step by step.
+The second half tests the path's steps in this fixed sequence: with n documents of which k are rejected by some rule
+at the cutoffs so far, the exact binomial test rejects "the false-rejection rate is above RISK" when
+P(X <= k | n, RISK) <= LEVEL / strata. The sequence ends at the first failure, so its steps need no correction, and
+over strata it is Bonferroni's. The last step that passed is used. So with probability 1 - LEVEL the rules together reject
+at most RISK of the good documents of every stratum (of those that the base rule leaves: that one is fixed and not
+controlled). Where no step passes (few labels) the rules reject nothing.
 
 Edge cases: a null or empty text has no words and fails the base rule (n_words < 20). Documents without
 a language form a stratum of their own. Labels that are null, repeated or in conflict: a document is
 good if its least label is 1. No labels at all: only the base rule rejects. Repeated documents give
-repeated results. Texts are read whole; a document's arrays live in one row, no rows are exploded.
+repeated results. Texts are read whole; a document's arrays live in one row, no rows are exploded. Windows of words are
+compared by 64-bit hashes: in a text of a million words two differ but are taken as equal with probability 3e-8.
 """
 
 from __future__ import annotations
@@ -122,28 +126,44 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.exp(top) * (steps["sum"] + rest), F.lit(1.0)))
 
 
+#: (rule, place in its grid, cutoff) from the loosest on.
+STEPS = [(r, i, c) for r, cuts in GRID.items() for i, c in enumerate(cuts)]
+RULES = list(GRID)
+
+
+def paths(tuning: DataFrame) -> DataFrame:
+    """stratum, path: all steps (k, rule, i, cutoff) ordered by the documents that each rejects."""
+    rejected = [F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, i, c in STEPS]
+    steps = F.array(*(F.struct(F.col(f"{r}_{i}").alias("k"), F.lit(RULES.index(r)).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff")) for r, i, c in STEPS))
+    return tuning.groupBy("stratum").agg(*rejected).select("stratum", F.array_sort(steps).alias("path"))
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """stratum and a cutoff for each rule (infinity: rejects nothing), from the labelled good documents."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    seen = measured.join(good, "doc_id", "left_semi").groupBy("stratum")
-    rejected = {(r, i): F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cuts in GRID.items() for i, c in enumerate(cuts)}
-    counts = seen.agg(F.count("*").alias("n"), *rejected.values())
-    rows = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, cuts in GRID.items() for i, c in enumerate(cuts))))
-    # Tests: rules times strata with labels, known once the counts are.
-    counts = written(counts, "op3-counts")
-    tests = max(1, len(GRID) * counts.count())
-    tried = counts.select("stratum", "n", rows.alias("x")).select("stratum", "n", "x.*").withColumn("passed", binomial_tail(F.col("k"), F.col("n"), risk) <= level / tests)
-    first_failure = F.min(F.when(~F.col("passed"), F.col("i")))
-    ruled = tried.groupBy("stratum", "rule").agg(first_failure.alias("stop"), F.array_sort(F.collect_list(F.struct("i", "cutoff"))).alias("cuts"))
-    ruled = ruled.withColumn("n_passed", F.coalesce("stop", F.size("cuts")))
-    ruled = ruled.withColumn("cutoff", F.when(F.col("n_passed") > 0, F.try_element_at("cuts", F.col("n_passed").cast("int"))["cutoff"]).otherwise(F.lit(float("inf"))))
-    return ruled.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRID))
+    held = measured.where("not base_failed").join(good, "doc_id", "left_semi").select("stratum", *RULES, (F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)) == 0).alias("tunes"))
+    held = written(held, "op3-holdout")
+    tests = max(1, held.select("stratum").distinct().count())
+    path = broadcast_if_small(paths(held.where("tunes")).withColumnRenamed("stratum", "of"))
+    seen = held.where("not tunes").join(path, F.col("stratum").eqNullSafe(F.col("of"))).drop("of")
+    metrics = F.array(*RULES)
+    first = F.array_position(F.transform("path", lambda p: F.element_at(metrics, p["rule"] + 1) > p["cutoff"]), F.lit(True))
+    counts = seen.groupBy("stratum", first.alias("first")).agg(F.count("*").alias("c"))  # first: 0 for never
+    told = counts.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct("first", "c")).alias("hits"))  # a row for each step at most
+    told = told.join(path, F.col("stratum").eqNullSafe(F.col("of"))).drop("of")
+    step = told.select("stratum", "n", "hits", "path", F.explode(F.sequence(F.lit(1), F.lit(len(STEPS)))).alias("step"))
+    k = F.aggregate(F.filter("hits", lambda h: (h["first"] > 0) & (h["first"] <= F.col("step"))), F.lit(0).cast("long"), lambda acc, h: acc + h["c"])
+    failed = step.withColumn("failed", binomial_tail(k, F.col("n"), risk) > level / tests).where("failed").groupBy("stratum").agg(F.min("step").alias("stop"))
+    stops = told.join(failed.withColumnRenamed("stratum", "at"), F.col("stratum").eqNullSafe(F.col("at")), "left")
+    used = F.slice("path", F.lit(1), F.coalesce(F.col("stop") - 1, F.lit(len(STEPS))))
+    cut = lambda n: F.coalesce(F.array_min(F.transform(F.filter(used, lambda p: p["rule"] == n), lambda p: p["cutoff"])), F.lit(float("inf")))
+    return stops.select("stratum", *(cut(n).alias(f"cut_{r}") for n, r in enumerate(RULES)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """Counts, metrics and verdict of every document."""
     measured = written(features(docs), "op3-features")
-    cutoffs = broadcast_if_small(calibrate(measured, labels, risk, level).withColumnRenamed("stratum", "of"))
+    cutoffs = broadcast_if_small(written(calibrate(measured, labels, risk, level).withColumnRenamed("stratum", "of"), "op3-cutoffs"))
     joined = measured.join(cutoffs, F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of")
     above = [F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)) for r in GRID]
     verdict = ~F.greatest(*(a.cast("int") for a in above)).cast("boolean")

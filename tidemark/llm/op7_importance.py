@@ -3,18 +3,19 @@
 Byte n-grams of orders 1 to ORDERS, and pairs of echoes (whether a word equals the one before it), are hashed
 to BUCKETS buckets. Two bag-of-n-grams models are counted: target (up to TARGET_DOCS documents labelled good)
 and raw (all documents). A document's log weight is the sum
-of log target/raw over its n-grams. Gumbel noise from a hash of doc_id is added, and the k largest keys are
-a sample of k documents without replacement in proportion to their weights (Gumbel top-k).
+of log target/raw over its n-grams. It is tempered by the root of their number: a sum's spread grows so, and by bare sums
+a document's length would decide and noise never. Gumbel noise from a hash of doc_id is added, and the k largest keys are
+a sample of k documents without replacement in proportion to their tempered weights (Gumbel top-k).
 
-k is the number of documents whose log weight reaches the FLOOR quantile of the labelled good documents, so
-the sample has room for every document like the target; the noise is on the scale of log weights and decides
-only near the edge. The k-th largest key is found by refining histograms over all
-rows, so no row is sorted or gathered in one task.
+k is given, or else the number of documents whose tempered log weight reaches the FLOOR quantile of the documents that the
+target model is fitted on, so that the sample has room for every document like the target. The k-th largest key is found
+by refining histograms over all rows, so no row is sorted or gathered in one task.
 
 Edge cases: a null or empty text has no n-grams and log weight 0. Without any label that is good, nothing
-is known of the target and all documents are kept. Labels repeated or in conflict: the least quality of a
-doc_id holds. Repeated rows have the same key and are kept or rejected together where the cut falls among
-them (ties at the cut are kept). Texts are counted whole. An empty table gives no rows.
+is known of the target and all documents are kept, unless k is given. Labels repeated or in conflict: the least quality of a
+doc_id holds. Rows without doc_id share one noise. Repeated rows have the same key and are kept or rejected together where
+the cut falls among them (ties at the cut are kept). Texts are counted whole. An empty table gives no rows. Columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_arrow, small_batches, written
+from tidemark.llm.common import map_arrow, plain, small_batches, written
 
 ORDERS, BUCKETS = 3, 1 << 16
 #: Labelled good documents that the target model is fitted on: the bound of what is broadcast.
@@ -68,10 +69,25 @@ def counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
+        held: tuple[list, list] = ([], [])
+        waiting = [0, 0]
+
+        def count(good: int) -> None:
+            if held[good]:
+                total[good] += np.bincount(np.concatenate(held[good]), minlength=BUCKETS)
+                held[good].clear()
+                waiting[good] = 0
+
         for batch in batches:
             for text, good in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                good = int(bool(good))
                 for h in buckets(text or b""):
-                    total[int(bool(good))] += np.bincount(h, minlength=BUCKETS)
+                    held[good].append(h)
+                    waiting[good] += len(h)
+                if waiting[good] > SLAB:  # many documents are counted at once
+                    count(good)
+        count(0)
+        count(1)
         for good in (0, 1):
             at = np.flatnonzero(total[good])
             if len(at):
@@ -99,32 +115,39 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
-    """text, target: whether a document is among those that the target model is fitted on.
+    """doc_id, text, target: whether a document is among those that the target model is fitted on.
 
     These are the *most* labelled good documents whose ids hash lowest, so their ids are a broadcast of a fixed
     size and no text is shuffled. The raw model counts all documents.
     """
     fit = good_labels(labels).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most).select("doc_id", F.lit(True).alias("target"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.join(F.broadcast(fit), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    return d.join(F.broadcast(fit), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+
 
+def log_weight(raw: bytes, table: np.ndarray) -> tuple[float, int]:
+    """The sum of log ratios over all n-grams, and their number."""
+    total, n = 0.0, 0
+    for h in buckets(raw):
+        total += float(table[h].sum())
+        n += len(h)
+    return total, n
 
-def log_weight(raw: bytes, table: np.ndarray) -> float:
-    return sum(float(table[h].sum()) for h in buckets(raw))
 
+def tempered(weight: Column, n: Column) -> Column:
+    return weight / F.sqrt(n + 1)
 
-def scores(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, log_weight, n_grams of every document."""
+
+def weighed(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """The documents with the further columns __weight and __n."""
     held = docs.sparkSession.sparkContext.broadcast(table.astype(np.float64))  # BUCKETS numbers
+    at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w, total = held.value, []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            total.append((log_weight(text or b"", w), sum(max(0, len(text or b"") - n) for n in range(ORDERS))))
-        a, n = zip(*total, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", "log_weight", "n_grams"])
+        w, n = zip(*(log_weight(t or b"", held.value) for t in batch.column(at).cast(pa.binary()).to_pylist()), strict=True)
+        return batch.append_column("__weight", pa.array(w, pa.float64())).append_column("__n", pa.array(n, pa.int64()))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, log_weight double, n_grams long")
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("__weight", T.DoubleType()), T.StructField("__n", T.LongType())]))
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -149,39 +172,37 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 def gumbel() -> Column:
     """Noise of a document, from the hash of its doc_id."""
-    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("gumbel"), F.col("doc_id").cast("string"))), 1, 13), 16, 10)
+    digits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("gumbel"), F.col("doc_id").cast("long").cast("string"))), 1, 13), 16, 10)
     return -F.log(-F.log((digits.cast("double") + 0.5) / F.lit(float(1 << 52))))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> tuple[np.ndarray, float, DataFrame]:
-    """The models' log ratios, the k-th largest key (-inf: all are kept), and the scored documents."""
-    table = ratios(counts(with_labels(docs, labels)))
+def fitted(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, k: int | None = None) -> tuple[np.ndarray, float, DataFrame]:
+    """The models' log ratios, the k-th largest key (-inf: all are kept), and doc_id, log_weight, n_grams, key of all."""
+    told = with_labels(docs, labels)
+    table = ratios(counts(told))
     known = table is not None
     table = table if known else np.zeros(BUCKETS)
-    keyed = written(scores(docs, table), "op7-scores").withColumn("key", F.col("log_weight") + gumbel())
-    edge = keyed.join(good_labels(labels), "doc_id", "left_semi").agg(F.percentile_approx("log_weight", F.lit(floor), F.lit(100_000))).first()[0] if known else None
-    if edge is None:
-        return table, -math.inf, keyed
-    return table, kth_largest(keyed, keyed.where(F.col("log_weight") >= edge).count()), keyed
-
-
-def classify(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
+    scored = weighed(told, table).select("doc_id", F.col("__weight").alias("log_weight"), F.col("__n").alias("n_grams"), "target")
+    scored = written(scored.withColumn("fit", tempered(F.col("log_weight"), F.col("n_grams"))), "op7-scores")
+    keyed = scored.withColumn("key", F.col("fit") + gumbel())
+    if k is None and known:
+        # Of TARGET_DOCS rows at most, so the quantile is exact.
+        edge = scored.where("target").agg(F.percentile("fit", F.lit(floor))).first()[0]
+        k = keyed.where(F.col("fit") >= edge).count()
+    out = keyed.select("doc_id", "log_weight", "n_grams", "key")
+    return table, -math.inf if k is None else kth_largest(keyed, k), out
+
+
+def classify(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, k: int | None = None) -> DataFrame:
     """doc_id, log_weight, n_grams, key, kept of every document."""
-    _, cut, keyed = fitted(docs, labels, floor)
+    _, cut, keyed = fitted(docs, labels, floor, k)
     return keyed.withColumn("kept", F.col("key") >= cut)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, k: int | None = None) -> DataFrame:
     """The documents that are kept, with their columns as they are. A row's key follows from its text, its id and the
     models, so it is made again where the text is and nothing is joined."""
-    table, cut, _ = fitted(docs, labels, floor)
-    held = docs.sparkSession.sparkContext.broadcast(table)
-    names, weight = docs.columns, "__log_weight"
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(names.index("text")).cast(pa.binary()).to_pylist()
-        return batch.append_column(weight, pa.array([log_weight(t or b"", held.value) for t in texts], pa.float64()))
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(weight, T.DoubleType())])
-    scored = map_arrow(docs, run, schema)
-    return scored.where(F.col(weight) + gumbel() >= cut).select(*(F.col(f"`{c}`") for c in names))
+    table, cut, _ = fitted(docs, labels, floor, k)
+    rows = plain(docs, "doc_id", "text")
+    kept = weighed(rows, table).where(tempered(F.col("__weight"), F.col("__n")) + gumbel() >= cut)
+    return kept.select(*rows.columns).toDF(*docs.columns)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import near
-from tidemark.llm.common import broadcast_if_small, join_hot, map_arrow, text_or_empty, written
+from tidemark.llm.common import broadcast_if_small, join_hot, map_arrow, plain, text_or_empty, written
 from tidemark.llm.components import Forest, components, one_of_each
 
 WORDS, RADIUS, BITS = 3, 2, 64
@@ -229,6 +229,7 @@ def marked(docs: DataFrame, words: int, similarity: bool) -> DataFrame:
 
 def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, similarity: tuple[int, int] | None = None) -> DataFrame:
     """One document of each group, with its columns: the smallest doc_id's, or any of a group without ids."""
+    names, docs = docs.columns, plain(docs, "doc_id", "text")
     rows = marked(docs, words, similarity is not None)
     prints = written(rows.select(F.col("__fp").alias("fp")).distinct(), "op8-nodes")
     found = written(links(prints, radius), "op8-links")
@@ -238,4 +239,4 @@ def deduplicated(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, simi
         keys = of.select(F.col("__node").alias("node"), F.xxhash64(F.lit("simhash"), F.coalesce("root", "__fp")).alias("key"))
         keys = keys.unionByName(rows.select(F.col("__node").alias("node"), F.explode("__bands").alias("key"))).distinct()
         found = written(near.links(rows.select("__row", "__node", "text"), written(keys, "op8-buckets"), words, similarity), "op8-similar")
-    return one_of_each(rows, components(found), docs.columns)
+    return one_of_each(rows, components(found), docs.columns).toDF(*names)
