@@ -114,3 +114,43 @@ def test_long_text_crosses_slices(theirs, monkeypatch):
     ids = mine.encode("some words and others " * 300)
     n, a, b = op.digest(mine, ids)
     assert (n, a, b) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(theirs.decode(ids).encode()).hexdigest())
+
+
+@pytest.mark.parametrize("part", [1, 3, 50, 1000])
+@pytest.mark.parametrize("text", [*(c for c in CASES if c), "don't we're 're <|endoftext|>!!!'s 12", "e\u0301 \u1100\u1161\u11a8 한국어 \u0915\u093c A\u030a\u0323" * 40, "x" * 3000 + "\u0301" * 200 + "漢字" * 500])
+def test_streamed_text_is_the_whole(monkeypatch, part, text):
+    mine = op.load(PATH)
+    want = mine.encode(text)
+    monkeypatch.setattr(op, "PART", part)
+    monkeypatch.setattr(op, "LONG", 0)
+    assert list(mine.ids(text)) == want == mine.encode(text)
+
+
+def test_slices_end_where_normalization_looks_across_nothing():
+    """No character that inert() lets a slice begin with is the second of a composition or reorders."""
+    import unicodedata
+
+    for i in range(0x110000):
+        d = unicodedata.decomposition(c := chr(i))
+        if d and not d.startswith("<") and len(parts := d.split()) == 2 and unicodedata.normalize("NFC", "".join(chr(int(x, 16)) for x in parts)) == c:
+            assert not op.inert(chr(int(parts[1], 16))), hex(i)
+        if unicodedata.combining(c):
+            assert not op.inert(c)
+
+
+@pytest.mark.parametrize("unit", ["inthe", "some words, and others ", "é漢! 12 x", "!?"])
+def test_memory_does_not_grow_with_the_text(unit):
+    """Beside the text and one pre-token as text, what a round trip holds at once is a constant."""
+    import tracemalloc
+
+    mine = op.load(PATH)
+    peaks = []
+    for chars in (1 << 17, 1 << 19):
+        text = unit * (chars // len(unit))
+        op.digest(mine, mine.ids(text))
+        tracemalloc.start()
+        op.digest(mine, mine.ids(text))
+        longest = len(text.encode()) if " " not in unit else 0
+        peaks.append(tracemalloc.get_traced_memory()[1] - 4 * longest)
+        tracemalloc.stop()
+    assert peaks[1] < 6 << 20

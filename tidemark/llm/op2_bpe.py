@@ -7,10 +7,15 @@ merge the edge begins with u, so the next merge (u', v') of the chain has a late
 begins with u. The longest such chain, weighed by the lengths of its u, is the merge list's sufficient
 lookahead L: tokens that end L or more symbols before the end of what has been read are stable. It is
 found by one pass over the rules. The transducer keeps a window of symbols, merges within it, emits the
-stable tokens and goes on from the last stable boundary, so its memory depends on L, not on the text.
+stable tokens and goes on from the last stable boundary, so its memory depends on L, not on the pre-token.
 The argument needs a proper list (each rule's parts are made by earlier rules); for others L is unbounded
 and a pre-token is held whole.
 
+Texts of over LONG characters stream from end to end: they are normalized in slices that end where normalization can't
+look across, split in a buffer whose last characters wait for what follows, turned to symbols and tokens one by one,
+and hashed and decoded a slice of ids at a time. So beside the text itself memory holds one pre-token as text and a constant;
+round_trip() never holds a text's ids. encode() and tokenized() return ids, so they hold those of a row.
+
 Decoder. Tokens are mapped to bytes, and a state machine turns bytes to text, holding back only an
 incomplete UTF-8 sequence.
 
@@ -29,9 +34,9 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -42,6 +47,9 @@ from tidemark.llm.common import map_arrow, text_or_empty
 
 #: Symbols that the transducer reads at once beyond the lookahead.
 CHUNK = 1024
+#: Characters from which a text streams, those of a slice of it, and those at a buffer's end that may belong to another
+#: pre-token once more is read (splits look ahead by a few characters, as in 're).
+LONG, PART, EDGE = 1 << 16, 1 << 15, 64
 #: Distinct chunks (pre-tokens between spaces) whose tokens a worker remembers, and the longest of them.
 MEMO, MEMO_CHARS = 300_000, 48
 #: The characters with the property White_Space besides U+0020.
@@ -176,16 +184,15 @@ class Bpe:
                 heapq.heappush(heap, (r, h))
         return [t for t in ids if t >= 0]
 
-    def transduce(self, symbols: Sequence[int]) -> Iterator[int]:
+    def transduce(self, symbols: Iterable[int]) -> Iterator[int]:
         """Tokens of one pre-token's symbols, each emitted once no further symbol can change it."""
-        limit = None if self.lookahead is None else self.lookahead + CHUNK
-        if limit is None or len(symbols) < limit:  # the end is in the first window
-            yield from self.merged(symbols)
+        if self.lookahead is None:
+            yield from self.merged(list(symbols))
             return
-        source, window = iter(symbols), []
+        limit, source, window = self.lookahead + CHUNK, iter(symbols), []
         while True:
-            window += islice(source, None if limit is None else limit - len(window))
-            if limit is None or len(window) < limit:
+            window += islice(source, limit - len(window))
+            if len(window) < limit:  # the end is in the window
                 yield from self.merged(window)
                 return
             stable, used = len(window) - self.lookahead, 0
@@ -203,14 +210,20 @@ class Bpe:
         inner = self.inner
         return [*[inner[b] for b in raw[:-1]], self.final[raw[-1]]]
 
+    def symbol_stream(self, piece: str) -> Iterator[int]:
+        """The same one by one."""
+        inner, last = self.inner, len(piece) - 1
+        for at in range(0, last, PART):
+            yield from (inner[b] for b in piece[at : min(last, at + PART)].encode("utf-8", "replace"))
+        yield from self.symbols(piece[last])
+
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         """Ids of normal text without white space."""
         ids: list[int] = []
         for piece in self.split.findall(chunk):
             found = self.pieces.get(piece)
             if found is None:
-                s = self.symbols(piece)
-                found = tuple(self.transduce(s))
+                found = tuple(self.transduce(self.symbols(piece)))
                 if len(piece) <= MEMO_CHARS:
                     self.pieces.put(piece, found)
             ids += found
@@ -232,8 +245,60 @@ class Bpe:
                 text = text.replace(c, " ")
         return text
 
+    def normal_slices(self, text: str, start: int, stop: int) -> Iterator[str]:
+        """normal() of text[start:stop] in parts, cut before characters that compose with nothing before them."""
+        while start < stop:
+            end = min(stop, start + PART)
+            while end < stop and not inert(text[end]):
+                end += 1
+            yield self.normal(text[start:end])
+            start = end
+
+    def stream_part(self, text: str, start: int, stop: int) -> Iterator[int]:
+        """Ids of text[start:stop] without added tokens, one by one."""
+        rest, waiting, need = "", [], 0
+        for part in chain(self.normal_slices(text, start, stop), (None,)):
+            waiting.append(part or "")
+            need -= len(part or "")
+            done = part is None
+            if need > 0 and not done:
+                continue
+            buffer, at = rest + "".join(waiting), 0
+            waiting.clear()
+            for m in self.split.finditer(buffer):
+                if not done and m.end() > len(buffer) - EDGE:
+                    break
+                at = m.end()
+                piece = m[0]
+                found = self.pieces.get(piece) if len(piece) <= MEMO_CHARS else None
+                if found is None:
+                    if len(piece) > MEMO_CHARS:
+                        yield from self.transduce(self.symbol_stream(piece))
+                        continue
+                    found = tuple(self.transduce(self.symbols(piece)))
+                    self.pieces.put(piece, found)
+                yield from found
+            rest = buffer[at:]
+            need = len(rest)  # a pre-token that goes on is searched again at twice the length: linear in all
+
+    def stream(self, text: str) -> Iterator[int]:
+        """Ids of a text, one by one."""
+        at = 0
+        for m in self.added_re.finditer(text) if self.added_re else ():
+            yield from self.stream_part(text, at, m.start())
+            yield self.added[m[0]]
+            at = m.end()
+        yield from self.stream_part(text, at, len(text))
+
+    def ids(self, text: str) -> Iterable[int]:
+        """Ids of a text: as a list, or one by one if it is long."""
+        return self.stream(text) if len(text) > LONG else self.encode(text)
+
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
+        if len(text) > LONG:
+            ids += self.stream(text)
+            return ids
         at = 0
         for m in self.added_re.finditer(text) if self.added_re else ():
             self._encode(text[at : m.start()], ids)
@@ -281,24 +346,29 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
+def inert(c: str) -> bool:
+    """No canonical composition has *c* as its second character, and it reorders with nothing."""
+    return c.isascii() or (unicodedata.category(c)[0] == "L" and not "\u1100" <= c <= "\u11ff")
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
     return Bpe(path)
 
 
 #: Ids that are hashed and decoded at once.
-SLICE = 65_536
+SLICE = 16_384
 
 
-def digest(bpe: Bpe, ids: list[int]) -> tuple[int, str, str]:
+def digest(bpe: Bpe, ids: Iterable[int]) -> tuple[int, str, str]:
     """Number of tokens, hash of the ids, hash of the decoded text."""
-    sha_ids, sha_text, decoder = hashlib.sha256(), hashlib.sha256(), Decoder(bpe)
-    for at in range(0, len(ids), SLICE):
-        part = ids[at : at + SLICE]
-        sha_ids.update((" " * bool(at) + " ".join(map(bpe.text_of.__getitem__, part))).encode())
+    sha_ids, sha_text, decoder, n, source = hashlib.sha256(), hashlib.sha256(), Decoder(bpe), 0, iter(ids)
+    while part := list(islice(source, SLICE)):
+        sha_ids.update((" " * bool(n) + " ".join(map(bpe.text_of.__getitem__, part))).encode())
         sha_text.update(decoder.feed(part).encode())
+        n += len(part)
     sha_text.update(decoder.close().encode())
-    return len(ids), sha_ids.hexdigest(), sha_text.hexdigest()
+    return n, sha_ids.hexdigest(), sha_text.hexdigest()
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -326,7 +396,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)
-        rows = [digest(bpe, bpe.encode(t)) for t in batch.column(1).to_pylist()]
+        rows = [digest(bpe, bpe.ids(t)) for t in batch.column(1).to_pylist()]
         n, a, b = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
