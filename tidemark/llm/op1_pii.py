@@ -10,11 +10,14 @@ names after a title). Labelers vote on each candidate: for (+), against (-) or n
 
 Candidates are counted by pattern (kind, votes, a few coarse features), which is a bounded set, over all
 documents. Expectation-maximisation on these counts estimates each labeler's reliability and each pattern's
-probability; a logistic classifier is then trained on the patterns with those soft labels, and its verdict
-on a pattern holds for all spans with it. Base spans always stay; a span that overlaps one is not added.
+probability. With these soft labels a logistic classifier is trained on spans: up to SAMPLE of each pattern, weighed by
+how many they stand for, with features of the span (its shape of letters and digits, its length, its ends) and of its
+context (the words around it, by kind), hashed to FEATURES places, beside the votes. Its verdict on each candidate decides,
+so two spans with the same votes may differ. Base spans always stay; a span that overlaps one is not added.
 
 Edge cases: a null or empty text has no spans and the hash of the empty string. Repeated rows give repeated
-results. Texts are searched whole and in linear time. An empty table gives no rows.
+results. Texts are searched whole and in linear time. An empty table gives no rows. redact() keeps all columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,14 +25,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, text_or_empty, written
+from tidemark.llm.common import map_arrow, plain, text_or_empty, written
 
 #: The base kinds in order, then those that only the method finds.
 BASE = ("email", "ip", "card", "phone")
@@ -63,7 +67,7 @@ NAME_RE = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?\x20((?:[A-Z][^\W\d_]{{1
 DIGITS = "0123456789"
 
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl be ch at eu us ca au nz jp cn in br mx ar cl ru pl se no dk fi ie pt gr cz hu ro".split())
-GIVEN = frozenset("james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna peter hans karl klaus jürgen wolfgang ursula monika petra sabine jean pierre michel marie jeanne claude jacques sophie camille antoine carlos juan josé maría carmen luis ana pedro lucía manuel elena pablo isabel diego paula daniel emma olivia noah liam sofia martin laura julia maria paul max felix".split())
+GIVEN = frozenset("adam alan albert alexander alice amanda amy andrea andreas andrew angela anne annette anthony arthur ashley barbara beatriz benjamin bernd betty brian bruno carla carol catherine charlotte christian christina christopher clara claudia cristina daniela deborah dennis dieter donald donna dorothy edward emily eric ernst erika ethan eva fernando florian francisco frank franz françois gabriel george gerhard giulia grace gregory hannah harald heinz helen helga henri henry ines inge ingrid jack jacob jason javier jeffrey jens jessica joan joachim joshua julien jutta katharina kathleen kenneth kevin kimberly lars lea leon lisa lorenzo louis louise lukas luca margaret margarita mark markus martha martina matthew mercedes mia michelle miguel mona nancy nathan nicholas nicole nina oliver pascal patrick pilar rafael raymond rebecca renate ricardo roger ronald rosa rudolf ruth ryan samuel sandra sara scott sebastian sharon simon sofía stefan stephan stephen steven susanne sven thérèse tim tobias ulrich uwe valentina victor virginia walter werner yannick yves james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna peter hans karl klaus jürgen wolfgang ursula monika petra sabine jean pierre michel marie jeanne claude jacques sophie camille antoine carlos juan josé maría carmen luis ana pedro lucía manuel elena pablo isabel diego paula daniel emma olivia noah liam sofia martin laura julia maria paul max felix".split())
 CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 BANKS = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SA SE SI SK SM TR".split())
 TELLING = {
@@ -75,6 +79,8 @@ LABELERS = ("check", "shape", "gazetteer", "context", "misleading", "company")
 NEAR, BEFORE = 120, 40
 #: Votes that a labeler's reliability starts with.
 PRIOR = 20.0
+#: Places that features are hashed to, spans of each pattern that the classifier is trained on, words of context.
+FEATURES, SAMPLE, AROUND = 1 << 12, 128, 3
 
 
 def luhn(digits: str) -> bool:
@@ -178,6 +184,30 @@ def vote(text: str, kind: int, start: int, end: int, company: bool) -> str:
     return f"{kind}{check}{shape}{known}{context}{misleading}{near}{length}{share}"
 
 
+WORDS_RE = re.compile(r"\w+")
+
+
+def shape(span: str) -> str:
+    """The span with each run of capitals, small letters, digits or white space as one letter."""
+    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else "_" if c.isspace() else c for c in span[:64])
+    out = ""
+    for k in kinds:
+        if not out.endswith(k):
+            out += k
+    return out[:16]
+
+
+def features(text: str, start: int, end: int, pattern: str) -> list[int]:
+    """Places of a candidate's features: its votes, its shape and ends, and the words around it, all by kind."""
+    span, kind = text[start:end], pattern[0]
+    before = WORDS_RE.findall(text[max(0, start - BEFORE) : start].lower())[-AROUND:]
+    after = WORDS_RE.findall(text[end : end + BEFORE].lower())[:AROUND]
+    told = [f"k{kind}", *(f"v{kind}{j}{c}" for j, c in enumerate(pattern[1:]) if c != ".")]
+    told += [f"s{kind}{shape(span)}", f"n{kind}{min(len(span), 40)}", f"h{kind}{span[:2].lower()}", f"t{kind}{span[-3:].lower()}"]
+    told += [f"b{kind}{w}" for w in before] + [f"a{kind}{w}" for w in after] + [f"p{kind}{text[start - 1 : start]}", f"q{kind}{text[end : end + 1]}"]
+    return sorted({zlib.crc32(f.encode("utf-8", "replace")) % FEATURES for f in told})
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, bool]]:
     """(kind, start, end, pattern, is base): all base spans and those of the net that overlap none."""
     base_at = sorted((s, e) for _, s, e in base)
@@ -198,7 +228,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,end:int>>, more array<struct<kind:int,start:int,end:int,pattern:string>>, patterns array<string>"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,end:int>>, more array<struct<kind:int,start:int,end:int,at:array<int>>>, seen array<struct<pattern:string,at:array<int>>>"
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -210,16 +240,18 @@ def find_one(text: str) -> tuple:
     found = candidates(text, base)
     counts = [sum(k == i for k, _, _ in base) for i in range(len(BASE))]
     span = [{"kind": k, "start": s, "end": e} for k, s, e in base]
-    more = [{"kind": k, "start": s, "end": e, "pattern": p} for k, s, e, p, b in found if not b]
-    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), span, more, [x[3] for x in found])
+    seen = [{"pattern": p, "at": features(text, s, e, p)} for _, s, e, p, _ in found]
+    more = [{"kind": k, "start": s, "end": e, "at": x["at"]} for (k, s, e, _, b), x in zip(found, seen, strict=True) if not b]
+    return (*counts, hashlib.sha256(joined(base).encode()).hexdigest(), span, more, seen)
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Base spans, further candidates and all patterns of every document."""
+    """Base spans, further candidates with their features, and the patterns and features of all, of every document."""
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    more = pa.struct([*span, ("pattern", pa.string())])
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(span), pa.list_(more), pa.list_(pa.string())]
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "more", "patterns"]
+    places = pa.list_(pa.int32())
+    more, seen = pa.struct([*span, ("at", places)]), pa.struct([("pattern", pa.string()), ("at", places)])
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(span), pa.list_(more), pa.list_(seen)]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "more", "seen"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [find_one(t) for t in batch.column(1).to_pylist()]
@@ -254,56 +286,64 @@ def reliabilities(patterns: list[str], counts: np.ndarray, rounds: int = 200) ->
     return p, table[:, :, :2]
 
 
-def encoded(patterns: list[str]) -> np.ndarray:
-    """Feature rows of patterns for the classifier: kind, votes, length and digit share, one-hot."""
-    rows = np.zeros((len(patterns), len(KINDS) + 2 * len(LABELERS) + 8))
-    for i, p in enumerate(patterns):
-        rows[i, int(p[0])] = 1
-        for j, c in enumerate(p[1 : 1 + len(LABELERS)]):
-            if c != ".":
-                rows[i, len(KINDS) + 2 * j + (c == "-")] = 1
-        rows[i, -8 + int(p[-2])] = rows[i, -4 + int(p[-1])] = 1
-    return rows
-
+def trained(at: list[list[int]], weight: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
+    """Weights of a logistic span classifier on soft labels, the last one its constant.
 
-def trained(patterns: list[str], counts: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic span classifier on soft labels, by Newton's method."""
-    x = encoded(patterns)
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (counts * q * (1 - q) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (counts * (soft - q)) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
+    Nesterov's method on the mean log loss with a ridge; its step is the bound of the loss's curvature.
+    """
+    row = np.repeat(np.arange(len(at)), [len(a) for a in at])
+    col = np.concatenate([np.asarray(a, np.int64) for a in at]) if len(at) else np.zeros(0, np.int64)
+    share = weight / weight.sum()
+    step = 1 / (0.25 * (max(map(len, at)) + 1) + ridge / weight.sum())
+    w = last = np.zeros(FEATURES + 1)
+    for n in range(rounds):
+        ahead = w + n / (n + 3) * (w - last)
+        z = np.bincount(row, ahead[col], len(at)) + ahead[-1]
+        gap = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - soft)
+        slope = np.r_[np.bincount(col, gap[row], FEATURES), gap.sum()]
+        slope[:-1] += ridge / weight.sum() * ahead[:-1]
+        last, w = w, ahead - step * slope
     return w
 
 
-def model(found: DataFrame) -> dict[str, float]:
-    """Probability of every pattern that occurs. Patterns are a bounded set (kinds, votes, coarse features)."""
-    rows = found.select(F.explode("patterns").alias("pattern")).groupBy("pattern").count().collect()
+def model(found: DataFrame) -> np.ndarray | None:
+    """The classifier's weights; None without any candidate. *found* has seen.
+
+    Patterns are a bounded set (kinds, votes, coarse features), and so is the sample of SAMPLE spans of each, those whose
+    features hash lowest.
+    """
+    seen = found.select(F.explode("seen").alias("s")).select("s.pattern", "s.at")
+    rows = sorted(seen.groupBy("pattern").count().collect())
     if not rows:
-        return {}
-    rows.sort(key=lambda r: r["pattern"])
+        return None
     patterns, counts = [r["pattern"] for r in rows], np.array([float(r["count"]) for r in rows])
     soft, _ = reliabilities(patterns, counts)
-    x = encoded(patterns) @ trained(patterns, counts, soft)
-    return dict(zip(patterns, (1 / (1 + np.exp(-x))).tolist(), strict=True))
+    order = Window.partitionBy("pattern").orderBy(F.xxhash64("at"), "at")
+    sample = seen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).select("pattern", "at").collect()
+    sample.sort(key=lambda r: (r["pattern"], r["at"]))
+    number = {p: i for i, p in enumerate(patterns)}
+    of = np.array([number[r["pattern"]] for r in sample])
+    return trained([r["at"] for r in sample], counts[of] / np.bincount(of, minlength=len(patterns))[of], soft[of])
+
+
+def personal(weights: np.ndarray | None, at: list[int], threshold: float) -> bool:
+    """The classifier's verdict on a candidate's features."""
+    return weights is not None and float(weights[at].sum() + weights[-1]) >= math.log(threshold / (1 - threshold))
 
 
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts and spans of every document; *spans* has base ones and those that the classifier adds."""
     found = written(find(docs), "op1-found")
-    accepted = frozenset(p for p, q in model(found).items() if q >= threshold)
+    held = docs.sparkSession.sparkContext.broadcast(model(found))  # FEATURES numbers
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = []
         for base, more in zip(batch.column("base").to_pylist(), batch.column("more").to_pylist(), strict=True):
-            spans.append(joined([(x["kind"], x["start"], x["end"]) for x in base] + [(x["kind"], x["start"], x["end"]) for x in more if x["pattern"] in accepted]))
+            spans.append(joined([(x["kind"], x["start"], x["end"]) for x in base] + [(x["kind"], x["start"], x["end"]) for x in more if personal(held.value, x["at"], threshold)]))
         names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(spans, pa.string())], names=[*names, "spans"])
 
-    return map_arrow(found.drop("patterns"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(found.drop("seen"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: str) -> str:
@@ -320,18 +360,20 @@ def redacted(text: str, spans: str) -> str:
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents with personal data replaced; every other column stays, n_chars (if any) follows the text."""
     # Rows may repeat a doc_id, so spans travel with the text and not by a join.
-    accepted = frozenset(p for p, q in model(written(find(docs).select("patterns"), "op1-patterns")).items() if q >= threshold)
+    held = docs.sparkSession.sparkContext.broadcast(model(written(find(docs).select("seen"), "op1-seen")))
+    rows = plain(docs, "text", "n_chars")
+    place = rows.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text in batch.column("text").to_pylist():
+        for text in batch.column(place).to_pylist():
             if text:
                 base = base_spans(text)
-                spans = [(k, s, e) for k, s, e, p, b in candidates(text, base) if b or p in accepted]
+                spans = [(k, s, e) for k, s, e, p, b in candidates(text, base) if b or personal(held.value, features(text, s, e, p), threshold)]
                 text = redacted(text, joined(spans)) if spans else text
             out.append(text)
-        at = batch.schema.get_field_index("text")
-        return batch.set_column(at, "text", pa.array(out, pa.string()))
+        return batch.set_column(place, "text", pa.array(out, pa.string()))
 
-    done = map_arrow(docs, run, docs.schema)
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    done = map_arrow(rows, run, rows.schema)
+    done = done.withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType)) if "n_chars" in rows.columns else done
+    return done.toDF(*docs.columns)
