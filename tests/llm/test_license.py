@@ -89,16 +89,17 @@ def test_prefilter_loses_no_spelling_of_any_rule():
     from re import _parser
 
     rng, rules, s = random.Random(1), op.rules(), op.scanner()
+    compiled = [re.compile(r.pattern) for r in rules]  # more than the module remembers
     for i, r in enumerate(rules):
         missed = 0
         for n in range(12):
             text = sample(_parser.parse(r.pattern), rng, "\n" if n % 2 else "  \t")
-            own = [(m.start(), m.end()) for m in re.finditer(r.pattern, text)]
+            own = [(m.start(), m.end()) for m in compiled[i].finditer(text)]
             missed += not own
             if own:
                 assert all(k in text for k in r.keywords)
             if n < 4:
-                every = [(m.start(), m.end(), j) for j, x in enumerate(rules) for m in re.finditer(x.pattern, text)]
+                every = [(m.start(), m.end(), j) for j, x in enumerate(compiled) for m in x.finditer(text)]
                 assert s.detections(text) == op.suppress(every, [x.priority for x in rules]), (i, text)
         assert missed < 12, r.pattern
 
@@ -117,3 +118,28 @@ def test_wrapped_and_alternative_spellings():
         ("under the terms of the licence", "unknown-license"),
     ]:
         assert label in op.scan_one(text.encode())[5].split(","), text
+
+
+def test_labels_and_score_match_unfiltered_rules():
+    """Rows of whole texts, wrapped at 30 columns and between other words, against all rules without prefilter."""
+    import textwrap
+
+    rng, rules = random.Random(7), op.rules()
+    compiled = [re.compile(r.pattern) for r in rules]
+    whole = "Copyright (c) 2019 Some One. All rights reserved. Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. Released under the Apache License, Version 2.0, see http://www.apache.org/licenses/LICENSE-2.0 and SPDX-License-Identifier: BSD-3-Clause OR GPL-2.0-or-later."
+    w = whole.split()
+    for n in range(60):
+        part = w[rng.randrange(len(w) // 2) :][: rng.randrange(5, 90)]
+        text = textwrap.fill(" ".join(["other words", *part, "and more"]), 30) if n % 2 else "\t".join(part)
+        low = text.encode().lower().decode()
+        every = [(m.start(), m.end(), j) for j, x in enumerate(compiled) for m in x.finditer(low)]
+        kept = [d for d in sorted(every, key=lambda d: (-rules[d[2]].priority, d[0] - d[1], d[0], d[2]))]
+        held = []
+        for d in kept:
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in held):
+                held.append(d)
+        base = brute(text)[4]
+        labels = {rules[i].label for _, _, i in held} | set(filter(None, base.split(",")))
+        score = max([0.5 if base else 0.0, *(rules[i].confidence for _, _, i in held)])
+        row = op.scan_one(text.encode())
+        assert row[5] == ",".join(sorted(labels)) and row[6] == score

@@ -1,8 +1,10 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-A few hundred regexes, each with a priority and the keywords without which it can't match, which are
-read off the parsed regex (literal runs that every match holds). One Aho-Corasick pass over the
-lower-cased text finds the keywords present; only rules whose keywords are all present run. Overlapping detections are resolved by priority: a detection whose interval
+A few hundred regexes: sentences of the license texts, and the ways in which texts cite a license by name, id or
+address. Each has a priority and keywords without which it can't match: they are read off the parsed regex (literal runs
+that every match holds, cut at white space, which may be any), so the prefilter loses no match, however a text is wrapped.
+One Aho-Corasick pass over the lower-cased text finds the keywords present; only rules whose keywords are all present run.
+Overlapping detections are resolved by priority: a detection whose interval
 lies inside that of a better one (higher priority, then longer, then earlier, then rule order) goes.
 
 Edge cases: a null or empty text has no words and no labels, score 0. Repeated rows give repeated
@@ -137,6 +139,132 @@ BODIES: tuple[tuple[str, str], ...] = (
     ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse"),
     ("postgresql", r"the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
     ("ncsa", r"neither the names of .{1,80} nor the names of its contributors"),
+    ("mit", r"the software is provided \"?as is\"?,? without warranty of any kind, express or implied"),
+    ("mit", r"to deal in the software without restriction, including without limitation the rights"),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim"),
+    ("mit", r"to permit persons to whom the software is furnished to do so"),
+    ("mit", r"except as contained in this notice, the names? of .{1,80} shall not be used in advertising"),
+    ("mit-0", r"to permit persons to whom the software is furnished to do so\. the software is provided"),
+    ("isc", r"the software is provided \"?as is\"? and (?:the author|isc|.{1,40}) disclaims all warranties"),
+    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", r"loss of use, data or profits, whether in an action of contract, negligence or other tortious action"),
+    ("0bsd", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\. the software"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice, this list of conditions"),
+    ("bsd", r"this software is provided by the (?:copyright holders?|regents|authors?)(?: and contributors)? \"?as is\"? and any express or implied warranties"),
+    ("bsd", r"procurement of substitute goods or services; loss of use, data, or profits"),
+    ("bsd", r"even if advised of the possibility of such damage"),
+    ("bsd-3-clause", r"names? of (?:its|the|any|other) contributors may (?:not )?be used to endorse or promote products"),
+    ("bsd-3-clause", r"no express or implied licenses to any party's patent rights are granted"),
+    ("bsd-4-clause", r"must display the following acknowledge?ment: this product includes software developed by"),
+    ("bsd-4-clause", r"this product includes software developed by the university of california"),
+    ("bsd-2-clause", r"the views and conclusions contained in the software and documentation are those of the authors"),
+    ("apache", r"terms and conditions for use, reproduction, and distribution"),
+    ("apache", r"perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license"),
+    ("apache", r"unless required by applicable law or agreed to in writing, software distributed under the license"),
+    ("apache", r"see the license for the specific language governing permissions and limitations"),
+    ("apache", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
+    ("apache", r"a copy of the attribution notices contained within such notice file"),
+    ("apache", r"appendix: how to apply the apache license to your work"),
+    ("apache", r"this product includes software developed by the apache software foundation"),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl", r"either version [123](?: of the license)?,? or \(at your option\) any later version"),
+    ("gpl", r"you should have received a copy of the gnu general public license along with"),
+    ("gpl", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl", r"the gnu general public license is a free, copyleft license for software"),
+    ("gpl", r"how to apply these terms to your new programs"),
+    ("gpl", r"terms and conditions for copying, distribution and modification"),
+    ("gpl", r"this program is free software[:;,] you can redistribute it"),
+    ("gpl", r"you must cause the modified files to carry prominent notices stating that you changed the files"),
+    ("gpl", r"the \"?corresponding source\"? for a work in object code form means"),
+    ("gpl", r"you may convey verbatim copies of the program's source code as you receive it"),
+    ("gpl", r"as a special exception, .{1,120} gives? (?:you )?permission to link"),
+    ("gpl", r"gcc runtime library exception"),
+    ("gpl", r"classpath exception"),
+    ("lgpl", r"this library is free software[:;,] you can redistribute it"),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("lgpl", r"a work that uses the library"),
+    ("lgpl", r"the object code form of an application may incorporate material from a header file"),
+    ("lgpl", r"incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("agpl", r"remote network interaction; use with the gnu general public license"),
+    ("agpl", r"your modified version must prominently offer all users interacting with it remotely"),
+    ("agpl", r"you should have received a copy of the gnu affero general public license along with"),
+    ("agpl", r"ensure cooperation with the community in the case of network server software"),
+    ("gfdl", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", r"the purpose of this license is to make a manual, textbook, or other functional and useful document"),
+    ("gfdl", r"a copy of the license is included in the section entitled"),
+    ("mpl", r"if a copy of the mpl was not distributed with this file, you can obtain one at"),
+    ("mpl", r"this source code form is \"?incompatible with secondary licenses\"?"),
+    ("mpl", r"the contents of this file are subject to the mozilla public license"),
+    ("mpl", r"the original code is .{1,80}\. the initial developer of the original code is"),
+    ("mpl", r"alternatively, the contents of this file may be used under the terms of either"),
+    ("epl", r"all rights reserved\. this program and the accompanying materials"),
+    ("epl", r"any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement"),
+    ("epl", r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("edl", r"eclipse distribution license ?-? ?v ?1\.0"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", r"when distributing covered code, include this cddl header in each file"),
+    ("cpl", r"the accompanying program is provided under the terms of this common public license"),
+    ("ipl", r"the accompanying program is provided under the terms of this ibm public license"),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", r"you may distribute the programs of this package in object code or executable form"),
+    ("artistic", r"this is free software; you can redistribute it and/or modify it under the same terms as (?:the )?perl"),
+    ("artistic", r"the copyright holder maintains some semblance of artistic control"),
+    ("boost", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("boost", r"distributed under the boost software license, version 1\.0"),
+    ("zlib", r"this software is provided 'as-is', without any express or implied warranty"),
+    ("zlib", r"permission is granted to anyone to use this software for any purpose, including commercial applications"),
+    ("zlib", r"this notice may not be removed or altered from any source distribution"),
+    ("libpng", r"the contributing authors and group 42, inc\. disclaim all warranties"),
+    ("libpng", r"permission is hereby granted to use, copy, modify, and distribute this source code"),
+    ("unlicense", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("unlicense", r"in jurisdictions that recognize copyright laws, the author or authors of this software dedicate"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", r"to the extent possible under law, .{1,120} has waived"),
+    ("cc0", r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives"),
+    ("cc-by", r"you must give appropriate credit, provide a link to the license, and indicate if changes were made"),
+    ("cc-by", r"by exercising the licensed rights \(defined below\), you accept and agree to be bound"),
+    ("cc-by-sa", r"if you remix, transform, or build upon the material, you must distribute your contributions under the same license"),
+    ("cc-by-nc", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", r"if you remix, transform, or build upon the material, you may not distribute the modified material"),
+    ("odbl", r"this .{1,80} is made available under the open database license"),
+    ("odbl", r"any rights in individual contents of the database are licensed under the database contents license"),
+    ("odc-by", r"is made available under the open data commons attribution license"),
+    ("pddl", r"is made available under the public domain dedication and license"),
+    ("ofl", r"this font software is licensed under the sil open font license"),
+    ("ofl", r"neither the font software nor any of its individual components, in original or modified versions, may be sold by itself"),
+    ("python", r"this license agreement is between the python software foundation"),
+    ("python", r"psf is making python available to licensee on an \"?as is\"? basis"),
+    ("postgresql", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement"),
+    ("php", r"this product includes php software, freely available from"),
+    ("php", r"products derived from this software may not be called \"?php\"?"),
+    ("ruby", r"you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("openssl", r"this product includes cryptographic software written by eric young"),
+    ("eupl", r"licensed under the eupl,? version 1\.[0-2]"),
+    ("eupl", r"this european union public licence \(the \"?eupl\"?\) applies to the work"),
+    ("cecill", r"this software is governed by the cecill(?:-[bc])? license under french law"),
+    ("mspl", r"this license governs use of the accompanying software\. if you use the software, you accept this license"),
+    ("afl", r"licensed under the academic free license version"),
+    ("osl", r"licensed under the open software license version"),
+    ("ncsa", r"to deal with the software without restriction, including without limitation the rights"),
+    ("upl", r"the above copyright notice and either this complete permission notice or at a minimum a reference to the upl must be included"),
+    ("busl", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use"),
+    ("busl", r"on the change date, or the fourth anniversary of the first publicly available distribution"),
+    ("sspl", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("mulan", r"you can use this software according to the terms and conditions of the mulan psl"),
+    ("openrail", r"use restrictions as referenced in paragraph 5"),
+    ("openrail", r"you agree not to use the model or derivatives of the model"),
+    ("public-domain", r"this (?:work|file|software|code|document) has been (?:released|placed|dedicated) (?:in|into|to) the public domain"),
+    ("public-domain", r"no copyright is claimed in the united states"),
+    ("public-domain", r"works? of the (?:united states|u\.s\.) government"),
+    ("proprietary", r"for internal use only"),
+    ("proprietary", r"may not be (?:copied|reproduced|distributed|disclosed)(?:,? (?:or|and) \w+)* without (?:the )?(?:prior |express |written )*(?:consent|permission)"),
+    ("proprietary", r"this software is the confidential and proprietary information of"),
+    ("proprietary", r"no part of this (?:publication|work|document|book) may be reproduced"),
+    ("proprietary", r"you may not reverse engineer, decompile,? or disassemble"),
+    ("proprietary", r"trade secrets? of .{1,60} and (?:is|are) protected"),
     ("proprietary", r"all rights reserved"),
     ("proprietary", r"proprietary and confidential"),
     ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)"),
