@@ -2,10 +2,12 @@
 
 links() takes buckets of nodes that may be similar (a node is one set of shingles) and returns links that connect
 what the similar pairs of a bucket connect, each verified on the whole sets. First each node of a bucket is compared
-with the bucket's smallest node, so a large group of near copies costs no pairs of its own. What is left are
+with the bucket's hub, the node that meets most others in all its buckets: among near copies the one they are copies of, so
+a large group costs no pairs of its own. What is left are
 buckets whose nodes these links don't join. Their nodes go through a prefix filter, which loses nothing: in the
 order of how many of these nodes hold a shingle, two sets of similarity s share one among the first
-n - ceil(s n) + 1 of each. So a passage that many documents share pairs none of them by itself.
+n - ceil(s n) + 1 of each, and with enough left after it in both. So a passage that many documents share pairs none
+of them by itself.
 
 Fewer words than a shingle give one shingle of the whole sequence; no words (or a null text) give the empty set.
 """
@@ -98,10 +100,12 @@ def prefix_pairs(rows: DataFrame, nodes: DataFrame, words: int, similarity: tupl
     common = join_hot(tokens, often, "token").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("c"))
     # Shingles that no other node holds are the rarest of all and take the first places.
     length = F.col("size") - F.floor((part * F.col("size") + whole - 1) / whole) + 1 - (F.col("size") - F.size("c"))
-    heads = common.select("node", "size", F.explode(F.slice("c", 1, F.greatest(length, F.lit(0)).cast("int"))).alias("t")).select("node", "size", "t.token")
-    heads = written(heads.join(nodes, "node"), "near-heads")
-    a, b = (heads.select("token", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("size").alias(f"s{x}")) for x in "ab")
-    out = a.join(b, "token").where(f"a > b AND ra <> rb AND {whole} * least(sa, sb) >= {part} * greatest(sa, sb)").select("a", "b").distinct()
+    heads = common.select("node", "size", F.size("c").alias("n"), F.posexplode(F.slice("c", 1, F.greatest(length, F.lit(0)).cast("int"))).alias("at", "t"))
+    heads = written(heads.select("node", "size", (F.col("n") - F.col("at")).alias("left"), "t.token").join(nodes, "node"), "near-heads")
+    a, b = (heads.select("token", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("size").alias(f"s{x}"), F.col("left").alias(f"l{x}")) for x in "ab")
+    # The first shingle that two sets share has all others that they share after it.
+    enough = f"least(la, lb) * {part + whole} >= {part} * (sa + sb)"
+    out = a.join(b, "token").where(f"a > b AND ra <> rb AND {whole} * least(sa, sb) >= {part} * greatest(sa, sb) AND {enough}").select("a", "b").distinct()
     out = written(out, "near-pairs")
     drop_scratch(sets, tokens, heads)
     return out
@@ -112,17 +116,22 @@ def links(rows: DataFrame, buckets: DataFrame, words: int = WORDS, similarity: t
 
     *rows*: __row, __node, text; *buckets*: node, key, without repeats.
     """
-    least = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = written(buckets.join(least.select("key", "low"), "key"), "near-buckets")
-    stars = written(shared.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "near-stars")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    many = written(buckets.join(sizes, "key"), "near-many")
+    met = many.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = many.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    shared = written(many.select("key", "node").join(hubs, "key"), "near-buckets")
+    stars = written(shared.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "near-stars")
     found = verified(rows, stars, words, similarity)
-    of = shared.join(components(found), "node", "left").select("key", "node", "low", F.coalesce("root", "node").alias("root"))
+    stars_of = components(found)
+    of = shared.join(stars_of, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root"))
     open_keys = of.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    # The smallest node's pairs are done.
-    left = written(of.where("node <> low").join(open_keys, "key", "left_semi").select("key", "node", "root"), "near-open")
-    many = left.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    nodes = written(left.join(many, "key", "left_semi").select("node", "root").distinct(), "near-rest")
+    # The hub's pairs are done.
+    left = written(of.where("node <> hub").join(open_keys, "key", "left_semi").select("key", "node", "root"), "near-open")
+    still = left.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
+    nodes = written(left.join(still, "key", "left_semi").select("node", "root").distinct(), "near-rest")
     rest = prefix_pairs(rows, nodes, words, similarity).join(stars, ["a", "b"], "left_anti")
-    out = found.unionByName(verified(rows, rest, words, similarity))
-    drop_scratch(shared, stars, left, nodes)
+    # The first links' components stand for them: stars, which settle at once where nothing is added.
+    out = stars_of.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rows, rest, words, similarity))
+    drop_scratch(many, shared, stars, left, nodes)
     return out

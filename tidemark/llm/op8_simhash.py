@@ -140,7 +140,7 @@ def shards(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     member, done = sharded(nodes, masks), []
     while True:
         hot = written(member.groupBy("mask", "bits").agg(F.count("*").alias("n")).where(F.col("n") > TREE).select("mask", "bits"), "op8-hot")
-        large = [r["mask"] for r in hot.select("mask").distinct().collect()]  # masks are few, whatever the nodes
+        large = hot.agg(F.collect_set("mask")).first()[0]  # masks are few, whatever the nodes
         if not large:
             done.append(member)
             break
