@@ -209,3 +209,32 @@ def test_scorers(spark):
     assert out["5"] == "error" and out["1"] == "neutral_other"
     chain = scorers.analyze(df.drop("score_transformer"), [scorers.LexiconScorer({"good": 1.0})])
     assert pd.notna(chain.first().score_vader)
+
+
+def test_restore_takes_the_last_row_of_a_repeated_id(spark, tmp_path):
+    cur = spark.createDataFrame([("a", None, None)], "id string, score_vader double, label_vader string")
+    rows = [("a", 0.9, "positive"), ("a", -0.4, "negative")]
+    spark.createDataFrame(rows, cur.schema).coalesce(1).write.parquet(f"file://{tmp_path}/prior")
+    prior = spark.read.parquet(f"file://{tmp_path}/prior")
+    assert tuple(restore.restore(cur, prior, ("vader",)).first()) == ("a", -0.4, "negative")
+
+
+def test_intervals_of_events_and_segments(spark):
+    import datetime as dt
+
+    rows = [(str(i), dt.datetime(2024, 1, 4 + i % 2, 12), (i * 7 % 11 - 5) / 5 + i % 2) for i in range(80)]
+    posts = spark.createDataFrame(rows, "id string, created_at timestamp, score double")
+    dim = spark.createDataFrame([(dt.date(2024, 1, 5), "e", "", "", ""), (dt.date(2024, 1, 4), "one side", "", "", "")], "date date, label string, description string, category string, impact string")
+    for exact in (False, True):
+        got = {r.event_label: r for r in events.compare_events_ci(posts, dim, 24, exact=exact).collect()}
+        assert got["e"].diff_ci_low < got["e"].diff < got["e"].diff_ci_high
+        assert got["one side"].n_pre == 0 and got["one side"].diff_ci_low is None
+    seg = posts.selectExpr("*", "'s' AS tracked_slug", "CASE WHEN id % 3 = 0 THEN 'low' ELSE 'high' END AS loyalty_tier")
+    near = {r.loyalty_tier: r for r in replies.loyalty_segments_ci(seg).collect()}
+    for r in replies.loyalty_segments_ci(seg, exact=True).collect():
+        assert r.ci_low < r.mean < r.ci_high and abs(near[r.loyalty_tier].ci_low - r.ci_low) < 0.1
+
+
+def test_sample_keeps_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "u", "a", 0.5), (None, "v", "a", 0.6), ("x", "w", "a", 0.1)], "id string, user string, tracked_slug string, score double")
+    assert replies.sample_with_flippers(df, "a", "b").count() == 3

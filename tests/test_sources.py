@@ -111,3 +111,37 @@ def test_dims(spark):
     assert a.count() == 3 and "Broadcast" not in dims.small(a, 1)._jdf.queryExecution().analyzed().toString()
     nested = spark.createDataFrame([({"t": ["x", "y"]},)], "tiers map<string,array<string>>")
     assert {tuple(r) for r in dims.flatten_accounts(nested).collect()} == {("t", "x"), ("t", "y")}
+
+
+def test_first_wins_by_a_number(spark):
+    df = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (None, "c", 2)], "id long, v string, line long")
+    assert [tuple(r) for r in files.first_wins(df, order=("line",)).collect()] == [(1, "a")]
+
+
+@pytest.mark.parametrize("moves", [0, 1])
+def test_publish_broken_between_its_moves_loses_no_table(spark, tmp_path, monkeypatch, moves):
+    path = f"file://{tmp_path}/t"
+    sinks.publish(spark.range(3), path, "id")
+    real, seen = sinks._move, []
+
+    def broken(*args):
+        if len(seen) == moves:
+            raise OSError("stopped")
+        seen.append(1)
+        real(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_move", broken)
+        with pytest.raises(OSError):
+            sinks.publish(spark.range(5), path, "id")
+    sinks.recover(spark, path)
+    assert spark.read.parquet(path).count() == (3 if moves == 0 else 5)
+    sinks.publish(spark.range(7), path, "id")
+    assert spark.read.parquet(path).count() == 7 and not (tmp_path / "t.old").exists()
+
+
+def test_analyze_needs_a_lexicon():
+    from tidemark import cli
+
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["analyze", "--posts", "p", "--out", "o"])

@@ -56,9 +56,8 @@ def cmd_ingest_replies(spark, a) -> None:
 def cmd_analyze(spark, a) -> None:
     """Score what has no score yet, with scores of an earlier table put back first."""
     posts = conform(spark.read.parquet(a.posts), scored_schema())
-    weights = json.loads(Path(a.lexicon).read_text()) if a.lexicon else {}
     prior = spark.read.parquet(a.prior) if a.prior else None
-    sinks.publish(scorers.analyze(posts, [scorers.LexiconScorer(weights)], prior), a.out)
+    sinks.publish(scorers.analyze(posts, [scorers.LexiconScorer(json.loads(Path(a.lexicon).read_text()))], prior), a.out)
 
 
 def cmd_charts(spark, a) -> None:
@@ -81,11 +80,13 @@ def cmd_event_study(spark, a) -> None:
         rows = spark.read.parquet(a.replies)
         rows = rows.where(F.col("tracked_slug") == a.slug) if a.slug else rows
         s, lab = summary.score_column(rows, a.score), summary.label_column(rows)
-        show(replies.post_summary_ci(rows, s, lab))
-        show(replies.loyalty_segments(replies.with_loyalty(rows, d.get("loyalty_keywords", [])), s))
+        if rows.isEmpty():
+            raise SystemExit(f"no replies{f' to {a.slug}' if a.slug else ''}")
+        show(replies.post_summary_ci(rows, s, lab, a.exact))
+        show(replies.loyalty_segments_ci(replies.with_loyalty(rows, d.get("loyalty_keywords", [])), s, a.exact))
     if a.scored:
         df = spark.read.parquet(a.scored)
-        show(events.compare_events(df, dims.events(spark, _rows(EVENT_DIM, d["events"])), a.window_hours, summary.score_column(df, a.score), a.where).orderBy("event_date"))
+        show(events.compare_events_ci(df, dims.events(spark, _rows(EVENT_DIM, d["events"])), a.window_hours, summary.score_column(df, a.score), a.where, a.exact).orderBy("event_date"))
 
 
 def cmd_stance(spark, a) -> None:
@@ -148,17 +149,18 @@ def parser() -> argparse.ArgumentParser:
     c = add("ingest-replies", cmd_ingest_replies, "raw!", "out!", "slug")
     c.add_argument("--direct", action="store_true")
     c.add_argument("--keep-repeats", action="store_true")
-    add("analyze", cmd_analyze, "posts!", "out!", "lexicon", "prior")
+    add("analyze", cmd_analyze, "posts!", "out!", "lexicon!", "prior")
     add("charts", cmd_charts, "scored!", "out!")
     add("summary", cmd_summary, "scored!", "score")
     c = add("event-study", cmd_event_study, "replies", "scored", "slug", "score", "dims", "where")
     c.add_argument("--window-hours", type=int, default=48)
+    c.add_argument("--exact", action="store_true", help="resample each group in one task, draw for draw as NumPy does")
     c = add("sample", cmd_sample, "replies!", "out!", "score", "first", "then")
     c.add_argument("--n", type=int, default=50)
     add("stance", cmd_stance, "stances!")
     add("resolve", cmd_resolve, "raw!", "dims!")
     add("status", cmd_status, "raw!", "dims")
-    ingest_options(add("run-all", cmd_run_all, "raw!", "out!", "dims", "since", "until", "lexicon", "score"))
+    ingest_options(add("run-all", cmd_run_all, "raw!", "out!", "dims", "since", "until", "lexicon!", "score"))
     return p
 
 

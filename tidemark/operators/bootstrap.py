@@ -1,7 +1,7 @@
 """Bootstrap confidence intervals: exact resampling in NumPy per group, and Poisson weights in SQL.
 
 The Poisson bootstrap is another estimator: each row gets an independent Poisson(1) weight in each replicate,
-so replicates are plain weighted sums that meet in partial aggregates. Its bounds agree with the exact ones
+so replicates are plain weighted sums that meet in partial aggregates, for groups of any size. Its bounds agree with the exact ones
 statistically, not digit by digit.
 """
 
@@ -21,8 +21,8 @@ CELLS = 2_000_000
 EXACT_ROWS = 5_000_000
 #: P(Poisson(1) <= k) for k = 0, 1, ... while above 16 bits' resolution.
 CDF = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(7))
-#: Replicates that one md5 gives, 16 bits each.
-PER_HASH = 8
+#: Replicates that one md5 gives, 16 bits each, and those of a Poisson bootstrap.
+PER_HASH, REPLICATES = 8, 1000
 
 
 def _clean(values) -> np.ndarray:
@@ -98,31 +98,43 @@ def exact_diff_ci(df: DataFrame, by: tuple[str, ...], side: str, score: str = "s
     return rows.groupBy(*by).applyInPandas(group, ", ".join([*keys, "diff double, diff_ci_low double, diff_ci_high double"]))
 
 
-def poisson_weight(key: Column, replicate: Column) -> Column:
-    """Poisson(1) weight of a row in a replicate, from 16 bits of md5(key:replicate div 8): the same in any engine."""
-    digest = F.md5(F.concat_ws(":", key, F.floor(replicate / PER_HASH).cast("string")))
-    u = (F.conv(F.substring(digest, (replicate % PER_HASH * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("double") + 0.5) / 65536
-    return sum(((u > c).cast("int") for c in CDF), F.lit(0))
+def _weights(key: Column, block: Column) -> list[Column]:
+    """Poisson(1) weights of a row in the PER_HASH replicates of a block, from 16 bits each of md5(key:block): the same in
+    any engine. Three conversions give all eight slices."""
+    digest = F.md5(F.concat_ws(":", key, block.cast("string")))
+    words = [F.conv(F.substring(digest, at, n), 16, 10).cast("long") for at, n in ((1, 12), (13, 12), (25, 8))]
+    slices = [F.shiftright(words[j // 3], (16 * (2 - j % 3)) if j < 6 else 16 * (7 - j)).bitwiseAND(F.lit(0xFFFF)) for j in range(PER_HASH)]
+    return [sum(((v.cast("double") + 0.5) / 65536 > c).cast("int") for c in CDF) for v in slices]
 
 
-def _replicates(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("w", poisson_weight(F.col("id"), F.col("b")))
+def _replicates(rows: DataFrame, by: tuple[str, ...], score: str, n: int, sides: dict[str, Column]) -> DataFrame:
+    """by and, for each side, its mean in every replicate: one row per key and replicate.
 
+    A row is repeated for each block of PER_HASH replicates, not for each replicate, and its block's sums meet in partial
+    aggregates, so a task shuffles one row for each key and block.
+    """
+    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // PER_HASH) - 1))))
+    spread = spread.withColumns({f"_w{j}": w for j, w in enumerate(_weights(F.col("id"), F.col("_block")))})
+    part = lambda j, on: F.try_divide(F.sum(F.when(on, F.col(f"_w{j}") * F.col(score))), F.sum(F.when(on, F.col(f"_w{j}"))))
+    sums = spread.groupBy(*by, "_block").agg(*(part(j, on).alias(f"_{s}{j}") for j in range(PER_HASH) for s, on in sides.items()))
+    each = F.array(*(F.struct((F.col("_block") * PER_HASH + j).alias("b"), *(F.col(f"_{s}{j}").alias(s) for s in sides)) for j in range(PER_HASH)))
+    return sums.select(*by, F.explode(each).alias("r")).select(*by, "r.*").where(F.col("b") < n)
 
-def poisson_mean_ci(df: DataFrame, by: tuple[str, ...], score: str = "score", replicates: int = 64, alpha: float = ALPHA) -> DataFrame:
-    """by, mean, ci_low, ci_high. Each task adds up its rows per (key, replicate), so the shuffle is small."""
+
+def _interval(values: DataFrame, by: tuple[str, ...], column: str, names: tuple[str, str], alpha: float) -> DataFrame:
+    return values.groupBy(*by).agg(*(F.percentile(column, F.lit(q)).alias(n) for n, q in zip(names, (alpha / 2, 1 - alpha / 2), strict=True)))
+
+
+def poisson_mean_ci(df: DataFrame, by: tuple[str, ...], score: str = "score", replicates: int = REPLICATES, alpha: float = ALPHA) -> DataFrame:
+    """by, mean, ci_low, ci_high."""
     rows = df.where(F.col(score).isNotNull()).select(*by, "id", score)
-    reps = _replicates(rows, replicates).groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("w") * F.col(score)), F.sum("w")).alias("m"))
-    ci = reps.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("ci_high"))
-    mean = rows.groupBy(*by).agg(F.avg(score).alias("mean"))
-    return mean.join(ci, list(by))
+    ci = _interval(_replicates(rows, by, score, replicates, {"m": F.lit(True)}), by, "m", ("ci_low", "ci_high"), alpha)
+    return rows.groupBy(*by).agg(F.avg(score).alias("mean")).join(ci, list(by))
 
 
-def poisson_diff_ci(df: DataFrame, by: tuple[str, ...], side: str, score: str = "score", replicates: int = 64, alpha: float = ALPHA) -> DataFrame:
-    """by, diff, diff_ci_low, diff_ci_high of *side* true against false."""
+def poisson_diff_ci(df: DataFrame, by: tuple[str, ...], side: str, score: str = "score", replicates: int = REPLICATES, alpha: float = ALPHA) -> DataFrame:
+    """by, diff, diff_ci_low, diff_ci_high of *side* true against false; no interval where a side is empty."""
     rows = df.where(F.col(score).isNotNull()).select(*by, side, "id", score)
-    part = lambda on: F.try_divide(F.sum(F.when(on, F.col("w") * F.col(score))), F.sum(F.when(on, F.col("w"))))
-    reps = _replicates(rows, replicates).groupBy(*by, "b").agg((part(F.col(side)) - part(~F.col(side))).alias("m"))
-    ci = reps.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("diff_ci_low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("diff_ci_high"))
+    reps = _replicates(rows, by, score, replicates, {"on": F.col(side), "off": ~F.col(side)}).withColumn("m", F.col("on") - F.col("off"))
     diff = rows.groupBy(*by).agg((F.avg(F.when(F.col(side), F.col(score))) - F.avg(F.when(~F.col(side), F.col(score)))).alias("diff"))
-    return diff.join(ci, list(by))
+    return diff.join(_interval(reps, by, "m", ("diff_ci_low", "diff_ci_high"), alpha), list(by))

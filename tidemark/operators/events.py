@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.bootstrap import REPLICATES, exact_diff_ci, poisson_diff_ci
 from tidemark.sources.dims import small
 
 
@@ -39,3 +40,16 @@ def compare_events(posts: DataFrame, events: DataFrame, hours: int = 48, score:
         F.avg(F.when(post, F.col(score))).alias("mean_post"),
     )
     return out.withColumns({"diff": F.col("mean_post") - F.col("mean_pre"), "window_hours": F.lit(hours), "event_date": F.date_format("event_date", "yyyy-MM-dd"), "score_col": F.lit(score)})
+
+
+def compare_events_ci(posts: DataFrame, events: DataFrame, hours: int = 48, score: str = "score", where: str | Column | None = None, exact: bool = False, replicates: int = REPLICATES) -> DataFrame:
+    """compare_events() with diff_ci_low and diff_ci_high, the bootstrap interval of the difference.
+
+    The Poisson bootstrap takes windows of any size; *exact* resamples each event's rows in one task (posts need an id).
+    """
+    out = compare_events(posts, events, hours, score, where)
+    rows = event_rows((posts if where is None else posts.where(where)).select("id", "created_at", score), events, hours)
+    rows = rows.withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd"))
+    by = ("event_date", "event_label")
+    ci = exact_diff_ci(rows, by, "is_post", score) if exact else poisson_diff_ci(rows, by, "is_post", score, replicates)
+    return out.join(ci.drop("diff"), list(by), "left")

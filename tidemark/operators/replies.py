@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.score import loyalty_score, loyalty_tier, tier_rank
-from tidemark.operators.bootstrap import exact_mean_ci
+from tidemark.operators.bootstrap import exact_mean_ci, poisson_mean_ci
 
 
 def label_shares(label: str = "label") -> list[Column]:
@@ -25,9 +25,14 @@ def post_summary(replies: DataFrame, score: str = "score", label: str = "label",
     return rows.groupBy(F.col("tracked_slug").alias("slug")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), *label_shares(label)).orderBy("slug")
 
 
-def post_summary_ci(replies: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """post_summary() with exact bootstrap intervals."""
-    ci = exact_mean_ci(replies.where("tracked_slug is not null"), ("tracked_slug",), score).select(F.col("tracked_slug").alias("slug"), "ci_low", "ci_high")
+def _mean_ci(rows: DataFrame, by: tuple[str, ...], score: str, exact: bool) -> DataFrame:
+    ci = exact_mean_ci(rows, by, score) if exact else poisson_mean_ci(rows, by, score)
+    return ci.select(*by, "ci_low", "ci_high")
+
+
+def post_summary_ci(replies: DataFrame, score: str = "score", label: str = "label", exact: bool = True) -> DataFrame:
+    """post_summary() with bootstrap intervals; without *exact* by the Poisson bootstrap, for posts of any size."""
+    ci = _mean_ci(replies.where("tracked_slug is not null"), ("tracked_slug",), score, exact).withColumnRenamed("tracked_slug", "slug")
     return post_summary(replies, score, label).join(ci, "slug", "left").withColumns({"score_col": F.lit(score), "label_col": F.lit(label)}).orderBy("slug")
 
 
@@ -47,6 +52,14 @@ def loyalty_segments(replies: DataFrame, score: str = "score", by_slug: bool = T
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(score).alias("mean")).orderBy(*keys[:-1], tier_rank(F.col("loyalty_tier")))
 
 
+def loyalty_segments_ci(replies: DataFrame, score: str = "score", exact: bool = False) -> DataFrame:
+    """loyalty_segments() by tracked post with bootstrap intervals of the mean."""
+    keys = ("tracked_slug", "loyalty_tier")
+    rows = replies.where(" and ".join(f"{k} is not null" for k in keys))
+    ci = _mean_ci(rows, keys, score, exact)
+    return loyalty_segments(replies, score).join(ci, list(keys), "left").withColumn("score_col", F.lit(score)).orderBy(keys[0], tier_rank(F.col("loyalty_tier")))
+
+
 def flippers(replies: DataFrame, first: str, then: str, score: str = "score", edge: float = 0.1) -> DataFrame:
     """Users whose mean on one post is above the edge and on another below its negative."""
     mean = lambda slug: F.avg(F.when(F.col("tracked_slug") == slug, F.col(score)))
@@ -83,4 +96,5 @@ def sample_with_flippers(replies: DataFrame, first: str, then: str, n: int = 50,
     sample = stratified_sample(replies, n, seed, score)
     cohort = flipper_rows(replies, first, then, score).orderBy(stable_order(seed), "id").limit(n).withColumn("bucket", F.lit("flipper"))
     new = cohort.join(sample.select("id"), "id", "left_anti")
-    return sample.unionByName(new).dropDuplicates(["id"])
+    both = sample.unionByName(new)
+    return both.where("id is not null").dropDuplicates(["id"]).unionByName(both.where("id is null"))

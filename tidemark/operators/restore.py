@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def last_wins(prior: DataFrame, keys: tuple[str, ...], columns: list[str], order: str | None = None) -> DataFrame:
-    """One row for each key: the last in *order* where there is one. Partial aggregates, so copies cost little."""
-    rank = F.col(order) if order else F.struct(*columns)
-    return prior.groupBy(*keys).agg(F.max_by(F.struct(*columns), rank).alias("p")).select(*keys, *(F.col("p")[c].alias(f"_prior_{c}") for c in columns))
+def last_wins(prior: DataFrame, keys: tuple[str, ...], columns: list[str], order: str | tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key: the last in *order*, or without one the last in the order of the table's files and rows.
+
+    A table has no order but its files'; a frame that is not read from files needs *order* where keys repeat.
+    Partial aggregates, so copies cost little.
+    """
+    order = (order,) if isinstance(order, str) else order
+    rank = F.struct(*order) if order else F.struct(F.input_file_name(), F.expr("input_file_block_start()"), F.monotonically_increasing_id())
+    rows = prior.select(*keys, F.struct(*columns).alias("p"), rank.alias("_rank"))
+    return rows.groupBy(*keys).agg(F.max_by("p", "_rank").alias("p")).select(*keys, *(F.col("p")[c].alias(f"_prior_{c}") for c in columns))
 
 
-def restore(current: DataFrame, prior: DataFrame, scorers: tuple[str, ...], keys: tuple[str, ...] = ("id",), order: str | None = None, overwrite: bool = False) -> DataFrame:
+def restore(current: DataFrame, prior: DataFrame, scorers: tuple[str, ...], keys: tuple[str, ...] = ("id",), order: str | tuple[str, ...] = (), overwrite: bool = False) -> DataFrame:
     """Fill score_<s> and label_<s> from *prior* where the current score is null (or wherever prior has one).
 
     Score and label move together: a row that keeps its score keeps its label.

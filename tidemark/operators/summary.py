@@ -99,3 +99,11 @@ def crosstab_long(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """The same as rows (row, column, per cent) for any number of values; empty cells are left out."""
     cells = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull()).groupBy(rows, columns).agg(F.count("*").alias("n"))
     return cells.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(rows)))
+
+
+def totals(df: DataFrame) -> DataFrame:
+    """posts, slugs (distinct tracked posts), url_only and errors over all rows."""
+    from tidemark.functions.text import url_only
+
+    errors = F.count_if(F.col("stance") == "error") if "stance" in df.columns else F.lit(0).cast("long")
+    return df.agg(F.count("*").alias("posts"), F.count_distinct("tracked_slug").alias("slugs"), F.count_if(url_only(F.col("text"))).alias("url_only"), errors.alias("errors"))

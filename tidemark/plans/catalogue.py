@@ -15,7 +15,7 @@ from tidemark.operators import bootstrap, events, matching, replies, restore, sc
 from tidemark.plans import adapters as ad
 from tidemark.plans.oracles import SQL
 from tidemark.session import shared_dir
-from tidemark.sources import dims, files
+from tidemark.sources import dims, files, sinks
 from tidemark.streaming import ingest
 
 #: Places that computed doubles are rounded to, as the order of a sum differs between engines.
@@ -107,9 +107,8 @@ def account_week_heatmap(spark, d):
 
 @_q
 def account_week_pivot(spark, d):
-    weeks = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
-    out = series.account_week_pivot(scored(spark, d), weeks=weeks)
-    return out.select("user", *(F.col(f"`{w}`").alias(f"w{w[5:7]}{w[8:]}") for w in weeks))
+    out = series.account_week_pivot(scored(spark, d))
+    return out.select("user", *(F.col(f"`{w}`").alias(f"w{w[5:7]}{w[8:]}") for w in out.columns if w != "user"))
 
 
 # -- events
@@ -120,6 +119,11 @@ def event_window_48h(spark, d):
     return events.compare_events(scored(spark, d), dims.events(spark, ad.EVENTS))
 
 
+@_q
+def event_window_ci(spark, d):
+    return events.compare_events_ci(scored(spark, d), dims.events(spark, ad.EVENTS))
+
+
 @_q
 def event_window_filtered(spark, d):
     return events.compare_events(scored(spark, d), dims.events(spark, ad.EVENTS), 24, where="tier = 'click'")
@@ -135,7 +139,7 @@ def event_markers(spark, d):
 
 def _overlapping(spark, d):
     s = scored(spark, d).select("id", "event_id", "user", "score")
-    return files.union_sources(s.where("event_id % 3 <> 0"), s.where("event_id % 2 = 0").withColumn("score", F.col("score") + 10))
+    return files.union_sources(s, s.withColumn("score", F.col("score") + 10))
 
 
 @_q
@@ -242,6 +246,11 @@ def post_summary_ci(spark, d):
     return replies.post_summary_ci(scored(spark, d))
 
 
+@_q
+def post_summary_poisson(spark, d):
+    return replies.post_summary_ci(scored(spark, d), exact=False)
+
+
 @_q
 def mean_ci_poisson(spark, d):
     return bootstrap.poisson_mean_ci(scored(spark, d), ("tier",))
@@ -283,6 +292,11 @@ def loyalty_segments(spark, d):
     return replies.loyalty_segments(_loyal(spark, d))
 
 
+@_q
+def loyalty_segments_poisson(spark, d):
+    return replies.loyalty_segments_ci(_loyal(spark, d))
+
+
 @_q
 def flippers(spark, d):
     return replies.flippers(scored(spark, d), "click", "view", edge=0.02)
@@ -301,8 +315,7 @@ def stratified_sample(spark, d):
 @_q
 def sample_union_dedup(spark, d):
     s = scored(spark, d)
-    first, then = s.where("event_id % 5 = 0"), s.where("event_id % 7 = 0")
-    both = files.union_sources(replies.stratified_sample(first), replies.stratified_sample(then, seed=7))
+    both = files.union_sources(replies.stratified_sample(s), replies.stratified_sample(s, seed=7))
     return files.first_wins(both, "id", ("branch",)).select("id", "tracked_slug", "bucket")
 
 
@@ -423,6 +436,14 @@ def restore_checkpoint(spark, d):
     return restore.restore(_current(spark, d), _prior(spark, d), ("vader",), overwrite=True).select("id", "score_vader", "label_vader")
 
 
+@_q
+def restore_repeated(spark, d):
+    """A prior that holds every id twice: the later row wins."""
+    old = _prior(spark, d).withColumn("run", F.lit(1))
+    new = old.withColumns({"score_vader": F.col("score_vader") - 0.25, "run": F.lit(2)}).withColumn("label_vader", fs.label(F.col("score_vader")))
+    return restore.restore(_current(spark, d), new.unionByName(old), ("vader",), order=("run",)).select("id", "score_vader", "label_vader")
+
+
 @_q
 def checkpoint_coverage(spark, d):
     return restore.coverage_of(_current(spark, d), _prior(spark, d))
@@ -474,6 +495,62 @@ def metrics_json(spark, d):
     return e.select("event_id", k.alias("k"), F.element_at(F.from_json("props", "map<string,bigint>"), "k").alias("mapped"), F.to_json(F.struct(F.col("event_id").alias("id"), k.alias("k"))).alias("line"))
 
 
+# -- landed files: written as JSON lines to the shared folder and read back by the sources
+
+
+def _landed(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}/{name}"
+
+
+@_q
+def jsonl_posts(spark, d):
+    """Posts with an overlapping second file: read with the schema, first file and line win, blank ids go."""
+    place = _landed(spark, "x")
+    p = ad.posts(spark, d).select("id", "user", "text", "lang", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+    sinks.write_jsonl(p, place)
+    sinks.write_jsonl(p.withColumn("text", F.lit("second")), f"{place}/later")
+    rows = files.union_sources(files.read_jsonl(spark, f"{place}/*.json"), files.read_jsonl(spark, f"{place}/later/*.json"), files.read_jsonl(spark, f"{place}/none/*.json"))
+    out = files.first_wins(rows, "id", ("branch",))
+    return out.select("id", "user", F.md5("text").alias("text_md5"), "lang", F.to_date(tm.parse_iso(F.col("created_at"))).cast("string").alias("day"))
+
+
+@_q
+def jsonl_corrupt(spark, d):
+    """Every third line is cut and blank lines lie between: corrupt lines go, the rest stays."""
+    place = _landed(spark, "bad")
+    e = ad.table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("user"))).alias("line"))
+    e.select(F.when(F.col("event_id") % 3 == 0, F.substring("line", 1, 9)).otherwise(F.concat("line", F.lit("\n"))).alias("value")).write.text(place)
+    return files.read_jsonl(spark, f"{place}/*.txt", bad_lines="drop").where("id is not null").select("id", "user")
+
+
+@_q
+def replies_by_slug(spark, d):
+    """Replies published by tracked post and read again for one of them."""
+    place = _landed(spark, "replies")
+    sinks.write_replies(scored(spark, d).select("id", "user", "tracked_slug", "score"), place)
+    return spark.read.parquet(place).where("tracked_slug = 'click'").select("id", "user", "score")
+
+
+@_q
+def published_sorted(spark, d):
+    """The scored table, published twice: as many rows, and each file's times lie in order."""
+    place = _landed(spark, "scored")
+    for _ in range(2):
+        sinks.publish(scored(spark, d).select("id", "created_at", "score"), place)
+    t = files.load_or_compute(spark, place, lambda: None).withColumn("file", F.input_file_name())
+    ends = t.groupBy("file").agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi"), F.count("*").alias("n"))
+    other = ends.select(F.col("file").alias("f"), F.col("lo").alias("l"), F.col("hi").alias("h"))
+    crossed = ends.join(other, (F.col("file") < F.col("f")) & (F.col("lo") < F.col("h")) & (F.col("l") < F.col("hi")), "left_semi").count()  # a row per file
+    return ends.agg(F.sum("n").alias("n"), F.lit(crossed).cast("long").alias("crossed"))
+
+
+@_q
+def source_totals(spark, d):
+    """Global counts: posts, distinct tracked posts, URL-only texts, errors."""
+    t = ad.stances(spark, d).withColumn("text", F.when(F.col("event_id") % 10 == 0, F.lit("https://a.b/c")).otherwise(F.lit("see https://a.b/c")))
+    return summary.totals(t)
+
+
 # -- streaming
 
 

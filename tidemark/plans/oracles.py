@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tidemark.operators.bootstrap import CDF, PER_HASH
+from tidemark.operators.bootstrap import CDF, PER_HASH, REPLICATES
 from tidemark.operators.stance import CATEGORIES
 from tidemark.plans.adapters import AS_OF, COLOURS, EVENTS, KEYWORDS, SOURCES, TRACKED
 
@@ -113,7 +113,7 @@ SQL: dict[str, str] = {
     "event_window_48h": compare(48),
     "event_window_filtered": compare(24, "tier = 'click'"),
     "event_markers": f"WITH {DIM} SELECT strftime(date, '%Y-%m-%d') AS date, label, category, CASE category {' '.join(f'WHEN {c!r} THEN {k!r}' for c, k in COLOURS.items())} ELSE 'gray' END AS colour FROM dim WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-12-31'",
-    "dedupe_first_wins": f"""WITH {SCORED}, u AS (SELECT 0 AS b, id, "user", score FROM scored WHERE event_id % 3 <> 0 UNION ALL SELECT 1, id, "user", score + 10 FROM scored WHERE event_id % 2 = 0)
+    "dedupe_first_wins": f"""WITH {SCORED}, u AS (SELECT 0 AS b, id, "user", score FROM scored UNION ALL SELECT 1, id, "user", score + 10 FROM scored)
        SELECT id, "user", round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY b) AS rn FROM u) WHERE rn = 1""",
     "dedupe_texts": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE text IS NOT NULL AND text <> '') WHERE rn = 1",
     "cap_newest_per_user": 'SELECT o_orderkey AS id, o_custkey AS "user" FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3',
@@ -130,20 +130,32 @@ SQL: dict[str, str] = {
     "reply_parents": f'WITH {REPLY} SELECT a.id, a."user", b."user" AS parent_user FROM r a JOIN r b ON a.in_reply_to_id = b.id',
     "post_summary": f"WITH {SCORED} SELECT tracked_slug AS slug, count(*) AS n, round(avg(score), 9) AS mean_score, {SHARES} FROM scored WHERE tracked_slug IS NOT NULL GROUP BY tracked_slug",
     "post_label_shares": f"WITH {SCORED} SELECT 'click' AS slug, count(*) AS n, round(avg(score), 9) AS mean_score, {SHARES} FROM scored WHERE tracked_slug = 'click'",
-    "mean_ci_poisson": f"""WITH {SCORED}, reps AS (SELECT tier, b, score, {poisson("id", "b")} AS w FROM scored, (SELECT unnest(range(64)) AS b) WHERE score IS NOT NULL),
+    "mean_ci_poisson": f"""WITH {SCORED}, reps AS (SELECT tier, b, score, {poisson("id", "b")} AS w FROM scored, (SELECT unnest(range({REPLICATES})) AS b) WHERE score IS NOT NULL),
        m AS (SELECT tier, b, sum(w * score) / nullif(sum(w), 0) AS m FROM reps GROUP BY tier, b),
        ci AS (SELECT tier, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY tier)
        SELECT s.tier, round(avg(s.score), 9) AS mean, round(any_value(ci.lo), 9) AS ci_low, round(any_value(ci.hi), 9) AS ci_high FROM scored s JOIN ci ON ci.tier = s.tier GROUP BY s.tier""",
-    "diff_ci_poisson": f"""WITH {SCORED}, {DIM}, {windows(48)}, reps AS (SELECT event_label, is_post, b, score, {poisson("id", "b")} AS w FROM rows, (SELECT unnest(range(64)) AS b)),
+    "diff_ci_poisson": f"""WITH {SCORED}, {DIM}, {windows(48)}, reps AS (SELECT event_label, is_post, b, score, {poisson("id", "b")} AS w FROM rows, (SELECT unnest(range({REPLICATES})) AS b)),
        m AS (SELECT event_label, b, sum(w * score) FILTER (is_post) / nullif(sum(w) FILTER (is_post), 0) - sum(w * score) FILTER (NOT is_post) / nullif(sum(w) FILTER (NOT is_post), 0) AS m FROM reps GROUP BY event_label, b),
        ci AS (SELECT event_label, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY event_label)
        SELECT r.event_label, round(avg(score) FILTER (is_post) - avg(score) FILTER (NOT is_post), 9) AS diff, round(any_value(lo), 9) AS diff_ci_low, round(any_value(hi), 9) AS diff_ci_high FROM rows r JOIN ci ON ci.event_label = r.event_label GROUP BY r.event_label""",
+    "event_window_ci": f"""WITH {SCORED}, {DIM}, {windows(48)}, reps AS (SELECT event_date, event_label, is_post, b, score, {poisson("id", "b")} AS w FROM rows, (SELECT unnest(range({REPLICATES})) AS b)),
+       m AS (SELECT event_date, event_label, b, sum(w * score) FILTER (is_post) / nullif(sum(w) FILTER (is_post), 0) - sum(w * score) FILTER (NOT is_post) / nullif(sum(w) FILTER (NOT is_post), 0) AS m FROM reps GROUP BY ALL),
+       ci AS (SELECT event_date, event_label, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY ALL)
+       SELECT strftime(r.event_date, '%Y-%m-%d') AS event_date, r.event_label, count(*) FILTER (NOT is_post) AS n_pre, count(*) FILTER (is_post) AS n_post,
+       round(avg(score) FILTER (NOT is_post), 9) AS mean_pre, round(avg(score) FILTER (is_post), 9) AS mean_post, round(avg(score) FILTER (is_post) - avg(score) FILTER (NOT is_post), 9) AS diff, 48 AS window_hours, 'score' AS score_col,
+       round(any_value(lo), 9) AS diff_ci_low, round(any_value(hi), 9) AS diff_ci_high FROM rows r JOIN ci ON ci.event_label = r.event_label AND ci.event_date = r.event_date GROUP BY r.event_date, r.event_label""",
+    "post_summary_poisson": f"""WITH {SCORED}, reps AS (SELECT tracked_slug, b, score, {poisson("id", "b")} AS w FROM scored, (SELECT unnest(range({REPLICATES})) AS b) WHERE score IS NOT NULL),
+       m AS (SELECT tracked_slug, b, sum(w * score) / nullif(sum(w), 0) AS m FROM reps GROUP BY ALL), ci AS (SELECT tracked_slug, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY ALL)
+       SELECT s.tracked_slug AS slug, count(*) AS n, round(avg(score), 9) AS mean_score, {SHARES}, round(any_value(lo), 9) AS ci_low, round(any_value(hi), 9) AS ci_high, 'score' AS score_col, 'label' AS label_col FROM scored s JOIN ci ON ci.tracked_slug = s.tracked_slug GROUP BY s.tracked_slug""",
+    "loyalty_segments_poisson": f"""WITH {LOYAL}, reps AS (SELECT tracked_slug, loyalty_tier, b, score, {poisson("doc_id", "b")} AS w FROM tiers, (SELECT unnest(range({REPLICATES})) AS b)),
+       m AS (SELECT tracked_slug, loyalty_tier, b, sum(w * score) / nullif(sum(w), 0) AS m FROM reps GROUP BY ALL), ci AS (SELECT tracked_slug, loyalty_tier, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY ALL)
+       SELECT t.tracked_slug, t.loyalty_tier, count(*) AS n, round(avg(score), 9) AS mean, round(any_value(lo), 9) AS ci_low, round(any_value(hi), 9) AS ci_high, 'score' AS score_col FROM tiers t JOIN ci ON ci.tracked_slug = t.tracked_slug AND ci.loyalty_tier = t.loyalty_tier GROUP BY t.tracked_slug, t.loyalty_tier""",
     "loyalty_scores": f"WITH {LOYAL} SELECT doc_id, round(loyalty_score, 9) AS loyalty_score, loyalty_tier FROM tiers",
     "loyalty_segments": f"WITH {LOYAL} SELECT tracked_slug, loyalty_tier, count(*) AS n, round(avg(score), 9) AS mean FROM tiers WHERE tracked_slug IS NOT NULL GROUP BY 1, 2",
     "flippers": f'WITH {SCORED}, {FLIP} SELECT "user", round(mean_first, 9) AS mean_first, round(mean_then, 9) AS mean_then FROM flip',
     "flipper_rows": f"""WITH {SCORED}, {FLIP} SELECT id, "user", round(score, 9) AS score FROM scored WHERE tracked_slug = 'view' AND "user" IN (SELECT "user" FROM flip)""",
     "stratified_sample": f"WITH {SCORED}, {sampled('scored', 50, 42, 'sample')} SELECT id, tracked_slug, bucket, round(score, 9) AS score FROM sample",
-    "sample_union_dedup": f"""WITH {SCORED}, f AS (SELECT * FROM scored WHERE event_id % 5 = 0), t AS (SELECT * FROM scored WHERE event_id % 7 = 0), {sampled("f", 50, 42, "a")}, {sampled("t", 50, 7, "b")},
+    "sample_union_dedup": f"""WITH {SCORED}, {sampled("scored", 50, 42, "a")}, {sampled("scored", 50, 7, "b")},
        u AS (SELECT 0 AS branch, id, tracked_slug, bucket FROM a UNION ALL SELECT 1, id, tracked_slug, bucket FROM b)
        SELECT id, tracked_slug, bucket FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY branch) AS k FROM u) WHERE k = 1""",
     "stance_distribution": f"""WITH {STANCES}, c AS (SELECT stance, count(*) AS n FROM stances WHERE stance <> 'error' GROUP BY stance)
@@ -177,12 +189,18 @@ SQL: dict[str, str] = {
     "restore_scores": f"""WITH {SCORED}, {CURRENT} SELECT c.id, round(CASE WHEN c.score_vader IS NULL THEN p.score_vader ELSE c.score_vader END, 9) AS score_vader, CASE WHEN c.score_vader IS NULL THEN p.label_vader ELSE c.label_vader END AS label_vader FROM cur c LEFT JOIN prior p ON p.id = c.id""",
     "restore_checkpoint": f"""WITH {SCORED}, {CURRENT} SELECT c.id, round(coalesce(p.score_vader, c.score_vader), 9) AS score_vader, CASE WHEN p.score_vader IS NULL THEN c.label_vader ELSE p.label_vader END AS label_vader FROM cur c LEFT JOIN prior p ON p.id = c.id""",
     "checkpoint_coverage": f"WITH {SCORED}, {CURRENT} SELECT count(*) AS rows, count(p.id) AS hits, count(*) = count(p.id) AS complete FROM cur c LEFT JOIN prior p ON p.id = c.id",
+    "restore_repeated": f"""WITH {SCORED}, {CURRENT} SELECT c.id, round(CASE WHEN c.score_vader IS NULL THEN p.score_vader - 0.25 ELSE c.score_vader END, 9) AS score_vader, CASE WHEN c.score_vader IS NULL THEN {LABEL("(p.score_vader - 0.25)")} ELSE c.label_vader END AS label_vader FROM cur c LEFT JOIN prior p ON p.id = c.id""",
     "pending_scores": r"SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND regexp_matches(coalesce(text, ''), '\S')",
     "pick_score_column": "SELECT event_type AS tier, CASE WHEN event_type = 'click' THEN 'score_transformer' ELSE 'score_vader' END AS picked FROM events GROUP BY event_type",
     "parse_llm_json": f"""SELECT event_id, CASE WHEN event_id % 5 < 3 THEN round({NUMBER}, 9) END AS score, CASE WHEN event_id % 5 < 2 THEN 'positive' WHEN event_id % 5 = 2 THEN {STRICT(NUMBER)} END AS label, event_id % 5 < 3 AS ok FROM events""",
     "parse_stance_json": """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 'neutral_other' ELSE 'error' END AS stance, CASE WHEN event_id % 3 < 2 THEN round((event_id % 10) / 10.0, 9) ELSE 0.0 END AS confidence,
        CASE WHEN event_id % 3 < 2 THEN 'r' || event_id ELSE 'not JSON' END AS reason, event_id % 3 < 2 AS ok FROM events""",
     "metrics_json": """SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, CAST(props->>'$.k' AS BIGINT) AS mapped, '{"id":' || event_id || coalesce(',"k":' || (props->>'$.k'), '') || '}' AS line FROM events""",
+    "jsonl_posts": f"""WITH {POSTS} SELECT id, "user", md5(text) AS text_md5, lang, strftime(created_at, '%Y-%m-%d') AS day FROM posts WHERE id IS NOT NULL AND id <> ''""",
+    "jsonl_corrupt": 'SELECT CAST(event_id AS VARCHAR) AS id, event_type AS "user" FROM events WHERE event_id % 3 <> 0',
+    "replies_by_slug": f"""WITH {SCORED} SELECT id, "user", round(score, 9) AS score FROM scored WHERE tracked_slug = 'click'""",
+    "published_sorted": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS crossed FROM events",
+    "source_totals": "SELECT count(*) AS posts, count(DISTINCT event_type) AS slugs, count(*) FILTER (event_id % 10 = 0) AS url_only, count(*) FILTER (event_id % 11 = 0) AS errors FROM events",
     "stream_daily_means": "SELECT event_type AS tier, strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, round(avg(value), 9) AS mean, count(value) AS n FROM events GROUP BY event_type, date_trunc('day', ts)",
     "stream_dedupe": "SELECT DISTINCT CAST(event_id AS VARCHAR) AS id FROM events",
 }

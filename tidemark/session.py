@@ -24,6 +24,10 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    """spark.checkpoint.dir, or a temporary folder where it is unset on one machine; a cluster needs the setting."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return path.rstrip("/")

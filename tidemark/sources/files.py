@@ -34,11 +34,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = POST, bad_
 def first_wins(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("file", "block", "line")) -> DataFrame:
     """The first row of each key in the given order; rows without a key go.
 
-    min_by of the row's struct is a partial aggregate: one row per key and task is shuffled, however often a key
-    repeats, where a window would shuffle and sort all.
+    min_by of the row's struct is a partial aggregate: each task sorts its own rows by key (structs have no hash
+    aggregate) and shuffles one row per key, however often a key repeats, where a window would shuffle all.
     """
     names = [c for c in df.columns if c not in order]
-    rows = df.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    rows = df.where(F.col(key).isNotNull())
+    if isinstance(df.schema[key].dataType, T.StringType):
+        rows = rows.where(F.col(key) != "")
     best = rows.groupBy(key).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("row"))
     return best.select("row.*")
 
