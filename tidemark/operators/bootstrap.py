@@ -104,7 +104,8 @@ def _weights(key: Column, block: Column) -> list[Column]:
     digest = F.md5(F.concat_ws(":", key, block.cast("string")))
     words = [F.conv(F.substring(digest, at, n), 16, 10).cast("long") for at, n in ((1, 12), (13, 12), (25, 8))]
     slices = [F.shiftright(words[j // 3], (16 * (2 - j % 3)) if j < 6 else 16 * (7 - j)).bitwiseAND(F.lit(0xFFFF)) for j in range(PER_HASH)]
-    return [sum(((v.cast("double") + 0.5) / 65536 > c).cast("int") for c in CDF) for v in slices]
+    # (v + 0.5) / 65536 > c, in whole numbers.
+    return [sum((v > math.floor(c * 65536 - 0.5)).cast("int") for c in CDF) for v in slices]
 
 
 def _replicates(rows: DataFrame, by: tuple[str, ...], score: str, n: int, sides: dict[str, Column]) -> DataFrame:
@@ -113,7 +114,10 @@ def _replicates(rows: DataFrame, by: tuple[str, ...], score: str, n: int, sides:
     A row is repeated for each block of PER_HASH replicates, not for each replicate, and its block's sums meet in partial
     aggregates, so a task shuffles one row for each key and block.
     """
-    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // PER_HASH) - 1))))
+    # Each row becomes many, so rows are dealt out first: a few files would keep all that work in a few tasks.
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = rows.repartition(parts, "id").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // PER_HASH) - 1))))
     spread = spread.withColumns({f"_w{j}": w for j, w in enumerate(_weights(F.col("id"), F.col("_block")))})
     part = lambda j, on: F.try_divide(F.sum(F.when(on, F.col(f"_w{j}") * F.col(score))), F.sum(F.when(on, F.col(f"_w{j}"))))
     sums = spread.groupBy(*by, "_block").agg(*(part(j, on).alias(f"_{s}{j}") for j in range(PER_HASH) for s, on in sides.items()))
