@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_arrow, small_batches, written
+from tidemark.llm.common import join_hot, map_arrow, small_batches, written
 from tidemark.llm.components import Forest, components
 
 COSINE, WIDTH, CHUNK, SEED = 0.95, 8, 8192, 7
@@ -40,6 +40,8 @@ COSINE, WIDTH, CHUNK, SEED = 0.95, 8, 8192, 7
 CELL = 16_384
 #: Most vectors in a leaf of a unit's tree.
 LEAF = 128
+#: Rows of the grid that one task is meant to hold.
+SHARE = 200_000
 #: Slack of single precision in block distances.
 SLACK = 2e-6
 
@@ -219,7 +221,7 @@ def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     units = chunked.select("rep", "cell", "chunk", F.explode(unit).alias("u")).select("rep", "cell", "chunk", "u.i", "u.j")
     work = units.join(nodes.select("rep", "copies", "vec", "wide"), "rep")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = work.repartition(max(parts, 2), "cell", "i", "j").sortWithinPartitions("cell", "i", "j").select("cell", "i", "j", "chunk", "rep", "copies", "vec", "wide")
+    dealt = work.repartition(max(parts, 2, where.count() // SHARE), "cell", "i", "j").sortWithinPartitions("cell", "i", "j").select("cell", "i", "j", "chunk", "rep", "copies", "vec", "wide")
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +270,9 @@ def dedup(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
     known = copies.join(counts, "rep", "left").join(parts, "rep", "left")
-    known = known.select("key", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "rep").alias("root"))
+    known = written(known.select("key", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "rep").alias("root")), "op6-known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = known.join(least, "root").select("key", "n", "component_id")
-    out = every.select("vec_id", "key").join(known, "key", "left")
+    known = join_hot(known, least, "root").select("key", "n", "component_id")
+    # One vector's copies, or all that link with nothing, may be a third of the rows.
+    out = join_hot(every.select("vec_id", "key"), known, "key", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
