@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 from pathlib import Path
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
-from tidemark.operators import events, matching, replies, scorers, series, stance, summary
+from tidemark.operators import events, matching, replies, scorers, series, stance, summary, valence
 from tidemark.schema import EVENT_DIM, SCORE_COLUMNS, TRACKED_DIM, conform, scored_schema
 from tidemark.session import session
 from tidemark.sources import dims, files, sinks
@@ -53,11 +54,28 @@ def cmd_ingest_replies(spark, a) -> None:
     show(spark.read.parquet(a.out).groupBy("tracked_slug").count().orderBy("tracked_slug"))
 
 
+def plugin(spec: str):
+    """The object that package.module:name names; executors have to be able to import it, too."""
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def template(path: str | None) -> str | None:
+    return Path(path).read_text(encoding="utf-8") if path else None
+
+
 def cmd_analyze(spark, a) -> None:
-    """Score what has no score yet, with scores of an earlier table put back first."""
+    """Score what has no score yet, with scores of an earlier table put back first: lexicon or rules, then model, then remote."""
     posts = conform(spark.read.parquet(a.posts), scored_schema())
     prior = spark.read.parquet(a.prior) if a.prior else None
-    sinks.publish(scorers.analyze(posts, [scorers.LexiconScorer(json.loads(Path(a.lexicon).read_text()))], prior), a.out)
+    kind = scorers.ValenceScorer if a.rules else scorers.LexiconScorer
+    chain: list[scorers.Scorer] = [kind(valence.read_lexicon(a.lexicon))]
+    if a.model:
+        chain.append(scorers.ModelScorer(plugin(a.model)))
+    if a.client:
+        split = lambda x: [v.strip() for v in x.split(",") if v.strip()] if x else None
+        chain.append(scorers.RemoteScorer(plugin(a.client), split(a.tiers), split(a.accounts), a.threads, template=template(a.template)))
+    sinks.publish(scorers.analyze(posts, chain, prior, a.checkpoint, a.batches), a.out, checkpoint=a.checkpoint)
 
 
 def cmd_charts(spark, a) -> None:
@@ -90,7 +108,19 @@ def cmd_event_study(spark, a) -> None:
 
 
 def cmd_stance(spark, a) -> None:
-    df = spark.read.parquet(a.stances)
+    """Stances of a sample of replies: the table at --stances, classified first where it is missing (or with --force)."""
+    if a.client:
+        if not a.replies:
+            raise SystemExit("--client needs --replies")
+
+        def classified() -> DataFrame:
+            rows = spark.read.parquet(a.replies)
+            score = summary.score_column(rows, a.score)
+            return scorers.classify_stance(replies.stratified_sample(rows, a.n, score=score), plugin(a.client), score, a.threads, template(a.template))
+
+        df = files.load_or_compute(spark, a.stances, classified, a.force)
+    else:
+        df = spark.read.parquet(a.stances)
     s = next((c for c in df.columns if c.startswith("score")), "score")
     for table in (stance.distribution(df), stance.by_post(df), stance.against_score(df, s)):
         show(table)
@@ -145,11 +175,18 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{o}", type=int, default=default)
         c.add_argument("--price", type=float, default=0.005)
 
+    def analyze_options(c: argparse.ArgumentParser) -> None:
+        c.add_argument("--rules", action="store_true", help="valence rules instead of mean word weights")
+        for o, what in (("model", "package.module:name of a function that loads a model"), ("client", "package.module:name of a function of (text, user)"), ("template", "file of the prompt, with {text} and {user}"), ("tiers", "tiers that the client sees"), ("accounts", "accounts that the client sees"), ("checkpoint", "folder of partial results; a run after a break goes on from there")):
+            c.add_argument(f"--{o}", help=what)
+        c.add_argument("--threads", type=int, default=5)
+        c.add_argument("--batches", type=int, default=16)
+
     ingest_options(add("ingest", cmd_ingest, "raw!", "out!", "dims", "since", "until"))
     c = add("ingest-replies", cmd_ingest_replies, "raw!", "out!", "slug")
     c.add_argument("--direct", action="store_true")
     c.add_argument("--keep-repeats", action="store_true")
-    add("analyze", cmd_analyze, "posts!", "out!", "lexicon!", "prior")
+    analyze_options(add("analyze", cmd_analyze, "posts!", "out!", "lexicon!", "prior"))
     add("charts", cmd_charts, "scored!", "out!")
     add("summary", cmd_summary, "scored!", "score")
     c = add("event-study", cmd_event_study, "replies", "scored", "slug", "score", "dims", "where")
@@ -157,10 +194,15 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--exact", action="store_true", help="resample each group in one task, draw for draw as NumPy does")
     c = add("sample", cmd_sample, "replies!", "out!", "score", "first", "then")
     c.add_argument("--n", type=int, default=50)
-    add("stance", cmd_stance, "stances!")
+    c = add("stance", cmd_stance, "stances!", "replies", "client", "template", "score")
+    c.add_argument("--n", type=int, default=50)
+    c.add_argument("--threads", type=int, default=5)
+    c.add_argument("--force", action="store_true")
     add("resolve", cmd_resolve, "raw!", "dims!")
     add("status", cmd_status, "raw!", "dims")
-    ingest_options(add("run-all", cmd_run_all, "raw!", "out!", "dims", "since", "until", "lexicon!", "score"))
+    c = add("run-all", cmd_run_all, "raw!", "out!", "dims", "since", "until", "lexicon!", "score")
+    ingest_options(c)
+    analyze_options(c)
     return p
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,6 +77,12 @@ def interval(low: Column, high: Column, digits: int = 3) -> Column:
     return F.format_string(f"[%+.{digits}f, %+.{digits}f]", low, high)
 
 
+def prompt(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by that value (null: empty). Braces inside a value stay as they are."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+
 def json_line(*columns: str) -> Column:
     return F.to_json(F.struct(*columns))
 

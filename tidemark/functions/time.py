@@ -40,5 +40,10 @@ def next_fetch_start(high_water: Column, now: Column) -> Column:
     return F.greatest(high_water + F.expr("INTERVAL 1 SECOND"), floor)
 
 
+def fetch_gap(high_water: Column, now: Column) -> Column:
+    """Seconds between the newest row and the next read's start that no read will cover; 0 without a gap, null without rows."""
+    return F.when(high_water.isNotNull(), F.unix_timestamp(next_fetch_start(high_water, now)) - F.unix_timestamp(high_water) - 1)
+
+
 def fetch_end(now: Column) -> Column:
     return now - F.expr("INTERVAL 30 SECONDS")

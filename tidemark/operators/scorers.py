@@ -1,4 +1,4 @@
-"""Scorers as plug-ins: a lexicon in Catalyst, models and remote classifiers through Arrow.
+"""Scorers as plug-ins: a lexicon in Catalyst; valence rules, models and remote classifiers through Arrow.
 
 The lexicon scorer is this library's own; it is not, and doesn't claim to be, any published one.
 """
@@ -10,11 +10,14 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.score import label
-from tidemark.functions.text import empty_text, sentiment_reply, stance_reply, url_only
+from tidemark.functions.text import empty_text, prompt, sentiment_reply, stance_reply, url_only
+from tidemark.operators.valence import valence
+from tidemark.sources.files import exists
+from tidemark.sources.sinks import append_partial
 
 
 class Scorer(Protocol):
@@ -31,19 +34,35 @@ class LexiconScorer:
     def __init__(self, weights: dict[str, float], name: str = "vader"):
         self.name, self.weights = name, weights
 
-    def score(self, posts: DataFrame) -> DataFrame:
+    def fresh(self) -> Column:
+        """A text's score between -1 and 1."""
         table = F.create_map(*(F.lit(x) for kv in self.weights.items() for x in kv)) if self.weights else F.create_map().cast("map<string,double>")
         words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}']+"), lambda w: w != "")
         hits = F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda x: x.isNotNull())
         mean = F.when(F.size(hits) > 0, F.aggregate(hits, F.lit(0.0), lambda a, x: a + x) / F.size(hits)).otherwise(0.0)
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean))
+
+    def score(self, posts: DataFrame) -> DataFrame:
         s, lab = f"score_{self.name}", f"label_{self.name}"
         old = F.col(s) if s in posts.columns else F.lit(None).cast("double")
-        fresh = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean)), 4)
-        out = posts.withColumn("_new", old.isNull()).withColumn(s, F.coalesce(old, fresh))
+        out = posts.withColumn("_new", old.isNull()).withColumn(s, F.coalesce(old, F.round(self.fresh(), 4)))
         kept = F.col(lab) if lab in posts.columns else F.lit(None).cast("string")
         return out.withColumn(lab, F.when(F.col("_new") | kept.isNull(), label(F.col(s))).otherwise(kept)).drop("_new")
 
 
+class ValenceScorer(LexiconScorer):
+    """Valence rules (valence.py) over a lexicon of any size: a dictionary in each task, texts in Arrow batches."""
+
+    def fresh(self) -> Column:
+        weights = self.weights
+
+        @F.pandas_udf("double")
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series([valence(t or "", weights) for t in texts], dtype="float64")
+
+        return run("text")
+
+
 class ModelScorer:
     """A model that is loaded once per task and sees texts in batches. A failed batch gives nulls and an error mark."""
 
@@ -79,29 +98,34 @@ class ModelScorer:
         return filled.unionByName(scored.select(*filled.columns)).drop("_old")
 
 
-def _ask(posts: DataFrame, client: Callable[[str, str], str], threads: int) -> DataFrame:
-    """Adds the column reply: the client's answer for each row, null where it raised. Calls overlap within a task."""
+def _ask(posts: DataFrame, client: Callable[[str, str], str], threads: int, template: str | None = None) -> DataFrame:
+    """Adds reply, the client's answer for each row, and error, what it raised instead. Calls overlap within a task.
+
+    The client gets the text, or where there is a *template* the prompt made of it, and the user.
+    """
 
-    @F.pandas_udf("string")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def one(row: tuple[str, str]) -> str | None:
+    @F.pandas_udf("reply string, error string")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        def one(row: tuple[str, str]) -> tuple[str | None, str | None]:
             try:
-                return client(row[0] or "", row[1] or "")
-            except Exception:  # noqa: BLE001  a failed call is a row without reply
-                return None
+                return client(row[0] or "", row[1] or ""), None
+            except Exception as e:  # noqa: BLE001  a failed call is a row without reply
+                return None, str(e) or type(e).__name__
 
         with ThreadPoolExecutor(threads) as pool:
             for text, user in parts:
-                yield pd.Series(list(pool.map(one, zip(text, user, strict=True))), dtype=object)
+                yield pd.DataFrame(list(pool.map(one, zip(text, user, strict=True))), columns=["reply", "error"], dtype=object)
 
-    return posts.withColumn("reply", run("text", "user"))
+    said = F.col("text") if template is None else prompt(template, text=F.col("text"), user=F.col("user"))
+    asked = posts.withColumn("_said", said).withColumn("_a", run("_said", "user"))
+    return asked.withColumns({"reply": F.col("_a.reply"), "error": F.col("_a.error")}).drop("_said", "_a")
 
 
 class RemoteScorer:
     """A remote sentiment model for chosen tiers or accounts; URL-only texts are neutral without a call."""
 
-    def __init__(self, client: Callable[[str, str], str], tiers: Sequence[str] | None = None, accounts: Sequence[str] | None = None, threads: int = 5, name: str = "llm"):
-        self.client, self.tiers, self.accounts, self.threads, self.name = client, tiers, accounts, threads, name
+    def __init__(self, client: Callable[[str, str], str], tiers: Sequence[str] | None = None, accounts: Sequence[str] | None = None, threads: int = 5, name: str = "llm", template: str | None = None):
+        self.client, self.tiers, self.accounts, self.threads, self.name, self.template = client, tiers, accounts, threads, name, template
 
     def score(self, posts: DataFrame) -> DataFrame:
         s, lab = f"score_{self.name}", f"label_{self.name}"
@@ -111,26 +135,48 @@ class RemoteScorer:
         wanted = wanted | (F.col("tier").isin(list(self.tiers)) if self.tiers else F.lit(False)) | (F.col("user").isin(list(self.accounts)) if self.accounts else F.lit(False))
         base = posts.withColumns({s: old, lab: kept})
         base = base.withColumn("_case", F.when(F.col(s).isNotNull() | ~F.coalesce(wanted, F.lit(False)) | empty_text(F.col("text")), 0).when(url_only(F.col("text")), 1).otherwise(2))
-        asked = _ask(base.where("_case = 2"), self.client, self.threads).withColumn("_r", sentiment_reply(F.col("reply")))
+        asked = _ask(base.where("_case = 2"), self.client, self.threads, self.template).withColumn("_r", sentiment_reply(F.col("reply")))
         asked = asked.withColumns({s: F.col("_r.score"), lab: F.col("_r.label")}).select(*base.columns)
         links = base.where("_case = 1").withColumns({s: F.lit(0.0), lab: F.lit("neutral")})
         return base.where("_case = 0").unionByName(links).unionByName(asked).drop("_case")
 
 
-def classify_stance(sample: DataFrame, client: Callable[[str, str], str], score: str = "score", threads: int = 5) -> DataFrame:
-    """id, tracked_slug, user, text (100 characters), score, stance, confidence, reason; failures are stance error."""
-    asked = _ask(sample.withColumn("_whole", F.col("text")).withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, 500)), client, threads)
+def classify_stance(sample: DataFrame, client: Callable[[str, str], str], score: str = "score", threads: int = 5, template: str | None = None) -> DataFrame:
+    """id, tracked_slug, user, text (100 characters), score, stance, confidence, reason; failures are stance error, and their
+    reason is what the client raised."""
+    asked = _ask(sample.withColumn("_whole", F.col("text")).withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, 500)), client, threads, template)
     r = stance_reply(F.col("reply"))
-    return asked.withColumn("_r", r).select("id", "tracked_slug", "user", F.substring("text", 1, 100).alias("text"), score, F.col("_r.stance").alias("stance"), F.col("_r.confidence").alias("confidence"), F.col("_r.reason").alias("reason"))
-
-
-def analyze(posts: DataFrame, scorers: Sequence[Scorer], prior: DataFrame | None = None) -> DataFrame:
-    """Restore earlier scores, then let each scorer see what is still open, cheap ones first."""
+    reason = F.when(F.col("error").isNotNull(), F.substring("error", 1, 80)).otherwise(F.col("_r.reason"))
+    return asked.withColumn("_r", r).select("id", "tracked_slug", "user", F.substring("text", 1, 100).alias("text"), score, F.col("_r.stance").alias("stance"), F.col("_r.confidence").alias("confidence"), reason.alias("reason"))
+
+
+def resumable(posts: DataFrame, scorers: Sequence[Scorer], path: str, batches: int = 16, key: str = "id") -> DataFrame:
+    """Score in batches of hashed keys, each written when it is done; a run after a break scores only what is missing.
+
+    The folder's name has a digest of the posts' keys and texts, so other posts never meet an old checkpoint. Posts are
+    read once for each batch: for scorers whose calls cost far more than a scan.
+    """
+    spark = posts.sparkSession
+    rows, digest = posts.agg(F.count("*"), F.sum(F.xxhash64(key, "text").cast("decimal(20,0)"))).first()
+    place = f"{path}/{rows}-{digest or 0}-{batches}"
+    for i in range(batches):
+        if not exists(spark, f"{place}/batch={i}/_SUCCESS"):
+            part = posts.where(F.pmod(F.xxhash64(key), F.lit(batches)) == i)
+            for scorer in scorers:
+                part = scorer.score(part)
+            append_partial(part, place, i)
+    return spark.read.parquet(place).drop("batch")
+
+
+def analyze(posts: DataFrame, scorers: Sequence[Scorer], prior: DataFrame | None = None, checkpoint: str | None = None, batches: int = 16) -> DataFrame:
+    """Restore earlier scores, then let each scorer see what is still open, cheap ones first; resumable with a *checkpoint*."""
     from tidemark.operators.restore import restore
 
     if prior is not None:
         names = tuple(s.name for s in scorers if f"score_{s.name}" in posts.columns and f"score_{s.name}" in prior.columns)
         posts = restore(posts, prior, names) if names else posts
+    if checkpoint is not None:
+        return resumable(posts, scorers, checkpoint, batches)
     for scorer in scorers:
         posts = scorer.score(posts)
     return posts
