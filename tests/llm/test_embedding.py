@@ -71,3 +71,12 @@ def test_one_id_with_two_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
     got = sorted((r.vec_id, r.n_links) for r in op.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("dim", [1, 5, 64, 300])
+def test_a_vector_is_rotated_alike_in_every_batch(dim):
+    raw = np.random.default_rng(dim).normal(size=(257, dim)) * np.random.default_rng(1).uniform(1e-3, 1e3, (257, 1))
+    whole = op.rotated(raw)
+    assert all((op.rotated(raw[i : i + 1]) == whole[i]).all() for i in range(len(raw)))
+    assert (op.rotated(raw[::-1].copy())[::-1] == whole).all() and (op.rotated(raw[40:71]) == whole[40:71]).all()
+    assert np.allclose(np.linalg.norm(whole, axis=1), 1, atol=1e-6)

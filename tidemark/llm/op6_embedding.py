@@ -42,14 +42,17 @@ CELL = 16_384
 LEAF = 128
 #: Rows of the grid that one task is meant to hold.
 SHARE = 200_000
-#: Slack of single precision in block distances.
+#: Parts of one in which unit vectors and the rotation are rounded. By Cauchy-Schwarz all partial sums of a product are then
+#: integers below 2^53, so it is exact in any order: a vector has the same blocks and cells in whichever batch it is rotated.
+PARTS = 2.0**26
+#: Slack of single precision (and of the rounding) in block distances.
 SLACK = 2e-6
 
 
 @lru_cache(maxsize=16)
 def rotation(dim: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    return np.rint(q * np.sign(np.diag(r)) * PARTS)
 
 
 @lru_cache(maxsize=16)
@@ -61,7 +64,7 @@ def block_edges(dim: int) -> tuple[int, ...]:
 def rotated(raw: np.ndarray) -> np.ndarray:
     """Rotated unit vectors in single precision, which is what all block decisions are made on; *raw* has doubles."""
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-    return (unit @ rotation(raw.shape[1])).astype(np.float32)
+    return (np.rint(unit * PARTS) @ rotation(raw.shape[1]) / PARTS**2).astype(np.float32)
 
 
 def radius(dim: int, block: int, cosine: float) -> float:
