@@ -174,6 +174,19 @@ def fetch_windows(spark, d):
     return days(out, "start", "stop", form="yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+@_q
+def fetch_gaps(spark, d):
+    """Seconds of each user that the next incremental read can't reach any more."""
+    now = F.lit("2024-02-06 12:00:00").cast("timestamp")
+    return files.high_water_mark(scored(spark, d)).select("user", tm.fetch_gap(F.col("latest"), now).alias("gap"))
+
+
+@_q
+def prompts(spark, d):
+    docs = ad.table(spark, d, "documents")
+    return docs.select("doc_id", F.md5(ft.prompt("Text: {text} / {user}.", text=F.col("text"), user=F.col("source"))).alias("prompt_md5"))
+
+
 @_q
 def posts_in_window(spark, d):
     return files.in_window(scored(spark, d), "2024-01-10", "2024-01-12").select("id", "user")

@@ -118,6 +118,8 @@ SQL: dict[str, str] = {
     "dedupe_texts": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE text IS NOT NULL AND text <> '') WHERE rn = 1",
     "cap_newest_per_user": 'SELECT o_orderkey AS id, o_custkey AS "user" FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3',
     "high_water_mark": f"""WITH {SCORED} SELECT "user", strftime(max(created_at), '{SECOND}') AS latest FROM scored GROUP BY "user" """,
+    "fetch_gaps": f"""WITH {SCORED} SELECT "user", CAST(floor(epoch(greatest(max(created_at) + INTERVAL 1 SECOND, TIMESTAMP '2024-02-06 12:00:00' - INTERVAL 7 DAY + INTERVAL 5 MINUTE))) - floor(epoch(max(created_at))) - 1 AS BIGINT) AS gap FROM scored GROUP BY "user" """,
+    "prompts": "SELECT doc_id, md5(concat('Text: ', coalesce(text, ''), ' / ', coalesce(source, ''), '.')) AS prompt_md5 FROM documents",
     "fetch_windows": f"""WITH {SCORED} SELECT "user", strftime(greatest(max(created_at) + INTERVAL 1 SECOND, TIMESTAMP '2024-02-02 12:00:00' - INTERVAL 7 DAY + INTERVAL 5 MINUTE), '{SECOND}') AS start,
        strftime(TIMESTAMP '2024-02-02 12:00:00' - INTERVAL 30 SECOND, '{SECOND}') AS stop FROM scored GROUP BY "user" """,
     "posts_in_window": f"""WITH {SCORED} SELECT id, "user" FROM scored WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'""",
