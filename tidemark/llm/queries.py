@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op1_pii, op2_bpe, op3_quality, op4_license, op5_mixing, op6_embedding, op7_importance, op8_simhash, op9_rollup, op10_chat
+from tidemark.llm import op1_pii, op2_bpe, op3_quality, op4_license, op5_mixing, op6_embedding, op7_importance, op8_simhash, op9_rollup, op10_chat, op13_audit
 from tidemark.llm.common import scratch_path, table, written
 
 #: The tokenizer file of op2, by name in the public_tokenizers package.
@@ -117,6 +117,53 @@ FROM prefix p JOIN placed s ON s.pair_id = p.pair_id GROUP BY p.pair_id, p.n
 """
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+f AS (
+  SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, [a, b, c, d, e] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+  FROM k p, k q, k r, k s, k t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+st AS (SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM o),
+x AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, n, good, toxic,
+         fails[ascii(substr(filter_order, step, 1)) - 64] AS fail,
+         len(list_filter(range(1, step), lambda i: fails[ascii(substr(filter_order, i::INT, 1)) - 64])) > 0 AS earlier,
+         len(list_filter(fails, lambda v: v)) AS n_fails
+  FROM m, st),
+y AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT fail AND NOT earlier), 0) AS kept,
+         coalesce(sum(n) FILTER (fail AND NOT earlier), 0) AS removed,
+         coalesce(sum(n) FILTER (fail AND earlier), 0) AS redundant,
+         coalesce(sum(n) FILTER (fail AND n_fails = 1), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (fail AND NOT earlier AND good), 0) AS good_lost,
+         coalesce(sum(n) FILTER (fail AND NOT earlier AND toxic), 0) AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM y
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_spans": op1_pii_spans,
@@ -129,9 +176,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_token_rollup": op9_token_rollup,
         "op10_preference_format": op10_preference_format,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Oracles of the queries that SQL can express; tests/llm holds the others against brute force."""
-    return {"op9_token_rollup": OP9_SQL, "op10_preference_format": OP10_SQL}
+    return {"op9_token_rollup": OP9_SQL, "op10_preference_format": OP10_SQL, "op13_filter_audit": OP13_SQL}
