@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op1_pii, op2_bpe, op3_quality, op4_license, op5_mixing, op6_embedding, op7_importance, op8_simhash, op9_rollup, op10_chat, op13_audit
+from tidemark.llm import op1_pii, op2_bpe, op3_quality, op4_license, op5_mixing, op6_embedding, op7_importance, op8_simhash, op9_rollup, op10_chat, op11_align, op13_audit
 from tidemark.llm.common import scratch_path, table, written
 
 #: The tokenizer file of op2, by name in the public_tokenizers package.
@@ -117,6 +117,16 @@ FROM prefix p JOIN placed s ON s.pair_id = p.pair_id GROUP BY p.pair_id, p.n
 """
 
 
+#: The tokenizer files of op11, byte-level and by pieces.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op11_align.align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -176,6 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_token_rollup": op9_token_rollup,
         "op10_preference_format": op10_preference_format,
+        "op11_token_alignment": op11_token_alignment,
         "op13_filter_audit": op13_filter_audit,
     }
 
