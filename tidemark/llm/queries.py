@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op1_pii, op2_bpe, op3_quality, op4_license, op5_mixing, op6_embedding, op7_importance, op8_simhash, op9_rollup, op10_chat, op11_align, op13_audit
+from tidemark.llm import op1_pii, op2_bpe, op3_quality, op4_license, op5_mixing, op6_embedding, op7_importance, op8_simhash, op9_rollup, op10_chat, op11_align, op12_suffix, op13_audit
 from tidemark.llm.common import scratch_path, table, written
 
 #: The tokenizer file of op2, by name in the public_tokenizers package.
@@ -127,6 +127,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_align.align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    return op12_suffix.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -187,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_rollup": op9_token_rollup,
         "op10_preference_format": op10_preference_format,
         "op11_token_alignment": op11_token_alignment,
+        "op12_suffix_dedup": op12_suffix_dedup,
         "op13_filter_audit": op13_filter_audit,
     }
 
