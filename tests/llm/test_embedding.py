@@ -80,3 +80,12 @@ def test_a_vector_is_rotated_alike_in_every_batch(dim):
     assert all((op.rotated(raw[i : i + 1]) == whole[i]).all() for i in range(len(raw)))
     assert (op.rotated(raw[::-1].copy())[::-1] == whole).all() and (op.rotated(raw[40:71]) == whole[40:71]).all()
     assert np.allclose(np.linalg.norm(whole, axis=1), 1, atol=1e-6)
+
+
+def test_doubles_of_any_size(spark):
+    """Squares that over- or underflow, and subnormal components, link like any other vector."""
+    unit = [(1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, -1.0])]
+    scales = [1e200, 1e200, 1e-200, 5e-324, 1e308]
+    rows = [(i, [x * s for x in v]) for (i, v), s in zip(unit, scales, strict=True)]
+    got = op.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(unit))

@@ -143,3 +143,36 @@ def test_labels_and_score_match_unfiltered_rules():
         score = max([0.5 if base else 0.0, *(rules[i].confidence for _, _, i in held)])
         row = op.scan_one(text.encode())
         assert row[5] == ",".join(sorted(labels)) and row[6] == score
+
+
+def test_long_white_space_costs_every_rule_linear_time():
+    """A text that every rule matches but for a million blanks, tabs or line ends within it."""
+    import time
+    from re import _parser
+
+    rng, rules, s = random.Random(3), op.rules(), op.scanner()
+    texts = [sample(_parser.parse(r.pattern), rng, " ") for r in rules]
+    for fill in (" ", "\t", "\n", " \t"):
+        gap = fill * (1_000_000 // len(fill))
+        began = time.perf_counter()
+        for text in ("gpl license gpl" + gap, "licensed under" + gap + "the" + gap + "terms of the mit license", "license" + gap + ", version" + gap + "x", "spdx-license-identifier" + gap + ":" + gap):
+            s.detections(text)
+        assert time.perf_counter() - began < 4
+    gap = " " * 20_000
+    for i, text in enumerate(texts):
+        near = text.replace(" ", gap)
+        narrow = op.RUNS.sub(r"\1\2", near)
+        assert len(narrow) <= op.LEFT * len(text)
+        began = time.perf_counter()
+        s.compiled[i].search(narrow[:-1] + "\0")
+        assert time.perf_counter() - began < 1
+    everything = " ".join(texts)
+    began = time.perf_counter()
+    s.detections(everything.replace(" ", " " * 40))
+    assert time.perf_counter() - began < 5
+
+
+def test_places_of_wide_texts():
+    text = "  a\t\tmit  \n license   and all  rights\t\nreserved  "
+    s = op.scanner()
+    assert [text[a:b].split() for a, b, _ in s.detections(text)] == [["mit", "license"], ["all", "rights", "reserved"]]

@@ -134,3 +134,30 @@ def test_columns_with_dots_and_own_names_stay(spark):
     out = op.mixed(df)
     assert out.columns == df.columns
     assert all(r["a.b"] == "x" and r["file"] == "f" and r["row"] == 1 for r in out.collect())
+
+
+def test_frames_that_derive_from_files(spark, tmp_path):
+    """Explode, joins, samples and repeated rows give several rows of one row of a file; each is a document of its own."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    texts, of = corpus(rng, {"a": 40, "b": 15, None: 5})
+    docs(spark, texts, sources=of).repartition(3).write.parquet(str(tmp_path / "d"))
+    files = spark.read.parquet(str(tmp_path / "d"))
+    three = files.withColumn("part", F.explode(F.array(*map(F.lit, range(3)))))
+    other = spark.createDataFrame([(i % 60, i) for i in range(150)], "doc_id long, extra long")
+    frames = {"files": files.where("doc_id >= 0").select("*"), "explode": three, "join": files.join(other, "doc_id")}
+    assert not any(map(op.scans_files, (files.crossJoin(spark.range(2)), files.union(files), files.sample(0.5), files.where("rand() < 0.5"), files.distinct())))
+    for name, df in frames.items():
+        assert op.scans_files(df) == (name == "files")
+        rows, n = op.mix(df).collect(), df.count()
+        assert len(rows) == n, name
+        sizes = {}
+        for r in rows:
+            sizes[r.source] = sizes.get(r.source, 0) + r.size
+        want = targets(sizes)
+        for s in sizes:
+            taken, largest = (f([x for r in rows if r.source == s for x in [getattr(r, c)]]) for f, c in ((sum, "taken"), (max, "size")))
+            assert want[s] - largest - 1e-3 * want[s] - 1e-6 <= taken <= want[s] * (1 + 1e-9) + 1e-6, name
+        kept = op.mixed(df).select(op.size().alias("n")).agg(F.sum("n")).first()[0]
+        assert kept == sum(r.taken for r in rows), name

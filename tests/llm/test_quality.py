@@ -117,3 +117,14 @@ def test_no_labels_null_stratum_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.kept for r in op.judge(df, none).collect()] == [True] * 3
     assert op.judge(docs(spark, []), none).count() == 0
+
+
+def test_repeated_rows_certify_nothing(spark):
+    """Sixty good documents are too few, and so are they twenty times over."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" + "$$$$" * (n >= 60) for _ in range(30)) for n in range(70)]
+    labels = spark.createDataFrame([(n, int(n < 60), 0) for n in range(70)], "doc_id long, quality int, toxic int")
+    once = docs(spark, texts)
+    many = docs(spark, texts * 20, ids=list(range(70)) * 20)
+    assert all(r.kept for r in op.judge(once, labels).collect())
+    assert all(r.kept for r in op.judge(many, labels).collect())

@@ -12,7 +12,8 @@ controlled). Where no step passes (few labels) the rules reject nothing.
 
 Edge cases: a null or empty text has no words and fails the base rule (n_words < 20). Documents without
 a language form a stratum of their own. Labels that are null, repeated or in conflict: a document is
-good if its least label is 1. No labels at all: only the base rule rejects. Repeated documents give
+good if its least label is 1. Rows that share a doc_id are one trial of the holdout: in their least language, rejected where any of
+them is, so repeated rows certify nothing. No labels at all: only the base rule rejects. Repeated documents give
 repeated results. Texts are read whole; a document's arrays live in one row, no rows are exploded. Windows of words are
 compared by 64-bit hashes: in a text of a million words two differ but are taken as equal with probability 3e-8.
 """
@@ -141,7 +142,9 @@ def paths(tuning: DataFrame) -> DataFrame:
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """stratum and a cutoff for each rule (infinity: rejects nothing), from the labelled good documents."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = measured.where("not base_failed").join(good, "doc_id", "left_semi").select("stratum", *RULES, (F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)) == 0).alias("tunes"))
+    # Rows of one id are one trial, which fails if any of them does.
+    trials = measured.where("not base_failed").join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("stratum").alias("stratum"), *(F.max(r).alias(r) for r in RULES))
+    held = trials.select("stratum", *RULES, (F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)) == 0).alias("tunes"))
     held = written(held, "op3-holdout")
     tests = max(1, held.select("stratum").distinct().count())
     path = broadcast_if_small(paths(held.where("tunes")).withColumnRenamed("stratum", "of"))

@@ -278,6 +278,11 @@ BODIES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Runs of white space that are longer than any rule needs (several repeats may stand side by side, each with a character of its own),
+#: and how many characters are left of them: the first ones and the last.
+RUNS, LEFT = re.compile(r"(\s{5})\s+(\s)"), 6
+
+
 def spaced(pattern: str) -> str:
     """The pattern with its spaces as any white space."""
     return pattern.replace("[- ]", r"[-\s]").replace(" ?", r"\s*").replace(" ", r"\s+").replace(".{", r"[\s\S]{")
@@ -345,7 +350,15 @@ class Scanner:
         self.automaton.make_automaton()
 
     def detections(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, rule) in *text* (lower case), suppressed ones left out, by start."""
+        """(start, end, rule) in *text* (lower case), suppressed ones left out, by start.
+
+        Rules see a run of white space with LEFT characters at most, so that repeats of white space have no more than that to
+        try, however long the run; places are those of *text*.
+        """
+        narrow = RUNS.sub(r"\1\2", text)
+        return in_place(text, self.narrow_detections(narrow)) if len(narrow) < len(text) else self.narrow_detections(narrow)
+
+    def narrow_detections(self, text: str) -> list[tuple[int, int, int]]:
         present = {i for _, i in self.automaton.iter(text)}
         if not present:
             return []
@@ -360,6 +373,19 @@ class Scanner:
         return suppress(found, [r.priority for r in self.rules])
 
 
+def in_place(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Places in *text* of detections in the same text with short runs of white space."""
+    if not found:
+        return found
+    after, shift, total = [0], [0], 0  # from each narrow place on, what the runs before it add
+    for m in RUNS.finditer(text):
+        after.append(m.start() - total + LEFT - 1)
+        total += m.end() - m.start() - LEFT
+        shift.append(total)
+    wide = lambda p: p + shift[bisect.bisect_right(after, p) - 1]
+    return [(wide(a), wide(b - 1) + 1, i) for a, b, i in found]
+
+
 def suppress(found: list[tuple[int, int, int]], priority: list[int]) -> list[tuple[int, int, int]]:
     """Drop each detection whose interval lies inside that of a better one.
 

@@ -44,17 +44,29 @@ def size() -> Column:
     return F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(r"[\x20\x09-\x0D]+")) + 1).cast("long")
 
 
+def scans_files(docs: DataFrame) -> bool:
+    """The frame is a scan of files under projections and filters alone, so a row of a file is one row at most and is the same
+    when it is read again."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    if plan.children().length():
+        return False
+    hidden = plan.metadataOutput()
+    return any(hidden.apply(i).name() == "_metadata" and "row_index" in hidden.apply(i).dataType().json() for i in range(hidden.length()))
+
+
 def placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """row (all columns), file and at: a name of each row that holds whenever the rows are read again; and the columns.
 
-    Files have it. Other frames are written first.
+    Scans of files have it. All other frames are written first: after a join or an explode several rows come from one row of a file.
     """
     names = docs.columns
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
     whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
-    hidden = docs._jdf.queryExecution().analyzed().metadataOutput()
-    from_file = any(hidden.apply(i).name() == "_metadata" and "row_index" in hidden.apply(i).dataType().json() for i in range(hidden.length()))
-    return (docs if from_file else written(docs, "op5-docs")).select(whole, *place), names
+    return (docs if scans_files(docs) else written(docs, "op5-docs")).select(whole, *place), names
 
 
 def measured(rows: DataFrame) -> DataFrame:

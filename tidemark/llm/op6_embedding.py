@@ -14,7 +14,8 @@ chunks is a unit of work of its own, so that no task holds more. Units return, p
 found and a spanning forest of them, never the pairs.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component link with nothing, as do
-rows without vec_id (their component is null and they aren't kept). Vectors of different lengths never link.
+rows without vec_id (their component is null and they aren't kept). Doubles of any size, subnormal ones included, are scaled by a
+power of two first. Vectors of different lengths never link.
 Repeated rows count as copies. Only vec_id and embedding are read. An empty table gives no rows.
 """
 
@@ -89,7 +90,9 @@ def prepared(vectors: DataFrame) -> DataFrame:
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ok = i is not None and v and not any(x is None for x in v)
             a = np.asarray(v, np.float64) if ok else None
-            ok = ok and bool(np.isfinite(a).all()) and 0 < float(np.linalg.norm(a)) < math.inf
+            ok = ok and bool(np.isfinite(a).all()) and bool(a.any())
+            if ok and not single:  # a power of two: the cosine stays, and no square over- or underflows
+                a = np.ldexp(a, -int(np.frexp(np.abs(a).max())[1]))
             vec.append((a + 0.0).astype(kind).tobytes() if ok else None)  # -0.0 and 0.0 are one
         key = [v and hashlib.blake2b(v, digest_size=16).digest() for v in vec]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(vec, pa.binary()), pa.array(key, pa.binary())], names=["vec_id", "vec", "key"])
