@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import bootstrap, events, matching, replies, restore, scorers, series, stance, summary
+from tidemark.operators import bootstrap, events, matching, replies, resample, restore, scorers, series, stance, summary
 from tidemark.sources import dims
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -105,10 +105,65 @@ def test_poisson_interval_is_near_the_exact_one(posts):
         assert r.diff == pytest.approx(x[r.tracked_slug].diff) and abs(r.diff_ci_low - x[r.tracked_slug].diff_ci_low) < 0.08
 
 
-def test_exact_refuses_groups_that_are_too_large(posts, monkeypatch):
-    monkeypatch.setattr(bootstrap, "EXACT_ROWS", 10)
-    with pytest.raises(ValueError):
-        bootstrap.exact_mean_ci(posts, ("tier",))
+def test_large_groups_are_drawn_by_many_tasks(spark, monkeypatch):
+    """Against NumPy within the error of the replicates, with a null group, null ids and values that half the rows share."""
+    monkeypatch.setattr(bootstrap, "WHOLE", 300)
+    rng = np.random.default_rng(5)
+    rows = [(g, None, dt.datetime(2024, 1, 1), float(rng.choice([0.25, rng.normal()])), bool(rng.random() < 0.4)) for g, n in (("a", 3000), (None, 2000), ("small", 40)) for _ in range(n)]
+    rows += [("a", "x", dt.datetime(2024, 1, 1), None, True), ("a", "x", dt.datetime(2024, 1, 1), float("nan"), False)]
+    df = spark.createDataFrame(rows, "tier string, id string, created_at timestamp, score double, on boolean")
+    got = {r.tier: r for r in bootstrap.exact_mean_ci(df, ("tier",)).collect()}
+    assert set(got) == {"a", None, "small"} and got["a"].n == 3002
+    for tier, r in got.items():
+        v = np.array([x[3] for x in rows if x[0] == tier and x[3] is not None and not np.isnan(x[3])])
+        m, lo, hi = bootstrap.mean_ci(v)
+        error = 0.0 if tier == "small" else 4 * v.std() / np.sqrt(len(v)) * 0.06  # the quantiles' own error with 2000 replicates
+        assert r.mean == pytest.approx(m) and abs(r.ci_low - lo) <= error + 1e-9 and abs(r.ci_high - hi) <= error + 1e-9
+    d = {r.tier: r for r in bootstrap.exact_diff_ci(df, ("tier",), "on").collect()}
+    for tier, r in d.items():
+        v = [np.array([x[3] for x in rows if x[0] == tier and x[3] is not None and not np.isnan(x[3]) and x[4] == side]) for side in (True, False)]
+        m, lo, hi = bootstrap.diff_ci(*v)
+        error = 0.0 if tier == "small" else 0.3 * np.sqrt(sum(x.var() / len(x) for x in v))
+        assert r.diff == pytest.approx(m) and abs(r.diff_ci_low - lo) <= error + 1e-9 and abs(r.diff_ci_high - hi) <= error + 1e-9
+
+
+def test_every_replicate_draws_exactly_n(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(x)) for g, n in (("a", 900), ("b", 64), ("one", 1), ("same", 500)) for x in (rng.normal(size=n) if g != "same" else [7.0] * n)] + [("a", 0.5)] * 400
+    means = resample.replicate_means(spark.createDataFrame(rows, "g string, score double"), 50, block=32)
+    out = means.collect()
+    assert {(r.g, r.n) for r in out} == {("a", 1300), ("b", 64), ("one", 1), ("same", 500)} and len(out) == 4 * 50
+    assert {r.mean for r in out if r.g == "same"} == {7.0}
+    again = {(r.g, r.b): r.mean for r in resample.replicate_means(spark.createDataFrame(rows[::-1], "g string, score double").repartition(7), 50, block=32).collect()}
+    assert all(again[r.g, r.b] == pytest.approx(r.mean, abs=1e-12) for r in out)
+    a = np.array([r.mean for r in out if r.g == "a"])
+    v = np.array([x for g, x in rows if g == "a"])
+    assert abs(a.mean() - v.mean()) < 4 * v.std() / np.sqrt(1300 * 50) and 0.6 < a.std() / (v.std() / np.sqrt(1300)) < 1.4
+
+
+def test_a_hundred_million_rows_are_a_few_values(spark):
+    """Rows of one group that are counted, not gathered: 10^8 in 40 leaves of one value each."""
+    values = spark.range(40).select(F.lit("g").alias("g"), (F.col("id") / 10).alias("score"), F.lit(2_500_000).cast("long").alias("k"))
+    dealt = resample.leaves(values, resample.BLOCK)
+    assert sorted(r.leaf for r in dealt.collect()) == list(range(40))
+    total = np.zeros(20, np.int64)
+    for r in resample.paths(dealt).collect():
+        total += resample.draws_of(r.g, r.leaf, list(r.path), 20, 0)
+    assert (total == 100_000_000).all()
+
+
+def test_poisson_draws_rows_without_an_id_of_their_own(spark):
+    """The null group stays, and rows that lack or share an id are drawn one by one."""
+    for id_ in (None, "same"):
+        df = spark.createDataFrame([(g, id_, float(n % 10)) for g in ("a", None) for n in range(200)], "tier string, id string, score double")
+        rows = bootstrap.poisson_mean_ci(df, ("tier",), replicates=300).collect()
+        assert {r.tier for r in rows} == {"a", None}
+        for r in rows:
+            half = 1.96 * np.std(np.arange(200) % 10) / np.sqrt(200)
+            assert r.mean == 4.5 and abs(r.ci_low - (4.5 - half)) < 0.2 and abs(r.ci_high - (4.5 + half)) < 0.2
+        sides = df.withColumn("on", F.col("score") < 5)
+        got = bootstrap.poisson_diff_ci(sides, ("tier",), "on", replicates=300).collect()
+        assert {r.tier for r in got} == {"a", None} and all(r.diff_ci_low < r.diff < r.diff_ci_high for r in got)
 
 
 def test_post_summary(spark):

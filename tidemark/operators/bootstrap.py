@@ -1,4 +1,7 @@
-"""Bootstrap confidence intervals: exact resampling in NumPy per group, and Poisson weights in SQL.
+"""Bootstrap confidence intervals: exact resampling of groups of any size, and Poisson weights in SQL.
+
+Exact resampling draws a group of at most WHOLE rows in one task, with NumPy's stream for the same seed, draw for draw; larger groups
+are drawn by many tasks (resample.py), which is the same estimator with another stream: bounds then agree within the error of the replicates.
 
 The Poisson bootstrap is another estimator: each row gets an independent Poisson(1) weight in each replicate,
 so replicates are plain weighted sums that meet in partial aggregates, for groups of any size. Its bounds agree with the exact ones
@@ -14,11 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.resample import BLOCK, replicate_means
+from tidemark.sources.dims import small
+
 RESAMPLES, ALPHA, SEED = 2000, 0.05, 0
 #: Drawn indices that are held at once.
 CELLS = 2_000_000
-#: Rows of a group for exact resampling; larger groups are for poisson_*.
-EXACT_ROWS = 5_000_000
+#: Most rows of a group that one task draws.
+WHOLE = BLOCK
 #: P(Poisson(1) <= k) for k = 0, 1, ... while above 16 bits' resolution.
 CDF = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(7))
 #: Replicates that one md5 gives, 16 bits each, and those of a Poisson bootstrap.
@@ -59,10 +65,34 @@ def diff_ci(a, b, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int =
     return float(a.mean() - b.mean()), float(lo), float(hi)
 
 
-def _checked(df: DataFrame, by: tuple[str, ...]) -> None:
-    top = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if top > EXACT_ROWS:
-        raise ValueError(f"a group has {top} rows; exact resampling takes {EXACT_ROWS}, poisson_mean_ci any number")
+def _named(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Adds _g, the group's key as a string that is never null, also where keys are."""
+    return df.withColumn("_g", F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(by)))))
+
+
+def _joined(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Left join on *by* in which null keys are equal."""
+    return _named(left, by).join(_named(right, by).drop(*by), "_g", "left").drop("_g")
+
+
+def _split(df: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the groups that one task draws, and of the larger ones (with _g), None if there are none."""
+    rows = _named(df, by)
+    large = rows.groupBy("_g").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("_g")
+    if large.isEmpty():
+        return df, None
+    large = small(large)
+    return rows.join(large, "_g", "left_anti").drop("_g"), rows.join(large, "_g", "left_semi")
+
+
+def _bounds(means: DataFrame, value: str, names: tuple[str, str], alpha: float = ALPHA) -> DataFrame:
+    return means.groupBy("_g").agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in zip(names, (alpha / 2, 1 - alpha / 2), strict=True)))
+
+
+def _means_of(rows: DataFrame, on: Column, score: str, resamples: int, name: str, seed: int) -> DataFrame:
+    """_g, b and the mean of each replicate of the rows *on*."""
+    own = rows.where(on & F.col(score).isNotNull() & ~F.isnan(score)).select(F.col("_g").alias("g"), F.col(score).cast("double").alias("score"))
+    return replicate_means(own, resamples, seed).select(F.col("g").alias("_g"), "b", F.col("mean").alias(name))
 
 
 def _nulls(x: float) -> float | None:
@@ -71,22 +101,26 @@ def _nulls(x: float) -> float | None:
 
 def exact_mean_ci(df: DataFrame, by: tuple[str, ...], score: str = "score", resamples: int = RESAMPLES) -> DataFrame:
     """by, n, mean, ci_low, ci_high. Values are taken in the order of (created_at, id), so results are repeatable."""
-    _checked(df, by)
     keys = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
+    own, large = _split(df.select(*by, "created_at", "id", score), by)
 
     def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(["created_at", "id"], kind="stable")[score]
         m, lo, hi = map(_nulls, mean_ci(v, resamples))
         return pd.DataFrame([[*key, len(pdf), m, lo, hi]], columns=[*by, "n", "mean", "ci_low", "ci_high"])
 
-    rows = df.select(*by, "created_at", "id", score)
-    return rows.groupBy(*by).applyInPandas(group, ", ".join([*keys, "n long, mean double, ci_low double, ci_high double"]))
+    out = own.groupBy(*by).applyInPandas(group, ", ".join([*keys, "n long, mean double, ci_low double, ci_high double"]))
+    if large is None:
+        return out
+    said = large.groupBy("_g", *by).agg(F.count("*").alias("n"), F.avg(F.nanvl(score, F.lit(None).cast("double"))).alias("mean"))
+    bounds = _bounds(_means_of(large, F.lit(True), score, resamples, "m", SEED), "m", ("ci_low", "ci_high"))
+    return out.unionByName(said.join(bounds, "_g", "left").drop("_g"))
 
 
 def exact_diff_ci(df: DataFrame, by: tuple[str, ...], side: str, score: str = "score", resamples: int = RESAMPLES) -> DataFrame:
     """by, diff, diff_ci_low, diff_ci_high of the rows where *side* is true against those where it is false."""
-    _checked(df, by)
     keys = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
+    own, large = _split(df.select(*by, side, "created_at", "id", score), by)
 
     def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(["created_at", "id"], kind="stable")
@@ -94,8 +128,15 @@ def exact_diff_ci(df: DataFrame, by: tuple[str, ...], side: str, score: str = "s
         row = map(_nulls, diff_ci(v.loc[on, score], v.loc[~on, score], resamples))
         return pd.DataFrame([[*key, *row]], columns=[*by, "diff", "diff_ci_low", "diff_ci_high"])
 
-    rows = df.select(*by, side, "created_at", "id", score)
-    return rows.groupBy(*by).applyInPandas(group, ", ".join([*keys, "diff double, diff_ci_low double, diff_ci_high double"]))
+    out = own.groupBy(*by).applyInPandas(group, ", ".join([*keys, "diff double, diff_ci_low double, diff_ci_high double"]))
+    if large is None:
+        return out
+    on, value = F.coalesce(F.col(side), F.lit(False)), F.nanvl(score, F.lit(None).cast("double"))
+    said = large.groupBy("_g", *by).agg((F.avg(F.when(on, value)) - F.avg(F.when(~on, value))).alias("diff"))
+    # The sides are drawn apart, each with a seed of its own.
+    both = _means_of(large, on, score, resamples, "x", SEED).join(_means_of(large, ~on, score, resamples, "y", SEED + 1), ["_g", "b"])
+    bounds = _bounds(both.withColumn("m", F.col("x") - F.col("y")), "m", ("diff_ci_low", "diff_ci_high"))
+    return out.unionByName(said.join(bounds, "_g", "left").drop("_g"))
 
 
 def _weights(key: Column, block: Column) -> list[Column]:
@@ -108,7 +149,24 @@ def _weights(key: Column, block: Column) -> list[Column]:
     return [sum((v > math.floor(c * 65536 - 0.5)).cast("int") for c in CDF) for v in slices]
 
 
-def _replicates(rows: DataFrame, by: tuple[str, ...], score: str, n: int, sides: dict[str, Column]) -> DataFrame:
+def _own_keys(rows: DataFrame, by: tuple[str, ...], score: str, extra: tuple[str, ...]) -> DataFrame:
+    """Adds _key, by which a row is drawn: its id, where no other row of its group has it.
+
+    Rows that lack or share an id are told apart by their values, and equal ones by a number, so each is drawn on its own. Rows are
+    counted before they are numbered: an id (or none) that a third of all rows share costs a task a row for each of its values.
+    """
+    named = _named(rows, by)
+    each = named.groupBy("_g", *by, "id", score, *extra).agg(F.count("*").alias("_n"))
+    # Rows without id are never looked up, and an id that many values share comes as one sum from each task.
+    shared = each.where("id is not null").groupBy("_g", "id").agg(F.sum("_n").alias("_of")).where("_of > 1")
+    told = each.join(shared, ["_g", "id"], "left")
+    alone = told.where("id is not null and _of is null").withColumn("_key", F.col("id").cast("string"))
+    again = told.where("id is null or _of is not null").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    made = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("")), "_g", F.xxhash64(score, *extra).cast("string"), F.col("_i").cast("string"))
+    return alone.unionByName(again.withColumn("_key", made).drop("_i")).drop("_g", "_n", "_of")
+
+
+def _replicates(rows: DataFrame, by: tuple[str, ...], score: str, n: int, sides: dict[str, Column], extra: tuple[str, ...] = ()) -> DataFrame:
     """by and, for each side, its mean in every replicate: one row per key and replicate.
 
     A row is repeated for each block of PER_HASH replicates, not for each replicate, and its block's sums meet in partial
@@ -117,8 +175,9 @@ def _replicates(rows: DataFrame, by: tuple[str, ...], score: str, n: int, sides:
     # Each row becomes many, so rows are dealt out first: a few files would keep all that work in a few tasks.
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    spread = rows.repartition(parts, "id").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // PER_HASH) - 1))))
-    spread = spread.withColumns({f"_w{j}": w for j, w in enumerate(_weights(F.col("id"), F.col("_block")))})
+    keyed = _own_keys(rows, by, score, extra).repartition(parts, "_key")
+    spread = keyed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-n // PER_HASH) - 1))))
+    spread = spread.withColumns({f"_w{j}": w for j, w in enumerate(_weights(F.col("_key"), F.col("_block")))})
     part = lambda j, on: F.try_divide(F.sum(F.when(on, F.col(f"_w{j}") * F.col(score))), F.sum(F.when(on, F.col(f"_w{j}"))))
     sums = spread.groupBy(*by, "_block").agg(*(part(j, on).alias(f"_{s}{j}") for j in range(PER_HASH) for s, on in sides.items()))
     each = F.array(*(F.struct((F.col("_block") * PER_HASH + j).alias("b"), *(F.col(f"_{s}{j}").alias(s) for s in sides)) for j in range(PER_HASH)))
@@ -133,12 +192,12 @@ def poisson_mean_ci(df: DataFrame, by: tuple[str, ...], score: str = "score", re
     """by, mean, ci_low, ci_high."""
     rows = df.where(F.col(score).isNotNull()).select(*by, "id", score)
     ci = _interval(_replicates(rows, by, score, replicates, {"m": F.lit(True)}), by, "m", ("ci_low", "ci_high"), alpha)
-    return rows.groupBy(*by).agg(F.avg(score).alias("mean")).join(ci, list(by))
+    return _joined(rows.groupBy(*by).agg(F.avg(score).alias("mean")), ci, by)
 
 
 def poisson_diff_ci(df: DataFrame, by: tuple[str, ...], side: str, score: str = "score", replicates: int = REPLICATES, alpha: float = ALPHA) -> DataFrame:
     """by, diff, diff_ci_low, diff_ci_high of *side* true against false; no interval where a side is empty."""
     rows = df.where(F.col(score).isNotNull()).select(*by, side, "id", score)
-    reps = _replicates(rows, by, score, replicates, {"on": F.col(side), "off": ~F.col(side)}).withColumn("m", F.col("on") - F.col("off"))
+    reps = _replicates(rows, by, score, replicates, {"on": F.col(side), "off": ~F.col(side)}, (side,)).withColumn("m", F.col("on") - F.col("off"))
     diff = rows.groupBy(*by).agg((F.avg(F.when(F.col(side), F.col(score))) - F.avg(F.when(~F.col(side), F.col(score)))).alias("diff"))
-    return diff.join(_interval(reps, by, "m", ("diff_ci_low", "diff_ci_high"), alpha), list(by))
+    return _joined(diff, _interval(reps, by, "m", ("diff_ci_low", "diff_ci_high"), alpha), by)

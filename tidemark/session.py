@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC everywhere; AQE re-plans joins, splits skewed partitions and joins small ones.
 DEFAULTS = {
@@ -31,3 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return path.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write *df* as Parquet in the shared folder and read it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
