@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,8 @@ from tidemark.functions import time as tm
 from tidemark.operators import bootstrap, events, matching, replies, restore, scorers, series, stance, summary
 from tidemark.plans import adapters as ad
 from tidemark.plans.oracles import SQL
-from tidemark.session import shared_dir
-from tidemark.sources import dims, files, sinks
+from tidemark.session import scratch
+from tidemark.sources import dims, files, ledger, paged, sinks
 from tidemark.streaming import ingest
 
 #: Places that computed doubles are rounded to, as the order of a sum differs between engines.
@@ -512,7 +511,7 @@ def metrics_json(spark, d):
 
 
 def _landed(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}/{name}"
+    return f"{scratch(spark, 'landed')}/{name}"
 
 
 @_q
@@ -564,13 +563,51 @@ def source_totals(spark, d):
     return summary.totals(t)
 
 
+# -- paged sources: pages landed in the shared folder, one a source and day, read back newest first
+
+
+def _pages(spark, d):
+    iso = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created_at")
+    return scored(spark, d).where("created_at is not null").select("id", "tier", iso, F.datediff("created_at", F.lit("2024-01-01").cast("date")).alias("page"), "score")
+
+
+@_q
+def paged_posts(spark, d):
+    """Timelines within a window, the newest thousand of each source."""
+    place = _landed(spark, "pages")
+    paged.land(_pages(spark, d), place, "tier")
+    return paged.read_pages(spark, root=place, since="2024-01-08", until="2024-01-20", cap=1000).select("source", "id", ledger.body_field("score").cast("double").alias("score"))
+
+
+@_q
+def paged_stream(spark, d):
+    """Pages that land in two parts, read by one stream that is started twice."""
+    place = _landed(spark, "pages")
+    for half in ("page < 15", "page >= 15"):
+        paged.land(_pages(spark, d).where(half), place, "tier")
+        ingest.drain(paged.read_pages(spark, stream=True, root=place).select("source", "id"), f"{place}.out", f"{place}.state")
+    return spark.read.parquet(f"{place}.out")
+
+
+@_q
+def ingest_ledger(spark, d):
+    """Windows of all sources and of one that is absent, fetched by two runs: what each came to."""
+    place = _landed(spark, "pages")
+    paged.land(_pages(spark, d), place, "tier")
+    book = ledger.Ledger(spark, f"{place}.ledger")
+    windows = ledger.windows_of(spark, list(ad.SOURCES), "2024-01-01", "2024-01-15").unionByName(ledger.windows_of(spark, list(ad.SOURCES), "2024-01-16", "2025-12-31"))
+    book.run("first", windows.where("since < '2024-01-10'"), {"root": place})
+    book.run("second", windows, {"root": place})
+    return book.status(windows)
+
+
 # -- streaming
 
 
 @_q
 def stream_daily_means(spark, d):
     """events through a file stream into additive daily sums, read back."""
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     schema = ad.table(spark, d, "events").schema
     stream = ingest.read_posts(spark, f"{d}/events.parquet*", schema, "parquet")
     stream = stream.select(F.col("event_type").alias("tier"), F.col("ts").cast("timestamp").alias("created_at"), F.col("value").alias("score"))
@@ -581,7 +618,7 @@ def stream_daily_means(spark, d):
 @_q
 def stream_dedupe(spark, d):
     """Overlapping posts through the watermark's deduplication."""
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     schema = ad.table(spark, d, "events").schema
     stream = ingest.read_posts(spark, f"{d}/events.parquet*", schema, "parquet")
     both = stream.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"), F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))

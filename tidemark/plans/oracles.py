@@ -174,6 +174,12 @@ SQL: dict[str, str] = {
                 FROM posts p JOIN dim d ON d.post_id IS NULL AND contains(lower(p.text), lower(d.match_keyword))),
        best AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY dist, doc_id) AS rn, count(*) OVER (PARTITION BY slug) AS n FROM hits)
        SELECT d.slug, coalesce(d.post_id, b.id) AS post_id, coalesce(b.n, 0) AS n_matches FROM dim d LEFT JOIN best b ON b.slug = d.slug AND b.rn = 1""",
+    "paged_posts": f"""WITH {SCORED} SELECT tier AS source, id, round(score, 9) AS score FROM scored WHERE CAST(created_at AS DATE) BETWEEN '2024-01-08' AND '2024-01-20'
+       QUALIFY row_number() OVER (PARTITION BY tier ORDER BY created_at DESC, id) <= 1000""",
+    "paged_stream": f"""WITH {SCORED} SELECT tier AS source, id FROM scored WHERE created_at IS NOT NULL""",
+    "ingest_ledger": f"""WITH {SCORED}, w AS (SELECT * FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view'), ('absent')) AS s(source), (VALUES ('2024-01-01', '2024-01-15', 1), ('2024-01-16', '2025-12-31', 0)) AS t(since, until, early)),
+       c AS (SELECT source, since, until, early, count(id) AS n FROM w LEFT JOIN scored ON tier = source AND CAST(created_at AS DATE) BETWEEN CAST(since AS DATE) AND CAST(until AS DATE) GROUP BY ALL)
+       SELECT source, since, until, CASE WHEN n > 0 THEN 'collected' ELSE 'empty' END AS state, CAST(CASE WHEN n = 0 AND early = 1 THEN 2 ELSE 1 END AS BIGINT) AS tries, CAST(n AS BIGINT) AS n FROM c""",
     "keyword_match": """SELECT CAST(doc_id AS VARCHAR) AS id, source AS "user" FROM documents WHERE contains(lower(text), 'thound')""",
     "strip_html": rf"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{SPACE}+', ' ', 'g'), '^ ', ''), ' $', '')) AS text_md5 FROM pages""",
     "url_only": rf"""WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '  ' || url WHEN 1 THEN url || ' read' ELSE url END AS x FROM pages)
