@@ -5,19 +5,24 @@ The lexicon scorer is this library's own; it is not, and doesn't claim to be, an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+import hashlib
+import re
+import resource
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.score import label
 from tidemark.functions.text import empty_text, prompt, sentiment_reply, stance_reply, url_only
+from tidemark.operators.calls import Policy, answers
 from tidemark.operators.valence import valence
+from tidemark.session import scratch
 from tidemark.sources.files import exists
-from tidemark.sources.sinks import append_partial
+from tidemark.sources.sinks import _files, _move
 
 
 class Scorer(Protocol):
@@ -63,29 +68,67 @@ class ValenceScorer(LexiconScorer):
         return run("text")
 
 
+#: Words of a text that a model sees, and resident megabytes at which a task stops asking it.
+TOKENS, CEILING_MB = 512, 6144
+WORD = re.compile(r"\S+")
+
+
+def truncated(text: str, tokens: int = TOKENS) -> str:
+    """The text up to its last token that a model takes; tokens are words here, of which each is one or more of a model's own."""
+    end = 0
+    for i, m in enumerate(WORD.finditer(text), 1):
+        end = m.end()
+        if i == tokens:
+            return text[:end]
+    return text
+
+
+def resident_mb() -> float:
+    """Resident memory of this process."""
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * resource.getpagesize() / 1e6
+
+
+def in_batches(model: Callable, texts: list[str], batch: int, tokens: int, ceiling: float, memory: Callable[[], float]) -> list[tuple]:
+    """(score, label, error) of each text. Texts of like length go together, the shortest first, so that a batch is hardly padded. A batch
+    that fails is a null with its error. At the ceiling the rest stays without scores, so the task ends and its part is kept."""
+    cut = [truncated(t, tokens) for t in texts]
+    order = sorted(range(len(cut)), key=lambda i: len(cut[i]))
+    out: list[tuple] = [(None, None, None)] * len(cut)
+    for at in range(0, len(order), batch):
+        own = order[at : at + batch]
+        if memory() >= ceiling:
+            for i in order[at:]:
+                out[i] = (None, None, f"memory ceiling of {ceiling:.0f} MB")
+            return out
+        try:
+            said = [(float(s), str(lab), None) for s, lab in model([cut[i] for i in own])]
+            if len(said) != len(own):
+                raise ValueError(f"{len(said)} answers to {len(own)} texts")
+        except Exception as e:  # noqa: BLE001  a bad batch must not end the job
+            said = [(None, None, (str(e) or type(e).__name__)[:200])] * len(own)
+        for i, row in zip(own, said, strict=True):
+            out[i] = row
+    return out
+
+
 class ModelScorer:
-    """A model that is loaded once per task and sees texts in batches. A failed batch gives nulls and an error mark."""
+    """A model that is loaded once per task and sees texts in batches of like length, cut to *tokens* words. A failed batch gives nulls,
+    an error mark and its error, and so do the rows that are left at the memory ceiling: a later run scores them."""
 
-    def __init__(self, load: Callable[[], Callable[[Sequence[str]], Sequence[tuple[float, str]]]], name: str = "transformer", batch: int = 16):
-        self.load, self.name, self.batch = load, name, batch
+    def __init__(self, load: Callable[[], Callable[[Sequence[str]], Sequence[tuple[float, str]]]], name: str = "transformer", batch: int = 16, tokens: int = TOKENS, ceiling_mb: float = CEILING_MB):
+        self.load, self.name, self.batch, self.tokens, self.ceiling_mb = load, name, batch, tokens, ceiling_mb
 
     def score(self, posts: DataFrame) -> DataFrame:
-        load, batch = self.load, self.batch
+        load, batch, tokens, ceiling = self.load, self.batch, self.tokens, self.ceiling_mb
 
-        @F.pandas_udf("score double, label string, failed boolean")
+        @F.pandas_udf("score double, label string, error string")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             model = load()
             for texts in parts:
-                rows: list[tuple] = []
-                for at in range(0, len(texts), batch):
-                    chunk = texts.iloc[at : at + batch].tolist()
-                    try:
-                        rows += [(float(s), str(lab), False) for s, lab in model(chunk)]
-                    except Exception:  # noqa: BLE001  a bad batch must not end the job
-                        rows += [(None, None, True)] * len(chunk)
-                yield pd.DataFrame(rows, columns=["score", "label", "failed"])
+                yield pd.DataFrame(in_batches(model, texts.tolist(), batch, tokens, ceiling, resident_mb), columns=["score", "label", "error"]).astype({"score": "float64", "label": object, "error": object})
 
-        s, lab = f"score_{self.name}", f"label_{self.name}"
+        s, lab, err = f"score_{self.name}", f"label_{self.name}", f"error_{self.name}"
         old = F.col(s) if s in posts.columns else F.lit(None).cast("double")
         blank = empty_text(F.col("text"))
         base = posts.withColumns({"_old": old, "empty_text": blank})
@@ -93,28 +136,22 @@ class ModelScorer:
         todo = base.where(F.col("_old").isNull() & ~F.col("empty_text")).withColumn("_m", run("text"))
         done = base.where(F.col("_old").isNotNull() | F.col("empty_text"))
         kept = F.col(lab) if lab in posts.columns else F.lit(None).cast("string")
-        filled = done.withColumns({s: F.coalesce("_old", F.lit(0.0)), lab: F.when(F.col("_old").isNull(), "neutral").otherwise(kept), "score_failed": F.lit(False)})
-        scored = todo.withColumns({s: F.col("_m.score"), lab: F.col("_m.label"), "score_failed": F.col("_m.failed")}).drop("_m")
+        filled = done.withColumns({s: F.coalesce("_old", F.lit(0.0)), lab: F.when(F.col("_old").isNull(), "neutral").otherwise(kept), "score_failed": F.lit(False), err: F.lit(None).cast("string")})
+        scored = todo.withColumns({s: F.col("_m.score"), lab: F.col("_m.label"), "score_failed": F.col("_m.error").isNotNull(), err: F.col("_m.error")}).drop("_m")
         return filled.unionByName(scored.select(*filled.columns)).drop("_old")
 
 
-def _ask(posts: DataFrame, client: Callable[[str, str], str], threads: int, template: str | None = None) -> DataFrame:
-    """Adds reply, the client's answer for each row, and error, what it raised instead. Calls overlap within a task.
+def _ask(posts: DataFrame, client: Callable[[str, str], str], policy: Policy, template: str | None = None) -> DataFrame:
+    """Adds reply, the client's answer for each row, and error, what it raised at last instead.
 
     The client gets the text, or where there is a *template* the prompt made of it, and the user.
     """
 
     @F.pandas_udf("reply string, error string")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        def one(row: tuple[str, str]) -> tuple[str | None, str | None]:
-            try:
-                return client(row[0] or "", row[1] or ""), None
-            except Exception as e:  # noqa: BLE001  a failed call is a row without reply
-                return None, str(e) or type(e).__name__
-
-        with ThreadPoolExecutor(threads) as pool:
-            for text, user in parts:
-                yield pd.DataFrame(list(pool.map(one, zip(text, user, strict=True))), columns=["reply", "error"], dtype=object)
+        for text, user in parts:
+            rows = ((t or "", u or "") for t, u in zip(text, user, strict=True))
+            yield pd.DataFrame(list(answers(client, rows, policy)), columns=["reply", "error"], dtype=object)
 
     said = F.col("text") if template is None else prompt(template, text=F.col("text"), user=F.col("user"))
     asked = posts.withColumn("_said", said).withColumn("_a", run("_said", "user"))
@@ -122,10 +159,14 @@ def _ask(posts: DataFrame, client: Callable[[str, str], str], threads: int, temp
 
 
 class RemoteScorer:
-    """A remote sentiment model for chosen tiers or accounts; URL-only texts are neutral without a call."""
+    """A remote sentiment model for chosen tiers or accounts; URL-only texts are off_topic without a call.
 
-    def __init__(self, client: Callable[[str, str], str], tiers: Sequence[str] | None = None, accounts: Sequence[str] | None = None, threads: int = 5, name: str = "llm", template: str | None = None):
-        self.client, self.tiers, self.accounts, self.threads, self.name, self.template = client, tiers, accounts, threads, name, template
+    error_<name> says what a row without a score was answered: the client's last error, or that the answer could not be read.
+    """
+
+    def __init__(self, client: Callable[[str, str], str], tiers: Sequence[str] | None = None, accounts: Sequence[str] | None = None, threads: int = 5, name: str = "llm", template: str | None = None, policy: Policy | None = None):
+        self.client, self.tiers, self.accounts, self.name, self.template = client, tiers, accounts, name, template
+        self.policy = policy or Policy(threads)
 
     def score(self, posts: DataFrame) -> DataFrame:
         s, lab = f"score_{self.name}", f"label_{self.name}"
@@ -133,39 +174,90 @@ class RemoteScorer:
         kept = F.col(lab) if lab in posts.columns else F.lit(None).cast("string")
         wanted = F.lit(self.tiers is None and self.accounts is None)
         wanted = wanted | (F.col("tier").isin(list(self.tiers)) if self.tiers else F.lit(False)) | (F.col("user").isin(list(self.accounts)) if self.accounts else F.lit(False))
-        base = posts.withColumns({s: old, lab: kept})
+        err = f"error_{self.name}"
+        base = posts.withColumns({s: old, lab: kept, err: F.col(err) if err in posts.columns else F.lit(None).cast("string")})
         base = base.withColumn("_case", F.when(F.col(s).isNotNull() | ~F.coalesce(wanted, F.lit(False)) | empty_text(F.col("text")), 0).when(url_only(F.col("text")), 1).otherwise(2))
-        asked = _ask(base.where("_case = 2"), self.client, self.threads, self.template).withColumn("_r", sentiment_reply(F.col("reply")))
-        asked = asked.withColumns({s: F.col("_r.score"), lab: F.col("_r.label")}).select(*base.columns)
-        links = base.where("_case = 1").withColumns({s: F.lit(0.0), lab: F.lit("neutral")})
+        asked = _ask(base.where("_case = 2"), self.client, self.policy, self.template).withColumn("_r", sentiment_reply(F.col("reply")))
+        unread = F.when(F.col("_r.score").isNull(), F.concat(F.lit("unreadable: "), F.substring(F.coalesce("reply", F.lit("")), 1, 80)))
+        asked = asked.withColumns({s: F.col("_r.score"), lab: F.col("_r.label"), err: F.coalesce("error", unread)}).select(*base.columns)
+        links = base.where("_case = 1").withColumns({s: F.lit(0.0), lab: F.lit("off_topic")})
         return base.where("_case = 0").unionByName(links).unionByName(asked).drop("_case")
 
 
 def classify_stance(sample: DataFrame, client: Callable[[str, str], str], score: str = "score", threads: int = 5, template: str | None = None) -> DataFrame:
     """id, tracked_slug, user, text (100 characters), score, stance, confidence, reason; failures are stance error, and their
     reason is what the client raised."""
-    asked = _ask(sample.withColumn("_whole", F.col("text")).withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, 500)), client, threads, template)
+    asked = _ask(sample.withColumn("_whole", F.col("text")).withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, 500)), client, Policy(threads), template)
     r = stance_reply(F.col("reply"))
     reason = F.when(F.col("error").isNotNull(), F.substring("error", 1, 80)).otherwise(F.col("_r.reason"))
     return asked.withColumn("_r", r).select("id", "tracked_slug", "user", F.substring("text", 1, 100).alias("text"), score, F.col("_r.stance").alias("stance"), F.col("_r.confidence").alias("confidence"), reason.alias("reason"))
 
 
+def signature(x: object) -> str:
+    """What a scorer or a part of it does, as text: names, parameters and the code of functions, never addresses."""
+    if isinstance(x, (str, bytes, int, float, bool, type(None))):
+        return repr(x)
+    if isinstance(x, Mapping):
+        return "{" + ",".join(sorted(f"{signature(k)}:{signature(v)}" for k, v in x.items())) + "}"
+    if isinstance(x, (set, frozenset)):
+        return "{" + ",".join(sorted(map(signature, x))) + "}"
+    if isinstance(x, Sequence):
+        return "[" + ",".join(map(signature, x)) + "]"
+    if isinstance(x, partial):
+        return f"partial({signature(x.func)},{signature(x.args)},{signature(x.keywords)})"
+    code = getattr(x, "__code__", None)
+    if code is not None:
+        held = [c.cell_contents for c in x.__closure__ or ()]
+        consts = [c for c in code.co_consts if not hasattr(c, "co_code")]
+        inner = [c.co_code for c in code.co_consts if hasattr(c, "co_code")]
+        return f"{x.__module__}.{x.__qualname__}({signature([code.co_code, code.co_names, consts, inner, held, x.__defaults__ or ()])})"
+    kind = x if isinstance(x, type) else type(x)
+    return f"{kind.__module__}.{kind.__qualname__}({'' if isinstance(x, type) else signature(getattr(x, '__dict__', {}))})"
+
+
 def resumable(posts: DataFrame, scorers: Sequence[Scorer], path: str, batches: int = 16, key: str = "id") -> DataFrame:
-    """Score in batches of hashed keys, each written when it is done; a run after a break scores only what is missing.
+    """Score in parts of hashed keys, each committed when it is done; a run after a break scores only what is missing.
 
-    The folder's name has a digest of the posts' keys and texts, so other posts never meet an old checkpoint. Posts are
-    read once for each batch: for scorers whose calls cost far more than a scan.
+    Posts are read once: they are dealt out into one folder for each part, and counted and hashed as they are written. The folder's name
+    is a digest of their keys and texts and of what the scorers do (signature()), so neither other posts nor another lexicon,
+    template or client meet an old checkpoint. A part is written aside and moved into place, so a part is there whole or not at all.
     """
     spark = posts.sparkSession
-    rows, digest = posts.agg(F.count("*"), F.sum(F.xxhash64(key, "text").cast("decimal(20,0)"))).first()
-    place = f"{path}/{rows}-{digest or 0}-{batches}"
+    seen = Observation()
+    told = F.xxhash64(key, "text").cast("decimal(38,0)")
+    dealt = f"{path}/dealt-{scratch(spark, 'x').rsplit('-', 1)[-1]}"
+    counted = posts.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(told).alias("digest"))
+    counted.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int")).write.partitionBy("_part").parquet(dealt)
+    rows = seen.get
+    digest = hashlib.sha256(f"{rows['n']} {rows['digest']} {batches} {signature(list(scorers))} {posts.schema.json()}".encode()).hexdigest()[:20]
+    place = f"{path}/{digest}"
+    fs, at = _files(spark, place)
+    if exists(spark, f"{place}/posts/_SUCCESS"):
+        fs.delete(at(dealt), True)
+    else:
+        fs.delete(at(f"{place}/posts"), True)
+        fs.mkdirs(at(place))
+        _move(fs, at, dealt, f"{place}/posts")
+    parts = []
     for i in range(batches):
-        if not exists(spark, f"{place}/batch={i}/_SUCCESS"):
-            part = posts.where(F.pmod(F.xxhash64(key), F.lit(batches)) == i)
+        done = f"{place}/scored/part={i}"
+        if not exists(spark, f"{done}/_SUCCESS"):
+            source = f"{place}/posts/_part={i}"
+            if not exists(spark, source):
+                continue  # no key falls here
+            part = spark.read.schema(posts.schema).parquet(source)
             for scorer in scorers:
                 part = scorer.score(part)
-            append_partial(part, place, i)
-    return spark.read.parquet(place).drop("batch")
+            aside = f"{place}/scored/.part={i}"
+            part.write.mode("overwrite").parquet(aside)
+            fs.delete(at(done), True)
+            _move(fs, at, aside, done)
+        parts.append(done)
+    if not parts:  # no posts at all
+        for scorer in scorers:
+            posts = scorer.score(posts)
+        return posts
+    return spark.read.parquet(*parts)
 
 
 def analyze(posts: DataFrame, scorers: Sequence[Scorer], prior: DataFrame | None = None, checkpoint: str | None = None, batches: int = 16) -> DataFrame:
