@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import score as fs
 from tidemark.functions import text as ft
 from tidemark.functions import time as tm
-from tidemark.operators import bootstrap, events, matching, replies, restore, scorers, series, stance, summary
+from tidemark.operators import bootstrap, events, matching, replies, restore, scorers, series, stance, summary, trees
 from tidemark.plans import adapters as ad
 from tidemark.plans.oracles import SQL
 from tidemark.session import scratch
-from tidemark.sources import dims, files, ledger, paged, sinks
-from tidemark.streaming import ingest
+from tidemark.sources import dims, files, ledger, paged, sinks, snapshots
+from tidemark.streaming import ingest, marks
 
 #: Places that computed doubles are rounded to, as the order of a sum differs between engines.
 PLACES = 9
@@ -240,6 +240,12 @@ def reply_parents(spark, d):
     return r.join(parent, "in_reply_to_id").select("id", "user", "parent_user")
 
 
+@_q
+def reply_trees(spark, d):
+    """Root and depth of every turn; the first turn of a conversation answers one that is not there."""
+    return trees.reply_trees(ad.replies(spark, d))
+
+
 # -- posts, labels, loyalty
 
 
@@ -626,6 +632,33 @@ def stream_dedupe(spark, d):
     return spark.read.parquet(f"{place}/out")
 
 
+@_q
+def stream_high_water(spark, d):
+    """Marks, next reads and gaps of each user from a stream that is stopped half way and started again."""
+    place = scratch(spark, "stream")
+    e = ad.table(spark, d, "events").select("user_id", "ts")
+    now = F.lit("2024-02-06 12:00:00").cast("timestamp")
+    for half in ("ts < '2024-01-15'", "ts >= '2024-01-15'"):
+        e.where(half).write.mode("append").parquet(f"{place}/in")
+        stream = ingest.read_posts(spark, f"{place}/in", e.schema, "parquet")
+        marks.drain_marks(marks.high_water_marks(stream, key="user_id", time="ts"), f"{place}/out", f"{place}/state")
+    out = marks.next_fetches(marks.current_marks(spark, f"{place}/out"), now)
+    return days(out, "latest", "start", "stop", form="yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+@_q
+def snapshot_publish(spark, d):
+    """Two versions, the second made from the first; a writer that still expects the first one is refused."""
+    book = snapshots.Snapshots(spark, _landed(spark, "table"))
+    first = book.publish(scored(spark, d).select("id", "created_at", "score"))
+    second = book.publish(book.read().withColumn("score", -F.col("score")), expected=first)
+    try:
+        book.publish(book.read(first), expected=first)
+    except snapshots.Conflict:
+        return book.read().select("id", "score", F.lit(second).cast("long").alias("version"))
+    raise AssertionError("a stale version was published")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -180,6 +180,14 @@ SQL: dict[str, str] = {
     "ingest_ledger": f"""WITH {SCORED}, w AS (SELECT * FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view'), ('absent')) AS s(source), (VALUES ('2024-01-01', '2024-01-15', 1), ('2024-01-16', '2025-12-31', 0)) AS t(since, until, early)),
        c AS (SELECT source, since, until, early, count(id) AS n FROM w LEFT JOIN scored ON tier = source AND CAST(created_at AS DATE) BETWEEN CAST(since AS DATE) AND CAST(until AS DATE) GROUP BY ALL)
        SELECT source, since, until, CASE WHEN n > 0 THEN 'collected' ELSE 'empty' END AS state, CAST(CASE WHEN n = 0 AND early = 1 THEN 2 ELSE 1 END AS BIGINT) AS tries, CAST(n AS BIGINT) AS n FROM c""",
+    "reply_trees": """WITH RECURSIVE r AS (SELECT concat_ws(':', conv_id, turn) AS id, concat_ws(':', conv_id, turn - 1) AS up FROM conversations GROUP BY ALL),
+       t AS (SELECT id, up AS root, CAST(1 AS BIGINT) AS depth FROM r WHERE up NOT IN (SELECT id FROM r) UNION ALL SELECT r.id, t.root, t.depth + 1 FROM r JOIN t ON r.up = t.id)
+       SELECT id, root, depth, 'orphan' AS state FROM t""",
+    "stream_high_water": """WITH m AS (SELECT CAST(user_id AS VARCHAR) AS source, max(ts) AS latest FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id),
+       s AS (SELECT *, greatest(latest + INTERVAL 1 SECOND, TIMESTAMP '2024-01-30 12:05:00') AS start FROM m)
+       SELECT source, strftime(latest, '%Y-%m-%d %H:%M:%S.%f') AS latest, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, '2024-02-06 11:59:30.000000' AS stop,
+              CAST(floor(epoch(start)) - floor(epoch(latest)) - 1 AS BIGINT) AS gap FROM s""",
+    "snapshot_publish": f"""WITH {SCORED} SELECT id, round(-score, 9) AS score, CAST(2 AS BIGINT) AS version FROM scored""",
     "keyword_match": """SELECT CAST(doc_id AS VARCHAR) AS id, source AS "user" FROM documents WHERE contains(lower(text), 'thound')""",
     "strip_html": rf"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{SPACE}+', ' ', 'g'), '^ ', ''), ' $', '')) AS text_md5 FROM pages""",
     "url_only": rf"""WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '  ' || url WHEN 1 THEN url || ' read' ELSE url END AS x FROM pages)
