@@ -24,3 +24,22 @@ def test_commands(spark, tmp_path, capsys):
     cli.main(["event-study", "--scored", f"{tmp_path}/posts-scored", *d])
     out = capsys.readouterr().out
     assert "a1" in out and "media" in out and "2024-01-02" in out
+
+
+def test_collect_and_event_study_switches(spark, tmp_path, capsys):
+    """Landed pages into a ledger; replies scored once, again only where it is forced; no comparison of broadcasters."""
+    from tidemark.sources import paged
+
+    rows = [(f"{i}", "ann" if i % 2 else "bob", f"2024-01-0{i + 1}T00:00:00Z", i) for i in range(6)]
+    paged.land(spark.createDataFrame(rows, "id string, user string, created_at string, page long"), f"file://{tmp_path}/pages")
+    for _ in range(2):
+        cli.main(["collect", "--root", f"file://{tmp_path}/pages", "--ledger", f"{tmp_path}/book", "--since", "2024-01-02", "--until", "2024-01-05", "--sources", "ann, bob, cid", "--run", "one"])
+    out = capsys.readouterr().out
+    assert "collected" in out and "empty" in out and "cid" in out
+    replies = [(f"{i}", "s", "2024-01-01", "good" if i else "bad") for i in range(4)]
+    spark.createDataFrame(replies, "id string, tracked_slug string, created_at string, text string").write.parquet(f"{tmp_path}/replies")
+    study = ["event-study", "--replies", f"{tmp_path}/replies", "--scored-replies", f"{tmp_path}/scored", "--scored", f"{tmp_path}/none", "--no-broadcaster"]
+    for weight, force, mean in ((1.0, [], 0.75), (0.5, [], 0.75), (0.5, ["--force-score"], 0.375)):
+        (tmp_path / "lex.json").write_text(json.dumps({"good": weight}))
+        cli.main([*study, "--lexicon", f"{tmp_path}/lex.json", *force])
+        assert f"{mean}" in capsys.readouterr().out

@@ -38,12 +38,44 @@ def squashed(total: float) -> float:
         ("good?????", 1.9 + 0.96),
         ("good but bad", 1.9 * 0.5 - 2.5 * 1.5),
         ("fine :)", 2.0),
+        ("the least good day", 1.9 * -0.74),
+        ("at least a good day", 1.9),
+        ("at least good", 1.9),
+        ("never so good", (1.9 + 0.293) * 1.25),
+        ("never been so good", (1.9 + 0.293) * 1.25),
+        ("never good", 1.9 * -0.74),
+        ("without doubt good", 1.9),
+        ("without a doubt good", 1.9),
+        ("without any good", 1.9 * -0.74),
+        ("that was the bomb", 3.0),
+        ("a kiss of death", -1.5),
+        ("a Bad ASS film", 1.5),
+        ("bad", -2.5),
+        ("yeah right, good", -2.0 + 1.9),
+        ("a broken heart but good", -2.9 * 0.5 + 1.9 * 1.5),
     ],
 )
 def test_valence_rules(text, total):
     assert valence(text, LEXICON) == pytest.approx(squashed(total))
 
 
+def test_idioms_of_the_caller_and_emoji():
+    from tidemark.operators.valence import Trie
+
+    idioms = Trie({"a b": 1.0, "a b c d": 2.0, "b": -1.0})
+    assert idioms.at(["a", "b", "c", "x"], 0) == (2, 1.0) and idioms.at(["a", "b", "c", "d"], 0) == (4, 2.0) and idioms.at(["c"], 0) is None
+    assert valence("a b c", {}, idioms) == pytest.approx(squashed(1.0)) and valence("x b", {}, idioms) == pytest.approx(squashed(-1.0))
+    assert valence("\U0001f600", LEXICON, emoji={"\U0001f600": "great smile"}) == pytest.approx(squashed(3.1))
+
+
+def test_large_lexicons_score_like_small_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Good, bad good's"), (2, None), (3, "nothing"), (4, "it's GREAT")], "id long, text string")
+    weights = {"good": 0.5, "bad": -0.75, "great": 3.0, "it's": 1.0}
+    small = {r.id: r.score_vader for r in scorers.LexiconScorer(weights).score(df).collect()}
+    monkeypatch.setattr(scorers, "SMALL_LEXICON", 2)
+    assert {r.id: r.score_vader for r in scorers.LexiconScorer(weights).score(df).collect()} == small
+
+
 def test_valence_scorer(spark, tmp_path):
     (tmp_path / "lexicon.txt").write_text("good\t1.9\t0.9\t[2, 2]\nbad\t-2.5\t0.6\t[3]\n")
     weights = read_lexicon(f"{tmp_path}/lexicon.txt")

@@ -5,16 +5,18 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text as ft
 from tidemark.operators import events, matching, replies, scorers, series, stance, summary, valence
-from tidemark.schema import EVENT_DIM, SCORE_COLUMNS, TRACKED_DIM, conform, scored_schema
+from tidemark.schema import EVENT_DIM, REPLY, SCORE_COLUMNS, SCORES, TRACKED_DIM, conform, scored_schema
 from tidemark.session import session
-from tidemark.sources import dims, files, sinks
+from tidemark.sources import dims, files, ledger, paged, sinks
 
 
 def show(df: DataFrame, rows: int = 200) -> None:
@@ -92,17 +94,31 @@ def cmd_summary(spark, a) -> None:
         show(table.withColumns({"mean": ft.signed(F.col("mean")), "bar": ft.bar(F.col("mean"), 30)}))
 
 
+def cmd_collect(spark, a) -> None:
+    """Fetch the open windows of paged sources into a ledger: pages landed under --root, or a --client of package.module:name."""
+    options = {k: v for k, v in (("root", a.root), ("client", a.client)) if v}
+    names = [v.strip() for v in a.sources.split(",") if v.strip()] if a.sources else paged.client_of(options).sources()
+    book = ledger.Ledger(spark, a.ledger)
+    show(book.run(a.name or time.strftime("%Y%m%dT%H%M%S"), ledger.windows_of(spark, names, a.since, a.until), options, a.cap, a.force).orderBy("source"))
+    show(book.posts().groupBy("source").count().orderBy("source"))
+
+
 def cmd_event_study(spark, a) -> None:
     d = load_dims(spark, a.dims)
     if a.replies:
         rows = spark.read.parquet(a.replies)
+        if a.scored_replies:
+            if not a.lexicon:
+                raise SystemExit("--scored-replies needs a --lexicon")
+            raw, kind = conform(rows, T.StructType([*REPLY, *SCORES])), scorers.ValenceScorer if a.rules else scorers.LexiconScorer
+            rows = files.load_or_compute(spark, a.scored_replies, lambda: kind(valence.read_lexicon(a.lexicon)).score(raw), a.force_score)
         rows = rows.where(F.col("tracked_slug") == a.slug) if a.slug else rows
         s, lab = summary.score_column(rows, a.score), summary.label_column(rows)
         if rows.isEmpty():
             raise SystemExit(f"no replies{f' to {a.slug}' if a.slug else ''}")
         show(replies.post_summary_ci(rows, s, lab, a.exact))
         show(replies.loyalty_segments_ci(replies.with_loyalty(rows, d.get("loyalty_keywords", [])), s, a.exact))
-    if a.scored:
+    if a.scored and not a.no_broadcaster:
         df = spark.read.parquet(a.scored)
         show(events.compare_events_ci(df, dims.events(spark, _rows(EVENT_DIM, d["events"])), a.window_hours, summary.score_column(df, a.score), a.where, a.exact).orderBy("event_date"))
 
@@ -191,7 +207,16 @@ def parser() -> argparse.ArgumentParser:
     add("summary", cmd_summary, "scored!", "score")
     c = add("event-study", cmd_event_study, "replies", "scored", "slug", "score", "dims", "where")
     c.add_argument("--window-hours", type=int, default=48)
-    c.add_argument("--exact", action="store_true", help="resample each group in one task, draw for draw as NumPy does")
+    c.add_argument("--exact", action="store_true", help="resample exactly, small groups draw for draw as NumPy does")
+    c.add_argument("--no-broadcaster", action="store_true", help="leave out the comparison before and after events")
+    c.add_argument("--scored-replies", help="table of scored replies: read if it is there, else scored with --lexicon and written")
+    c.add_argument("--force-score", action="store_true", help="score the replies again")
+    c.add_argument("--lexicon")
+    c.add_argument("--rules", action="store_true")
+    c = add("collect", cmd_collect, "ledger!", "since!", "until!", "root", "client", "sources")
+    c.add_argument("--cap", type=int)
+    c.add_argument("--run", dest="name", help="name of the run; a run that is done is not done again (default: the time)")
+    c.add_argument("--force", action="store_true", help="fetch collected windows again")
     c = add("sample", cmd_sample, "replies!", "out!", "score", "first", "then")
     c.add_argument("--n", type=int, default=50)
     c = add("stance", cmd_stance, "stances!", "replies", "client", "template", "score")

@@ -33,20 +33,41 @@ class Scorer(Protocol):
     def score(self, posts: DataFrame) -> DataFrame: ...
 
 
+#: Words of a lexicon up to which Catalyst looks them up (it searches a map from its beginning); larger ones are a dictionary in each task.
+SMALL_LEXICON = 64
+
+
 class LexiconScorer:
-    """Mean weight of a text's lexicon words; 0 without any. All in Catalyst: no Python at run time."""
+    """Mean weight of a text's lexicon words; 0 without any. Small lexicons are all in Catalyst: no Python at run time."""
 
     def __init__(self, weights: dict[str, float], name: str = "vader"):
         self.name, self.weights = name, weights
 
     def fresh(self) -> Column:
         """A text's score between -1 and 1."""
+        if len(self.weights) > SMALL_LEXICON:
+            return self.looked_up()
         table = F.create_map(*(F.lit(x) for kv in self.weights.items() for x in kv)) if self.weights else F.create_map().cast("map<string,double>")
-        words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+        words = self.words()
         hits = F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda x: x.isNotNull())
         mean = F.when(F.size(hits) > 0, F.aggregate(hits, F.lit(0.0), lambda a, x: a + x) / F.size(hits)).otherwise(0.0)
         return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean))
 
+    @staticmethod
+    def words() -> Column:
+        return F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+
+    def looked_up(self) -> Column:
+        """The same score by a dictionary; words are still split by Spark."""
+        weights = self.weights
+
+        @F.pandas_udf("double")
+        def run(texts: pd.Series) -> pd.Series:
+            hits = ([weights[w] for w in words if w in weights] for words in texts)
+            return pd.Series([sum(h) / len(h) if h else 0.0 for h in hits], dtype="float64")
+
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), run(self.words())))
+
     def score(self, posts: DataFrame) -> DataFrame:
         s, lab = f"score_{self.name}", f"label_{self.name}"
         old = F.col(s) if s in posts.columns else F.lit(None).cast("double")

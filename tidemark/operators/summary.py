@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.schema import LABEL_COLUMNS, SCORE_COLUMNS
-from tidemark.sources.dims import small
 
 
 def mean_by(df: DataFrame, *keys: str, score: str = "score") -> DataFrame:
@@ -59,7 +58,7 @@ def pending(df: DataFrame, score: str = "score") -> DataFrame:
 def source_counts(sources: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows per source of a dimension, 0 for sources without any."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    return sources.join(small(counts), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return sources.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def missing_sources(sources: DataFrame, rows: DataFrame, key: str) -> DataFrame:
