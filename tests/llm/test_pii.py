@@ -225,3 +225,12 @@ def test_redact_leaves_nothing_of_long_secrets(spark):
     got = {r.doc_id: r.text for r in op.redact(docs(spark, texts)).collect()}
     assert all(got[i] == texts[i] for i in range(20))
     assert [got[20 + n] for n in range(len(SECRETS))] == [f"{lead}<SECRET>\nend" for lead in SECRETS]
+
+
+def test_gazetteers_know_all_countries():
+    """Calling codes of one to three digits, and country and generic domains."""
+    vote = lambda phone: op.vote(phone, 3, 0, len(phone), False)[:4]  # noqa: E731  kind, check, shape, gazetteer
+    for phone in ("+351 21 123 4567", "+420 601 123 456", "+852 2123 4567", "+1 202 555 0123", "+49 30 123456", "+7 495 123 45 67"):
+        assert vote(phone) == "3+++", phone
+    assert vote("+28 123 456 789") == vote("+89 123 456 789") == "3++-"
+    assert all(map(op.top_level, ("pt", "hk", "so", "com", "cloud"))) and not any(map(op.top_level, ("", "x", "c1", "abc", "example", "éé")))

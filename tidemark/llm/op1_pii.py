@@ -66,9 +66,18 @@ TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame",
 NAME_RE = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?\x20((?:[A-Z][^\W\d_]{{1,20}})(?:\x20[A-Z][^\W\d_]{{1,20}}){{0,2}})(?!\w)")
 DIGITS = "0123456789"
 
-TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl be ch at eu us ca au nz jp cn in br mx ar cl ru pl se no dk fi ie pt gr cz hu ro".split())
+#: Generic top-level domains in use; all country domains have two letters, and no others have.
+GENERIC = frozenset(
+    "com org net edu gov mil int info biz name pro aero coop jobs mobi museum travel tel cat asia post arpa app dev page blog shop store online "
+    "site website tech cloud email xyz club live news world today space agency digital company group center life media network services "
+    "systems software solutions support team work works academy bank bio city design finance fun global health law love money top vip wiki zone".split()
+)
 GIVEN = frozenset("adam alan albert alexander alice amanda amy andrea andreas andrew angela anne annette anthony arthur ashley barbara beatriz benjamin bernd betty brian bruno carla carol catherine charlotte christian christina christopher clara claudia cristina daniela deborah dennis dieter donald donna dorothy edward emily eric ernst erika ethan eva fernando florian francisco frank franz françois gabriel george gerhard giulia grace gregory hannah harald heinz helen helga henri henry ines inge ingrid jack jacob jason javier jeffrey jens jessica joan joachim joshua julien jutta katharina kathleen kenneth kevin kimberly lars lea leon lisa lorenzo louis louise lukas luca margaret margarita mark markus martha martina matthew mercedes mia michelle miguel mona nancy nathan nicholas nicole nina oliver pascal patrick pilar rafael raymond rebecca renate ricardo roger ronald rosa rudolf ruth ryan samuel sandra sara scott sebastian sharon simon sofía stefan stephan stephen steven susanne sven thérèse tim tobias ulrich uwe valentina victor virginia walter werner yannick yves james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna peter hans karl klaus jürgen wolfgang ursula monika petra sabine jean pierre michel marie jeanne claude jacques sophie camille antoine carlos juan josé maría carmen luis ana pedro lucía manuel elena pablo isabel diego paula daniel emma olivia noah liam sofia martin laura julia maria paul max felix".split())
-CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Country calling codes of one or two digits, and what begins those of three.
+CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split()
+)
 BANKS = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO SA SE SI SK SM TR".split())
 TELLING = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address", "login"), "card": ("card", "visa", "credit", "payment", "carte", "karte", "tarjeta"),
@@ -151,6 +160,10 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def top_level(name: str) -> bool:
+    return name in GENERIC or len(name) == 2 and name.isascii() and name.isalpha()
+
+
 def vote(text: str, kind: int, start: int, end: int, company: bool) -> str:
     """The pattern of a candidate: kind, a vote of each labeler (+ - .), and coarse features."""
     name, span = KINDS[kind], text[start:end]
@@ -159,7 +172,7 @@ def vote(text: str, kind: int, start: int, end: int, company: bool) -> str:
     yes = lambda ok: "+" if ok else "-"
     check = shape = known = "."
     if name == "email":
-        check, shape, known = ("+" if "@" in span else "."), yes(len(span) <= 100), ("+" if span.rpartition(".")[2].lower() in TOP_LEVEL else ".")
+        check, shape, known = ("+" if "@" in span else "."), yes(len(span) <= 100), ("+" if top_level(span.rpartition(".")[2].lower()) else ".")
     elif name == "ip":
         check, shape, known = yes(all(small_part(p) for p in span.split("."))), yes(not re.search(r"(?:^|\.)0[0-9]", span)), yes(not span.startswith(("0.", "127.", "255.")))
     elif name == "card":
