@@ -92,13 +92,15 @@ def test_long_texts_are_cut_where_both_begin_a_token(spark, tools, monkeypatch):
     made = ["".join(texts(40, seed)) for seed in range(6)] + ["x" * 400, " " * 400, "a b " * 200]
     made = [t.replace("▁", "") for t in made]
     whole = brute(enumerate(made), tools)
-    for part, group in ((1, 1), (7, 50), (64, 10_000)):
+    for part, group, memo in ((1, 1, 0), (7, 50, 3), (64, 10_000, 32)):
         monkeypatch.setattr(op11_align, "PART", part)
         monkeypatch.setattr(op11_align, "GROUP", group)
         monkeypatch.setattr(op11_align, "PAIRS", 5)
+        monkeypatch.setattr(op11_align, "MEMO_CHARS", memo)
         two = op11_align.load(*PATHS)
+        two.memo = op11_align.Memo(20)
         got = op11_align.align_texts(two, made)
-        assert all(len(op11_align.parts_of(t)) > 3 for t in made[:6])
+        assert all(len(list(op11_align.parts_of(t))) > 3 for t in made[:6])
         assert [(i, *r[:4], r[4]) for i, r in enumerate(got)] == [(w[0], *w[1:5], w[7]) for w in whole]
         assert [sum(r[6]) for r in got] == [w[4] for w in whole]
 

@@ -6,9 +6,10 @@ with hooking and pointer jumping over whole arrays of edges finds them. A compon
 a B token of it that end together. Links are counted by id pair within a batch, a chunk, then corpus-wide by partial sums;
 the counts of a chunk's pairs come back to its documents (chunks.attach), so the most frequent pair costs a row for each chunk.
 
-Long texts are cut into parts of about PART characters, before a space between two characters that are no white space: there both
-tokenizers begin a token (the pieces of B hold no space after another character, which is checked), so parts align one by one
-in constant memory. A text without such a space is held whole.
+Texts are cut into chunks before each space between two characters that are no white space: there both tokenizers begin a token
+(the pieces of B hold no space after another character, which is checked), so chunks align one by one. A chunk's groups and
+links don't depend on where it stands, so a worker remembers those of the chunks it met last, and aligns only new ones. Long texts take
+PART characters at once, so memory is constant; a text without such a space is one chunk and held whole.
 
 Edge cases: a null or empty text, and one whose joined tokens differ from a space and the text (as with U+2581, which B reads as a
 space), has no tokens: all counts 0, groups_sha256 ''. Strings of special tokens are plain text. Repeated rows count as
@@ -23,19 +24,23 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import Chunks, attach
 from tidemark.llm.common import small_batches, text_or_empty, written
-from tidemark.llm.op2_bpe import byte_alphabet
+from tidemark.llm.op2_bpe import Memo, byte_alphabet
 
 #: Characters after which a text is cut, and those that are aligned at once.
 PART, GROUP = 1 << 16, 1 << 18
+#: Chunks whose alignment a worker remembers, and the longest of them.
+MEMO, MEMO_CHARS = 400_000, 32
 #: Distinct pairs of one text beyond which its pairs are added up before more come.
 PAIRS = 1 << 20
 SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -69,6 +74,7 @@ class Pair:
             raise ValueError("pieces with a space after another character are not supported")
         self.size_a, self.size_b = (np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self.most = max(len(self.bytes_a), len(self.bytes_b))
+        self.memo = Memo(MEMO)
         #: An id as it stands at the beginning of a group, after an id of its own side, and after the other side's.
         self.shown = [f"{c}{i}" for c in ";,|" for i in range(self.most)]
 
@@ -87,15 +93,6 @@ def load(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def parts_of(text: str) -> list[str]:
-    """Parts that both tokenizers encode apart: joined by a space they are *text*."""
-    out, at = [], 0
-    while len(text) - at > PART and (m := SAFE.search(text, at + PART)):
-        out.append(text[at : m.start()])
-        at = m.end()
-    return [*out, text[at:]]
-
-
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union-find over edges (a, b): each node's smallest fellow."""
     parent = np.arange(n)
@@ -134,20 +131,120 @@ def in_order(group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.n
     return np.arange(len(group_a)) + before_b[group_a], np.arange(len(group_b)) + np.cumsum(np.bincount(group_a, minlength=n))[group_b]
 
 
+#: n_a, n_b, n_groups, n_links, the groups as shown (each begins with ";") and the links' pairs of a chunk; None if a token is lost.
+Entry = tuple[int, int, int, int, str, tuple[int, ...]] | None
+
+
+def one_text(two: Pair, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Ids of both sides of *chunks*, and where each chunk's end, from their text as one; None if the tokens are not its bytes.
+
+    Only for chunks that begin and end with no white space: both tokenizers begin a token at each of them.
+    """
+    text = " ".join(chunks)
+    (a,), (b,) = two.encode([text])
+    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+    if not two.holds(text, a, b):
+        return None
+    ends = np.cumsum(pc.binary_length(pa.array(chunks, pa.string())).to_numpy() + 1)
+    return ids_a, ids_b, *(np.searchsorted(np.cumsum(size[ids]), ends) + 1 for size, ids in ((two.size_a, ids_a), (two.size_b, ids_b)))
+
+
+def apart(two: Pair, chunks: list[str]) -> tuple[list[int], tuple]:
+    """The same for any chunks, encoded one by one: which of them have tokens that are their bytes, and those chunks' ids and ends."""
+    all_a, all_b = two.encode(chunks)
+    kept = [i for i, (a, b) in enumerate(zip(all_a, all_b, strict=True)) if two.holds(chunks[i], a, b)]
+    sides = [[side[i] for i in kept] for side in (all_a, all_b)]
+    return kept, (*(np.array(list(chain.from_iterable(side)), np.int64) for side in sides), *(np.cumsum([len(x) for x in side], dtype=np.int64) for side in sides))
+
+
+def entries(two: Pair, chunks: list[str]) -> list[Entry]:
+    """Encode and align *chunks*, all at once."""
+    out: list[Entry] = [None] * len(chunks)
+    plain = [i for i, c in enumerate(chunks) if not (c[0].isspace() or c[-1].isspace() or "▁" in c)]
+    # A text of many new words costs the tokenizers far less than as many texts of one word.
+    told = one_text(two, [chunks[i] for i in plain]) if plain else None
+    single = sorted(set(range(len(chunks))) - set(plain)) if told else list(range(len(chunks)))
+    kept, rest = apart(two, [chunks[i] for i in single]) if single else ([], ())
+    for at, tokens_of in ((plain, told), ([single[i] for i in kept], rest)):
+        if at and tokens_of:
+            for i, e in zip(at, made(two, *tokens_of), strict=True):
+                out[i] = e
+    return out
+
+
+def made(two: Pair, ids_a: np.ndarray, ids_b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> list[Entry]:
+    """Entries of chunks whose tokens stand one after the other."""
+    group_a, group_b, link_a, link_b = aligned(two.size_a[ids_a], two.size_b[ids_b])
+    place_a, place_b = in_order(group_a, group_b)
+    shown = np.empty(len(ids_a) + len(ids_b), np.int64)
+    follows = lambda g: np.concatenate(([False], g[1:] == g[:-1]))
+    shown[place_a] = ids_a + np.where(follows(group_a), two.most, 0)
+    shown[place_b] = ids_b + np.where(follows(group_b), two.most, 2 * two.most)
+    words = list(map(two.shown.__getitem__, shown.tolist()))
+    # A chunk begins where both sides begin a token, so no group or link leaves it.
+    links = np.searchsorted(link_a, np.concatenate(([0], stop_a))).tolist()
+    keys = ((ids_b[link_b] << SHIFT) | ids_a[link_a]).tolist()
+    count = lambda stops: np.diff(np.concatenate(([0], stops))).tolist()
+    out, begin, first = [], 0, 0
+    for n_a, n_b, n_groups, end, last in zip(count(stop_a), count(stop_b), count(group_a[stop_a - 1] + 1), (stop_a + stop_b).tolist(), links[1:], strict=True):
+        out.append((n_a, n_b, n_groups, last - first, "".join(words[begin:end]), tuple(keys[first:last])))
+        begin, first = end, last
+    return out
+
+
+def looked_up_chunks(two: Pair, chunks: list[str]) -> dict[str, Entry]:
+    """The entries of *chunks*: remembered ones, and all others aligned GROUP characters at once."""
+    found, new, size = {}, [], 0
+
+    def align_new() -> None:
+        for c, e in zip(new, entries(two, new), strict=True):
+            found[c] = e
+            if e and len(c) <= MEMO_CHARS:
+                two.memo.put(c, e)
+        new.clear()
+
+    for c in set(chunks):
+        found[c] = e = two.memo.get(c)
+        if e is None:
+            new.append(c)
+            size += len(c)
+            if size > GROUP:
+                align_new()
+                size = 0
+    if new:
+        align_new()
+    return found
+
+
+def parts_of(text: str) -> Iterator[list[str]]:
+    """The text's chunks, about PART characters at once: joined by spaces they are *text*."""
+    at = 0
+    while len(text) - at > PART and (m := SAFE.search(text, at + PART)):
+        yield SAFE.split(text[at : m.start()])
+        at = m.end()
+    yield SAFE.split(text[at:])
+
+
 class Text:
     """What is known of one document, part by part."""
 
     def __init__(self) -> None:
-        self.n = np.zeros(4, np.int64)
+        self.n = [0, 0, 0, 0]
         self.sha, self.begun, self.lost = hashlib.sha256(), False, False
         self.pairs: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, counts: tuple[int, int, int, int], shown: str, pairs: np.ndarray, times: np.ndarray) -> None:
-        self.n += counts
-        self.sha.update((shown if self.begun else shown[1:]).encode())
+    def add(self, found: list[Entry]) -> None:
+        if None in found:
+            self.lost = True
+        if self.lost:
+            return
+        *counts, shown, keys = zip(*found, strict=True)
+        self.n = [n + sum(c) for n, c in zip(self.n, counts, strict=True)]
+        self.sha.update("".join(shown).encode()[not self.begun :])
         self.begun = True
+        pairs, times = np.unique(np.fromiter(chain.from_iterable(keys), np.int64), return_counts=True)
         self.pairs.append(pairs)
         self.times.append(times)
         self.held += len(pairs)
@@ -164,58 +261,29 @@ class Text:
     def row(self) -> tuple:
         if self.lost or not self.begun:
             return (0, 0, 0, 0, "", [], [])
-        return (*self.n.tolist(), self.sha.hexdigest(), *self.settle())
-
-
-def add_parts(two: Pair, texts: list[Text], owners: list[int], parts: list[str]) -> None:
-    """Align *parts*, each of the text that *owners* names."""
-    all_a, all_b = two.encode(parts)
-    kept = []
-    for i, (a, b) in enumerate(zip(all_a, all_b, strict=True)):
-        if two.holds(parts[i], a, b):
-            kept.append(i)
-        else:
-            texts[owners[i]].lost = True
-    if not kept:
-        return
-    ids_a, ids_b = (np.concatenate([np.asarray(side[i], np.int64) for i in kept]) for side in (all_a, all_b))
-    group_a, group_b, link_a, link_b = aligned(two.size_a[ids_a], two.size_b[ids_b])
-    place_a, place_b = in_order(group_a, group_b)
-    shown = np.empty(len(ids_a) + len(ids_b), np.int64)
-    follows = lambda g: np.concatenate(([False], g[1:] == g[:-1]))
-    shown[place_a] = ids_a + np.where(follows(group_a), two.most, 0)
-    shown[place_b] = ids_b + np.where(follows(group_b), two.most, 2 * two.most)
-    words = list(map(two.shown.__getitem__, shown.tolist()))
-    n_a, n_b = (np.array([len(side[i]) for i in kept]) for side in (all_a, all_b))
-    stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
-    n_groups = np.diff(np.concatenate(([0], group_a[stop_a - 1] + 1)))
-    of = np.searchsorted(stop_a, link_a, "right")
-    n_links = np.bincount(of, minlength=len(kept))
-    keys = (ids_b[link_b] << SHIFT) | ids_a[link_a]
-    order = np.lexsort((keys, of))
-    keys, of = keys[order], of[order]
-    fresh = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))))
-    times = np.diff(np.append(fresh, len(keys)))
-    cuts = np.searchsorted(of[fresh], np.arange(len(kept) + 1))
-    for k, i in enumerate(kept):
-        at = slice(cuts[k], cuts[k + 1])
-        text = "".join(words[stop_a[k] - n_a[k] + stop_b[k] - n_b[k] : stop_a[k] + stop_b[k]])
-        texts[owners[i]].add((int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_links[k])), text, keys[fresh[at]], times[at])
+        return (*self.n, self.sha.hexdigest(), *self.settle())
 
 
 def align_texts(two: Pair, texts: list[str]) -> list[tuple]:
     """n_a, n_b, n_groups, n_links, groups' digest, pairs and their times of each text."""
     out, owners, parts, size = [Text() for _ in texts], [], [], 0
+
+    def settle() -> None:
+        found = looked_up_chunks(two, list(chain.from_iterable(parts)))
+        for i, part in zip(owners, parts, strict=True):
+            out[i].add(list(map(found.__getitem__, part)))
+        owners.clear()
+        parts.clear()
+
     for i, text in enumerate(texts):
         for part in parts_of(text) if text else ():
             owners.append(i)
             parts.append(part)
-            size += len(part)
+            size += sum(map(len, part))
             if size > GROUP:
-                add_parts(two, out, owners, parts)
-                owners, parts, size = [], [], 0
-    if parts:
-        add_parts(two, out, owners, parts)
+                settle()
+                size = 0
+    settle()
     return [t.row() for t in out]
 
 
