@@ -258,7 +258,7 @@ def test_scorers(spark):
         return '{"score": 0.25}'
 
     remote = {r.id: (r.score_llm, r.label_llm) for r in scorers.RemoteScorer(client, tiers=["admin"]).score(df).collect()}
-    assert remote == {"1": (0.25, "positive"), "2": (None, None), "3": (None, None), "4": (0.0, "neutral"), "5": (None, None)}
+    assert remote == {"1": (0.25, "positive"), "2": (None, None), "3": (None, None), "4": (0.0, "off_topic"), "5": (None, None)}
     sample = df.withColumns({"tracked_slug": F.lit("s"), "score": F.lit(0.1)})
     out = {r.id: r.stance for r in scorers.classify_stance(sample, lambda t, u: 1 / 0 if t == "boom" else '{"stance": "neutral_other"}').collect()}
     assert out["5"] == "error" and out["1"] == "neutral_other"
