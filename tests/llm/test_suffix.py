@@ -70,8 +70,8 @@ def test_small_slices(spark, monkeypatch):
     for b, r in zip(buffers, runs, strict=True):
         for places in op12_suffix.run_slices(r):
             pairs += zip(op12_suffix.fingerprints(b, places, length).tolist(), op12_suffix.residues(b, places, length, 2).astype(int).tolist(), strict=True)
-    twice = sorted(p for p, n in Counter(pairs).items() if n > 1)
-    facts = pa.table({"h": [a for a, _ in twice], "x": pa.array([b for _, b in twice], pa.int32())})
+    once = sorted(p for p, n in Counter(pairs).items() if n == 1)
+    facts = pa.table({"h": [a for a, _ in once], "x": pa.array([b for _, b in once], pa.int32())})
     spans = [op12_suffix.repeated_spans(b, r.ravel().tolist(), op12_suffix.known_pairs(facts), length) for b, r in zip(buffers, runs, strict=True)]
     assert [([a for a, _ in s], [b for _, b in s]) for s in spans] == [row[1:3] for row in brute(made, length)]
 
@@ -124,3 +124,20 @@ def test_one_passage_in_all_rows(spark):
 
 def test_empty_table(spark):
     assert op12_suffix.dedup(docs(spark, [])).count() == 0
+
+
+def test_buckets_across_batches(spark):
+    """Ties and single rows are told right wherever a batch ends, each tie once for each chunk."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), rng.randrange(2), rng.randrange(3)) for _ in range(90)]
+    n = Counter((h, x) for h, x, _ in rows)
+    df = spark.createDataFrame(rows, op12_suffix.ROWS)
+    for size in (1, 2, 3, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            ties = sorted(map(tuple, op12_suffix.sorted_buckets(df, True).collect()))
+            single = sorted(map(tuple, op12_suffix.sorted_buckets(df, False).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(set(ties)) == sorted({r for r in rows if n[r[:2]] > 1}) and len(ties) <= len(set(ties)) + 90 * (size < 4)
+        assert single == sorted(r for r in rows if n[r[:2]] == 1)

@@ -92,6 +92,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Spark's switch for deleting a query's shuffle files when the query ends, and not when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """written(), with the shuffle files of the write deleted once it is done: nothing reads them any more, and steps
+    that follow would find executors' disks full of them. The session's setting is put back."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(CLEAN_UP, before)
+
+
 def drop_scratch(*frames: DataFrame) -> None:
     """Delete the files behind frames made by written(), once nothing reads them any more."""
     for df in frames:

@@ -8,7 +8,8 @@ stands at i and j holds, at one offset below V, a sample of both whose first LEN
    bytes; a task sorts one bucket at a time, and samples that tie have a rank in common. Only |D| of V places are sorted here.
 2. Suffixes. A suffix without a tied sample among its first V places can't agree with any other to LENGTH bytes: the ranks decide that
    long tie and it is not sorted at all. All others (about the repeated bytes and V places around them) are dealt into buckets and
-   sorted by the fingerprint of their first LENGTH bytes, one bucket at a time; neighbours that are equal are repeats.
+   sorted by the fingerprint of their first LENGTH bytes, one bucket at a time; neighbours that are equal are repeats. What goes back
+   to the texts is the suffixes that don't tie, which are fewer.
 
 Only equality matters here, so buckets are ordered by fingerprints (Karp and Rabin's, modulo primes: 62 bits for the samples, which are
 but a filter, 93 for suffixes) and not by bytes. Identical texts are sorted once: they cover each other. In buckets a chunk of
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import Chunks, attach
-from tidemark.llm.common import drop_scratch, join_hot, small_batches, written
+from tidemark.llm.common import drop_scratch, join_hot, settled, small_batches
 
 LENGTH = 400
 #: Perfect difference sets, each difference modulo V once (the Singer sets of the small prime powers).
@@ -149,8 +150,9 @@ def bucket_rows(chunk: int, h: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h[~third]), pa.array(x[~third].astype(np.int32)), pa.array(np.full(int((~third).sum()), chunk))], names=["h", "x", "chunk"])
 
 
-def sorted_buckets(rows: DataFrame) -> DataFrame:
-    """ROWS in, ROWS out: those whose fingerprint stands at least twice. A bucket is a partition, sorted and read as a stream."""
+def sorted_buckets(rows: DataFrame, ties: bool) -> DataFrame:
+    """ROWS in, ROWS out: those whose fingerprint stands at least twice (*ties*), or once. A bucket is a partition, sorted and read
+    as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done = None, False
@@ -159,15 +161,22 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
                 continue
             columns = [c.to_numpy() for c in batch.columns]
             if held is not None:
-                columns = [np.concatenate((a[-1:], b)) for a, b in zip(held, columns, strict=True)]
+                columns = [np.concatenate((a, b)) for a, b in zip(held, columns, strict=True)]
             h, x, chunk = columns
             same = np.concatenate(([False], (h[1:] == h[:-1]) & (x[1:] == x[:-1])))
+            if held is not None and done:  # the held row is known to be tied
+                same[0] = True
             tied = same | np.concatenate((same[1:], [False]))
-            told = tied & ~(same & np.concatenate(([False], chunk[1:] == chunk[:-1])))
-            if held is not None and done:
-                told[0] = False
-            held, done = columns, bool(tied[-1])
+            if ties:  # once for each chunk
+                told = tied & ~(same & np.concatenate(([False], chunk[1:] == chunk[:-1])))
+                told[0] &= held is None or not done
+            else:
+                told = ~tied
+                told[-1] = False  # what follows may tie with it
+            held, done = [c[-1:] for c in columns], bool(tied[-1])
             yield pa.RecordBatch.from_arrays([pa.array(c[told]) for c in columns], names=["h", "x", "chunk"])
+        if held is not None and not ties and not done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["h", "x", "chunk"])
 
     return rows.repartition("h").sortWithinPartitions("h", "x", "chunk").mapInArrow(run, ROWS)
 
@@ -265,17 +274,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(text: np.ndarray, runs: list[int], known: tuple, length: int) -> list[tuple[int, int]]:
+def repeated_spans(text: np.ndarray, runs: list[int], untied: tuple, length: int) -> list[tuple[int, int]]:
+    """What the suffixes of *runs* cover that tie with others, i.e. are not among the *untied* ones."""
     spans = []
     for places in run_slices(np.reshape(runs, (-1, 2))):
-        hit = places[holds(known, fingerprints(text, places, length), residues(text, places, length, 2).astype(np.int32))]
+        hit = places[~holds(untied, fingerprints(text, places, length), residues(text, places, length, 2).astype(np.int32))]
         if len(hit):
             cuts = np.flatnonzero(np.diff(hit) > length)
             spans += zip(hit[np.concatenate(([0], cuts + 1))].tolist(), (hit[np.append(cuts, -1)] + length).tolist(), strict=True)
     return merged(spans)
 
 
-def outcome(facts: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def outcome(untied: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """FOUND: the spans to remove of each distinct text."""
 
     def apply(known: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -292,7 +302,7 @@ def outcome(facts: DataFrame, texts: DataFrame, length: int) -> DataFrame:
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
         return pa.RecordBatch.from_arrays([batch.column("sha"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["sha", "n_bytes", "starts", "ends", "kept_sha256"])
 
-    return attach(facts, texts, known_pairs, apply, FOUND)
+    return attach(untied, texts, known_pairs, apply, FOUND)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -303,13 +313,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """FOUND for each distinct text of *docs*."""
-    texts = written(texts_once(keyed(docs).select("sha", "text")), "op12-texts")
-    tied = written(sorted_buckets(sample_rows(texts, length)), "op12-ranks")
-    ready = written(with_runs(tied, texts, length), "op12-runs")
+    texts = settled(texts_once(keyed(docs).select("sha", "text")), "op12-texts")
+    tied = settled(sorted_buckets(sample_rows(texts, length), ties=True), "op12-ranks")
+    ready = settled(with_runs(tied, texts, length), "op12-runs")
     drop_scratch(texts, tied)
-    repeats = written(sorted_buckets(suffix_rows(ready, length)), "op12-repeats")
-    out = written(outcome(repeats.select("chunk", "h", "x"), ready, length), "op12-found")
-    drop_scratch(ready, repeats)
+    untied = settled(sorted_buckets(suffix_rows(ready, length), ties=False), "op12-untied")
+    out = settled(outcome(untied.select("chunk", "h", "x"), ready, length), "op12-found")
+    drop_scratch(ready, untied)
     return out
 
 
