@@ -78,4 +78,7 @@ def attach(facts: DataFrame, rows: DataFrame, prepare: Callable[[pa.Table], obje
                     yield out
 
     places = T._parse_datatype_string(schema)
-    return f.unionByName(r).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, places)
+    # One number as the key: Spark sorts it by radix. With two columns it would compare whole rows, as a chunk's rows tie in the first.
+    order = (F.shiftleft("chunk", 1) + F.col("kind")).alias("order")
+    both = f.unionByName(r)
+    return both.repartition("chunk").select("*", order).sortWithinPartitions("order").drop("order").mapInArrow(run, places)
