@@ -181,6 +181,28 @@ def sorted_buckets(rows: DataFrame, ties: bool) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "x", "chunk").mapInArrow(run, ROWS)
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """chunk, h, x: ROWS with the fingerprints of a chunk in a batch as bytes of one row. Beside texts in one frame a row costs
+    far more on its way to Python than its few bytes do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, x, chunk = (c.to_numpy() for c in batch.columns)
+            order = np.argsort(chunk, kind="stable")
+            own, starts = np.unique(chunk[order], return_index=True)
+            parts = [[p.tobytes() for p in np.split(c[order], starts[1:])] for c in (h, x)]
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(p, pa.binary()) for p in parts)], names=["chunk", "h", "x"])
+
+    return rows.select("h", "x", "chunk").mapInArrow(run, "chunk long, h binary, x binary")
+
+
+def unpacked(facts: pa.Table) -> pa.Table:
+    """h and x of packed() rows."""
+    h, x = (b"".join(facts.column(c).to_pylist()) for c in ("h", "x"))
+    return pa.table({"h": np.frombuffer(h, np.int64), "x": np.frombuffer(x, np.int32)})
+
+
 def texts_once(docs: DataFrame) -> DataFrame:
     """TEXTS: each distinct text with its number of rows, dealt into chunks; a table to be written once."""
     small_batches(docs.sparkSession)
@@ -210,7 +232,7 @@ def with_runs(tied: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """TEXTS and runs: first and last places of the suffixes to be sorted, one after the other."""
 
     def prepare(facts: pa.Table) -> np.ndarray:
-        return np.unique(facts.column("h").to_numpy())
+        return np.unique(unpacked(facts).column("h").to_numpy())
 
     def apply(known: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
         runs = []
@@ -220,7 +242,7 @@ def with_runs(tied: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             runs.append(candidate_runs(len(t), tied, length).ravel())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.list_(pa.int64()))], names=["chunk", "sha", "n", "text", "runs"])
 
-    return attach(tied.select("chunk", "h"), texts, prepare, apply, TEXTS + ", runs array<long>")
+    return attach(packed(tied), texts, prepare, apply, TEXTS + ", runs array<long>")
 
 
 def suffix_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -302,7 +324,7 @@ def outcome(untied: DataFrame, texts: DataFrame, length: int) -> DataFrame:
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
         return pa.RecordBatch.from_arrays([batch.column("sha"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["sha", "n_bytes", "starts", "ends", "kept_sha256"])
 
-    return attach(untied, texts, known_pairs, apply, FOUND)
+    return attach(packed(untied), texts, lambda facts: known_pairs(unpacked(facts)), apply, FOUND)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -318,7 +340,7 @@ def found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ready = settled(with_runs(tied, texts, length), "op12-runs")
     drop_scratch(texts, tied)
     untied = settled(sorted_buckets(suffix_rows(ready, length), ties=False), "op12-untied")
-    out = settled(outcome(untied.select("chunk", "h", "x"), ready, length), "op12-found")
+    out = settled(outcome(untied, ready, length), "op12-found")
     drop_scratch(ready, untied)
     return out
 
