@@ -145,3 +145,69 @@ def test_a_broken_run_leaves_nothing(spark, landed, tmp_path, monkeypatch):
     monkeypatch.setattr(ledger, "_files", real)
     assert book.attempts().count() == 0 and book.posts().count() == 0
     assert [r.state for r in book.run("a", windows, {"root": landed}).collect()] == ["collected"]
+
+
+def parsed(monkeypatch):
+    """Counts the lines that are read."""
+    lines, real = [], paged.json.loads
+
+    def loads(s, *a, **k):
+        lines.append(s)
+        return real(s, *a, **k)
+
+    monkeypatch.setattr(paged.json, "loads", loads)
+    return lambda: sum(b"created_at" in x if isinstance(x, bytes) else "created_at" in x for x in lines)
+
+
+def test_a_page_of_many_requests_is_read_once(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/p"
+    paged.land(spark.createDataFrame([(f"{i:04d}", "u", f"2024-01-01T{i % 24:02d}:00:00Z", 1, "") for i in range(2000)], POSTS), root)
+    count = parsed(monkeypatch)
+    rows = list(timeline(LandedPages({"root": root}), "u", None, None, None))
+    assert [r["id"] for r in rows] == [r["id"] for r in sorted(sorted(rows, key=lambda r: r["id"]), key=lambda r: r["created_at"], reverse=True)]
+    assert len({r["id"] for r in rows}) == 2000 and count() < 3000
+
+
+def test_shares_of_a_source_make_up_its_window(spark, tmp_path, monkeypatch):
+    """Several runs and a file in no order, in files of few rows: each row of the window in one share, none lost."""
+    monkeypatch.setattr(paged, "FILE_ROWS", 7)
+    root, rows = f"file://{tmp_path}/p", made(600, 3)
+    rows = [(i, "u", t, page // 9, x) for i, _, t, page, x in rows]
+    for part in (rows[:250], rows[250:500]):
+        paged.land(spark.createDataFrame(part, POSTS), root)
+    for page in {r[3] for r in rows[500:]}:
+        own = [paged.json.dumps({"id": r[0], "created_at": r[2], "text": r[4]}) for r in rows[500:] if r[3] == page]
+        (tmp_path / "p" / "source=u" / f"page={page}" / "other.json").write_text("\n".join(own) + "\n\n")
+    client = LandedPages({"root": root, "share": "2000"})
+    for since, until in ((None, None), ("2024-01-05", "2024-01-20"), ("2024-01-09", "2024-01-09"), ("2023-01-01", "2023-01-02"), ("2025-01-01", "2025-01-02"), (None, "2024-01-18"), ("2024-01-18", None)):
+        want = [r for r in rows if (since or "") <= r[2][:10] <= (until or "9")]
+        shares = client.shares("u", since, until)
+        got = [r["id"] for tokens in shares for t in tokens for r in timeline(client, "u", since, until, None, t)]
+        assert sorted(got) == sorted(r[0] for r in want)
+        assert len(shares) > 3 or len(want) < 60
+        order = [r[0] for r in sorted(sorted(want), key=lambda r: r[2], reverse=True)]
+        assert [r["id"] for r in timeline(client, "u", since, until, None)] == order
+        assert [r["id"] for r in timeline(client, "u", since, until, 9, client.start("u", until))] == order[:9]
+    df = paged.read_pages(spark, root=root, since="2024-01-05", until="2024-01-20", cap=11)
+    assert {(r.source, r.id) for r in df.collect()} == brute(rows, "2024-01-05", "2024-01-20", 11)
+
+
+def test_ledger_shares(spark, tmp_path, monkeypatch):
+    """A window in many shares is one attempt; where a share fails, the window fails and its posts go."""
+    monkeypatch.setattr(paged, "FILE_ROWS", 50)
+    root = f"file://{tmp_path}/p"
+    paged.land(spark.createDataFrame([(f"{i:04d}", u, "2024-01-01T00:00:00Z", 1, "") for i in range(1000) for u in ("a", "b")], POSTS), root)
+    # One share of b can't be read.
+    bad = sorted((tmp_path / "p" / "source=b").rglob("*.json"))[-1]
+    bad.write_text("{broken\n")
+    (bad.parent / f".{bad.name}.crc").unlink(missing_ok=True)
+    options = {"root": root, "share": "1000"}
+    windows = ledger.windows_of(spark, ["a", "b"], "2024-01-01", "2024-01-31")
+    rows = ledger.fetched(windows, options)
+    assert rows.rdd.getNumPartitions() > 20  # what is few bytes isn't put into few tasks
+    book = ledger.Ledger(spark, str(tmp_path / "book"))
+    told = {r.source: (r.state, r.n) for r in book.run("one", windows, options).collect()}
+    assert told == {"a": ("collected", 1000), "b": ("failed", 0)}
+    assert Counter(r.source for r in book.posts().collect()) == {"a": 1000}
+    assert {r.source: r.tries for r in book.status(windows).collect()} == {"a": 1, "b": 1}
+    assert [r.source for r in book.open_windows(windows).collect()] == ["b"]
