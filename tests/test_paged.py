@@ -211,3 +211,15 @@ def test_ledger_shares(spark, tmp_path, monkeypatch):
     assert Counter(r.source for r in book.posts().collect()) == {"a": 1000}
     assert {r.source: r.tries for r in book.status(windows).collect()} == {"a": 1, "b": 1}
     assert [r.source for r in book.open_windows(windows).collect()] == ["b"]
+
+
+def test_a_capped_window_begins_at_its_end(spark, tmp_path, monkeypatch):
+    """Days after the window are not read through, within a page neither."""
+    monkeypatch.setattr(paged, "FILE_ROWS", 50)
+    root = f"file://{tmp_path}/p"
+    rows = [(f"{i:04d}", "u", f"2024-01-{1 + i // 100:02d}T00:00:00Z", i // 1000, "") for i in range(2000)]
+    paged.land(spark.createDataFrame(rows, POSTS), root)
+    count = parsed(monkeypatch)
+    reader = paged.PagedReader({"root": root, "since": "2024-01-02", "until": "2024-01-06", "cap": "20"})
+    got = [r[1] for p in reader.partitions() for r in reader.read(p)]
+    assert got == [f"{i:04d}" for i in range(500, 520)] and count() < 200
