@@ -293,3 +293,15 @@ def test_intervals_of_events_and_segments(spark):
 def test_sample_keeps_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "u", "a", 0.5), (None, "v", "a", 0.6), ("x", "w", "a", 0.1)], "id string, user string, tracked_slug string, score double")
     assert replies.sample_with_flippers(df, "a", "b").count() == 3
+
+
+def test_leaves_are_dealt_to_tasks_of_their_own(spark):
+    """Leaves are few bytes and much work: not left to as few tasks as their bytes ask for."""
+    values = spark.range(2000).selectExpr("concat('g', id % 2) AS g", "id / 10.0D AS score", "1L AS k")
+    dealt = resample.leaves(values, 50).cache()
+    n = dealt.select("g", "leaf").distinct().count()
+    sums = resample.totals(dealt, 20, 0)
+    assert n > 30 and sums.rdd.getNumPartitions() == n
+    each = sums.selectExpr("g", "posexplode(n) AS (b, n)").groupBy("g", "b").sum("n").collect()
+    assert len(each) == 40 and {r[2] for r in each} == {1000}
+    dealt.unpersist()

@@ -21,6 +21,8 @@ from tidemark.session import written
 
 #: Rows of an average leaf, and drawn rows that are held at once.
 BLOCK, CELLS = 65_536, 2_000_000
+#: Most tasks that leaves are dealt to.
+TASKS = 10_000
 
 
 def leaves(values: DataFrame, block: int) -> DataFrame:
@@ -72,18 +74,27 @@ def leaf_totals(g: str, leaf: int, path: list[int], scores: np.ndarray, k: np.nd
     return n, out
 
 
-def replicate_means(rows: DataFrame, resamples: int, seed: int = 0, block: int | None = None) -> DataFrame:
-    """g, b, n, mean: the mean of each group's replicate b, and its draws. *rows*: g (a string), score, both not null."""
-    block = block or BLOCK
-    values = written(rows.groupBy("g", "score").agg(F.count("*").alias("k")), "resample-values")
-    dealt = written(leaves(values, block), "resample-leaves")
+def totals(dealt: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """g, n, total: draws and sums of each leaf in all replicates.
+
+    A leaf is few bytes (its values are counted) and much work, so Spark, left to choose, would give all of them to a few tasks."""
 
     def run(key: tuple, own: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         n, total = leaf_totals(key[0], int(key[1]), [int(x) for x in path["path"].iloc[0]], own["score"].to_numpy(float), own["k"].to_numpy(np.int64), resamples, seed)
         return pd.DataFrame({"g": [key[0]], "n": [n], "total": [total]})
 
     above = paths(dealt).toDF("of", "at", "path")
-    sums = dealt.groupBy("g", "leaf").cogroup(above.groupBy("of", "at")).applyInPandas(run, "g string, n array<long>, total array<double>")
+    tasks = max(1, min(dealt.select("g", "leaf").distinct().count(), TASKS))
+    own, over = dealt.repartition(tasks, "g", "leaf"), above.repartition(tasks, "of", "at")
+    return own.groupBy("g", "leaf").cogroup(over.groupBy("of", "at")).applyInPandas(run, "g string, n array<long>, total array<double>")
+
+
+def replicate_means(rows: DataFrame, resamples: int, seed: int = 0, block: int | None = None) -> DataFrame:
+    """g, b, n, mean: the mean of each group's replicate b, and its draws. *rows*: g (a string), score, both not null."""
+    block = block or BLOCK
+    values = written(rows.groupBy("g", "score").agg(F.count("*").alias("k")), "resample-values")
+    dealt = written(leaves(values, block), "resample-leaves")
+    sums = totals(dealt, resamples, seed)
     each = sums.select("g", F.posexplode(F.arrays_zip("n", "total")).alias("b", "x"))
     return each.groupBy("g", "b").agg(F.sum("x.n").alias("n"), F.sum("x.total").alias("total")).select("g", "b", "n", (F.col("total") / F.col("n")).alias("mean"))
 
