@@ -46,3 +46,15 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_text_passes_the_join_of_loyalty(spark):
+    """Keywords are counted below the join with the events: what is shuffled is a few numbers a row."""
+    nodes, wide = [catalogue.queries()["loyalty_scores"](spark, str(DATA))._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            wide += [side.output().apply(i).name() for side in below for i in range(side.output().size())]
+        nodes += below
+    assert "doc_id" in wide and "text" not in wide

@@ -36,9 +36,11 @@ def likeliest_label(probabilities: Column) -> Column:
     )["label"]
 
 
-def loyalty_score(bio: Column, created: Column, as_of: Column, keywords: list[str]) -> Column:
-    """Prior in 0 to 1: 0.2 for each keyword in the bio up to 0.7, and a tenth for each year of age up to 0.3."""
-    hits = F.least(F.lit(0.7), keyword_hits(bio, keywords).cast("double") * F.lit(0.2))
+def loyalty_score(bio: Column, created: Column, as_of: Column, keywords: list[str], found: Column | None = None) -> Column:
+    """Prior in 0 to 1: 0.2 for each keyword in the bio up to 0.7, and a tenth for each year of age up to 0.3.
+    *found* is the number of keywords in the bio where it was counted before."""
+    found = keyword_hits(bio, keywords) if found is None else found
+    hits = F.least(F.lit(0.7), found.cast("double") * F.lit(0.2))
     age = F.least(F.lit(0.3), F.greatest(F.lit(0.0), account_years(created, as_of) / F.lit(10.0)))
     return hits + F.coalesce(age, F.lit(0.0))
 

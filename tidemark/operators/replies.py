@@ -36,12 +36,13 @@ def post_summary_ci(replies: DataFrame, score: str = "score", label: str = "labe
     return post_summary(replies, score, label).join(ci, "slug", "left").withColumns({"score_col": F.lit(score), "label_col": F.lit(label)}).orderBy("slug")
 
 
-def with_loyalty(replies: DataFrame, keywords: list[str], as_of: Column | None = None) -> DataFrame:
-    """Adds loyalty_score and loyalty_tier from the account's bio and age; without accounts they are 0 and unknown."""
+def with_loyalty(replies: DataFrame, keywords: list[str], as_of: Column | None = None, found: str | None = None) -> DataFrame:
+    """Adds loyalty_score and loyalty_tier from the account's bio and age; without accounts they are 0 and unknown.
+    *found* names a column with the keywords' number in the bio (keyword_hits), counted before a join, so that bios need not be shuffled."""
     if "account" not in replies.columns:
         return replies.withColumns({"loyalty_score": F.lit(0.0), "loyalty_tier": F.lit("unknown")})
     made = F.try_to_timestamp(F.col("account.created_at"))
-    score = F.when(F.col("account").isNull(), 0.0).otherwise(loyalty_score(F.col("account.bio"), made, as_of if as_of is not None else F.current_timestamp(), keywords))
+    score = F.when(F.col("account").isNull(), 0.0).otherwise(loyalty_score(F.col("account.bio"), made, as_of if as_of is not None else F.current_timestamp(), keywords, F.col(found) if found else None))
     return replies.withColumn("loyalty_score", score).withColumn("loyalty_tier", loyalty_tier(F.col("loyalty_score")))
 
 

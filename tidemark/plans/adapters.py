@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.score import label
@@ -40,9 +40,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("label", label(F.col("score")))
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as raw posts, with the time of the event of the same number where there is one."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("user"), "text", "lang")
+def posts(spark: SparkSession, sf_dir: str, **made: Column) -> DataFrame:
+    """documents as raw posts, with the time of the event of the same number where there is one. *made* are further columns of
+    the documents, made before the join, through which texts then need not pass."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("user"), "text", "lang", *(c.alias(n) for n, c in made.items()))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"))
     return d.join(e, "doc_id", "left")
 
