@@ -154,3 +154,15 @@ def test_memory_does_not_grow_with_the_text(unit):
         peaks.append(tracemalloc.get_traced_memory()[1] - 4 * longest)
         tracemalloc.stop()
     assert peaks[1] < 6 << 20
+
+
+def test_workers_let_tables_go(spark):
+    """A worker lives on for later steps, and must not hold the tables beside them."""
+    rows = docs(spark, ["a text"] * 16).repartition(4)
+    assert op.tokenized(rows, PATH).count() == 16 == len(op.tokenized(rows, PATH).select("ids").collect())
+
+    def held(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [op.load.cache_info().currsize]})
+
+    assert {r.n for r in rows.select("doc_id").mapInArrow(held, "n long").collect()} == {0}

@@ -95,3 +95,17 @@ def test_ids_null_shared_and_rows_repeated(spark):
     rows = [(None, a), (None, a), (3, b), (3, c), (3, c), (None, "x y"), (7, b)]
     got = [(r.doc_id, r.text) for r in stage(docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()]
     assert sorted(got, key=str) == sorted([(None, a), (3, b), (3, c), (None, "x y")], key=str)
+
+
+def test_texts_of_few_sets_are_not_shuffled(spark, monkeypatch):
+    plans, real, name = [], near.map_arrow, "spark.sql.autoBroadcastJoinThreshold"
+    monkeypatch.setattr(near, "map_arrow", lambda df, *rest: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *rest))
+    rows = spark.createDataFrame([(i, i // 2, f"a b c d e {i // 2}") for i in range(40)], "__row long, __node long, text string")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        sets = near.sets_of(rows, rows.where("__node < 5").selectExpr("__node AS node"), 5)
+        assert sorted((r.node, len(r.held)) for r in sets.collect()) == [(n, 2) for n in range(5)]
+    finally:
+        spark.conf.set(name, before)
+    assert "Exchange hashpartitioning" not in plans[0]

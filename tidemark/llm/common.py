@@ -30,10 +30,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, done: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow with small batches; *fn* turns one batch into one, its columns in the order of *schema*.
 
-    Columns go by place, so their names may hold dots or repeat.
+    Columns go by place, so their names may hold dots or repeat. *done* runs as each task ends: Spark goes on using a
+    worker, and what it still holds is held beside the steps that follow.
     """
     small_batches(df.sparkSession)
     names = df.columns
@@ -41,10 +42,14 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     places = T.StructType([T.StructField(f"o{i}", f.dataType) for i, f in enumerate(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch.rename_columns(names))
-                yield out.rename_columns([f"o{i}" for i in range(out.num_columns)])
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    out = fn(batch.rename_columns(names))
+                    yield out.rename_columns([f"o{i}" for i in range(out.num_columns)])
+        finally:
+            if done is not None:
+                done()
 
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, places).toDF(*schema.names)
 

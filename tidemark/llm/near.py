@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_scratch, join_hot, map_arrow, written
+from tidemark.llm.common import broadcast_if_small, drop_scratch, join_hot, map_arrow, written
 from tidemark.llm.components import components
 
 SEED = 42
@@ -30,6 +30,8 @@ WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 32, 5
 #: Hashes that are permuted at once.
 SLAB = 4096
+#: Most rows, of one number each, that are sent to all texts.
+FIRST = 1 << 17
 
 _RNG = np.random.default_rng(SEED)
 TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,13 +71,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def sets_of(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """node, held: the set of each of *nodes*, made from one of its rows' texts."""
     first = rows.groupBy("__node").agg(F.min("__row").alias("__row")).join(nodes.select(F.col("node").alias("__node")).distinct(), "__node").select("__row")
-    texts = rows.join(first, "__row", "left_semi").select("__node", "text")
+    # Few rows of many: known in number, they go to where the texts lie, and no text is shuffled for its being left out.
+    first = written(first, "near-first")
+    texts = rows.join(broadcast_if_small(first, FIRST), "__row", "left_semi").select("__node", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = pa.array([np.unique(hashes(t, words)).view(np.int64) for t in as_bytes(batch.column(1))], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), held], names=["node", "held"])
 
-    return written(map_arrow(texts, run, "node long, held array<long>"), "near-sets")
+    out = written(map_arrow(texts, run, "node long, held array<long>"), "near-sets")
+    drop_scratch(first)
+    return out
 
 
 def verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:

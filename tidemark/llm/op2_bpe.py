@@ -29,6 +29,7 @@ whole. Repeated rows give repeated results. Only doc_id and text are read.
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import heapq
 import json
@@ -356,6 +357,13 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def let_go() -> None:
+    """Drop the tables and the memory of words, as a task's end does: a worker lives on for steps that need neither."""
+    load.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 #: Ids that are hashed and decoded at once.
 SLICE = 16_384
 
@@ -378,7 +386,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return map_arrow(text_or_empty(docs), run, "doc_id long, ids array<int>")
+    return map_arrow(text_or_empty(docs), run, "doc_id long, ids array<int>", let_go)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -388,7 +396,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(i or ()) for i in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string", let_go)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -400,7 +408,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         n, a, b = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(text_or_empty(docs), run, SCHEMA)
+    return map_arrow(text_or_empty(docs), run, SCHEMA, let_go)
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
@@ -414,4 +422,4 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         kinds = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(text_or_empty(docs), run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(text_or_empty(docs), run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", let_go)
