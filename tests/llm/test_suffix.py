@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import clashing, docs
-from tidemark.llm import op12_suffix
+from tidemark.llm import op12_suffix, passages
 from tidemark.llm.queries import op12_suffix_dedup
 
 
@@ -141,3 +142,65 @@ def test_buckets_across_batches(spark):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert sorted(set(ties)) == sorted({r for r in rows if n[r[:2]] > 1}) and len(ties) <= len(set(ties)) + 90 * (size < 4)
         assert single == sorted(r for r in rows if n[r[:2]] == 1)
+
+
+def brute_shared(texts, size):
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    holders = defaultdict(set)
+    for i, w in enumerate(split):
+        for j in range(len(w) - size + 1):
+            holders[tuple(w[j : j + size])].add(i)
+    out = []
+    for w in split:
+        inside = {k for j in range(len(w) - size + 1) if len(holders[tuple(w[j : j + size])]) > 1 for k in range(j, j + size)}
+        out.append(len(inside))
+    return out
+
+
+def worded(size, n=50, seed=1):
+    """Texts of words with shared passages a little shorter, as long and longer than *size* words, and with repeats of their own."""
+    rng = random.Random(seed)
+    some = lambda k: [rng.choice(("a", "bé", "c" * 30, "the", "d")) for _ in range(k)]
+    shared = [some(size + rng.randrange(-2, size)) for _ in range(6)]
+    out = []
+    for _ in range(n):
+        parts = some(rng.randrange(2 * size))
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(shared)
+            parts += p[rng.randrange(3) : len(p) - rng.randrange(3)] + some(rng.randrange(size))
+        out.append("".join(w + rng.choice((" ", " ", "\n", "\t  ")) for w in parts))
+    own = " ".join(f"o{i}" for i in range(size))
+    return [*out, None, "", " \n", f"{own} x {own}", "z " * (3 * size), out[3], out[3], " ".join(shared[0]), " ".join(shared[1])]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 12, 51])
+def test_shared_words_equal_brute_force(spark, size):
+    made = worded(size, seed=size)
+    got = op12_suffix.dedup(docs(spark, made).repartition(3), 40, size).select("doc_id", "n_shared_words").collect()
+    assert sorted(map(tuple, got)) == list(enumerate(brute_shared(made, size)))
+
+
+def test_shared_words_in_small_slices(monkeypatch):
+    """Long texts go slice by slice and block by block; one text after the other tells the same as all at once."""
+    made = [np.frombuffer((t or "").encode(), np.uint8) for t in worded(12, seed=5)]
+    words = passages.words_of(made)
+    windows = np.concatenate([at for at, _ in passages.smallest_grams(words, 12, op12_suffix.span_prints)])
+    want = [c.tolist() for c in op12_suffix.window_prints(words, windows, 12)]
+    grams = sorted(passages.grams_once(words, 12, op12_suffix.span_prints).tolist())
+    monkeypatch.setattr(op12_suffix, "SLICE", 23)
+    monkeypatch.setattr(passages, "BLOCK", 17)
+    assert [c.tolist() for c in op12_suffix.window_prints(words, windows, 12)] == want
+    assert sorted(h for t in made for h in passages.grams_once(passages.words_of([t]), 12, op12_suffix.span_prints).tolist()) == grams
+    assert max(want[1]) < 0
+
+
+def test_passages_of_over_50_words_that_are_short(spark, tmp_path):
+    """A passage of 51 words with fewer than 400 bytes stays by contract, and is told by n_shared_words; one of 50 is not."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    filler = lambda k: " ".join(word() for _ in range(k))
+    over, under, own = filler(51), filler(50), filler(60)
+    made = [f"{filler(80)} {over} {filler(9)}", f"{filler(7)}\n{over}\n{filler(300)}", f"{filler(80)} {under} {filler(9)}", f"{under} {filler(70)}", f"{own} {word()} {own}", filler(400)]
+    docs(spark, made).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_removed"], r["n_shared_words"]) for r in op12_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 51), 1: (0, 51), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0)}

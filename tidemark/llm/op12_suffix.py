@@ -16,6 +16,11 @@ but a filter, 93 for suffixes) and not by bytes. Identical texts are sorted once
 texts stands for its places, so a passage of a third of all documents has a row for each chunk (chunks.py), and a task reads a bucket as a stream.
 Memory holds a slice of a text and the repeated fingerprints of one chunk.
 
+Beside what is removed, passages are told that documents share by words: n_shared_words counts a document's words in windows of WORDS words
+that stand in another document, too. A passage of 51 words has often fewer than LENGTH bytes, so removal can't show it. The same two steps
+find them, in the same passes over the texts: grams that stand for windows (passages.py) go with the samples, windows with a tied gram with the
+suffixes. What a document repeats by itself doesn't count here; equal texts share all.
+
 Edge cases: a null text is empty; texts shorter than LENGTH keep all. Repeated rows, equal texts and rows with null or equal doc_id
 are rows of their own, so they cover each other. Matches don't cross documents. An empty table gives no rows. Only doc_id and text are read.
 """
@@ -32,10 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import passages
 from tidemark.llm.chunks import Chunks, attach
 from tidemark.llm.common import drop_scratch, join_hot, settled, small_batches
 
 LENGTH = 400
+#: Words of the shortest passage that counts as shared: over 50.
+WORDS = 51
 #: Perfect difference sets, each difference modulo V once (the Singer sets of the small prime powers).
 COVERS = {
     3: (0, 1),
@@ -51,7 +59,7 @@ PRIMES, BASES = (2147483647, 2147483629, 2147483587), (1103515245, 1812433253, 1
 SLICE = 1 << 19
 
 TEXTS = "chunk long, sha binary, n long, text binary"
-FOUND = "sha binary, n_bytes long, starts array<long>, ends array<long>, kept_sha256 string"
+FOUND = "sha binary, n_bytes long, starts array<long>, ends array<long>, kept_sha256 string, n_shared_words long"
 
 
 def cover_of(length: int) -> tuple[int, np.ndarray]:
@@ -60,7 +68,7 @@ def cover_of(length: int) -> tuple[int, np.ndarray]:
     return v, np.array(COVERS[v], np.int64)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=16)
 def powers(base: int, prime: int, n: int) -> np.ndarray:
     out, k = np.ones(n, np.uint64), 1
     while k < n:
@@ -79,6 +87,40 @@ def residues(data: np.ndarray, starts: np.ndarray, length: int, which: int) -> n
     return (sums[at + length] - sums[at]) % p * powers(pow(base, -1, prime), prime, SLICE)[at] % p
 
 
+def span_residues(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """One residue of data[s:e] for each pair of the *starts* and *ends*, both ascending. Spans may have any length."""
+    prime, base, low = PRIMES[which], BASES[which] % PRIMES[which], int(starts[0])
+    p, inverse, carry, sums_at = np.uint64(prime), pow(base, -1, prime), 0, [np.zeros(len(starts), np.uint64) for _ in range(2)]
+    for at in range(low, int(ends[-1]) + 1, SLICE):
+        part = data[at : min(at + SLICE, int(ends[-1]))]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * powers(base, prime, SLICE)[: len(part)], out=sums[1:])
+        scale = np.uint64(pow(base, at - low, prime))
+        for places, out in zip((starts, ends), sums_at, strict=True):
+            a, b = np.searchsorted(places, (at, at + SLICE))
+            out[a:b] = (sums[places[a:b] - at] % p * scale + np.uint64(carry)) % p
+        carry = (int(sums[-1]) % prime * int(scale) + carry) % prime
+    far, near = np.divmod(starts - low, SLICE)
+    shift = powers(inverse, prime, SLICE)[near] * np.array([pow(inverse, SLICE * k, prime) for k in range(int(far[-1]) + 1)], np.uint64)[far] % p
+    return (sums_at[1] + p - sums_at[0]) % p * shift % p
+
+
+def span_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62 bits for each span."""
+    return ((span_residues(data, starts, ends, 0) << np.uint64(31)) | span_residues(data, starts, ends, 1)).astype(np.int64)
+
+
+def window_prints(words: passages.Words, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """h and x of windows of words; x is below zero, so that none is taken for a suffix."""
+    h, x = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for at in range(0, len(windows), passages.BLOCK):
+        some = windows[at : at + passages.BLOCK]
+        spans = words.data, words.starts[some], words.ends[some + size - 1]
+        h.append(span_prints(*spans))
+        x.append((-1 - span_residues(*spans, 2).astype(np.int64)).astype(np.int32))
+    return np.concatenate(h), np.concatenate(x)
+
+
 def sliced(starts: np.ndarray) -> Iterator[np.ndarray]:
     """Ascending places in runs that span at most SLICE bytes."""
     begin = 0
@@ -217,32 +259,39 @@ def texts_once(docs: DataFrame) -> DataFrame:
     return once.mapInArrow(run, TEXTS)
 
 
-def sample_rows(texts: DataFrame, length: int) -> DataFrame:
+def sample_rows(texts: DataFrame, length: int, size: int) -> DataFrame:
+    """ROWS: samples with x 0 and grams of words with x 1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, part in by_chunk(batch):
-                prints = [sample_prints(t, length)[1] for t in views(part.column(1))]
-                h = np.concatenate(prints)
-                yield bucket_rows(chunk, h, np.zeros(len(h), np.int64))
+                data = views(part.column(1))
+                prints = [sample_prints(t, length)[1] for t in data]
+                grams = passages.grams_once(passages.words_of(data), size, span_prints)
+                h = np.concatenate((*prints, grams))
+                yield bucket_rows(chunk, h, np.repeat((0, 1), (len(h) - len(grams), len(grams))))
 
     return texts.select("chunk", "text").mapInArrow(run, ROWS)
 
 
-def with_runs(tied: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """TEXTS and runs: first and last places of the suffixes to be sorted, one after the other."""
+def with_runs(tied: DataFrame, texts: DataFrame, length: int, size: int) -> DataFrame:
+    """TEXTS and runs: first and last places of the suffixes to be sorted, one after the other; windows: the same of windows of words."""
 
-    def prepare(facts: pa.Table) -> np.ndarray:
-        return np.unique(unpacked(facts).column("h").to_numpy())
+    def prepare(facts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        h, x = (c.to_numpy() for c in unpacked(facts).columns)
+        return np.unique(h[x == 0]), np.unique(h[x == 1])
 
-    def apply(known: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-        runs = []
-        for t in views(batch.column("text")):
+    def apply(both: tuple[np.ndarray, np.ndarray], batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, grams = both
+        data, runs = views(batch.column("text")), []
+        for t in data:
             places, h = sample_prints(t, length)
             tied = places[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h] if len(known) else places[:0]
             runs.append(candidate_runs(len(t), tied, length).ravel())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.list_(pa.int64()))], names=["chunk", "sha", "n", "text", "runs"])
+        windows = passages.candidate_windows(passages.words_of(data), size, span_prints, grams)
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(r, pa.list_(pa.int64())) for r in (runs, windows))], names=["chunk", "sha", "n", "text", "runs", "windows"])
 
-    return attach(packed(tied), texts, prepare, apply, TEXTS + ", runs array<long>")
+    return attach(packed(tied), texts, prepare, apply, TEXTS + ", runs array<long>, windows array<long>")
 
 
 def suffix_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -264,6 +313,19 @@ def suffix_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.where("size(runs) > 0").select("chunk", "text", "runs").mapInArrow(run, ROWS)
 
 
+def window_rows(texts: DataFrame, size: int) -> DataFrame:
+    """ROWS of windows of words. What a text repeats by itself is one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, part in by_chunk(batch):
+                words = passages.words_of(views(part.column(1)))
+                windows = passages.windows_of(words, part.column(2).to_pylist())
+                yield bucket_rows(chunk, *passages.once_each(words.text[windows], *window_prints(words, windows, size)))
+
+    return texts.where("size(windows) > 0").select("chunk", "text", "windows").mapInArrow(run, ROWS)
+
+
 def known_pairs(facts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     h, x = facts.column("h").to_numpy(), facts.column("x").to_numpy()
     order = np.lexsort((x, h))
@@ -307,12 +369,26 @@ def repeated_spans(text: np.ndarray, runs: list[int], untied: tuple, length: int
     return merged(spans)
 
 
-def outcome(untied: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """FOUND: the spans to remove of each distinct text."""
+def shared_words(texts: list[np.ndarray], n: list[int], windows: list[list[int]], untied: tuple, size: int) -> np.ndarray:
+    """How many words of each text lie in windows that stand in another one; *n* is the number of a text's rows."""
+    out = np.zeros(len(texts), np.int64)
+    open_ = [i for i, (k, w) in enumerate(zip(n, windows, strict=True)) if k > 1 or w]
+    if open_:
+        words = passages.words_of([texts[i] for i in open_])
+        at = passages.windows_of(words, [windows[i] for i in open_])
+        long, copied = np.diff(words.first), np.array([n[i] > 1 for i in open_])
+        own = passages.covered(words, at[~holds(untied, *window_prints(words, at, size))], size)
+        out[open_] = np.where(copied, np.where(long >= size, long, 0), own)
+    return out
+
+
+def outcome(untied: DataFrame, texts: DataFrame, length: int, size: int) -> DataFrame:
+    """FOUND: the spans to remove of each distinct text, and its shared words."""
 
     def apply(known: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for t, n, runs in zip(views(batch.column("text")), batch.column("n").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+        rows, data, counts = [], views(batch.column("text")), batch.column("n").to_pylist()
+        shared = shared_words(data, counts, batch.column("windows").to_pylist(), known, size)
+        for t, n, runs in zip(data, counts, batch.column("runs").to_pylist(), strict=True):
             whole = n > 1 and len(t) >= length
             spans = [(0, len(t))] if whole else repeated_spans(t, runs, known, length) if runs else []
             sha, at = hashlib.sha256(), 0
@@ -322,7 +398,7 @@ def outcome(untied: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             sha.update(t[at:])
             rows.append((len(t), [a for a, _ in spans], [b for _, b in spans], sha.hexdigest()))
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("sha"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["sha", "n_bytes", "starts", "ends", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([batch.column("sha"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(shared)], names=["sha", "n_bytes", "starts", "ends", "kept_sha256", "n_shared_words"])
 
     return attach(packed(untied), texts, lambda facts: known_pairs(unpacked(facts)), apply, FOUND)
 
@@ -333,22 +409,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
 
 
-def found(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def found(docs: DataFrame, length: int = LENGTH, size: int = WORDS) -> DataFrame:
     """FOUND for each distinct text of *docs*."""
     texts = settled(texts_once(keyed(docs).select("sha", "text")), "op12-texts")
-    tied = settled(sorted_buckets(sample_rows(texts, length), ties=True), "op12-ranks")
-    ready = settled(with_runs(tied, texts, length), "op12-runs")
+    tied = settled(sorted_buckets(sample_rows(texts, length, size), ties=True), "op12-ranks")
+    ready = settled(with_runs(tied, texts, length, size), "op12-runs")
     drop_scratch(texts, tied)
     untied = settled(sorted_buckets(suffix_rows(ready, length), ties=False), "op12-untied")
-    out = settled(outcome(untied, ready, length), "op12-found")
-    drop_scratch(ready, untied)
+    alone = settled(sorted_buckets(window_rows(ready, size), ties=False), "op12-alone")
+    out = settled(outcome(untied.unionByName(alone), ready, length, size), "op12-found")
+    drop_scratch(ready, untied, alone)
     return out
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, starts and ends of the removed runs and the remaining bytes' SHA-256: one row for each document."""
+def dedup(docs: DataFrame, length: int = LENGTH, size: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, starts and ends of the removed runs, the remaining bytes' SHA-256 and the number of words in passages of *size* words
+    or more that another document holds: one row for each document."""
     ids = keyed(docs).select("doc_id", "sha")
-    return join_hot(ids, found(docs, length), "sha").select("doc_id", "n_bytes", "starts", "ends", "kept_sha256")
+    return join_hot(ids, found(docs, length, size), "sha").select("doc_id", "n_bytes", "starts", "ends", "kept_sha256", "n_shared_words")
 
 
 def stripped(docs: DataFrame, length: int = LENGTH) -> DataFrame:
