@@ -14,7 +14,7 @@ stands at i and j holds, at one offset below V, a sample of both whose first LEN
 Only equality matters here, so buckets are ordered by fingerprints (Karp and Rabin's, modulo primes: 62 bits for the samples, which are
 but a filter, 93 for suffixes) and not by bytes. Identical texts are sorted once: they cover each other. In buckets a chunk of
 texts stands for its places, so a passage of a third of all documents has a row for each chunk (chunks.py), and a task reads a bucket as a stream.
-Memory holds a slice of a text and the repeated fingerprints of one chunk.
+Memory holds a slice of a text, the repeated fingerprints of one chunk and, of windows of words, those of a batch that may be shared.
 
 Beside what is removed, passages are told that documents share by words: n_shared_words counts a document's words in windows of WORDS words
 that stand in another document, too. A passage of 51 words has often fewer than LENGTH bytes, so removal can't show it. The same two steps
